@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import same_address
+from parcelforge.llm import same_address, survivor
 
 QUERIES = {
     "p1_found": same_address.p1_found,
     "p1_places": same_address.p1_places,
+    "p2_found": survivor.p2_found,
+    "p2_survivors": survivor.p2_survivors,
 }
 ORACLE: dict[str, str] = {}
