@@ -64,14 +64,14 @@ def clean_postcode(text: str | None) -> str:
 
 
 def is_missing(text: str | None) -> bool:
-    return text is None or text.replace(" ", " ").strip().strip(".").lower() in PLACEHOLDERS
+    return text is None or text.replace("\u00a0", " ").strip().strip(".").lower() in PLACEHOLDERS
 
 
 def unit_code(text: str | None) -> str:
     """``Unit No. 05``, ``U5`` and ``un. 5`` give ``5``; '' where there is no unit."""
     if is_missing(text):
         return ""
-    s = " ".join(text.replace(" ", " ").lower().split())
+    s = " ".join(text.replace("\u00a0", " ").lower().split())
     m = _UNIT.search(s) or _UNIT_ONLY.match(s) or re.match(r"([a-z]?\d{1,3}[a-z]?|[a-z])$", s)
     return (m[1].lstrip("0") or "0") if m else ""
 
@@ -157,6 +157,8 @@ class AddressReader:
         self.speller = Speller([*self.towns, *self.counties])
         self.types = Speller(_LONG_TYPES)
         self.memo: dict[str, tuple] = {}
+        self.columns: dict[str | None, tuple] = {}
+        self.codes: dict[str | None, tuple[str, str]] = {}
 
     def place(self, words: str) -> tuple[str, str] | None:
         """('town', name) or ('county', name) where ``words`` name one, however spelt."""
@@ -217,7 +219,9 @@ class AddressReader:
         r = Reading()
         if is_missing(address):
             return r
-        s = _BRACKET.sub(" ", address.lower().replace(" ", " ").replace("–", "-").replace("—", "-"))
+        s = address.lower().replace("\u00a0", " ").replace("–", "-").replace("—", "-")
+        if "(" in s:
+            s = _BRACKET.sub(" ", s)
         if m := POSTCODE.search(s):
             r.outcode, r.postcode = m[1], f"{m[1]} {m[2]}".upper()
             s = s[: m.start()] + "," + s[m.end() :]
@@ -250,6 +254,33 @@ class AddressReader:
             r.town = r.towns[-1]
         return r
 
+    def town_of_column(self, text: str | None) -> tuple:
+        """((town, weight), ...) that a town column names."""
+        got = self.columns.get(text)
+        if got is None:
+            if len(self.columns) > 100_000:
+                self.columns.clear()
+            found = []
+            if not is_missing(text):
+                for k, part in enumerate(re.split(r"[,/(]", " ".join(text.lower().replace("\u00a0", " ").split()))):
+                    p = self.place(part.strip(" .)"))
+                    if p and p[0] == "town":
+                        found.append((p[1], 2 - k * 0.5))
+            got = self.columns[text] = tuple(found)
+        return got
+
+    def code_of_column(self, text: str | None) -> tuple[str, str]:
+        """(full postcode or '', town of its outcode or '') of a postcode column."""
+        got = self.codes.get(text)
+        if got is None:
+            if len(self.codes) > 300_000:
+                self.codes.clear()
+            s = "" if is_missing(text) else " ".join(text.lower().replace("\u00a0", " ").split())
+            m = POSTCODE.search(s)
+            out = m or OUTCODE.match(s)
+            got = self.codes[text] = (f"{m[1]} {m[2]}".upper() if m else "", self.town_of.get(out[1], "") if out else "")
+        return got
+
     def town(self, reading: Reading, town: str | None, postcode: str | None) -> str:
         """The town that address, town column and postcode column together speak for, or ''."""
         votes: dict[str, float] = {}
@@ -257,14 +288,10 @@ class AddressReader:
             votes[t] = votes.get(t, 0) + 3
         if t := self.town_of.get(reading.outcode):
             votes[t] = votes.get(t, 0) + 4
-        if not is_missing(town):
-            for k, part in enumerate(re.split(r"[,/(]", " ".join(town.lower().replace(" ", " ").split()))):
-                p = self.place(part.strip(" .)"))
-                if p and p[0] == "town":
-                    votes[p[1]] = votes.get(p[1], 0) + 2 - k * 0.5
-        if not is_missing(postcode):
-            s = " ".join(postcode.lower().split())
-            m = POSTCODE.search(s) or OUTCODE.match(s)
-            if m and (t := self.town_of.get(m[1])):
-                votes[t] = votes.get(t, 0) + 2.5
-        return max(votes, key=lambda t: (votes[t], t)) if votes else ""
+        for t, w in self.town_of_column(town):
+            votes[t] = votes.get(t, 0) + w
+        if t := self.code_of_column(postcode)[1]:
+            votes[t] = votes.get(t, 0) + 2.5
+        if len(votes) < 2:
+            return next(iter(votes), "")
+        return max(votes, key=lambda t: (votes[t], t))

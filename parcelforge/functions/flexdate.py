@@ -68,7 +68,7 @@ def local_to_utc(local: datetime, zone: str) -> datetime | None:
 
 def _parse(text: str, zone: str):
     """(day, None) of a value without time of day, (None, instant) of one with it, or None."""
-    s = " ".join(text.replace(" ", " ").split()).lower()
+    s = " ".join(text.replace("\u00a0", " ").split()).lower()
     if not s:
         return None
     if m := _FULL.match(s):
@@ -120,7 +120,7 @@ def day_of(text: str | None, zone: str = UK) -> str | None:
         return None
     if got := _parse(text, zone):
         return (got[0] or got[1].astimezone(ZoneInfo(zone)).date()).isoformat()
-    s = " ".join(text.replace(" ", " ").split()).lower()
+    s = " ".join(text.replace("\u00a0", " ").split()).lower()
     if m := _SERIAL.match(s):
         return (date(1899, 12, 30) + timedelta(days=int(m[1]))).isoformat()
     if m := _PART.match(s):
@@ -144,7 +144,7 @@ def precision_of(text: str | None, zone: str = UK) -> str | None:
     """``day``, ``month``, ``quarter`` or ``year``: what a value that ``day_of`` reads denotes."""
     if text is None or day_of(text, zone) is None:
         return None
-    s = " ".join(text.replace(" ", " ").split()).lower()
+    s = " ".join(text.replace("\u00a0", " ").split()).lower()
     if _parse(text, zone) or _SERIAL.match(s):
         return "day"
     g = _PART.match(s).groupdict()
@@ -163,7 +163,7 @@ def zoneless_local(text: str | None) -> datetime | None:
     """The clock time of a value that has a time of day and no zone; None for any other."""
     if text is None:
         return None
-    m = _FULL.match(" ".join(text.replace(" ", " ").split()).lower())
+    m = _FULL.match(" ".join(text.replace("\u00a0", " ").split()).lower())
     if not m or not (m["H"] or m["H2"]) or m["off"] or m["zone"] or m["abbr"]:
         return None
     got = _parse(text, "UTC")

@@ -17,7 +17,7 @@ _PARTS = re.compile(r",|\s-\s|\||;|\n|\s–\s")
 
 def deal_key(text: str | None) -> str:
     """The parts of a deal name in lower case and sorted order, phases as digits, quarter suffixes dropped; '' for null."""
-    s = _QUARTER.sub(" ", (text or "").lower().replace(" ", " "))
+    s = _QUARTER.sub(" ", (text or "").lower().replace("\u00a0", " "))
     parts = []
     for part in _PARTS.split(s):
         words = re.sub(r"[^\w\s]", " ", part).split()
@@ -31,7 +31,7 @@ def deal_key(text: str | None) -> str:
 
 def occupier_key(text: str | None) -> str:
     """The words of an occupier's name that identify it; '' where none is named (null, blank, confidential, vacant)."""
-    s = (text or "").lower().replace(" ", " ")
+    s = (text or "").lower().replace("\u00a0", " ")
     s = re.split(r"\bt/a\b|\btrading as\b", s)[0]
     words = [w for w in re.sub(r"[^\w\s]", " ", s).split() if w not in LEGAL]
     if not words or words[0] == "vacant" or " ".join(words) in NO_NAME:

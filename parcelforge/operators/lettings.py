@@ -12,11 +12,13 @@ from __future__ import annotations
 
 from datetime import date
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.address import distance
+from parcelforge.functions.arrowmap import mapped
 from parcelforge.functions.flexdate import day_of, precision_of
 from parcelforge.operators.places import occupational_units
 from parcelforge.runtime import cut
@@ -118,43 +120,69 @@ def cluster(items: list[tuple]) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-def _cluster_partition(batches):
-    """Rows come sorted by unit; a unit may go over the end of a batch."""
-    unit, sigs, items = None, [], []
-
-    def flush():
-        found = cluster(items)
-        name = {}
-        for c, s in zip(found, sigs):
-            name[c] = min(name.get(c, s), s)
-        return [(s, name[c]) for c, s in zip(found, sigs)]
-
-    for b in batches:
-        out = []
-        cols = [b.column(i).to_pylist() for i in range(b.num_columns)]
-        for key, sig, who, start, end, rent, psf in zip(*cols):
-            if key != unit:
-                if len(sigs) == 1:
-                    out.append((sigs[0], sigs[0]))
-                elif sigs:
-                    out += flush()
-                unit, sigs, items = key, [], []
-            sigs.append(sig)
-            items.append((who, span_of(start), span_of(end), rent, psf))
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out)], ["sig", "letting_id"])
-    if sigs:
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*flush())], ["sig", "letting_id"])
+#: What a signature is made of, besides the unit.
+MARKS = ["tenant_key", "lease_start", "lease_expiry", "rent_pa", "rent_psf"]
+
+
+def _cluster_partition(names: list[str]):
+    """Adds ``letting_id`` and ``start_day`` to rows that come sorted by unit; a unit may go over the end of a batch."""
+    at = [names.index(c) for c in MARKS]
+
+    def done(b):
+        units, found = b.column(0).to_numpy(), b.column(1).to_numpy().copy()
+        edges = np.flatnonzero(np.diff(units)) + 1
+        starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(units)]))
+        several = ends - starts > 1
+        rows = np.flatnonzero(np.repeat(several, ends - starts))
+        who, first, last, rent, psf = (b.column(i).take(pa.array(rows)).to_pylist() for i in at)
+        items = [(w, span_of(s), span_of(e), r, f) for w, s, e, r, f in zip(who, first, last, rent, psf)]
+        k = 0
+        for i, j in zip(starts[several].tolist(), ends[several].tolist()):
+            name: dict[int, int] = {}
+            groups = cluster(items[k : k + j - i])
+            k += j - i
+            for c, sig in zip(groups, found[i:j].tolist()):
+                name[c] = min(name.get(c, sig), sig)
+            found[i:j] = [name[c] for c in groups]
+        day = mapped(b.column(at[1]), lambda t: span_of(t) is not None, "start_day", pa.bool_())
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64()), day], [*names, "letting_id", "start_day"])
+
+    def run(batches):
+        rest = None
+        for b in batches:
+            if rest is not None:
+                b = pa.concat_batches([rest, b])
+            if not b.num_rows:
+                continue
+            units = b.column(0).to_numpy()
+            cut_at = int(np.flatnonzero(units != units[-1])[-1]) + 1 if units[0] != units[-1] else 0
+            rest = b.slice(cut_at)
+            if cut_at:
+                yield done(b.slice(0, cut_at))
+        if rest is not None:
+            yield done(rest)
+
+    return run
+
+
+def signatures(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
+    """``keep`` of each row, and unit, deal, ``MARKS`` and their hash ``sig``; rows that can not be placed are told apart by their dates."""
+    need = list(dict.fromkeys(["id", *keep, *MARKS[1:]]))
+    rows = occupational_units(comps, places, need)
+    unsure = ~F.col("sure") & (F.col("tenant_key") == "")
+    rows = rows.withColumn("unit_key", F.when(unsure, F.xxhash64("unit_key", "lease_start", "lease_expiry")).otherwise(F.col("unit_key")))
+    return rows.withColumn("sig", F.xxhash64("unit_key", "deal", *MARKS))
+
+
+def cluster_signatures(marks: DataFrame) -> DataFrame:
+    """``marks`` (one row per signature, starting with unit_key and sig, with ``MARKS``) with ``letting_id`` and ``start_day``, whether the start denotes a day."""
+    names = marks.columns
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in marks.dtypes), "letting_id bigint, start_day boolean"])
+    return marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig").mapInArrow(_cluster_partition(names), schema)
 
 
 def letting_rows(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` of each row, the parts of its address, ``unit_key`` and ``letting_id``."""
-    need = list(dict.fromkeys(["id", *keep, "lease_start", "lease_expiry", "rent_pa", "rent_psf"]))
-    rows = occupational_units(comps, places, need)
-    alone = F.when(F.col("sure") | (F.col("tenant_key") != ""), F.lit(0)).otherwise(F.xxhash64("lease_start", "lease_expiry"))
-    rows = rows.withColumn("unit_key", F.when(alone == 0, F.col("unit_key")).otherwise(F.xxhash64("unit_key", alone)))
-    rows = cut(rows.withColumn("sig", F.xxhash64("unit_key", "tenant_key", "lease_start", "lease_expiry", "rent_pa", "rent_psf")))
-    marks = rows.groupBy("unit_key", "sig").agg(*(F.first(c).alias(c) for c in ("tenant_key", "lease_start", "lease_expiry", "rent_pa", "rent_psf")))
-    marks = marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig")
-    found = marks.mapInArrow(_cluster_partition, "sig bigint, letting_id bigint")
-    return rows.join(found, "sig").drop("sig")
+    """The columns ``keep`` of each row with ``unit_key``, ``deal``, ``street_id`` and ``letting_id``."""
+    rows = cut(signatures(comps, places, keep))
+    marks = rows.groupBy("unit_key", "sig").agg(*(F.first(c).alias(c) for c in MARKS))
+    return rows.join(cluster_signatures(marks).select("sig", "letting_id"), "sig").drop("sig")

@@ -7,10 +7,11 @@ outcodes, fixed and checked to be small) is handed to the workers.
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.address import AddressReader, clean_postcode, unit_code
+from parcelforge.functions.address import AddressReader, unit_code
+from parcelforge.functions.arrowmap import mapped
 from parcelforge.functions.names import deal_key, occupier_key
 from parcelforge.runtime import cut
 
@@ -58,10 +59,10 @@ def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="addre
             out = []
             for a, t, p in zip(at[address].to_pylist(), at[town].to_pylist(), at[postcode].to_pylist()):
                 r = reader.read(a)
-                out.append((reader.town(r, t, p), r.number, r.unit, r.street, r.street_type, r.estate, r.postcode or clean_postcode(p)))
+                out.append((reader.town(r, t, p), r.number, r.unit, r.street, r.street_type, r.estate, r.postcode or reader.code_of_column(p)[0]))
             cols = list(zip(*out)) if out else [()] * len(names)
             made = [pa.array(c, pa.string()) for c in cols]
-            made += [pa.array([f(x) for x in at[c].to_pylist()], pa.string()) for c, _, f in extra]
+            made += [mapped(at[c], f, n) for c, n, f in extra]
             yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra)])
 
     return df.select(*sources).mapInArrow(read, schema)
@@ -111,32 +112,44 @@ def street_gazetteer(readings: DataFrame) -> DataFrame:
     ).withColumn("street_id", F.xxhash64("town", "stype", "canonical"))
 
 
-def with_streets(readings: DataFrame, gazetteer: DataFrame) -> DataFrame:
-    """``readings`` with ``street_id``; null where no street is given."""
-    return readings.join(gazetteer.select("town", "stype", "street", "street_id"), ["town", "stype", "street"], "left")
+def street_key() -> Column:
+    """What names a spelling of a street of a town, null where no street is given; equal to the street's identifier where the spelling is its own."""
+    return F.when((F.col("street") != "") & (F.col("town") != ""), F.xxhash64("town", "stype", "street"))
+
+
+def corrections(gazetteer: DataFrame) -> DataFrame:
+    """(skey, street_id) of the spellings that stand for another street."""
+    return gazetteer.where("canonical <> street").select(F.xxhash64("town", "stype", "street").alias("skey"), "street_id")
 
 
 def occupational_units(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
-    """Each row of an occupational table with ``unit_key`` (a hash, never null) and ``sure``.
+    """``keep`` of each row of an occupational table with ``deal``, ``unit_key`` (hashes), ``street_id``, ``tenant_key`` and ``sure``.
 
     Rows with an address get town, street, number and unit.  Rows without one get the only unit
     that rows of the same deal, unit name and occupier - else of the same deal and unit name -
-    denote; where that is ambiguous, or unknown, ``unit_key`` is made of deal, unit name and occupier and ``sure`` is
-    false.
+    denote; where that is ambiguous, or unknown, ``unit_key`` is made of deal, unit name and
+    occupier and ``sure`` is false.
     """
-    own = [c for c in keep if c not in ("id",)]
-    read = cut(read_addresses(comps, places, ["id", *own], unit_name="unit_name", deal="source_deal", tenant="tenant_name"))
-    read = with_streets(read, street_gazetteer(read))
-    unit = F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit_col"))
-    read = read.withColumn("unit", unit)
-    there = read.where("street_id is not null").withColumn("unit_key", F.xxhash64("street_id", "number", "unit")).withColumn("sure", F.lit(True))
-    gone = read.where("street_id is null")
-    names = there.select("deal_key", "unit", "tenant_key", "unit_key", F.col("town").alias("t"), F.col("pc").alias("p"))
-    by_name = names.where("tenant_key <> ''").groupBy("deal_key", "unit", "tenant_key").agg(F.min("unit_key").alias("u1"), F.max("unit_key").alias("u2"))
-    by_unit = names.groupBy("deal_key", "unit").agg(F.min("unit_key").alias("v1"), F.max("unit_key").alias("v2"))
-    by_code = names.where("p <> ''").groupBy("deal_key", "unit", "p").agg(F.min("unit_key").alias("w1"), F.max("unit_key").alias("w2")).withColumnRenamed("p", "pc")
-    gone = gone.join(by_name, ["deal_key", "unit", "tenant_key"], "left").join(by_unit, ["deal_key", "unit"], "left").join(by_code, ["deal_key", "unit", "pc"], "left")
+    read = read_addresses(comps, places, keep, unit_name="unit_name", deal="source_deal", tenant="tenant_name")
+    read = read.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit_col"))).withColumn("deal", F.xxhash64("deal_key"))
+    read = cut(read.drop("unit_col", "deal_key", "estate", "pc"))
+    moved = corrections(street_gazetteer(read.select("town", "stype", "street", "number")))
+    rows = read.select(*keep, "deal", "tenant_key", F.xxhash64("unit").alias("unit"), F.xxhash64("number").alias("number"), street_key().alias("skey"))
+    there = rows.where("skey is not null").join(moved, "skey", "left").withColumn("street_id", F.coalesce("street_id", "skey"))
+    there = there.select(*keep, "deal", "tenant_key", "unit", "street_id", F.xxhash64("street_id", "number", "unit").alias("unit_key"), F.lit(True).alias("sure"))
+    there = cut(there)
+    gone = rows.where("skey is null").withColumn("who", F.xxhash64("tenant_key"))
+    names = there.groupBy("deal", "unit", F.xxhash64("tenant_key").alias("who")).agg(*_only("u"), F.min("street_id").alias("st1"), F.max("street_id").alias("st2"))
+    by_unit = names.groupBy("deal", "unit").agg(F.min("u1").alias("v1"), F.max("u2").alias("v2"), F.min("st1").alias("sv1"), F.max("st2").alias("sv2"))
+    gone = gone.join(names.where(F.col("who") != F.xxhash64(F.lit(""))), ["deal", "unit", "who"], "left").join(by_unit, ["deal", "unit"], "left")
     only = lambda a, b: F.when(F.col(a) == F.col(b), F.col(a))
-    gone = gone.withColumn("unit_key", F.coalesce(only("u1", "u2"), only("v1", "v2"), only("w1", "w2")))
-    gone = gone.withColumn("sure", F.col("unit_key").isNotNull()).withColumn("unit_key", F.coalesce("unit_key", F.xxhash64(F.lit("?"), "deal_key", "unit", "tenant_key")))
-    return there.unionByName(gone.select(*there.columns))
+    unit_key = F.coalesce(only("u1", "u2"), only("v1", "v2"))
+    gone = gone.select(
+        *keep, "deal", "tenant_key", "unit", F.coalesce(only("st1", "st2"), only("sv1", "sv2")).alias("street_id"),
+        F.coalesce(unit_key, F.xxhash64(F.lit("?"), "deal", "unit", "tenant_key")).alias("unit_key"), unit_key.isNotNull().alias("sure"),
+    )
+    return there.unionByName(gone)
+
+
+def _only(name: str) -> list[Column]:
+    return [F.min("unit_key").alias(f"{name}1"), F.max("unit_key").alias(f"{name}2")]

@@ -2,5 +2,13 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from parcelforge.operators import areas, impute, timestamps
+
+QUERIES: dict = {
+    "p4_found": timestamps.p4_found,
+    "p5_found": impute.p5_found,
+    "p5_imputed": impute.p5_imputed,
+    "p7_found": areas.p7_found,
+    "p7_floor_areas": areas.p7_floor_areas,
+}
 ORACLE: dict[str, str] = {}

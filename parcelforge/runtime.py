@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,18 +15,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use ``spark.checkpoint.dir`` of the session; only where it is unset (tests, local runs) set one."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    if shared is None:
-        shared = os.path.join(tempfile.gettempdir(), f"parcelforge-checkpoints-{os.getuid()}")
-    sc.setCheckpointDir(shared)
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset (tests, local runs)."""
+    conf = spark.sparkContext.getConf()
+    return spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"parcelforge-{os.getuid()}")
+
+
+_written: list[tuple] = []
+
+
+def _remove_written() -> None:
+    """At the end of the session: the tables written by ``cut``."""
+    for spark, path in _written:
+        try:
+            jvm = spark.sparkContext._jvm
+            at = jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+        except Exception:  # noqa: BLE001 - the session may be gone; the folder is the cluster's to clean
+            return
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the checkpoint folder, so that lost executors never force a long recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it back: lost executors never force a long recomputation, and readers take only the columns they need."""
+    spark = df.sparkSession
+    if not _written:
+        atexit.register(_remove_written)
+    path = f"{shared_folder(spark).rstrip('/')}/cut-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
