@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from parcelforge.llm import same_address, survivor
+from parcelforge.llm import encoding, language, packing, same_address, survivor
 
 QUERIES = {
     "p1_found": same_address.p1_found,
     "p1_places": same_address.p1_places,
     "p2_found": survivor.p2_found,
     "p2_survivors": survivor.p2_survivors,
+    "p8_ids": encoding.p8_ids,
+    "p9_packing": packing.p9_packing,
+    "p9_fill": packing.p9_fill,
+    "p10_found": language.p10_found,
+    "p10_documents": language.p10_documents,
 }
 ORACLE: dict[str, str] = {}
