@@ -70,11 +70,13 @@ def label_code(label: str | None) -> str | None:
 
 def plain(unit: str) -> str:
     """A unit in the form that the network reads."""
-    s = unicodedata.normalize("NFC", " ".join(unit.split()))
-    letters = [c for c in s if c.isalpha()]
-    if sum(c.isupper() for c in letters) < 0.5 * len(letters):
-        s = _NAME.sub("X", s)
-    return _NUMBER.sub("0", s.lower()).lstrip("-*•· ")
+    s = " ".join(unit.split())
+    if not s.isascii():
+        s = unicodedata.normalize("NFC", s)
+    low = s.lower()
+    if s != low and s != s.upper():
+        low = _NAME.sub("X", s).lower()
+    return _NUMBER.sub("0", low).lstrip("-*•· ")
 
 
 def units(text: str) -> list[tuple[int, int, str]]:
@@ -260,19 +262,20 @@ def pool(net: Network, texts: list[bytes]) -> np.ndarray:
 def word_scores(net: Network, texts: list[str]) -> list[np.ndarray]:
     """For each text (words, languages): the positions' log-probabilities pooled over each word of two letters or more, neutral words left out, at most ``PER_WORD`` below the best."""
     out = []
-    data = [t.encode() for t in texts]
-    lp, _ = log_probabilities(net, data)
+    lp, _ = log_probabilities(net, [t.encode() for t in texts])
+    n, _, k = lp.shape
+    sums = np.concatenate([np.zeros((n, 1, k), dtype=np.float64), np.cumsum(lp, axis=1, dtype=np.float64)], axis=1)
     for i, t in enumerate(texts):
-        spans, at, last = [], 0, 0
-        for m in _WORD.finditer(t):
-            at += len(t[last : m.start()].encode())
-            width = len(m.group().encode())
-            spans.append((at, at + width))
-            at += width
-            last = m.end()
-        sums = np.concatenate([np.zeros((1, lp.shape[2])), np.cumsum(lp[i], axis=0)])
-        rows = np.array([(sums[b] - sums[a]) / (b - a) for a, b in spans]) if spans else np.zeros((0, lp.shape[2]))
-        out.append(np.maximum(rows - rows.max(axis=1, keepdims=True), -PER_WORD) if len(rows) else rows)
+        spans = [m.span() for m in _WORD.finditer(t)]
+        if not spans:
+            out.append(np.zeros((0, k)))
+            continue
+        at = np.array(spans)
+        if not t.isascii():  # from letters to bytes
+            widths = np.array([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in t])
+            at = np.concatenate([[0], np.cumsum(widths)])[at]
+        rows = (sums[i, at[:, 1]] - sums[i, at[:, 0]]) / (at[:, 1] - at[:, 0])[:, None]
+        out.append(np.maximum(rows - rows.max(axis=1, keepdims=True), -PER_WORD))
     return out
 
 
@@ -316,25 +319,31 @@ class Reader:
             i = j
 
     @staticmethod
-    def parts(words: np.ndarray) -> list[tuple[float, float, np.ndarray]]:
-        """(from, to, scores) of the parts of a unit, as shares of its words: one, or several where a long unit changes its language."""
+    def parts(words: np.ndarray) -> list[tuple[float, float, int, np.ndarray]]:
+        """(from, to, best language, scores) of the parts of a unit, as shares of its words: one, or several where a long unit changes its language."""
         n = len(words)
-        if n < LONG:
-            return [(0.0, 1.0, words.sum(0))] if n else []
+        if not n:
+            return []
+        if n < LONG or len(set(words.argmax(1).tolist())) == 1:
+            total = words.sum(0)
+            return [(0.0, 1.0, int(total.argmax()), total)]
         path = best_path(words, 2 * SWITCH)
         cuts = [0, *(i for i in range(1, n) if path[i] != path[i - 1]), n]
-        return [(a / n, b / n, words[a:b].sum(0)) for a, b in zip(cuts, cuts[1:])]
+        totals = [words[a:b].sum(0) for a, b in zip(cuts, cuts[1:])]
+        return [(a / n, b / n, int(t.argmax()), t) for a, b, t in zip(cuts, cuts[1:], totals)]
 
     def segments(self, found: list[tuple[int, int, str]]) -> list[tuple[str, int, int, float]]:
         """(language, start, end, confidence) of the longest runs of one language."""
-        spans, rows = [], []
+        spans, best, rows = [], [], []
         for start, end, u in found:
-            for a, b, s in self.memory[u]:
+            for a, b, y, s in self.memory[u]:
                 spans.append((start + int(a * (end - start)), start + int(b * (end - start))))
+                best.append(y)
                 rows.append(s)
         if not rows:
             return []
-        path = best_path(np.array(rows))
+        # where every unit speaks for the same language, so does the best path
+        path = best if best.count(best[0]) == len(best) else best_path(np.array(rows))
         out, i = [], 0
         for j in range(1, len(path) + 1):
             if j == len(path) or path[j] != path[i]:
