@@ -1,14 +1,17 @@
 """Missing values filled by chained equations, with a mask of what was filled.
 
-Each incomplete field is fitted on the others in turn, and the rounds repeat with the fields as filled so far:
-a categorical field by a classifier of its most frequent value at the finest level that holds one
-(levels are given from fine to coarse), a numeric field by its group's value where other rows of the
-group hold one, else by a linear regression on the other fields, fitted over all rows from sums of
-products, plus a residual drawn at random but repeatably from the fit's spread.  Donors are always
-observed values, never filled ones, so filling twice changes nothing.
-
-Null, blank and placeholder texts and numbers not above zero are missing.  Ties go to the smaller
-value.  A field without any observed value stays null; the masks stay as found at the start.
+Every incomplete field has an equation that gives it from the others, fitted on observed values.
+The equation of a categorical field is a classifier: its most frequent value at the finest level
+(levels are key columns, from fine to coarse) that holds one.  That of a numeric field takes its
+group's most frequent value where other rows of the group hold one, by tiers of trust; without such it is a linear
+regression on the other fields, on logarithmic scale, fitted over all rows from one aggregate of
+sums of products, plus a residual drawn at random but repeatably from the fit's spread.  The
+equations are run in turn, round after round, each on the fields as filled so far.
+
+Only rows that lack something are joined to models, and only those that are still open go on to
+the next level.  Null, blank and placeholder texts and numbers not above zero are missing.  Ties go
+to the smaller value; group values always come from observed values, so filling twice changes
+nothing; a field that no equation reaches stays null; masks stay as found at the start.
 """
 
 from __future__ import annotations
@@ -19,13 +22,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.address import PLACEHOLDERS, Reading
+from parcelforge.functions.arrowmap import mapped
 from parcelforge.operators.areas import OTHERS, RATIO, SQFT, _words, floor_unit
-from parcelforge.operators.lettings import letting_rows
+from parcelforge.operators.lettings import MARKS, cluster_signatures, signatures
 from parcelforge.operators.places import place_rows, reader_of
 from parcelforge.runtime import cut, table
 
 #: Rounds of the chained equations.
 ROUNDS = 2
+#: Tiers of trust in a floor area: recorded in square feet, converted to them, of unknown unit.
+TIERS = (3, 2, 1)
 
 
 def missing_text(c: Column) -> Column:
@@ -37,11 +43,14 @@ def missing_number(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (c <= 0)
 
 
-def most_frequent(df: DataFrame, keys: list[str], value: str, weight: Column, name: str) -> DataFrame:
-    """(keys, name, name_n): the value with most weight in each group, the smaller one on ties; counted before it is gathered."""
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.sum(weight).alias("w"), F.count("*").alias("n"))
-    best = F.min_by(value, F.struct(-F.col("w"), F.col(value)))
-    return counted.groupBy(*keys).agg(best.alias(name), F.sum("n").alias(f"{name}_n"))
+def mode(c: Column) -> Column:
+    """The most frequent value, the smaller one on ties; partial counts are combined before the shuffle."""
+    return F.mode(c, deterministic=True)
+
+
+def classifier(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
+    """(keys, <field>_guess): each field's most frequent value in each group."""
+    return df.dropna(subset=keys).groupBy(*keys).agg(*(mode(F.col(f)).alias(f"{f}_guess") for f in fields))
 
 
 def regress(df: DataFrame, target: str, inputs: list[str]) -> tuple[list[float], float]:
@@ -56,7 +65,7 @@ def regress(df: DataFrame, target: str, inputs: list[str]) -> tuple[list[float],
     n = m[0, 0]
     if n <= k:
         return [0.0] * (k - 1), 0.0
-    a, b = m[:-1, :-1] + np.eye(k - 1) * 1e-9, m[:-1, -1]
+    a, b = m[:-1, :-1], m[:-1, -1]
     beta = np.linalg.lstsq(a, b, rcond=None)[0]
     rss = max(0.0, m[-1, -1] - 2 * beta @ b + beta @ a @ beta)
     return [float(x) for x in beta], float(np.sqrt(rss / max(1.0, n - k + 1)))
@@ -69,110 +78,132 @@ def normal_draw(*keys: Column | str) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.lit(np.pi) * u2)
 
 
-def chained_impute(df: DataFrame, row_id: str, categorical: dict[str, list[list[str]]], numeric: dict[str, dict], rounds: int = ROUNDS) -> DataFrame:
-    """``df`` with ``<field>_filled`` (observed or filled), ``<field>_was_missing`` and ``<field>_donors`` for each field.
-
-    ``df`` holds observed values, null where missing.  ``categorical``: field -> levels, each a list of
-    key columns, from fine to coarse.  ``numeric``: field -> {"group": key columns, "inputs": other numeric
-    fields, "weight": a column that says how much a donor counts}; numbers are regressed on logarithmic scale.
-    ``_donors`` counts the observed values of the finest level; a fill without donors there has 0.
-    """
-    for field, levels in categorical.items():
-        guesses = []
-        for i, keys in enumerate(levels):
-            model = most_frequent(df.dropna(subset=keys), keys, field, F.lit(1), f"_g{i}")
-            df = df.join(model, keys, "left")
-            guesses.append(F.col(f"_g{i}"))
-        df = df.withColumn(f"{field}_was_missing", F.col(field).isNull()).withColumn(f"{field}_donors", F.coalesce("_g0_n", F.lit(0)))
-        df = df.withColumn(f"{field}_filled", F.coalesce(F.col(field), *guesses)).drop(*(f"_g{i}" for i in range(len(levels))), *(f"_g{i}_n" for i in range(len(levels))))
-    for field, spec in numeric.items():
-        model = most_frequent(df.dropna(subset=spec["group"]), spec["group"], field, spec.get("weight", F.lit(1)), "_g")
-        df = df.join(model, spec["group"], "left")
-        df = df.withColumn(f"{field}_was_missing", F.col(field).isNull()).withColumn(f"{field}_donors", F.coalesce("_g_n", F.lit(0)))
-        df = df.withColumn(f"{field}_filled", F.coalesce(F.col(field), F.col("_g"))).drop("_g", "_g_n")
-        df = df.withColumn(f"{field}_open", F.col(f"{field}_filled").isNull())
-    df = cut(df)
-    logs = {f: F.log(F.when(F.col(f"{f}_filled") > 0, F.col(f"{f}_filled"))) for f in numeric}
+def fill_by_levels(df: DataFrame, source: DataFrame, fields: list[str], levels: list[list[str]]) -> DataFrame:
+    """``df`` with its open ``<field>_filled`` from classifiers on ``source``, level by level; complete rows skip the joins."""
+    for keys in levels:
+        still = F.lit(False)
+        for f in fields:
+            still = still | F.col(f"{f}_filled").isNull()
+        open_, shut = df.where(still), df.where(~still)
+        asked = source.join(open_.select(*keys).distinct(), keys, "left_semi")
+        open_ = open_.join(classifier(asked, keys, fields), keys, "left")
+        open_ = open_.withColumns({f"{f}_filled": F.coalesce(f"{f}_filled", f"{f}_guess") for f in fields}).drop(*(f"{f}_guess" for f in fields))
+        df = shut.unionByName(open_)
+    return df
+
+
+def chain_regressions(df: DataFrame, row_id: str, equations: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with its open numeric ``<field>_filled`` from regressions on the other fields (``equations``: field -> inputs), chained for ``rounds`` rounds."""
+    value = lambda c: F.log(F.when(F.col(c) > 0, F.col(c)))
+    name = lambda c: f"{c}_filled" if c in equations else c
+    df = df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations})
     for _ in range(rounds):
-        for field, spec in numeric.items():
-            inputs = [x if x not in numeric else f"{x}_filled" for x in spec["inputs"]]
-            view = df.select(F.when(~F.col(f"{field}_open"), logs[field]).alias("y"), *(F.log(F.when(F.col(x) > 0, F.col(x))).alias(f"x{i}") for i, x in enumerate(inputs)))
+        for field, inputs in equations.items():
+            view = df.select(F.when(~F.col(f"{field}_open"), value(f"{field}_filled")).alias("y"), *(value(name(x)).alias(f"x{i}") for i, x in enumerate(inputs)))
             beta, spread = regress(view, "y", [f"x{i}" for i in range(len(inputs))])
             guess = F.lit(beta[0])
             for b, x in zip(beta[1:], inputs):
-                guess = guess + F.lit(b) * F.log(F.when(F.col(x) > 0, F.col(x)))
+                guess = guess + F.lit(b) * value(name(x))
             drawn = F.exp(guess + F.lit(spread) * normal_draw(row_id, F.lit(field)))
             df = df.withColumn(f"{field}_filled", F.when(F.col(f"{field}_open"), drawn).otherwise(F.col(f"{field}_filled")))
-    return df.drop(*(f"{f}_open" for f in numeric))
+    return df.drop(*(f"{f}_open" for f in equations))
+
+
+_SEEN_IN = ["town_", "code_", "size_sqft", "rent_pa", "rent_psf", "notes"]
+_SEEN = "own_town int, own_code bigint, code_blank boolean, own_size double, tier int"
+
+
+def _observe(at: dict, reader) -> list[pa.Array]:
+    """Number of the town among the place table's sorted names, full postcode as a number of base 36, floor area in square feet and the tier of trust in it."""
+    names = {n: i for i, n in enumerate(sorted(set(reader.towns.values())))}
+    town = mapped(at["town_"], lambda t: names.get(reader.town(Reading(), t, None)) if t else None, "town number", pa.int32())
+    code = mapped(at["code_"], lambda c: int(x.replace(" ", ""), 36) if c and (x := reader.code_of_column(c)[0]) else None, "code number", pa.int64())
+    sizes, tiers = [], []
+    for s, p, f, n in zip(*(at[c].to_pylist() for c in ("size_sqft", "rent_pa", "rent_psf", "notes"))):
+        if s is None or not s > 0:
+            sizes.append(None)
+            tiers.append(None)
+            continue
+        unit = floor_unit(s, p, f, _words(n, OTHERS))[0]
+        sizes.append(float(round(s * SQFT[unit or "sqft"])))
+        tiers.append(3 if unit == "sqft" else 2 if unit else 1)
+    return [town, code, at["code_"].is_null(), pa.array(sizes, pa.float64()), pa.array(tiers, pa.int32())]
 
 
-def observed(rows: DataFrame, places: tuple) -> DataFrame:
-    """``rows`` with ``own_town`` (the place table's name of ``town_col``), ``own_size`` in square feet and ``trust`` in it.
+def code_text(c: str) -> Column:
+    """The postcode that a number of base 36 stands for."""
+    return F.regexp_replace(F.conv(F.col(c).cast("string"), 10, 36), "^(.+)(...)$", "$1 $2")
 
-    ``trust`` is 1000 for a number that is known to be in square feet, 30 for a converted one, 10 where nothing tells the unit.
+
+def modes(rows: DataFrame, key: str, values: dict[str, Column]) -> DataFrame:
+    """(key, <name>, <name>_n): each value's most frequent number in each group, the smaller one on ties, and how many hold one.
+
+    Groups that agree need only least, most and count; the values of the others are counted one by one.
     """
-    names = rows.schema.names
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in rows.dtypes), "own_town string, own_size double, trust int"])
-
-    def run(batches):
-        reader, known = reader_of(places), {None: None}
-        for b in batches:
-            at = {n: b.column(names.index(n)).to_pylist() for n in ("town_col", "size_sqft", "rent_pa", "rent_psf", "notes")}
-            for t in set(at["town_col"]) - known.keys():
-                known[t] = reader.town(Reading(), t, None) or None
-            sizes, trust = [], []
-            for s, p, f, n in zip(at["size_sqft"], at["rent_pa"], at["rent_psf"], at["notes"]):
-                if s is None or not s > 0:
-                    sizes.append(None)
-                    trust.append(None)
-                    continue
-                code = floor_unit(s, p, f, _words(n, OTHERS))[0]
-                sizes.append(float(round(s * SQFT[code or "sqft"])))
-                trust.append(1000 if code == "sqft" else 30 if code else 10)
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array([known[t] for t in at["town_col"]], pa.string()), pa.array(sizes, pa.float64()), pa.array(trust, pa.int32())], [*names, "own_town", "own_size", "trust"]
-            )
-
-    return rows.mapInArrow(run, schema)
-
-
-def settle_units(rows: DataFrame) -> DataFrame:
-    """``rows`` with sizes of unknown unit read in the unit that rents of the same unit (yearly over per square foot) imply."""
-    implied = rows.where("rent_pa > 0 and rent_psf > 0").groupBy("unit_key").agg(F.expr("min(rent_pa / rent_psf)").alias("least"), F.expr("max(rent_pa / rent_psf)").alias("most"))
-    rows = rows.join(implied.where("most <= least * 1.05"), "unit_key", "left")
-    ratio = (F.col("least") + F.col("most")) / 2 / F.col("own_size")
-    scale = F.coalesce(*(F.when(F.abs(F.log(ratio / s)) < RATIO, F.lit(s)) for s in SQFT.values()), F.lit(1.0))
-    unsure = F.coalesce(F.col("trust") == 10, F.lit(False))
-    return rows.withColumns(
-        {"own_size": F.when(unsure, F.round(F.col("own_size") * scale)).otherwise(F.col("own_size")), "trust": F.when(unsure & (scale != 1.0), 30).otherwise(F.col("trust"))}
-    ).drop("least", "most")
+    named = rows.select(key, *(v.alias(n) for n, v in values.items()))
+    ends = named.groupBy(key).agg(*(x for n in values for x in (F.min(n).alias(f"{n}_lo"), F.max(n).alias(f"{n}_hi"), F.count(n).alias(f"{n}_n"))))
+    ends = cut(ends)
+    split = F.lit(False)
+    for n in values:
+        split = split | (F.coalesce(F.col(f"{n}_lo") != F.col(f"{n}_hi"), F.lit(False)))
+    torn = named.join(ends.where(split).select(key), key, "left_semi").groupBy(key).agg(*(mode(F.col(n)).alias(f"{n}_m") for n in values))
+    out = ends.join(torn, key, "left")
+    return out.select(key, *(x for n in values for x in (F.coalesce(f"{n}_m", f"{n}_lo").alias(n), f"{n}_n")))
+
+
+def in_implied_unit(size: Column, least: Column, most: Column) -> Column:
+    """A floor area of unknown unit read in the unit that rents of the same unit (yearly over per square foot) imply."""
+    ratio = (least + most) / 2 / size
+    scale = F.coalesce(*(F.when((most <= least * 1.05) & (F.abs(F.log(ratio / s)) < RATIO), F.lit(s)) for s in SQFT.values()), F.lit(1.0))
+    return F.round(size * scale)
 
 
 def imputed_comps(spark, sf_dir: str) -> DataFrame:
-    """Occupational rows with size, rent per square foot, town and postcode filled by chained equations."""
+    """Occupational rows with ``<field>_filled``, ``<field>_was_missing`` and ``<field>_donors`` (rows of the unit, for rents per area of the letting, that hold one).
+
+    Towns and postcodes are numbers on the way; a town that the place table does not know counts as held, but gives nothing.
+    """
     places = place_rows(table(spark, sf_dir, "place_dim"))
+    names = sorted({n for n, _, _ in places if n})
     comps = table(spark, sf_dir, "raw_occupational_comps")
-    comps = comps.withColumns({"town_raw": F.col("town"), "postcode_raw": F.col("postcode")})
-    rows = letting_rows(comps, places, ["size_sqft", "notes", "town_raw", "postcode_raw"])
-    rows = rows.select(
-        "id", "unit_key", "letting_id", "deal", "street_id", "size_sqft", "rent_pa", "rent_psf", "notes",
-        F.when(~missing_text(F.col("town_raw")), F.col("town_raw")).alias("town_col"),
-        F.when(~missing_text(F.col("postcode_raw")), F.upper(F.regexp_replace("postcode_raw", r"(?U)\s", ""))).alias("code"),
+    comps = comps.withColumns({"town_": F.when(~missing_text(F.col("town")), F.col("town")), "code_": F.when(~missing_text(F.col("postcode")), F.upper(F.regexp_replace("postcode", r"(?U)\s", "")))})
+    rows = cut(signatures(comps.withColumn("town_blank", F.col("town_").isNull()), places, ["town_blank"], (_SEEN_IN, _SEEN, _observe)))
+
+    # rents per area: the equation's group is the letting
+    marks = rows.groupBy("unit_key", "sig", *MARKS).agg(F.count("*").alias("n"))
+    lettings = cluster_signatures(marks, "rent_psf").where("holders > 0").where(missing_number(F.col("rent_psf"))).select("sig", "common", "holders")
+
+    # the others: the group is the unit
+    sized = {f"size{t}": F.when(F.col("tier") == t, F.col("own_size")) for t in TIERS}
+    implied = F.when((F.col("rent_pa") > 0) & (F.col("rent_psf") > 0), F.col("rent_pa") / F.nullif(F.col("rent_psf"), F.lit(0.0)))
+    units = modes(rows, "unit_key", {"town": F.col("own_town"), "code": F.col("own_code"), **sized})
+    hint = rows.join(units.where("size3 is null and size2 is null and size1 is not null").select("unit_key"), "unit_key", "left_semi").groupBy("unit_key").agg(F.min(implied).alias("least"), F.max(implied).alias("most"))
+    units = units.join(hint, "unit_key", "left").select(
+        "unit_key", F.col("town").alias("town_g"), "town_n", F.col("code").alias("code_g"), "code_n",
+        F.coalesce("size3", "size2", in_implied_unit(F.col("size1"), F.col("least"), F.col("most"))).alias("size_g"), (F.col("size1_n") + F.col("size2_n") + F.col("size3_n")).alias("size_n"),
     )
-    rows = settle_units(observed(rows, places))
-    rows = rows.select(
-        "id", "unit_key", "letting_id", "deal", "street_id", "trust",
-        F.when(F.col("town_col").isNotNull(), F.coalesce("own_town", F.initcap("town_col"))).alias("town"),
-        F.when(F.col("code").rlike(r"^[A-Z]{1,2}[0-9][A-Z0-9]?[0-9][A-Z]{2}$"), F.regexp_replace("code", "^(.+)(...)$", "$1 $2")).alias("postcode"),
-        F.col("code").isNull().alias("postcode_blank"),
-        F.col("own_size").alias("size_sqft"),
-        F.when(~missing_number(F.col("rent_psf")), F.round("rent_psf", 2)).alias("rent_psf"), F.when(F.col("rent_pa") > 0, F.col("rent_pa")).alias("rent_pa"),
-    )
-    return chained_impute(
-        cut(rows), "id",
-        {"town": [["unit_key"], ["street_id"], ["deal"]], "postcode": [["unit_key"], ["street_id"], ["deal"]]},
-        {"size_sqft": {"group": ["unit_key"], "inputs": ["rent_pa", "rent_psf"], "weight": F.col("trust")}, "rent_psf": {"group": ["letting_id"], "inputs": ["rent_pa", "size_sqft"]}},
+
+    lacks = F.col("town_blank") | F.col("own_code").isNull() | F.col("own_size").isNull() | missing_number(F.col("rent_psf"))
+    keep = ["id", "unit_key", "street_id", "deal", "sig", "rent_pa", "rent_psf", "own_town", "town_blank", "own_code", "code_blank", "own_size"]
+    lacking = rows.where(lacks).select(*keep).join(units, "unit_key", "left").join(lettings, "sig", "left")
+    whole = rows.where(~lacks).select(*keep)
+    zero = F.lit(0).cast("bigint")
+    named = lambda df, town, code, size, psf, n: df.select(
+        "id", "street_id", "deal", F.when(F.col("rent_pa") > 0, F.col("rent_pa")).alias("rent_pa"),
+        F.coalesce("own_town", town).alias("town_filled"), F.col("town_blank").alias("town_was_missing"), n("town_n").alias("town_donors"),
+        F.coalesce("own_code", code).alias("postcode_filled"), F.col("code_blank").alias("postcode_was_missing"), n("code_n").alias("postcode_donors"),
+        F.coalesce("own_size", size).alias("size_sqft_filled"), F.col("own_size").isNull().alias("size_sqft_was_missing"), n("size_n").alias("size_sqft_donors"),
+        F.coalesce(F.when(~missing_number(F.col("rent_psf")), F.round("rent_psf", 2)), psf).alias("rent_psf_filled"), missing_number(F.col("rent_psf")).alias("rent_psf_was_missing"), n("holders").alias("rent_psf_donors"),
     )
+    null = lambda t: F.lit(None).cast(t)
+    lacking = named(lacking, F.col("town_g"), F.col("code_g"), F.col("size_g"), F.col("common"), lambda c: F.coalesce(c, zero))
+    whole = named(whole, null("int"), null("bigint"), null("double"), null("double"), lambda c: zero)
+    seen = rows.select("street_id", "deal", F.col("own_town").alias("town"), F.col("own_code").alias("postcode"))
+    lacking = fill_by_levels(cut(lacking), seen, ["town", "postcode"], [["street_id"], ["deal"]])
+    filled = cut(whole.unionByName(lacking))
+    out = chain_regressions(filled, "id", {"size_sqft": ["rent_pa", "rent_psf"], "rent_psf": ["rent_pa", "size_sqft"]})
+    of = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
+    return out.withColumns({"town_filled": F.try_element_at(of, F.col("town_filled") + 1), "postcode_filled": code_text("postcode_filled")})
 
 
 def p5_found(spark, sf_dir: str) -> DataFrame:
@@ -180,7 +211,7 @@ def p5_found(spark, sf_dir: str) -> DataFrame:
     rows = imputed_comps(spark, sf_dir)
     shown = {
         "town": F.col("town_filled"),
-        "postcode": F.when(F.col("postcode_blank"), F.col("postcode_filled")),
+        "postcode": F.col("postcode_filled"),
         "size_sqft": F.col("size_sqft_filled").cast("decimal(18,0)").cast("string"),
         "rent_psf": F.col("rent_psf_filled").cast("decimal(18,2)").cast("string"),
     }

@@ -30,20 +30,36 @@ SPAN = {"day": 0, "month": 30, "quarter": 91, "year": 365}
 #: Relative difference of two rents of one lease.
 RENT = 0.015
 
-_spans: dict[str, tuple | None] = {}
+#: Day number of 1970-01-01.
+EPOCH = date(1970, 1, 1).toordinal()
 
 
 def span_of(text: str | None) -> tuple[int, int] | None:
-    """(first day, last day) as ordinals of what a date text denotes, else None."""
-    if text is None:
+    """(first day, last day), counted from 1970-01-01, of what a date text denotes, else None."""
+    day = text and day_of(text)
+    if not day:
         return None
-    if text not in _spans:
-        if len(_spans) > 200_000:
-            _spans.clear()
-        day = day_of(text)
-        first = day and date.fromisoformat(day).toordinal()
-        _spans[text] = (first, first + SPAN[precision_of(text)]) if first else None
-    return _spans[text]
+    first = date.fromisoformat(day).toordinal() - EPOCH
+    return first, first + SPAN[precision_of(text)]
+
+
+def _spans(at: dict, reader) -> list[pa.Array]:
+    out = []
+    for c in ("lease_start", "lease_expiry"):
+        both = mapped(at[c], lambda t: dict(zip("ab", span_of(t) or (None, None))), "span", pa.struct([("a", pa.int32()), ("b", pa.int32())]))
+        out += [both.field(0), both.field(1)]
+    return out
+
+
+#: Spans of the lease's start and expiry, made in the pass that reads addresses.
+SPANS = (["lease_start", "lease_expiry"], "s0 int, s1 int, e0 int, e1 int", _spans)
+
+
+def with_spans(more=None):
+    """``SPANS`` and further columns of the same kind as one."""
+    if more is None:
+        return SPANS
+    return [*SPANS[0], *more[0]], f"{SPANS[1]}, {more[1]}", lambda at, reader: [*SPANS[2](at, reader), *more[2](at, reader)]
 
 
 def gap(a: tuple[int, int] | None, b: tuple[int, int] | None) -> int | None:
@@ -120,12 +136,12 @@ def cluster(items: list[tuple]) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-#: What a signature is made of, besides the unit.
-MARKS = ["tenant_key", "lease_start", "lease_expiry", "rent_pa", "rent_psf"]
+#: What a signature is made of, besides unit and deal.
+MARKS = ["tenant_key", "s0", "s1", "e0", "e1", "rent_pa", "rent_psf"]
 
 
-def _cluster_partition(names: list[str]):
-    """Adds ``letting_id`` and ``start_day`` to rows that come sorted by unit; a unit may go over the end of a batch."""
+def _cluster_partition(names: list[str], value: str | None):
+    """Adds ``letting_id`` (and with ``value`` what is common in each letting) to rows that come sorted by unit; a unit may go over the end of a batch."""
     at = [names.index(c) for c in MARKS]
 
     def done(b):
@@ -134,8 +150,8 @@ def _cluster_partition(names: list[str]):
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(units)]))
         several = ends - starts > 1
         rows = np.flatnonzero(np.repeat(several, ends - starts))
-        who, first, last, rent, psf = (b.column(i).take(pa.array(rows)).to_pylist() for i in at)
-        items = [(w, span_of(s), span_of(e), r, f) for w, s, e, r, f in zip(who, first, last, rent, psf)]
+        who, s0, s1, e0, e1, rent, psf = (b.column(i).take(pa.array(rows)).to_pylist() for i in at)
+        items = [(w, None if a is None else (a, z), None if c is None else (c, y), r, f) for w, a, z, c, y, r, f in zip(who, s0, s1, e0, e1, rent, psf)]
         k = 0
         for i, j in zip(starts[several].tolist(), ends[several].tolist()):
             name: dict[int, int] = {}
@@ -144,8 +160,21 @@ def _cluster_partition(names: list[str]):
             for c, sig in zip(groups, found[i:j].tolist()):
                 name[c] = min(name.get(c, sig), sig)
             found[i:j] = [name[c] for c in groups]
-        day = mapped(b.column(at[1]), lambda t: span_of(t) is not None, "start_day", pa.bool_())
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64()), day], [*names, "letting_id", "start_day"])
+        extra = [] if value is None else common(b, found)
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64()), *extra], [*names, "letting_id", *(["common", "holders"] if extra else [])])
+
+    def common(b, found):
+        """For each row the value that most rows of its letting hold (the smaller on ties), and how many hold one."""
+        values, counts = b.column(names.index(value)).to_pylist(), b.column(names.index("n")).to_pylist()
+        held: dict[int, dict[float, int]] = {}
+        for k, v, n in zip(found.tolist(), values, counts):
+            if v is not None and v > 0:
+                v = round(v, 2)
+                own = held.setdefault(k, {})
+                own[v] = own.get(v, 0) + n
+        best = {k: (min(own, key=lambda v: (-own[v], v)), sum(own.values())) for k, own in held.items()}
+        got = [best.get(k, (None, 0)) for k in found.tolist()]
+        return [pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())]
 
     def run(batches):
         rest = None
@@ -165,24 +194,28 @@ def _cluster_partition(names: list[str]):
     return run
 
 
-def signatures(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
-    """``keep`` of each row, and unit, deal, ``MARKS`` and their hash ``sig``; rows that can not be placed are told apart by their dates."""
-    need = list(dict.fromkeys(["id", *keep, *MARKS[1:]]))
-    rows = occupational_units(comps, places, need)
+def signatures(comps: DataFrame, places: tuple, keep: list[str], more=None) -> DataFrame:
+    """``keep`` and what ``more`` makes of each row, and unit, deal, ``MARKS`` and their hash ``sig``; rows that can not be placed are told apart by their dates."""
+    need = list(dict.fromkeys(["id", *keep, "rent_pa", "rent_psf"]))
+    rows = occupational_units(comps, places, need, with_spans(more))
     unsure = ~F.col("sure") & (F.col("tenant_key") == "")
-    rows = rows.withColumn("unit_key", F.when(unsure, F.xxhash64("unit_key", "lease_start", "lease_expiry")).otherwise(F.col("unit_key")))
+    rows = rows.withColumn("unit_key", F.when(unsure, F.xxhash64("unit_key", "s0", "e0")).otherwise(F.col("unit_key")))
     return rows.withColumn("sig", F.xxhash64("unit_key", "deal", *MARKS))
 
 
-def cluster_signatures(marks: DataFrame) -> DataFrame:
-    """``marks`` (one row per signature, starting with unit_key and sig, with ``MARKS``) with ``letting_id`` and ``start_day``, whether the start denotes a day."""
+def cluster_signatures(marks: DataFrame, value: str | None = None) -> DataFrame:
+    """``marks`` (one row per signature, starting with unit_key and sig, with ``MARKS``) with ``letting_id``.
+
+    With ``value``, a numeric column, also ``common``, its most frequent number above zero (two places) in the
+    letting by the rows ``n`` of each signature, and ``holders``, the rows that hold one.
+    """
     names = marks.columns
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in marks.dtypes), "letting_id bigint, start_day boolean"])
-    return marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig").mapInArrow(_cluster_partition(names), schema)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in marks.dtypes), "letting_id bigint", *(["common double, holders bigint"] if value else [])])
+    return marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig").mapInArrow(_cluster_partition(names, value), schema)
 
 
 def letting_rows(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of each row with ``unit_key``, ``deal``, ``street_id`` and ``letting_id``."""
     rows = cut(signatures(comps, places, keep))
-    marks = rows.groupBy("unit_key", "sig").agg(*(F.first(c).alias(c) for c in MARKS))
+    marks = rows.groupBy("unit_key", "sig", *MARKS).agg(F.count("*").alias("n"))
     return rows.join(cluster_signatures(marks).select("sig", "letting_id"), "sig").drop("sig")

@@ -39,18 +39,21 @@ def reader_of(rows: tuple) -> AddressReader:
     return _readers[key]
 
 
-def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None) -> DataFrame:
+def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None, more=None) -> DataFrame:
     """The columns ``keep`` of each row and the parts of its address.
 
     ``town`` is what address, town column and postcodes together speak for, ``pc`` the full
     postcode of the address or else of the column.  With ``deal``, ``tenant`` and ``unit_name``
     also ``deal_key``, ``tenant_key`` and ``unit_col``.  Null or blank inputs give ''.
+    ``more`` = (columns, schema, function): further columns made in the same pass from the Arrow columns named.
     """
     extra = [(deal, "deal_key", deal_key), (tenant, "tenant_key", occupier_key), (unit_name, "unit_col", unit_code)]
     extra = [x for x in extra if x[0]]
-    sources = list(dict.fromkeys([*keep, address, town, postcode, *(x[0] for x in extra)]))
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*keep).dtypes), READING, *(f"{n} string" for _, n, _ in extra)])
+    more_in, more_schema, more_of = more or ([], "", None)
+    sources = list(dict.fromkeys([*keep, address, town, postcode, *(x[0] for x in extra), *more_in]))
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*keep).dtypes), READING, *(f"{n} string" for _, n, _ in extra), *([more_schema] if more_schema else [])])
     names = [x.split()[0] for x in READING.split(", ")]
+    more_names = [x.split()[0] for x in more_schema.split(", ") if x]
 
     def read(batches):
         reader = reader_of(places)
@@ -63,26 +66,39 @@ def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="addre
             cols = list(zip(*out)) if out else [()] * len(names)
             made = [pa.array(c, pa.string()) for c in cols]
             made += [mapped(at[c], f, n) for c, n, f in extra]
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra)])
+            made += more_of({c: at[c] for c in more_in}, reader) if more_of else []
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra), *more_names])
 
     return df.select(*sources).mapInArrow(read, schema)
 
 
+#: Bits of a spelling's number in the packed counts of ``_parents``; the upper half is the street's alone and breaks ties.
+_BITS = 40
+
+
+def _rank(street: str) -> Column:
+    return F.xxhash64(street).bitwiseAND((1 << _BITS // 2) - 1)
+
+
 def _parents(spellings: DataFrame, within: list[str], ratio: float) -> DataFrame:
     """(within, street, parent): for each spelling the most frequent one at most two edits away that outnumbers it ``ratio`` times.
 
     Spellings meet on shared one-letter deletions, and each deletion keeps only its most frequent
-    spelling, so no group is ever paired with itself.
+    spelling, so no group is ever paired with itself.  The meeting runs on numbers: a deletion is a hash, a
+    spelling its hash's low bits under its count; texts are joined back to the few pairs found, and compared.
     """
-    keys = spellings.select(
-        *within, "street", "n",
-        F.explode(F.expr("array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))))")).alias("key"),
-    ).where(F.length("key") > 3)
-    best = keys.groupBy(*within, "key").agg(F.max(F.struct("n", "street")).alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
-    found = keys.join(best, [*within, "key"]).where(
-        (F.col("best.street") != F.col("street")) & (F.col("best.n") >= F.col("n") * ratio) & (F.levenshtein(F.col("best.street"), F.col("street")) <= 2)
-    )
-    return found.groupBy(*within, "street").agg(F.max("best").alias("best")).select(*within, "street", F.col("best.street").alias("parent"))
+    sid = F.shiftleft(_rank("street"), _BITS // 2).bitwiseOR(F.xxhash64(*within, "street").bitwiseAND((1 << _BITS // 2) - 1))
+    count = F.least(F.col("n"), F.lit((1 << 22) - 1))
+    words = spellings.select(*within, "street", "n", sid.alias("sid"))
+    kept = F.expr("filter(array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1))))), x -> length(x) > 3)")
+    keys = words.select("sid", count.alias("n"), F.explode(F.transform(kept, lambda x: F.xxhash64(*within, x))).alias("key"))
+    best = keys.groupBy("key").agg(F.max(F.shiftleft("n", _BITS).bitwiseOR(F.col("sid"))).alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
+    found = keys.join(best, "key").select("sid", "n", F.col("best").bitwiseAND((1 << _BITS) - 1).alias("other"), F.shiftright("best", _BITS).alias("on"))
+    found = found.where((F.col("sid") != F.col("other")) & (F.col("on") >= F.col("n") * ratio)).distinct()
+    mine, theirs = words.select("sid", *within, "street"), words.select(F.col("sid").alias("other"), *within, F.col("street").alias("parent"), F.col("n").alias("pn"))
+    pairs = found.select("sid", "other").join(mine, "sid").join(theirs, ["other", *within])
+    pairs = pairs.where(F.levenshtein("parent", "street") <= 2)
+    return pairs.groupBy(*within, "street").agg(F.max(F.struct("pn", "parent")).getField("parent").alias("parent"))
 
 
 def street_gazetteer(readings: DataFrame) -> DataFrame:
@@ -99,7 +115,7 @@ def street_gazetteer(readings: DataFrame) -> DataFrame:
     same_number = (
         same_number.join(spellings.withColumnRenamed("n", "n0"), ["town", "stype", "street"])
         .join(spellings.select("town", "stype", F.col("street").alias("parent"), F.col("n").alias("n1")), ["town", "stype", "parent"])
-        .where("struct(n1, parent) > struct(n0, street)")
+        .where((F.col("n1") > F.col("n0")) | (F.col("n1") == F.col("n0")) & (_rank("parent") > _rank("street")))
         .select("town", "stype", "street", "parent")
     )
     frequent = _parents(spellings, ["town", "stype"], 3)
@@ -122,34 +138,36 @@ def corrections(gazetteer: DataFrame) -> DataFrame:
     return gazetteer.where("canonical <> street").select(F.xxhash64("town", "stype", "street").alias("skey"), "street_id")
 
 
-def occupational_units(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:
-    """``keep`` of each row of an occupational table with ``deal``, ``unit_key`` (hashes), ``street_id``, ``tenant_key`` and ``sure``.
+def occupational_units(comps: DataFrame, places: tuple, keep: list[str], more=None) -> DataFrame:
+    """``keep`` (and the columns that ``more`` makes) of each row of an occupational table with ``deal``, ``unit_key`` (hashes), ``street_id``, ``tenant_key`` and ``sure``.
 
     Rows with an address get town, street, number and unit.  Rows without one get the only unit
     that rows of the same deal, unit name and occupier - else of the same deal and unit name -
     denote; where that is ambiguous, or unknown, ``unit_key`` is made of deal, unit name and
     occupier and ``sure`` is false.
     """
-    read = read_addresses(comps, places, keep, unit_name="unit_name", deal="source_deal", tenant="tenant_name")
-    read = read.withColumn("unit", F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit_col"))).withColumn("deal", F.xxhash64("deal_key"))
-    read = cut(read.drop("unit_col", "deal_key", "estate", "pc"))
+    made = [x.split()[0] for x in (more[1] if more else "").split(", ") if x]
+    keep_all = [*keep, *made]
+    read = read_addresses(comps, places, keep, unit_name="unit_name", deal="source_deal", tenant="tenant_name", more=more)
+    unit = F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit_col"))
+    key = street_key()
+    read = read.select(*keep_all, F.xxhash64("deal_key").alias("deal"), "tenant_key", F.xxhash64(unit).alias("unit"), "town", "stype", "street", "number", key.alias("skey"))
+    read = cut(read)
     moved = corrections(street_gazetteer(read.select("town", "stype", "street", "number")))
-    rows = read.select(*keep, "deal", "tenant_key", F.xxhash64("unit").alias("unit"), F.xxhash64("number").alias("number"), street_key().alias("skey"))
+    rows = read.select(*keep_all, "deal", "tenant_key", "unit", F.xxhash64("number").alias("number"), "skey")
     there = rows.where("skey is not null").join(moved, "skey", "left").withColumn("street_id", F.coalesce("street_id", "skey"))
-    there = there.select(*keep, "deal", "tenant_key", "unit", "street_id", F.xxhash64("street_id", "number", "unit").alias("unit_key"), F.lit(True).alias("sure"))
-    there = cut(there)
+    there = there.select(*keep_all, "deal", "tenant_key", "unit", "street_id", F.xxhash64("street_id", "number", "unit").alias("unit_key"), F.lit(True).alias("sure"))
     gone = rows.where("skey is null").withColumn("who", F.xxhash64("tenant_key"))
-    names = there.groupBy("deal", "unit", F.xxhash64("tenant_key").alias("who")).agg(*_only("u"), F.min("street_id").alias("st1"), F.max("street_id").alias("st2"))
-    by_unit = names.groupBy("deal", "unit").agg(F.min("u1").alias("v1"), F.max("u2").alias("v2"), F.min("st1").alias("sv1"), F.max("st2").alias("sv2"))
-    gone = gone.join(names.where(F.col("who") != F.xxhash64(F.lit(""))), ["deal", "unit", "who"], "left").join(by_unit, ["deal", "unit"], "left")
-    only = lambda a, b: F.when(F.col(a) == F.col(b), F.col(a))
-    unit_key = F.coalesce(only("u1", "u2"), only("v1", "v2"))
+    asked = gone.select("deal", "unit").distinct()
+    ids = there.select("deal", "unit", "street_id", "unit_key", F.xxhash64("tenant_key").alias("who")).join(asked, ["deal", "unit"], "left_semi")
+    low = lambda c, n: [F.min(c).alias(f"{n}1"), F.max(c).alias(f"{n}2")]
+    by_name = ids.where(F.col("who") != F.xxhash64(F.lit(""))).groupBy("deal", "unit", "who").agg(*low("unit_key", "u"), *low("street_id", "st"))
+    by_unit = ids.groupBy("deal", "unit").agg(*low("unit_key", "v"), *low("street_id", "sv"))
+    gone = gone.join(by_name, ["deal", "unit", "who"], "left").join(by_unit, ["deal", "unit"], "left")
+    only = lambda n: F.when(F.col(f"{n}1") == F.col(f"{n}2"), F.col(f"{n}1"))
+    unit_key = F.coalesce(only("u"), only("v"))
     gone = gone.select(
-        *keep, "deal", "tenant_key", "unit", F.coalesce(only("st1", "st2"), only("sv1", "sv2")).alias("street_id"),
+        *keep_all, "deal", "tenant_key", "unit", F.coalesce(only("st"), only("sv")).alias("street_id"),
         F.coalesce(unit_key, F.xxhash64(F.lit("?"), "deal", "unit", "tenant_key")).alias("unit_key"), unit_key.isNotNull().alias("sure"),
     )
     return there.unionByName(gone)
-
-
-def _only(name: str) -> list[Column]:
-    return [F.min("unit_key").alias(f"{name}1"), F.max("unit_key").alias(f"{name}2")]
