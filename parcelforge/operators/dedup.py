@@ -100,26 +100,39 @@ def deal_match(a: str, b: str) -> tuple[Column, Column, Column]:
     return reason, (x != "") & (y != "") & towns & (p != "") & (q != ""), ratio(p, q)
 
 
-def lookup_deals(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode.
-
-    Candidates share a postcode, a telling word, or a town and the beginning of a word; new deals without match are left out.
-    """
-    blocks = lambda d: F.array_distinct(F.concat(
-        F.transform(telling_words("name"), lambda w: F.concat(F.lit("w:"), w)), F.array(F.concat(F.lit("n:"), name_key("name"))),
+def _deal_blocks() -> Column:
+    """What two deals that may match share: a telling word, the beginning of one, the whole name, or the postcode."""
+    words_ = telling_words("name")
+    return F.array_distinct(F.concat(
+        F.transform(words_, lambda w: F.concat(F.lit("w:"), w)), F.transform(words_, lambda w: F.concat(F.lit("s:"), F.left(w, F.lit(4)))), F.array(F.concat(F.lit("n:"), name_key("name"))),
         F.array_compact(F.array(F.when(~blank("postcode"), F.concat(F.lit("p:"), F.upper(strip("postcode")))))),
-        F.transform(telling_words("name"), lambda w: F.concat(F.lit("s:"), F.left(w, F.lit(4)))),
     ))
-    cols = ["id", "name", "town", "postcode"]
-    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}{s}") for c in cols), F.explode(blocks(d)).alias("block"))
-    pairs = side(new, "_a").join(side(known, "_b"), "block").drop("block").distinct()
-    reason, may, like = deal_match("_a", "_b")
+
+
+def _judge(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    reason, may, like = deal_match(a, b)
     judged = pairs.withColumns({"reason": reason, "may": may})
     fuzzy = judged.where("reason is null and may").withColumn("r", like).where(F.col("r") >= DEAL).select("id_a", "id_b", F.lit("alike").alias("reason"))
-    found = judged.where("reason is not null").select("id_a", "id_b", "reason").union(fuzzy)
+    return judged.where("reason is not null").select("id_a", "id_b", "reason").union(fuzzy)
+
+
+def _deal_side(deals: DataFrame, suffix: str) -> DataFrame:
+    return deals.select(*(F.col(c).alias(f"{c}{suffix}") for c in ("id", "name", "town", "postcode")), F.explode(_deal_blocks()).alias("block"))
+
+
+def lookup_deals(new: DataFrame, known: DataFrame) -> DataFrame:
+    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out."""
+    pairs = _deal_side(new, "_a").join(_deal_side(known, "_b"), "block").drop("block").distinct()
+    found = _judge(pairs, "_a", "_b")
     return found.groupBy(F.col("id_a").alias("new_id")).agg(F.min("id_b").alias("known_id"), F.min_by("reason", "id_b").alias("reason"))
 
 
+def deal_pairs(deals: DataFrame) -> DataFrame:
+    """(id_a, id_b), id_a < id_b: deals of one table that match; likeness is that of the later to the earlier."""
+    pairs = _deal_side(deals, "_a").join(_deal_side(deals, "_b"), "block").where("id_a < id_b").drop("block").distinct()
+    return _judge(pairs, "_b", "_a").select("id_a", "id_b")
+
+
 def insert_batch(existing: DataFrame, new: DataFrame) -> DataFrame:
     """(id, action, match_id): what happens to each new row, ``inserted`` or ``duplicate`` of an existing or earlier new row.
 

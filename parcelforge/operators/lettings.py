@@ -14,7 +14,7 @@ from datetime import date
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parcelforge.functions.address import distance
@@ -43,16 +43,27 @@ def span_of(text: str | None) -> tuple[int, int] | None:
     return first, first + SPAN[precision_of(text)]
 
 
-def _spans(at: dict, reader) -> list[pa.Array]:
-    out = []
-    for c in ("lease_start", "lease_expiry"):
-        both = mapped(at[c], lambda t: dict(zip("ab", span_of(t) or (None, None))), "span", pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-        out += [both.field(0), both.field(1)]
-    return out
+#: What a packed span's two low bits say.
+KINDS = ["day", "month", "quarter", "year"]
 
 
-#: Spans of the lease's start and expiry, made in the pass that reads addresses.
-SPANS = (["lease_start", "lease_expiry"], "s0 int, s1 int, e0 int, e1 int", _spans)
+def packed(text: str | None) -> int | None:
+    """A date text as one number: first day * 4 + the kind of its span."""
+    span = span_of(text)
+    return None if span is None else span[0] * 4 + [SPAN[k] for k in KINDS].index(span[1] - span[0])
+
+
+def unpacked(n: int | None) -> tuple[int, int] | None:
+    return None if n is None else (n >> 2, (n >> 2) + SPAN[KINDS[n & 3]])
+
+
+def first_day(c: str) -> Column:
+    """The day on which a packed span begins."""
+    return F.date_from_unix_date(F.shiftright(c, 2))
+
+
+#: The lease's start and expiry as packed spans, made in the pass that reads addresses.
+SPANS = (["lease_start", "lease_expiry"], "starts int, ends int", lambda at, reader: [mapped(at[c], packed, "span", pa.int32()) for c in ("lease_start", "lease_expiry")])
 
 
 def with_spans(more=None):
@@ -123,13 +134,17 @@ def cluster(items: list[tuple]) -> list[int]:
                 against.add((j, i))
     if weak:
         apart = {frozenset((find(i), find(j))) for i, j in against}
+        dateless = [x[1] is None and x[2] is None for x in items]
         choices: dict[int, set[int]] = {}
         for i, j in weak:
             a, b = find(i), find(j)
-            if a != b and frozenset((a, b)) not in apart:
+            if a == b or frozenset((a, b)) in apart:
+                continue
+            if dateless[i] or not dateless[j]:
                 choices.setdefault(a, set()).add(b)
+            if dateless[j] or not dateless[i]:
                 choices.setdefault(b, set()).add(a)
-        for a, bs in sorted(choices.items()):  # an undated signature joins only where one lease fits
+        for a, bs in sorted(choices.items()):  # a signature that dates do not place joins only where one lease fits
             roots = {find(b) for b in bs} - {find(a)}
             if len(roots) == 1 and frozenset((find(a), next(iter(roots)))) not in apart:
                 root[find(a)] = roots.pop()
@@ -137,7 +152,7 @@ def cluster(items: list[tuple]) -> list[int]:
 
 
 #: What a signature is made of, besides unit and deal.
-MARKS = ["tenant_key", "s0", "s1", "e0", "e1", "rent_pa", "rent_psf"]
+MARKS = ["tenant_key", "starts", "ends", "rent_pa", "rent_psf"]
 
 
 def _cluster_partition(names: list[str], value: str | None):
@@ -150,8 +165,8 @@ def _cluster_partition(names: list[str], value: str | None):
         starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(units)]))
         several = ends - starts > 1
         rows = np.flatnonzero(np.repeat(several, ends - starts))
-        who, s0, s1, e0, e1, rent, psf = (b.column(i).take(pa.array(rows)).to_pylist() for i in at)
-        items = [(w, None if a is None else (a, z), None if c is None else (c, y), r, f) for w, a, z, c, y, r, f in zip(who, s0, s1, e0, e1, rent, psf)]
+        who, starts_, ends_, rent, psf = (b.column(i).take(pa.array(rows)).to_pylist() for i in at)
+        items = [(w, unpacked(s), unpacked(e), r, f) for w, s, e, r, f in zip(who, starts_, ends_, rent, psf)]
         k = 0
         for i, j in zip(starts[several].tolist(), ends[several].tolist()):
             name: dict[int, int] = {}
@@ -199,7 +214,7 @@ def signatures(comps: DataFrame, places: tuple, keep: list[str], more=None) -> D
     need = list(dict.fromkeys(["id", *keep, "rent_pa", "rent_psf"]))
     rows = occupational_units(comps, places, need, with_spans(more))
     unsure = ~F.col("sure") & (F.col("tenant_key") == "")
-    rows = rows.withColumn("unit_key", F.when(unsure, F.xxhash64("unit_key", "s0", "e0")).otherwise(F.col("unit_key")))
+    rows = rows.withColumn("unit_key", F.when(unsure, F.xxhash64("unit_key", "starts", "ends")).otherwise(F.col("unit_key")))
     return rows.withColumn("sig", F.xxhash64("unit_key", "deal", *MARKS))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.text import blank, subject_name
-from parcelforge.operators.dedup import deal_match
+from parcelforge.operators.dedup import deal_pairs
 from parcelforge.operators.greedy import first_wins
 
 #: What attachments and mails weigh against a thousand letters of text.
@@ -61,17 +61,10 @@ def mail_labels(mails: DataFrame) -> DataFrame:
 def group_properties(threads: DataFrame) -> DataFrame:
     """(thread_id, group_id, is_winner): threads (thread_id, pos, name, town, score) that a leader's name matches; each thread joins its first leader, the richest thread wins.
 
-    Candidates for a match share a telling word, the same name, or the beginning of a word.
+    Candidates for a match are those of ``deal_pairs``.
     """
-    from parcelforge.functions.text import name_key, telling_words
-
     t = threads.select(F.col("pos").alias("id"), "name", "town", F.lit("").alias("postcode"))
-    marks = F.array_distinct(F.concat(telling_words("name"), F.array(F.concat(F.lit("n:"), name_key("name"))), F.transform(telling_words("name"), lambda w: F.concat(F.lit("s:"), F.left(w, F.lit(4))))))
-    side = lambda s: t.select(*(F.col(c).alias(f"{c}{s}") for c in t.columns), F.explode(marks).alias("mark"))
-    pairs = side("_a").join(side("_b"), "mark").where("id_a < id_b").drop("mark").distinct()
-    reason, may, like = deal_match("_b", "_a")
-    judged = pairs.withColumns({"reason": reason, "may": may})
-    pairs = judged.where("reason is not null").select("id_a", "id_b").union(judged.where("reason is null and may").withColumn("r", like).where("r >= 0.65").select("id_a", "id_b"))
+    pairs = deal_pairs(t)
     groups = threads.join(first_wins(t.select("id"), pairs).withColumnsRenamed({"id": "pos", "kept_id": "group_id"}), "pos")
     best = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("score"), "pos"))
     return groups.select("thread_id", "group_id", (best == 1).alias("is_winner"))

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from parcelforge import extract
 from parcelforge.functions import dates, jsonx, numbers, postcodes, predicates, text
-from parcelforge.operators import areas, clean, dedup, greedy, impute, ledger, threads, timestamps
+from parcelforge.operators import archive, areas, clean, dedup, greedy, impute, ledger, threads, timestamps
+from parcelforge.plans import pipeline
 from parcelforge.plans import sqltext as S
 from parcelforge.runtime import table
 
@@ -214,16 +215,16 @@ _oc = S.get(S.tidy_postcode("postcode"), r"^([A-Z]{1,2}\d[A-Z\d]?) \d[A-Z]{2}$",
 
 @query("postcode_towns", f"select o.id, p.place_town from (select id, {_oc} as outcode from raw_occupational_comps) o left join (select upper(outcode) as outcode, min(name) as place_town from place_dim group by 1) p using (outcode)")
 def postcode_towns(spark, d):
-    o = table(spark, d, OCC).select("id", F.regexp_extract(postcodes.tidy_postcode("postcode"), r"^([A-Z]{1,2}\d[A-Z\d]?) \d[A-Z]{2}$", 1).alias("outcode"))
-    return o.join(F.broadcast(clean.outcode_towns(table(spark, d, "place_dim"))), "outcode", "left").select("id", "place_town")
+    o = table(spark, d, OCC).select("id", F.regexp_extract(postcodes.tidy_postcode("postcode"), r"^([A-Z]{1,2}\d[A-Z\d]?) \d[A-Z]{2}$", 1).alias("_outcode"))
+    return o.join(F.broadcast(clean.outcode_towns(table(spark, d, "place_dim"))), "_outcode", "left").select("id", F.col("_place_town").alias("place_town"))
 
 
 @query("deal_name_towns", f"""with parts as (select id, i as pos, lower({S.strip("string_split(source_deal, ',')[i]")}) as part from raw_occupational_comps, range(1, 20) r(i) where i <= len(string_split(source_deal, ','))),
     names as (select lower(candidate) as part, min(name) as part_town from place_dim where local_type in ({", ".join(S.q(x) for x in clean.SETTLEMENTS)}) group by 1)
     select id, arg_min(part_town, pos) as town from parts join names using (part) group by id""")
 def deal_name_towns(spark, d):
-    parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("part", F.lower("p"))
-    return parts.join(F.broadcast(clean.place_names(table(spark, d, "place_dim"))), "part").groupBy("id").agg(F.min_by("part_town", "pos").alias("town"))
+    parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("_part", F.lower("p"))
+    return parts.join(F.broadcast(clean.place_names(table(spark, d, "place_dim"))), "_part").groupBy("id").agg(F.min_by("_part_town", "pos").alias("town"))
 
 
 _links = """with k as (select id, rent_pa, rent_psf, {key} as k from raw_occupational_comps where not ({flags}))
@@ -453,6 +454,32 @@ def property_groups(spark, d):
     return threads.group_properties(t)
 
 
+@query("distinct_deals")
+def distinct_deals(spark, d):
+    """Deals and the earlier deal that each of them repeats, if any."""
+    return pipeline.distinct_deals(table(spark, d, DEALS))
+
+
+@query("archive_plan")
+def archive_plan(spark, d):
+    return archive.archive_plan(table(spark, d, DEALS).where("asset_name is not null"), AS_OF)
+
+
+@query("clean_lettings")
+def clean_lettings(spark, d):
+    """Lettings deduplicated, merged (later duplicates first) and cleaned."""
+    return pipeline.clean_tables(table(spark, d, OCC), table(spark, d, INV), table(spark, d, "place_dim"), AS_OF)["lettings"]
+
+
+@query("filled_locations", f"""with u as (select o.*, p.place_town as town_found from raw_occupational_comps o left join (select id, {_oc} as outcode from raw_occupational_comps) k using (id) left join (select upper(outcode) as outcode, min(name) as place_town from place_dim group by 1) p using (outcode))
+    select id, coalesce(case when not {S.blank('town')} then town end, town_found, town) as town from u""")
+def filled_locations(spark, d):
+    """Towns filled from the postcode's outcode where they are blank; what stands is never overwritten."""
+    o = table(spark, d, OCC)
+    found = QUERIES["postcode_towns"](spark, d).select("id", F.lit(None).cast("string").alias("address"), F.col("place_town").alias("town"), F.lit(None).cast("string").alias("postcode"))
+    return clean.fill_location(o.select("id", "address", "town", "postcode"), found, ["id"])[0].select("id", "town")
+
+
 @query("replayed_records", "select event_id, 0 as pos, 'Unit ' || event_type as unit_name, case when value <> 0 then value else 0 end as rent_pa from events")
 def replayed_records(spark, d):
     """Records out of recorded model replies: one comparable per event, its number quoted and with a pound sign."""

@@ -60,6 +60,7 @@ class Mailbox(DataSource):
 
 def scan(spark: SparkSession, path: str, after: str | None = None, before: str | None = None, label: str | None = None) -> DataFrame:
     """Messages of a dump between two days (both exclusive), labelled ones first, each id once with ``labelled``."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(Mailbox)
     df = spark.read.format("mailbox").option("path", path).load()
     if after:
