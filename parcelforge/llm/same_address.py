@@ -21,7 +21,7 @@ from parcelforge.runtime import cut, table
 
 #: Street hypotheses that are kept for an address at each step of the search.
 BEAM = 4
-#: What a known building number and a known postcode of the street add to a hypothesis, and what each edit costs.
+#: Most that a known building number and a known postcode of the street add to a hypothesis (n / (n + 1) of it for n other records), what each edit costs, and what each doubling of the street's records adds.
 NUMBER_GAIN, POSTCODE_GAIN, EDIT_COST, RARE_GAIN = 2.0, 2.0, 1.0, 0.1
 
 _KEYS = "array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))))"
@@ -50,16 +50,13 @@ def resolve(readings: DataFrame, beam: int = BEAM) -> DataFrame:
     known = with_street.join(gazetteer.select("town", "stype", "street", "street_id"), ["town", "stype", "street"])
     numbers = known.groupBy("street_id", "number").agg(F.count("*").alias("on_number"))
     codes = known.where("pc <> ''").groupBy("street_id", "pc").agg(F.count("*").alias("on_code"))
-    asked = with_street.join(many.where("h > 1").select("town", "stype", "street"), ["town", "stype", "street"], "left_semi")
-    asked = asked.groupBy("town", "stype", "street", "number", "pc").agg(F.count("*").alias("own"))
+    asked = known.join(many.where("h > 1").select("town", "stype", "street"), ["town", "stype", "street"], "left_semi")
+    asked = asked.groupBy("town", "stype", "street", "number", "pc").agg(F.first("street_id").alias("own_id"))
     beam_rows = asked.join(hypotheses, ["town", "stype", "street"]).join(numbers, ["street_id", "number"], "left").join(codes, ["street_id", "pc"], "left")
-    # an address's own rows are no evidence for a hypothesis that they alone support
-    score = (
-        F.when(F.coalesce("on_number", F.lit(0)) > F.when(F.col("edits") == 0, F.col("own")).otherwise(0), NUMBER_GAIN).otherwise(0.0)
-        + F.when(F.coalesce("on_code", F.lit(0)) > F.when(F.col("edits") == 0, F.col("own")).otherwise(0), POSTCODE_GAIN).otherwise(0.0)
-        - EDIT_COST * F.col("edits")
-        + RARE_GAIN * F.log2(F.col("n") + 1)
-    )
+    # the address that asks is no evidence for itself
+    evidence = lambda c: F.coalesce(c, F.lit(0)) - F.when((F.col("own_id") == F.col("street_id")) & F.col(c).isNotNull(), 1).otherwise(0)
+    gain = lambda c, most: F.lit(most) * evidence(c) / (evidence(c) + 1)
+    score = gain("on_number", NUMBER_GAIN) + gain("on_code", POSTCODE_GAIN) - EDIT_COST * F.col("edits") + RARE_GAIN * F.log2(F.col("n") + 1)
     best = beam_rows.groupBy("town", "stype", "street", "number", "pc").agg(F.max(F.struct(score.alias("score"), -F.col("edits"), "n", "street_id")).getField("street_id").alias("found"))
     out = with_street.join(many.select("town", "stype", "street", F.when(F.col("h") == 1, F.col("only")).alias("only")), ["town", "stype", "street"], "left")
     out = out.join(best, ["town", "stype", "street", "number", "pc"], "left")
