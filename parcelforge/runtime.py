@@ -8,6 +8,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +22,11 @@ def shared_folder(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"parcelforge-{os.getuid()}")
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """``df`` unchanged, behind a node that projections are not merged across: what was computed so far is computed once, not once for every use."""
+    return df.select(F.inline(F.array(F.struct(*(F.col(f"`{c}`") for c in df.columns)))))
+
+
 _written: list[tuple] = []
 
 
