@@ -216,7 +216,7 @@ _oc = S.get(S.tidy_postcode("postcode"), r"^([A-Z]{1,2}\d[A-Z\d]?) \d[A-Z]{2}$",
 @query("postcode_towns", f"select o.id, p.place_town from (select id, {_oc} as outcode from raw_occupational_comps) o left join (select upper(outcode) as outcode, min(name) as place_town from place_dim group by 1) p using (outcode)")
 def postcode_towns(spark, d):
     o = table(spark, d, OCC).select("id", F.regexp_extract(postcodes.tidy_postcode("postcode"), r"^([A-Z]{1,2}\d[A-Z\d]?) \d[A-Z]{2}$", 1).alias("_outcode"))
-    return o.join(F.broadcast(clean.outcode_towns(table(spark, d, "place_dim"))), "_outcode", "left").select("id", F.col("_place_town").alias("place_town"))
+    return o.join(clean.outcode_towns(table(spark, d, "place_dim")), "_outcode", "left").select("id", F.col("_place_town").alias("place_town"))
 
 
 @query("deal_name_towns", f"""with parts as (select id, i as pos, lower({S.strip("string_split(source_deal, ',')[i]")}) as part from raw_occupational_comps, range(1, 20) r(i) where i <= len(string_split(source_deal, ','))),
@@ -224,7 +224,7 @@ def postcode_towns(spark, d):
     select id, arg_min(part_town, pos) as town from parts join names using (part) group by id""")
 def deal_name_towns(spark, d):
     parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("_part", F.lower("p"))
-    return parts.join(F.broadcast(clean.place_names(table(spark, d, "place_dim"))), "_part").groupBy("id").agg(F.min_by("_part_town", "pos").alias("town"))
+    return parts.join(clean.place_names(table(spark, d, "place_dim")), "_part").groupBy("id").agg(F.min_by("_part_town", "pos").alias("town"))
 
 
 _links = """with k as (select id, rent_pa, rent_psf, {key} as k from raw_occupational_comps where not ({flags}))

@@ -70,3 +70,16 @@ def test_extraction(spark):
     comps = extract.records(got, "request_key", ddl)
     verdicts = spark.createDataFrame([("a", 2, "Remove")], "request_key string, pos int, verdict string")
     assert extract.judged(comps, verdicts, "request_key").count() == 1 and extract.judged(comps, verdicts.limit(0), "request_key").count() == 2
+
+
+def test_scan_command(spark, tmp_path):
+    from argparse import Namespace
+
+    from parcelforge.__main__ import scan
+
+    mail = lambda i, sender, subject, labels=(): {"id": i, "threadId": i, "internalDate": "1704067200000", "labelIds": list(labels), "payload": {"headers": [{"name": "From", "value": sender}, {"name": "Subject", "value": subject}], "mimeType": "text/plain", "body": {"data": ""}}}
+    (tmp_path / "1.jsonl").write_text("\n".join(json.dumps(x) for x in [mail("a", "N <n@firm.example>", "hello"), mail("b", "x@other.example", "To introduce Oak"), mail("c", "x@other.example", "no"), mail("d", "x@other.example", "no", ["L"])]))
+    args = Namespace(dump=str(tmp_path), after=None, before=None, label="L", senders="firm.example", keywords="introduce", all=False, max=10)
+    assert rows(scan(spark, args), "id") == [("a",), ("b",), ("d",)]
+    args.all = True
+    assert rows(scan(spark, args), "id") == [("d",)]
