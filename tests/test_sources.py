@@ -83,3 +83,29 @@ def test_scan_command(spark, tmp_path):
     assert rows(scan(spark, args), "id") == [("a",), ("b",), ("d",)]
     args.all = True
     assert rows(scan(spark, args), "id") == [("d",)]
+
+
+def test_workbooks(spark, tmp_path):
+    from parcelforge.sources import workbook
+
+    df = spark.createDataFrame([(2, "Oak & <Mill>", 1200.0), (1, None, 0.0), (3, " ", 5.0)], "n int, name string, price double")
+    at = str(tmp_path / "a.xlsx")
+    assert workbook.write_workbook(df, at, "Data", ["name", "price"], ["Name", "Price"], order="n") == 3
+    assert rows(workbook.workbook_table(spark, at, "Data", {"name": "STRING", "price": "DOUBLE"}, key="name"), "row", "name", "price") == [(3, "Oak & <Mill>", 1200.0)]
+    assert workbook.workbook_table(spark, at, "Other", {"name": "STRING"}).count() == 0
+    (tmp_path / "broken.xlsx").write_bytes(b"no")
+    texts = dict(rows(workbook.workbook_texts(spark.read.format("binaryFile").load(str(tmp_path)))))
+    assert sorted(texts.values()) == ["", "--- Sheet: Data ---\nName | Price\n0.0\nOak & <Mill> | 1200.0\n5.0"]
+    assert workbook.column_number("AB12") == 27
+
+
+def test_documents(spark, tmp_path):
+    from parcelforge.sources import documents
+
+    (tmp_path / "a.pdf").write_bytes(b"short")
+    (tmp_path / "b.xlsx").write_bytes(b"no workbook")
+    (tmp_path / "c.txt").write_bytes(b"x")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    got = documents.document_texts(files, {"pdf": lambda d: d.decode() * 30, "sheet": documents.READERS["sheet"]})
+    assert sorted(r["route"] for r in got.collect()) == ["none", "none", "text"]
+    assert sorted(r["route"] for r in documents.document_texts(files).collect()) == ["images", "none", "none"]
