@@ -124,10 +124,19 @@ class Network:
 
     def forward(self, codes, order, keep: bool = False):
         """Logits (n, t, labels); with ``keep`` also what the backward pass needs."""
+        p = self.p
+        states, saved = (self._run(codes) if keep else (self._read(codes), None))
+        back = np.take_along_axis(states[1].transpose(1, 0, 2), order[:, :, None], axis=1)
+        both = np.concatenate([states[0].transpose(1, 0, 2), back], axis=2)
+        logits = both @ p["W"] + p["c"]
+        return (logits, both, saved) if keep else logits
+
+    def _run(self, codes):
+        """States (2, t, n, width) and what the backward pass needs of every step."""
         h, p = self.width, self.p
         n, t = codes.shape[1:]
         state = np.zeros((2, n, h), dtype=np.float32)
-        states = np.empty((t, 2, n, h), dtype=np.float32)
+        states = np.empty((2, t, n, h), dtype=np.float32)
         saved = []
         rows = p["E"] + p["b"]
         two = np.arange(2)[:, None]
@@ -138,13 +147,36 @@ class Network:
             z, r = gates[..., :h], gates[..., h:]
             m = np.tanh(x[..., 2 * h :] + r * a[..., 2 * h :])
             new = m + z * (state - m)
-            if keep:
-                saved.append((state, z, r, m, a[..., 2 * h :]))
-            state = states[k] = new
-        back = np.take_along_axis(states[:, 1].transpose(1, 0, 2), order[:, :, None], axis=1)
-        both = np.concatenate([states[:, 0].transpose(1, 0, 2), back], axis=2)
-        logits = both @ p["W"] + p["c"]
-        return (logits, both, saved) if keep else logits
+            saved.append((state, z, r, m, a[..., 2 * h :]))
+            state = states[:, k] = new
+        return states, saved
+
+    def _read(self, codes):
+        """States (2, t, n, width) only, without temporary arrays; the logistic function by way of tanh."""
+        h, p = self.width, self.p
+        n, t = codes.shape[1:]
+        states = np.empty((2, t, n, h), dtype=np.float32)
+        x, a, g, m = (np.empty((n, w * h), dtype=np.float32) for w in (3, 3, 2, 1))
+        for side in range(2):
+            rows, u, order = (p["E"][side] + p["b"][side]).astype(np.float32), p["U"][side].astype(np.float32), np.ascontiguousarray(codes[side].T)
+            state = np.zeros((n, h), dtype=np.float32)
+            for k in range(t):
+                np.take(rows, order[k], axis=0, out=x, mode="clip")
+                np.matmul(state, u, out=a)
+                np.add(x[:, : 2 * h], a[:, : 2 * h], out=g)
+                g *= 0.5
+                np.tanh(g, out=g)
+                g += 1
+                g *= 0.5
+                np.multiply(g[:, h:], a[:, 2 * h :], out=m)
+                m += x[:, 2 * h :]
+                np.tanh(m, out=m)
+                new = states[side, k]
+                np.subtract(state, m, out=new)
+                new *= g[:, :h]
+                new += m
+                state = new
+        return states
 
     def gradients(self, texts: list[bytes], labels: np.ndarray):
         """(loss, gradients) of the mean cross-entropy over all positions, by backpropagation through time."""
@@ -281,16 +313,16 @@ def word_scores(net: Network, texts: list[str]) -> list[np.ndarray]:
 
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> list[int]:
     """The languages of a sequence of score rows, with a price for each change; the first on ties."""
-    n, k = scores.shape
-    value, came = scores[0].copy(), np.zeros((n, k), dtype=int)
-    for i in range(1, n):
-        top = int(value.argmax())
-        stay = value >= value[top] - switch
-        came[i] = np.where(stay, np.arange(k), top)
-        value = np.where(stay, value, value[top] - switch) + scores[i]
-    path = [int(value.argmax())]
-    for i in range(n - 1, 0, -1):
-        path.append(int(came[i][path[-1]]))
+    rows = scores.tolist()
+    value, came = rows[0], []
+    for row in rows[1:]:
+        top = value.index(max(value))
+        least = value[top] - switch
+        came.append([i if v >= least else top for i, v in enumerate(value)])
+        value = [(v if v >= least else least) + x for v, x in zip(value, row)]
+    path = [value.index(max(value))]
+    for back in reversed(came):
+        path.append(back[path[-1]])
     return path[::-1]
 
 
@@ -354,6 +386,20 @@ class Reader:
         return out
 
 
+_readers: dict[int, tuple[Reader, dict[str, str]]] = {}
+
+
+def reader_of(weights: dict[str, np.ndarray]) -> tuple[Reader, dict[str, str]]:
+    """The reader of a worker process for these weights, and its memory of plain forms; kept from one task to the next."""
+    key = hash(weights["E"].tobytes())
+    if key not in _readers:
+        _readers.clear()
+        net = Network()
+        net.p = weights
+        _readers[key] = Reader(net), {}
+    return _readers[key]
+
+
 def training_units(docs: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EACH, sentences: int = SENTENCES) -> list[tuple[str, int]]:
     """(plain unit, language number) from the bounded sample of labelled documents."""
     codes = F.create_map(*(F.lit(x) for n, c in _CODE.items() for x in (n, c)))
@@ -387,10 +433,7 @@ def segment_documents(docs: DataFrame, net: Network) -> DataFrame:
     weights = net.p
 
     def run(batches):
-        net = Network()
-        net.p = weights
-        reader = Reader(net)
-        form: dict[str, str] = {}
+        reader, form = reader_of(weights)
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):
                 b = whole.slice(at, 1000)
