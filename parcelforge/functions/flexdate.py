@@ -111,44 +111,53 @@ def _parse(text: str, zone: str):
     return None
 
 
-def day_of(text: str | None, zone: str = UK) -> str | None:
-    """``YYYY-MM-DD`` of the calendar day of ``zone`` that ``text`` denotes; None for null, blank or unreadable text.
+def read_day(text: str | None, zone: str = UK) -> tuple[date, str] | None:
+    """(day, kind) that a text denotes, kind being ``day``, ``month``, ``quarter`` or ``year``; None for null, blank or unreadable text.
 
-    Five-digit numbers are sheet serials; months, quarters and years give their first day.
+    An instant gives the calendar day of ``zone``; five-digit numbers are sheet serials; months, quarters and years give their first day.
     """
     if text is None:
         return None
+    if len(text) == 10 and text.isascii():  # the two most common forms
+        if text[4] == text[7] == "-" and text[:4].isdigit() and text[5:7].isdigit() and text[8:].isdigit():
+            day = _make(int(text[:4]), int(text[5:7]), int(text[8:]))
+            return day and (day, "day")
+        if text[2] == text[5] == "/" and text[:2].isdigit() and text[3:5].isdigit() and text[6:].isdigit():
+            day = _make(int(text[6:]), int(text[3:5]), int(text[:2]))
+            return day and (day, "day")
     if got := _parse(text, zone):
-        return (got[0] or got[1].astimezone(ZoneInfo(zone)).date()).isoformat()
+        return got[0] or got[1].astimezone(ZoneInfo(zone)).date(), "day"
     s = " ".join(text.replace("\u00a0", " ").split()).lower()
     if m := _SERIAL.match(s):
-        return (date(1899, 12, 30) + timedelta(days=int(m[1]))).isoformat()
-    if m := _PART.match(s):
-        g = m.groupdict()
-        if g["mn"]:
-            day = _make(_year(g["my"]), _MONTH[g["mn"]], 1)
-        elif g["nm"]:
-            day = _make(int(g["ny"]), int(g["nm"]), 1)
-        elif g["iy"]:
-            day = _make(int(g["iy"]), int(g["im"]), 1)
-        elif g["y"]:
-            day = _make(int(g["y"]), 1, 1)
-        else:
-            q = int(g["q1"] or g["q2"] or ORDINALS[g["qw"]])
-            day = _make(_year(g["qy1"] or g["qy2"] or g["qy3"]), 3 * q - 2, 1)
-        return day and day.isoformat()
-    return None
+        return date(1899, 12, 30) + timedelta(days=int(m[1])), "day"
+    m = _PART.match(s)
+    if not m:
+        return None
+    g = m.groupdict()
+    if g["mn"]:
+        day, kind = _make(_year(g["my"]), _MONTH[g["mn"]], 1), "month"
+    elif g["nm"]:
+        day, kind = _make(int(g["ny"]), int(g["nm"]), 1), "month"
+    elif g["iy"]:
+        day, kind = _make(int(g["iy"]), int(g["im"]), 1), "month"
+    elif g["y"]:
+        day, kind = _make(int(g["y"]), 1, 1), "year"
+    else:
+        q = int(g["q1"] or g["q2"] or ORDINALS[g["qw"]])
+        day, kind = _make(_year(g["qy1"] or g["qy2"] or g["qy3"]), 3 * q - 2, 1), "quarter"
+    return day and (day, kind)
+
+
+def day_of(text: str | None, zone: str = UK) -> str | None:
+    """``YYYY-MM-DD`` of the calendar day of ``zone`` that ``text`` denotes, else None (see ``read_day``)."""
+    got = read_day(text, zone)
+    return got and got[0].isoformat()
 
 
 def precision_of(text: str | None, zone: str = UK) -> str | None:
     """``day``, ``month``, ``quarter`` or ``year``: what a value that ``day_of`` reads denotes."""
-    if text is None or day_of(text, zone) is None:
-        return None
-    s = " ".join(text.replace("\u00a0", " ").split()).lower()
-    if _parse(text, zone) or _SERIAL.match(s):
-        return "day"
-    g = _PART.match(s).groupdict()
-    return "month" if g["mn"] or g["nm"] or g["iy"] else "year" if g["y"] else "quarter"
+    got = read_day(text, zone)
+    return got and got[1]
 
 
 def instant_of(text: str | None, zone: str = UK) -> str | None:

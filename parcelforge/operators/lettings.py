@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions.address import distance
 from parcelforge.functions.arrowmap import mapped
-from parcelforge.functions.flexdate import day_of, precision_of
+from parcelforge.functions.flexdate import read_day
 from parcelforge.operators.places import occupational_units
 from parcelforge.runtime import cut
 
@@ -36,11 +36,11 @@ EPOCH = date(1970, 1, 1).toordinal()
 
 def span_of(text: str | None) -> tuple[int, int] | None:
     """(first day, last day), counted from 1970-01-01, of what a date text denotes, else None."""
-    day = text and day_of(text)
-    if not day:
+    got = read_day(text)
+    if got is None:
         return None
-    first = date.fromisoformat(day).toordinal() - EPOCH
-    return first, first + SPAN[precision_of(text)]
+    first = got[0].toordinal() - EPOCH
+    return first, first + SPAN[got[1]]
 
 
 #: What a packed span's two low bits say.

@@ -159,11 +159,11 @@ def occupational_units(comps: DataFrame, places: tuple, keep: list[str], more=No
     there = there.select(*keep_all, "deal", "tenant_key", "unit", "street_id", F.xxhash64("street_id", "number", "unit").alias("unit_key"), F.lit(True).alias("sure"))
     gone = rows.where("skey is null").withColumn("who", F.xxhash64("tenant_key"))
     asked = gone.select("deal", "unit").distinct()
-    ids = there.select("deal", "unit", "street_id", "unit_key", F.xxhash64("tenant_key").alias("who")).join(asked, ["deal", "unit"], "left_semi")
-    low = lambda c, n: [F.min(c).alias(f"{n}1"), F.max(c).alias(f"{n}2")]
-    by_name = ids.where(F.col("who") != F.xxhash64(F.lit(""))).groupBy("deal", "unit", "who").agg(*low("unit_key", "u"), *low("street_id", "st"))
-    by_unit = ids.groupBy("deal", "unit").agg(*low("unit_key", "v"), *low("street_id", "sv"))
-    gone = gone.join(by_name, ["deal", "unit", "who"], "left").join(by_unit, ["deal", "unit"], "left")
+    ids = rows.where("skey is not null").select("deal", "unit", "skey", "number", F.xxhash64("tenant_key").alias("who")).join(asked, ["deal", "unit"], "left_semi")
+    ids = ids.join(moved, "skey", "left").withColumn("street_id", F.coalesce("street_id", "skey")).withColumn("unit_key", F.xxhash64("street_id", "number", "unit"))
+    by_name = cut(ids.groupBy("deal", "unit", "who").agg(F.min("unit_key").alias("u1"), F.max("unit_key").alias("u2"), F.min("street_id").alias("st1"), F.max("street_id").alias("st2")))
+    by_unit = by_name.groupBy("deal", "unit").agg(F.min("u1").alias("v1"), F.max("u2").alias("v2"), F.min("st1").alias("sv1"), F.max("st2").alias("sv2"))
+    gone = gone.join(by_name.where(F.col("who") != F.xxhash64(F.lit(""))), ["deal", "unit", "who"], "left").join(by_unit, ["deal", "unit"], "left")
     only = lambda n: F.when(F.col(f"{n}1") == F.col(f"{n}2"), F.col(f"{n}1"))
     unit_key = F.coalesce(only("u"), only("v"))
     gone = gone.select(
