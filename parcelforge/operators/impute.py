@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.address import PLACEHOLDERS, Reading
+from parcelforge.functions.address import Reading, is_missing
 from parcelforge.functions.arrowmap import mapped
 from parcelforge.operators.areas import OTHERS, RATIO, SQFT, _words, floor_unit
 from parcelforge.operators.lettings import MARKS, cluster_signatures, signatures
@@ -34,11 +34,6 @@ ROUNDS = 2
 TIERS = (3, 2, 1)
 
 
-def missing_text(c: Column) -> Column:
-    """Null, blank and placeholders (non-breaking spaces and letter case do not matter)."""
-    return c.isNull() | F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", "")).isin(*sorted(PLACEHOLDERS))
-
-
 def missing_number(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (c <= 0)
 
@@ -53,22 +48,36 @@ def classifier(df: DataFrame, keys: list[str], fields: list[str]) -> DataFrame:
     return df.dropna(subset=keys).groupBy(*keys).agg(*(mode(F.col(f)).alias(f"{f}_guess") for f in fields))
 
 
+def regress_all(df: DataFrame, equations: dict[str, tuple[str, list[str]]]) -> dict[str, tuple[list[float], float]]:
+    """For each named equation (target, inputs): intercept and slopes, and residual standard deviation, of least squares over rows where all are known; one aggregate for all of them."""
+    sums, shapes = [], {}
+    for e, (target, inputs) in equations.items():
+        known = F.col(target).isNotNull()
+        for c in inputs:
+            known = known & F.col(c).isNotNull()
+        terms = [F.lit(1.0), *(F.col(c) for c in inputs), F.col(target)]
+        shapes[e] = k = len(terms)
+        sums += [F.sum(F.when(known, terms[i] * terms[j])).alias(f"{e}_{i}_{j}") for i in range(k) for j in range(i, k)]
+    row, out = df.agg(*sums).first(), {}
+    for e, k in shapes.items():
+        m = np.zeros((k, k))
+        for i in range(k):
+            for j in range(i, k):
+                m[i, j] = m[j, i] = row[f"{e}_{i}_{j}"] or 0.0
+        n = m[0, 0]
+        if n <= k:
+            out[e] = [0.0] * (k - 1), 0.0
+            continue
+        a, b = m[:-1, :-1], m[:-1, -1]
+        beta = np.linalg.lstsq(a, b, rcond=None)[0]
+        rss = max(0.0, m[-1, -1] - 2 * beta @ b + beta @ a @ beta)
+        out[e] = [float(x) for x in beta], float(np.sqrt(rss / max(1.0, n - k + 1)))
+    return out
+
+
 def regress(df: DataFrame, target: str, inputs: list[str]) -> tuple[list[float], float]:
-    """(intercept and slopes, residual standard deviation) of least squares over rows where all are known; one aggregate of (k+2)^2 sums."""
-    terms = [F.lit(1.0), *(F.col(c) for c in inputs), F.col(target)]
-    k = len(terms)
-    sums = df.dropna(subset=[target, *inputs]).agg(*(F.sum(terms[i] * terms[j]).alias(f"s{i}_{j}") for i in range(k) for j in range(i, k))).first()
-    m = np.zeros((k, k))
-    for i in range(k):
-        for j in range(i, k):
-            m[i, j] = m[j, i] = sums[f"s{i}_{j}"] or 0.0
-    n = m[0, 0]
-    if n <= k:
-        return [0.0] * (k - 1), 0.0
-    a, b = m[:-1, :-1], m[:-1, -1]
-    beta = np.linalg.lstsq(a, b, rcond=None)[0]
-    rss = max(0.0, m[-1, -1] - 2 * beta @ b + beta @ a @ beta)
-    return [float(x) for x in beta], float(np.sqrt(rss / max(1.0, n - k + 1)))
+    """``regress_all`` of one equation."""
+    return regress_all(df, {"e": (target, inputs)})["e"]
 
 
 def normal_draw(*keys: Column | str) -> Column:
@@ -93,14 +102,19 @@ def fill_by_levels(df: DataFrame, source: DataFrame, fields: list[str], levels:
 
 
 def chain_regressions(df: DataFrame, row_id: str, equations: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
-    """``df`` with its open numeric ``<field>_filled`` from regressions on the other fields (``equations``: field -> inputs), chained for ``rounds`` rounds."""
+    """``df`` with its open numeric ``<field>_filled`` from regressions on the other fields (``equations``: field -> inputs), chained for ``rounds`` rounds.
+
+    A round fits all equations at once, on the fields as the round before left them, and then fills one field after the other.
+    """
     value = lambda c: F.log(F.when(F.col(c) > 0, F.col(c)))
     name = lambda c: f"{c}_filled" if c in equations else c
+    used = sorted({name(x) for xs in equations.values() for x in xs} | {name(f) for f in equations})
     df = df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations})
     for _ in range(rounds):
+        logs = df.select(*(value(c).alias(c) for c in used), *(F.when(~F.col(f"{f}_open"), value(name(f))).alias(f"{f}_y") for f in equations))
+        fits = regress_all(logs, {f: (f"{f}_y", [name(x) for x in xs]) for f, xs in equations.items()})
         for field, inputs in equations.items():
-            view = df.select(F.when(~F.col(f"{field}_open"), value(f"{field}_filled")).alias("y"), *(value(name(x)).alias(f"x{i}") for i, x in enumerate(inputs)))
-            beta, spread = regress(view, "y", [f"x{i}" for i in range(len(inputs))])
+            beta, spread = fits[field]
             guess = F.lit(beta[0])
             for b, x in zip(beta[1:], inputs):
                 guess = guess + F.lit(b) * value(name(x))
@@ -109,15 +123,16 @@ def chain_regressions(df: DataFrame, row_id: str, equations: dict[str, list[str]
     return df.drop(*(f"{f}_open" for f in equations))
 
 
-_SEEN_IN = ["town_", "code_", "size_sqft", "rent_pa", "rent_psf", "notes"]
-_SEEN = "own_town int, own_code bigint, code_blank boolean, own_size double, tier int"
+_SEEN_IN = ["town", "postcode", "size_sqft", "rent_pa", "rent_psf", "notes"]
+_SEEN = "own_town int, town_blank boolean, own_code bigint, code_blank boolean, own_size double, tier int"
 
 
 def _observe(at: dict, reader) -> list[pa.Array]:
     """Number of the town among the place table's sorted names, full postcode as a number of base 36, floor area in square feet and the tier of trust in it."""
     names = {n: i for i, n in enumerate(sorted(set(reader.towns.values())))}
-    town = mapped(at["town_"], lambda t: names.get(reader.town(Reading(), t, None)) if t else None, "town number", pa.int32())
-    code = mapped(at["code_"], lambda c: int(x.replace(" ", ""), 36) if c and (x := reader.code_of_column(c)[0]) else None, "code number", pa.int64())
+    town = mapped(at["town"], lambda t: None if is_missing(t) else names.get(reader.town(Reading(), t, None)), "town number", pa.int32())
+    code = mapped(at["postcode"], lambda c: int(x.replace(" ", ""), 36) if not is_missing(c) and (x := reader.code_of_column(c)[0]) else None, "code number", pa.int64())
+    blanks = [mapped(at[c], is_missing, "missing", pa.bool_()) for c in ("town", "postcode")]
     sizes, tiers = [], []
     for s, p, f, n in zip(*(at[c].to_pylist() for c in ("size_sqft", "rent_pa", "rent_psf", "notes"))):
         if s is None or not s > 0:
@@ -127,7 +142,7 @@ def _observe(at: dict, reader) -> list[pa.Array]:
         unit = floor_unit(s, p, f, _words(n, OTHERS))[0]
         sizes.append(float(round(s * SQFT[unit or "sqft"])))
         tiers.append(3 if unit == "sqft" else 2 if unit else 1)
-    return [town, code, at["code_"].is_null(), pa.array(sizes, pa.float64()), pa.array(tiers, pa.int32())]
+    return [town, blanks[0], code, blanks[1], pa.array(sizes, pa.float64()), pa.array(tiers, pa.int32())]
 
 
 def code_text(c: str) -> Column:
@@ -165,9 +180,7 @@ def imputed_comps(spark, sf_dir: str) -> DataFrame:
     """
     places = place_rows(table(spark, sf_dir, "place_dim"))
     names = sorted({n for n, _, _ in places if n})
-    comps = table(spark, sf_dir, "raw_occupational_comps")
-    comps = comps.withColumns({"town_": F.when(~missing_text(F.col("town")), F.col("town")), "code_": F.when(~missing_text(F.col("postcode")), F.upper(F.regexp_replace("postcode", r"(?U)\s", "")))})
-    rows = cut(signatures(comps.withColumn("town_blank", F.col("town_").isNull()), places, ["town_blank"], (_SEEN_IN, _SEEN, _observe)))
+    rows = cut(signatures(table(spark, sf_dir, "raw_occupational_comps"), places, [], (_SEEN_IN, _SEEN, _observe)))
 
     # rents per area: the equation's group is the letting
     marks = rows.groupBy("unit_key", "sig", *MARKS).agg(F.count("*").alias("n"))
