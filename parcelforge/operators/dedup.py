@@ -136,12 +136,12 @@ def deal_pairs(deals: DataFrame) -> DataFrame:
 def insert_batch(existing: DataFrame, new: DataFrame) -> DataFrame:
     """(id, action, match_id): what happens to each new row, ``inserted`` or ``duplicate`` of an existing or earlier new row.
 
-    Phases in order: same tenant, same unit, alike tenants, each with agreeing rents and the lowest id; vacant rows are always inserted.
+    Existing rows come before all new ones, whatever their ids; new rows come in the order of ids.
+    Phases in order: same tenant, same unit, alike tenants, each with agreeing rents and the first row; vacant rows are always inserted.
     Fills that a duplicate brings are visible to the next batch.
     """
-    keyed = lambda d: d.select("id", "rent_pa", "rent_psf", tenant_key(F.coalesce("tenant_name", F.lit(""))).alias("tenant"), unit_key(F.coalesce("unit_name", F.lit(""))).alias("unit"))
-    e, n = keyed(existing).withColumn("fresh", F.lit(False)), keyed(new).withColumn("fresh", F.lit(True))
-    rows = e.unionByName(n)
+    keyed = lambda d, fresh: d.select(F.struct(F.lit(fresh).alias("fresh"), "id").alias("id"), F.lit(fresh).alias("fresh"), "rent_pa", "rent_psf", tenant_key(F.coalesce("tenant_name", F.lit(""))).alias("tenant"), unit_key(F.coalesce("unit_name", F.lit(""))).alias("unit"))
+    rows = keyed(existing, False).unionByName(keyed(new, True))
     free = ~F.col("tenant").isin("vacant", "vacant under offer")
     by = lambda df, key, phase: band_pairs(df, "id", ["fresh", "tenant"], "rent_pa", "rent_psf", RENT, [key]).where("fresh_b").where(~F.col("tenant_b").isin("vacant", "vacant under offer") if key == "unit_k" else F.lit(True)).select("id_a", "id_b", F.lit(phase).alias("phase"))
     t = by(rows.where(free).withColumn("tenant_k", F.col("tenant")), "tenant_k", 1)
@@ -153,8 +153,8 @@ def insert_batch(existing: DataFrame, new: DataFrame) -> DataFrame:
     kept = first_wins(rows.select("id"), pairs)
     stays = kept.where("id = kept_id").select(F.col("id").alias("id_a"))
     best = pairs.join(stays, "id_a", "left_semi").groupBy(F.col("id_b").alias("id")).agg(F.min(F.struct("phase", "id_a")).getField("id_a").alias("match_id"))
-    out = new.select("id").join(kept, "id").join(best, "id", "left")
+    out = kept.where("id.fresh").join(best, "id", "left")
     gone = F.col("id") != F.col("kept_id")
-    return out.select("id", F.when(gone, "duplicate").otherwise("inserted").alias("action"), F.when(gone, F.col("match_id")).alias("match_id"))
+    return out.select("id.id", F.when(gone, "duplicate").otherwise("inserted").alias("action"), F.when(gone, F.col("match_id.id")).alias("match_id"))
 
 

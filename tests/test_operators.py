@@ -134,6 +134,13 @@ def test_insert_batch(spark):
     assert rows(dedup.insert_batch(old, new)) == [(5, "duplicate", 1), (6, "duplicate", 1), (7, "inserted", None), (8, "inserted", None), (9, "duplicate", 8)]
 
 
+def test_insert_batch_with_interleaved_ids(spark):
+    cols = "id bigint, tenant_name string, unit_name string, rent_pa double, rent_psf double"
+    old = spark.createDataFrame([(2, "Holt Ltd", "Unit 1", 100.0, None), (9, "Tarn Ltd", "Unit 2", 300.0, None), (8, "Merle Glass", "Unit 3", 500.0, None)], cols)
+    new = spark.createDataFrame([(1, "HOLT plc", None, 100.2, None), (3, "Other", "unit 02", 300.0, None), (4, "Merle Glas", "Unit 7", 500.0, None), (5, "Fresh", "Unit 4", 700.0, None), (7, "Fresh", "Unit 5", 700.0, None), (9, "Lone", "Unit 6", 900.0, None)], cols)
+    assert rows(dedup.insert_batch(old, new)) == [(1, "duplicate", 2), (3, "duplicate", 9), (4, "duplicate", 8), (5, "inserted", None), (7, "duplicate", 5), (9, "inserted", None)]
+
+
 def test_ledger(spark):
     t = spark.createDataFrame([("a", 1, "old"), ("b", 1, "old")], "k string, seq int, v string")
     n = spark.createDataFrame([("a", 2, "new"), ("a", 3, "newer"), ("c", 1, "c")], "k string, seq int, v string")
