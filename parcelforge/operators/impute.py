@@ -2,11 +2,14 @@
 
 Every incomplete field has an equation that gives it from the others, fitted on observed values.
 The equation of a categorical field is a classifier: its most frequent value at the finest level
-(levels are key columns, from fine to coarse) that holds one.  That of a numeric field takes its
-group's most frequent value where other rows of the group hold one, by tiers of trust; without such it is a linear
-regression on the other fields, on logarithmic scale, fitted over all rows from one aggregate of
+(levels are key columns, among them other fields as filled so far, from fine to coarse) that holds one.
+That of a numeric field is a linear regression on the other fields, on logarithmic scale, fitted over all rows from one aggregate of
 sums of products, plus a residual drawn at random but repeatably from the fit's spread.  The
-equations are run in turn, round after round, each on the fields as filled so far.
+equations are run in turn, round after round, each on the fields as filled so far; those of places
+and those of numbers share no field, so their rounds are run one chain after the other.
+
+Where other rows of the unit (for rents per area: of the letting) hold a value, the chain does not
+decide: their most frequent value, floor areas by tiers of trust, stands before it and is kept.
 
 Only rows that lack something are joined to models, and only those that are still open go on to
 the next level.  Null, blank and placeholder texts and numbers not above zero are missing.  Ties go
@@ -34,6 +37,10 @@ ROUNDS = 2
 TIERS = (3, 2, 1)
 
 
+#: Keys of the classifiers of towns and postcodes, from fine to coarse.
+PLACE_EQUATIONS = {"town": [["postcode_filled"], ["street_id"], ["deal"]], "postcode": [["street_id", "town_filled"], ["street_id"], ["deal", "town_filled"], ["deal"]]}
+
+
 def missing_number(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (c <= 0)
 
@@ -101,6 +108,22 @@ def fill_by_levels(df: DataFrame, source: DataFrame, fields: list[str], levels:
     return df
 
 
+def chain_classifiers(df: DataFrame, source: DataFrame, equations: dict[str, list[list[str]]], rounds: int = ROUNDS) -> DataFrame:
+    """``df`` with its open ``<field>_filled`` from classifiers on the other fields (``equations``: field -> levels, whose keys may be filled fields), chained for ``rounds`` rounds.
+
+    ``source``: the rows that lack none of the fields, with their ``<field>_filled`` as keys.  In both, ``<field>`` is what was observed, the only thing that is fitted.
+    Each round fits each equation anew, on ``source`` and on ``df`` as filled so far, and refills the field wherever it was open.
+    """
+    held = sorted({k for levels in equations.values() for keys in levels for k in keys} | {*equations})
+    df = df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations})
+    for _ in range(rounds):
+        for field, levels in equations.items():
+            known = source.select(*held).unionByName(df.select(*held))
+            again = df.withColumn(f"{field}_filled", F.when(~F.col(f"{field}_open"), F.col(f"{field}_filled")))
+            df = cut(fill_by_levels(again, known, [field], levels))
+    return df.drop(*(f"{f}_open" for f in equations))
+
+
 def chain_regressions(df: DataFrame, row_id: str, equations: dict[str, list[str]], rounds: int = ROUNDS) -> DataFrame:
     """``df`` with its open numeric ``<field>_filled`` from regressions on the other fields (``equations``: field -> inputs), chained for ``rounds`` rounds.
 
@@ -202,7 +225,7 @@ def imputed_comps(spark, sf_dir: str) -> DataFrame:
     whole = rows.where(~lacks).select(*keep)
     zero = F.lit(0).cast("bigint")
     named = lambda df, town, code, size, psf, n: df.select(
-        "id", "street_id", "deal", F.when(F.col("rent_pa") > 0, F.col("rent_pa")).alias("rent_pa"),
+        "id", "street_id", "deal", F.col("own_town").alias("town"), F.col("own_code").alias("postcode"), F.when(F.col("rent_pa") > 0, F.col("rent_pa")).alias("rent_pa"),
         F.coalesce("own_town", town).alias("town_filled"), F.col("town_blank").alias("town_was_missing"), n("town_n").alias("town_donors"),
         F.coalesce("own_code", code).alias("postcode_filled"), F.col("code_blank").alias("postcode_was_missing"), n("code_n").alias("postcode_donors"),
         F.coalesce("own_size", size).alias("size_sqft_filled"), F.col("own_size").isNull().alias("size_sqft_was_missing"), n("size_n").alias("size_sqft_donors"),
@@ -211,9 +234,10 @@ def imputed_comps(spark, sf_dir: str) -> DataFrame:
     null = lambda t: F.lit(None).cast(t)
     lacking = named(lacking, F.col("town_g"), F.col("code_g"), F.col("size_g"), F.col("common"), lambda c: F.coalesce(c, zero))
     whole = named(whole, null("int"), null("bigint"), null("double"), null("double"), lambda c: zero)
-    seen = rows.select("street_id", "deal", F.col("own_town").alias("town"), F.col("own_code").alias("postcode"))
-    lacking = fill_by_levels(cut(lacking), seen, ["town", "postcode"], [["street_id"], ["deal"]])
-    filled = cut(whole.unionByName(lacking))
+    grouped = cut(whole.unionByName(lacking))
+    open_ = F.col("town_filled").isNull() | F.col("postcode_filled").isNull()
+    placed = chain_classifiers(grouped.where(open_), grouped.where(~open_), PLACE_EQUATIONS)
+    filled = cut(grouped.where(~open_).unionByName(placed).drop("street_id", "deal", "town", "postcode"))
     out = chain_regressions(filled, "id", {"size_sqft": ["rent_pa", "rent_psf"], "rent_psf": ["rent_pa", "size_sqft"]})
     of = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     return out.withColumns({"town_filled": F.try_element_at(of, F.col("town_filled") + 1), "postcode_filled": code_text("postcode_filled")})

@@ -93,6 +93,15 @@ def test_p5(spark, data):
     assert len(masks) == 9 and masks[1]["town_was_missing"] is False and masks[3]["rent_psf_was_missing"] is True
 
 
+def test_places_are_chained(spark):
+    """A town from the postcode of a row elsewhere, also where the postcode itself is filled only by an earlier equation."""
+    cols = "id bigint, street_id bigint, deal string, town int, postcode bigint"
+    data = spark.createDataFrame([(1, 10, "a", 1, 100), (2, 20, "b", None, 100), (3, 30, "c", None, 200), (4, 30, "d", None, None), (5, 40, "e", 2, 200), (6, None, None, None, None)], cols).withColumns({"town_filled": F.col("town"), "postcode_filled": F.col("postcode")})
+    whole = F.col("town").isNotNull() & F.col("postcode").isNotNull()
+    got = impute.chain_classifiers(data.where(~whole), data.where(whole), impute.PLACE_EQUATIONS)
+    assert rows(got, "id", "town_filled", "postcode_filled") == [(2, 1, 100), (3, 2, 200), (4, 2, 200), (6, None, None)]
+
+
 def test_regression(spark):
     df = spark.range(200).select((F.col("id") % 7).cast("double").alias("x0"), (F.col("id") % 5).cast("double").alias("x1")).withColumn("y", 2 + 3 * F.col("x0") - F.col("x1"))
     beta, spread = impute.regress(df, "y", ["x0", "x1"])
