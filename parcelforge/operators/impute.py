@@ -11,10 +11,9 @@ and those of numbers share no field, so their rounds are run one chain after the
 Where other rows of the unit (for rents per area: of the letting) hold a value, the chain does not
 decide: their most frequent value, floor areas by tiers of trust, stands before it and is kept.
 
-Only rows that lack something are joined to models, and only those that are still open go on to
-the next level.  Null, blank and placeholder texts and numbers not above zero are missing.  Ties go
+Only rows that lack something are joined to models.  Null, blank and placeholder texts and numbers not above zero are missing.  Ties go
 to the smaller value; group values always come from observed values, so filling twice changes
-nothing; a field that no equation reaches stays null; masks stay as found at the start.
+nothing; a town or postcode that no equation reaches and a number that no row holds stay null; masks stay as found at the start.
 """
 
 from __future__ import annotations
@@ -40,6 +39,9 @@ TIERS = (3, 2, 1)
 #: Keys of the classifiers of towns and postcodes, from fine to coarse.
 PLACE_EQUATIONS = {"town": [["postcode_filled"], ["street_id"], ["deal"]], "postcode": [["street_id", "town_filled"], ["street_id"], ["deal", "town_filled"], ["deal"]]}
 
+#: Inputs of the regressions; yearly rents are filled only to serve the others.
+NUMBER_EQUATIONS = {"rent_pa": ["size_sqft", "rent_psf"], "size_sqft": ["rent_pa", "rent_psf"], "rent_psf": ["rent_pa", "size_sqft"]}
+
 
 def missing_number(c: Column) -> Column:
     return c.isNull() | F.isnan(c) | (c <= 0)
@@ -94,20 +96,6 @@ def normal_draw(*keys: Column | str) -> Column:
     return F.sqrt(-2 * F.log(u1)) * F.cos(2 * F.lit(np.pi) * u2)
 
 
-def fill_by_levels(df: DataFrame, source: DataFrame, fields: list[str], levels: list[list[str]]) -> DataFrame:
-    """``df`` with its open ``<field>_filled`` from classifiers on ``source``, level by level; complete rows skip the joins."""
-    for keys in levels:
-        still = F.lit(False)
-        for f in fields:
-            still = still | F.col(f"{f}_filled").isNull()
-        open_, shut = df.where(still), df.where(~still)
-        asked = source.join(open_.select(*keys).distinct(), keys, "left_semi")
-        open_ = open_.join(classifier(asked, keys, fields), keys, "left")
-        open_ = open_.withColumns({f"{f}_filled": F.coalesce(f"{f}_filled", f"{f}_guess") for f in fields}).drop(*(f"{f}_guess" for f in fields))
-        df = shut.unionByName(open_)
-    return df
-
-
 def chain_classifiers(df: DataFrame, source: DataFrame, equations: dict[str, list[list[str]]], rounds: int = ROUNDS) -> DataFrame:
     """``df`` with its open ``<field>_filled`` from classifiers on the other fields (``equations``: field -> levels, whose keys may be filled fields), chained for ``rounds`` rounds.
 
@@ -115,12 +103,17 @@ def chain_classifiers(df: DataFrame, source: DataFrame, equations: dict[str, lis
     Each round fits each equation anew, on ``source`` and on ``df`` as filled so far, and refills the field wherever it was open.
     """
     held = sorted({k for levels in equations.values() for keys in levels for k in keys} | {*equations})
-    df = df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations})
+    df = cut(df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations}))
     for _ in range(rounds):
         for field, levels in equations.items():
-            known = source.select(*held).unionByName(df.select(*held))
-            again = df.withColumn(f"{field}_filled", F.when(~F.col(f"{field}_open"), F.col(f"{field}_filled")))
-            df = cut(fill_by_levels(again, known, [field], levels))
+            settled = df
+            known, guesses = source.select(*held).unionByName(settled.select(*held)).where(F.col(field).isNotNull()), []
+            for n, keys in enumerate(levels):
+                asked = known.join(settled.where(f"{field}_open").select(*keys).distinct(), keys, "left_semi")
+                df = df.join(classifier(asked, keys, [field]).withColumnRenamed(f"{field}_guess", f"guess_{n}"), keys, "left")
+                guesses.append(f"guess_{n}")
+            filled = F.when(F.col(f"{field}_open"), F.coalesce(*guesses)).otherwise(F.col(f"{field}_filled"))
+            df = cut(df.withColumn(f"{field}_filled", filled).drop(*guesses))
     return df.drop(*(f"{f}_open" for f in equations))
 
 
@@ -128,21 +121,28 @@ def chain_regressions(df: DataFrame, row_id: str, equations: dict[str, list[str]
     """``df`` with its open numeric ``<field>_filled`` from regressions on the other fields (``equations``: field -> inputs), chained for ``rounds`` rounds.
 
     A round fits all equations at once, on the fields as the round before left them, and then fills one field after the other.
+    The first fit is on rows where all of an equation's fields are held; open fields then start from the mean of the held logarithms,
+    so that a row is filled whatever else it lacks.  A field whose equation can not be fitted keeps that start, one that no row holds stays null.
     """
     value = lambda c: F.log(F.when(F.col(c) > 0, F.col(c)))
     name = lambda c: f"{c}_filled" if c in equations else c
     used = sorted({name(x) for xs in equations.values() for x in xs} | {name(f) for f in equations})
     df = df.withColumns({f"{f}_open": F.col(f"{f}_filled").isNull() for f in equations})
-    for _ in range(rounds):
+    start = df.agg(*(F.avg(value(name(f))).alias(f) for f in equations)).first()
+    for n in range(rounds):
         logs = df.select(*(value(c).alias(c) for c in used), *(F.when(~F.col(f"{f}_open"), value(name(f))).alias(f"{f}_y") for f in equations))
         fits = regress_all(logs, {f: (f"{f}_y", [name(x) for x in xs]) for f, xs in equations.items()})
+        if n == 0:
+            df = df.withColumns({name(f): F.coalesce(name(f), F.exp(F.lit(start[f]).cast("double"))) for f in equations})
         for field, inputs in equations.items():
             beta, spread = fits[field]
+            if not any(beta):
+                continue
             guess = F.lit(beta[0])
             for b, x in zip(beta[1:], inputs):
                 guess = guess + F.lit(b) * value(name(x))
             drawn = F.exp(guess + F.lit(spread) * normal_draw(row_id, F.lit(field)))
-            df = df.withColumn(f"{field}_filled", F.when(F.col(f"{field}_open"), drawn).otherwise(F.col(f"{field}_filled")))
+            df = df.withColumn(f"{field}_filled", F.when(F.col(f"{field}_open"), F.coalesce(drawn, F.col(f"{field}_filled"))).otherwise(F.col(f"{field}_filled")))
     return df.drop(*(f"{f}_open" for f in equations))
 
 
@@ -225,7 +225,7 @@ def imputed_comps(spark, sf_dir: str) -> DataFrame:
     whole = rows.where(~lacks).select(*keep)
     zero = F.lit(0).cast("bigint")
     named = lambda df, town, code, size, psf, n: df.select(
-        "id", "street_id", "deal", F.col("own_town").alias("town"), F.col("own_code").alias("postcode"), F.when(F.col("rent_pa") > 0, F.col("rent_pa")).alias("rent_pa"),
+        "id", "street_id", "deal", F.col("own_town").alias("town"), F.col("own_code").alias("postcode"), F.when(~missing_number(F.col("rent_pa")), F.col("rent_pa")).alias("rent_pa_filled"),
         F.coalesce("own_town", town).alias("town_filled"), F.col("town_blank").alias("town_was_missing"), n("town_n").alias("town_donors"),
         F.coalesce("own_code", code).alias("postcode_filled"), F.col("code_blank").alias("postcode_was_missing"), n("code_n").alias("postcode_donors"),
         F.coalesce("own_size", size).alias("size_sqft_filled"), F.col("own_size").isNull().alias("size_sqft_was_missing"), n("size_n").alias("size_sqft_donors"),
@@ -238,7 +238,7 @@ def imputed_comps(spark, sf_dir: str) -> DataFrame:
     open_ = F.col("town_filled").isNull() | F.col("postcode_filled").isNull()
     placed = chain_classifiers(grouped.where(open_), grouped.where(~open_), PLACE_EQUATIONS)
     filled = cut(grouped.where(~open_).unionByName(placed).drop("street_id", "deal", "town", "postcode"))
-    out = chain_regressions(filled, "id", {"size_sqft": ["rent_pa", "rent_psf"], "rent_psf": ["rent_pa", "size_sqft"]})
+    out = chain_regressions(filled, "id", NUMBER_EQUATIONS).drop("rent_pa_filled")
     of = F.array(*(F.lit(n) for n in names)) if names else F.array().cast("array<string>")
     return out.withColumns({"town_filled": F.try_element_at(of, F.col("town_filled") + 1), "postcode_filled": code_text("postcode_filled")})
 

@@ -109,6 +109,19 @@ def test_regression(spark):
     assert impute.regress(df.limit(0), "y", ["x0", "x1"]) == ([0.0, 0.0, 0.0], 0.0)
 
 
+def test_every_missing_number_is_filled(spark):
+    """Also where two or all of the three numbers lack; what is held stays as it is."""
+    held = [(i, 1000.0 + 37 * i, 5.0 + i % 7) for i in range(40)]
+    data = [(i, s * p, s, p) for i, s, p in held] + [(50, None, None, None), (51, 12000.0, None, None), (52, None, 2000.0, None), (53, None, None, 8.0), (54, 16000.0, None, 8.0)]
+    df = spark.createDataFrame(data, "id bigint, rent_pa_filled double, size_sqft_filled double, rent_psf_filled double")
+    got = {r["id"]: r for r in impute.chain_regressions(df, "id", impute.NUMBER_EQUATIONS).collect()}
+    assert all(r[c] is not None and r[c] > 0 for r in got.values() for c in df.columns[1:])
+    assert got[54]["size_sqft_filled"] == pytest.approx(2000, rel=0.01)
+    assert all(got[i][c] == v for i, *values in data for c, v in zip(df.columns[1:], values) if v is not None)
+    none = impute.chain_regressions(df.withColumn("rent_pa_filled", F.lit(None).cast("double")), "id", impute.NUMBER_EQUATIONS).collect()
+    assert all(r["rent_pa_filled"] is None and r["size_sqft_filled"] > 0 and r["rent_psf_filled"] > 0 for r in none)
+
+
 def test_clean_cascade(spark, data):
     out = {r["id"]: r for r in clean.clean_occupational(table(spark, data, "raw_occupational_comps"), table(spark, data, "place_dim"), "2026-06-30").collect()}
     assert len(out) == 9
