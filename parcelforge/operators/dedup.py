@@ -10,11 +10,14 @@ from parcelforge.functions.numbers import close
 from parcelforge.functions.predicates import about_investment, contained, sorted_telling, towns_agree, vacant, words_overlap
 from parcelforge.functions.similarity import can_reach, ratio
 from parcelforge.functions.text import blank, name_key, strip, telling_words, tenant_key, unit_key
-from parcelforge.operators.blocking import band, band_pairs
+from parcelforge.operators.blocking import band, band_pairs, rent_key
 from parcelforge.operators.greedy import first_wins
+from parcelforge.runtime import cut
 
 #: Relative difference of two rents and of two prices, and likeness of tenants, addresses and deal names.
 RENT, PRICE, TENANT, ADDRESS, DEAL = 0.005, 0.05, 0.90, 0.85, 0.65
+#: Tenant keys of rows without tenant.
+VACANT = ("vacant", "vacant under offer")
 #: Fields that a kept letting may take from its duplicates.
 LETTING_FIELDS = ["tenant_name", "unit_name", "address", "town", "postcode", "size_sqft", "rent_pa", "rent_psf", "lease_start", "lease_expiry", "break_date", "rent_review_date", "lease_term_years", "comp_date", "notes"]
 
@@ -133,28 +136,73 @@ def deal_pairs(deals: DataFrame) -> DataFrame:
     return _judge(pairs, "_b", "_a").select("id_a", "id_b")
 
 
+def _insert_pairs(rows: DataFrame) -> DataFrame:
+    """(a, b, phase, filled, key): row b is new, comes after row a and matches it in ``phase``; where ``filled`` names a field, only while a has ``key`` there from an earlier duplicate."""
+    free = ~F.col("tenant").isin(*VACANT)
+    keep = ["fresh", "tenant", "t_blank", "u_blank"]
+    own = rows.withColumns({"tenant_k": F.when(free, F.col("tenant")).otherwise(""), "unit_k": F.col("unit")})
+    # a blank field is taken from a duplicate, which matches by the other field: all that it may become are the values of the row's own matches
+    pair = lambda df, equal: band_pairs(df, "id", keep, "rent_pa", "rent_psf", RENT, equal).where("fresh_b").where(~F.col("tenant_b").isin(*VACANT))
+    none = F.lit(None).cast("string")
+    shown = lambda df, phase, filled=none, key=none: df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(phase).alias("phase"), filled.alias("filled"), key.alias("key"))
+    near = pair(own.where("tenant_k <> ''"), []).where("tenant_a <> tenant_b").where(can_reach(F.col("tenant_b"), F.col("tenant_a"), TENANT))
+    alike = near.withColumn("r", ratio("tenant_b", "tenant_a")).where(F.col("r") >= TENANT)
+    static = cut(shown(pair(own, ["tenant_k"]), 1).unionByName(shown(pair(own, ["unit_k"]), 2)).unionByName(shown(alike, 3)))
+
+    givers = rows.select(F.col("id").alias("b"), F.col("tenant").alias("new_tenant"), F.col("unit").alias("new_unit"), F.col("t_blank").alias("no_tenant"), F.col("u_blank").alias("no_unit"))
+    open_ = rows.where("t_blank or u_blank").select(F.col("id").alias("a"), "rent_pa", "rent_psf", "t_blank", "u_blank")
+    may = cut(static.select("a", "b").join(open_, "a").join(givers, "b"))
+    agree = F.when(F.col("rent_pa").isNotNull() | F.col("pa_b").isNotNull(), close("rent_pa", "pa_b", RENT)).otherwise(close("rent_psf", "psf_b", RENT))
+    takers = rows.where("id.fresh").where(free).select(F.col("id").alias("b"), F.col("rent_pa").alias("pa_b"), F.col("rent_psf").alias("psf_b"), F.col("tenant").alias("tenant_b"), F.col("unit").alias("unit_b"), rent_key("rent_pa", "rent_psf", RENT).alias("k"))
+    cols = ["a", "rent_pa", "rent_psf"]
+    bands = lambda df: df.withColumn("k0", rent_key("rent_pa", "rent_psf", RENT)).withColumn("near", F.explode(F.sequence(F.col("k0.band") - 1, F.col("k0.band") + 1))).withColumn("k", F.struct(F.col("k0.kind").alias("kind"), F.col("near").alias("band"))).drop("k0", "near")
+    units = bands(may.where("u_blank and not no_unit and new_unit <> ''").select(*cols, F.col("new_unit").alias("key")).distinct())
+    tenants = bands(may.where("t_blank and not no_tenant and new_tenant <> ''").select(*cols, F.col("new_tenant").alias("key")).distinct())
+    late = lambda df, phase, field: df.where("a < b").where(agree).select("a", "b", F.lit(phase).alias("phase"), F.lit(field).alias("filled"), "key")
+    by_unit = late(units.join(takers.withColumn("key", F.col("unit_b")), ["k", "key"]), 2, "unit")
+    by_tenant = late(tenants.join(takers.withColumn("key", F.col("tenant_b")), ["k", "key"]), 1, "tenant")
+    like = tenants.join(takers, "k").where("tenant_b <> '' and tenant_b <> key").where(can_reach(F.col("tenant_b"), F.col("key"), TENANT)).where("a < b").where(agree)
+    by_like = late(like.withColumn("r", ratio("tenant_b", "key")).where(F.col("r") >= TENANT), 3, "tenant")
+    return static.unionByName(by_unit).unionByName(by_tenant).unionByName(by_like)
+
+
 def insert_batch(existing: DataFrame, new: DataFrame) -> DataFrame:
-    """(id, action, match_id): what happens to each new row, ``inserted`` or ``duplicate`` of an existing or earlier new row.
+    """(id, action, match_id): what happens to each new row in turn: ``inserted``, or ``merged`` into or ``duplicate`` of an existing or earlier inserted row.
 
     Existing rows come before all new ones, whatever their ids; new rows come in the order of ids.
     Phases in order: same tenant, same unit, alike tenants, each with agreeing rents and the first row; vacant rows are always inserted.
-    Fills that a duplicate brings are visible to the next batch.
-    """
-    keyed = lambda d, fresh: d.select(F.struct(F.lit(fresh).alias("fresh"), "id").alias("id"), F.lit(fresh).alias("fresh"), "rent_pa", "rent_psf", tenant_key(F.coalesce("tenant_name", F.lit(""))).alias("tenant"), unit_key(F.coalesce("unit_name", F.lit(""))).alias("unit"))
-    rows = keyed(existing, False).unionByName(keyed(new, True))
-    free = ~F.col("tenant").isin("vacant", "vacant under offer")
-    by = lambda df, key, phase: band_pairs(df, "id", ["fresh", "tenant"], "rent_pa", "rent_psf", RENT, [key]).where("fresh_b").where(~F.col("tenant_b").isin("vacant", "vacant under offer") if key == "unit_k" else F.lit(True)).select("id_a", "id_b", F.lit(phase).alias("phase"))
-    t = by(rows.where(free).withColumn("tenant_k", F.col("tenant")), "tenant_k", 1)
-    u = by(rows.withColumn("unit_k", F.col("unit")), "unit_k", 2)
-    near = band_pairs(rows.where(free & (F.col("tenant") != "")), "id", ["fresh", "tenant"], "rent_pa", "rent_psf", RENT).where("fresh_b and tenant_a <> tenant_b").where(can_reach(F.col("tenant_b"), F.col("tenant_a"), TENANT))
-    f = near.withColumn("r", ratio("tenant_b", "tenant_a")).where(F.col("r") >= TENANT).select("id_a", "id_b", F.lit(3).alias("phase"))
-    pairs = t.unionByName(u).unionByName(f).groupBy("id_a", "id_b").agg(F.min("phase").alias("phase"))
-    # existing rows are all kept: only new rows may go, so edges between existing rows do not count
-    kept = first_wins(rows.select("id"), pairs)
-    stays = kept.where("id = kept_id").select(F.col("id").alias("id_a"))
-    best = pairs.join(stays, "id_a", "left_semi").groupBy(F.col("id_b").alias("id")).agg(F.min(F.struct("phase", "id_a")).getField("id_a").alias("match_id"))
-    out = kept.where("id.fresh").join(best, "id", "left")
-    gone = F.col("id") != F.col("kept_id")
-    return out.select("id.id", F.when(gone, "duplicate").otherwise("inserted").alias("action"), F.when(gone, F.col("match_id.id")).alias("match_id"))
-
+    A row that matches fills the blank fields of the row it matches (``merged`` if it fills any); later rows match the row as filled.
 
+    The fold in order is the only fixed point of deciding all rows at once from the decisions and fills of the round
+    before: each round settles at least the first row that is not settled yet, so the rounds end when nothing changes.
+    """
+    fields = [f for f in LETTING_FIELDS if f in existing.columns and f in new.columns]
+    no = lambda d, f: blank(f) if dict(d.dtypes)[f] == "string" else F.col(f).isNull()
+    keyed = lambda d, fresh: d.select(
+        F.struct(F.lit(fresh).alias("fresh"), "id").alias("id"), F.lit(fresh).alias("fresh"), "rent_pa", "rent_psf",
+        tenant_key(F.coalesce("tenant_name", F.lit(""))).alias("tenant"), unit_key(F.coalesce("unit_name", F.lit(""))).alias("unit"),
+        no(d, "tenant_name").alias("t_blank"), no(d, "unit_name").alias("u_blank"), F.array_compact(F.array(*(F.when(no(d, f), F.lit(f)) for f in fields))).alias("blanks"),
+    )
+    rows = cut(keyed(existing, False).unionByName(keyed(new, True)))
+    pairs = cut(_insert_pairs(rows))
+    gives = rows.select(F.col("id").alias("b"), F.col("blanks").alias("b_blanks"), F.col("tenant").alias("new_tenant"), F.col("unit").alias("new_unit"))
+    takes = rows.select(F.col("id").alias("a"), F.col("blanks").alias("a_blanks"))
+    last = None
+    while True:
+        if last is None:
+            active = pairs.where("filled is null")
+        else:
+            active = pairs.join(last.select(F.col("b").alias("a")), "a", "left_anti").join(fills, ["a", "filled"], "left").where((F.col("filled").isNull()) | ((F.col("from") < F.col("b")) & (F.col("key") == F.col("held"))))
+        best = cut(active.groupBy("b").agg(F.min(F.struct("phase", "a")).getField("a").alias("a")))
+        same = last is not None and best.join(last.withColumnRenamed("a", "was"), "b", "full").where(~F.col("a").eqNullSafe(F.col("was"))).limit(1).count() == 0
+        # the first duplicate that holds a field fills it
+        given = best.join(gives, "b").join(takes, "a").select("a", "b", "new_tenant", "new_unit", F.explode(F.array_except("a_blanks", "b_blanks")).alias("field"))
+        if same:
+            break
+        last = best
+        keys = given.where(F.col("field").isin("tenant_name", "unit_name")).groupBy("a", "field").agg(F.min(F.struct("b", "new_tenant", "new_unit")).alias("x"))
+        tenant = F.col("field") == "tenant_name"
+        fills = cut(keys.select("a", F.when(tenant, "tenant").otherwise("unit").alias("filled"), F.col("x.b").alias("from"), F.when(tenant, F.col("x.new_tenant")).otherwise(F.col("x.new_unit")).alias("held")))
+    merged = given.groupBy("a", "field").agg(F.min("b").alias("b")).select("b").distinct().withColumn("fills", F.lit(True))
+    out = rows.where("fresh").select(F.col("id").alias("b")).join(best, "b", "left").join(merged, "b", "left")
+    return out.select("b.id", F.when(F.col("a").isNull(), "inserted").when(F.col("fills"), "merged").otherwise("duplicate").alias("action"), F.col("a.id").alias("match_id"))
