@@ -462,7 +462,7 @@ def distinct_deals(spark, d):
 
 @query("archive_plan")
 def archive_plan(spark, d):
-    return archive.archive_plan(table(spark, d, DEALS).where("asset_name is not null"), AS_OF)
+    return archive.archive_plan(table(spark, d, DEALS), AS_OF)
 
 
 @query("clean_lettings")

@@ -229,6 +229,14 @@ def test_archive(spark, tmp_path):
     assert (tmp_path / "Ashby, Oak" / "2024-01-01 - A" / "body.txt").read_text() == "text"
 
 
+def test_archive_plan_has_unnamed_deals(spark, tmp_path):
+    from parcelforge.plans.queries import QUERIES
+
+    cols = "deal_id int, town string, asset_name string, agent string, date string"
+    spark.createDataFrame([(1, "Ashby", "Oak", "A", "01/01/2024"), (2, "Ashby", None, "A", "01/01/2024"), (3, None, None, "B", "01/01/2024")], cols).write.parquet(f"{tmp_path}/deals.parquet")
+    assert rows(QUERIES["archive_plan"](spark, str(tmp_path)), "deal_id", "base") == [(1, "Ashby, Oak"), (2, "Ashby"), (3, "Unknown - B - 01012024")]
+
+
 def test_pipeline(spark):
     from parcelforge import extract, schemas
     from parcelforge.plans import pipeline
