@@ -10,7 +10,7 @@ A document is cut into sentences and lines.  Digits and names (capitalised words
 sentence) are replaced by one letter each, so that they speak for no language and equal sentences
 are read once.  The positions' log-probabilities are pooled over words, a sentence's words over the
 sentence, and a best path over the sentences (with a price ``SWITCH`` for each change) gives the
-runs of one language; very long units are also cut between words.  Whole texts are read.
+runs of one language; units are also cut between words, at twice that price.  Whole texts are read.
 
 Null, empty and blank texts and texts without words have no language and give no row.  Labels are
 compared by what they denote: codes of two or three letters, with or without region, and English names.
@@ -18,15 +18,17 @@ compared by what they denote: codes of two or three letters, with or without reg
 
 from __future__ import annotations
 
+import hashlib
 import re
 import unicodedata
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.runtime import table
+from parcelforge.runtime import shared_folder, table
 
 # The languages, and how labels write them.
 LANGS = ["en", "de", "fr", "es", "it", "nl", "pt"]
@@ -44,20 +46,18 @@ SAMPLE, SAMPLE_EACH, SENTENCES = 3000, 150, 12
 #: Nats a position by which the network has to prefer another language to distrust a label.
 CLEAR = 0.1
 #: Width of the network, bytes of a training crop, sentences of a batch, steps, rate.
-WIDTH, CROP, BATCH, STEPS, RATE = 32, 40, 96, 600, 0.015
+WIDTH, CROP, BATCH, STEPS, RATE = 32, 40, 96, 900, 0.015
 #: Price of a change of language between two units, in nats, and most nats that one word adds.
 SWITCH, PER_WORD = 8.0, 2.5
-#: Words from which on a unit is also cut between words.
-LONG = 18
-#: Most words of a line without full stop that counts as a heading; its words, mostly names, count half.
-HEADING = 8
+#: Words by which a line without full stop, perhaps a heading of names, counts less: n words count n * n / (n + NAMED).
+NAMED = 3
 #: Different units that a worker remembers.
 REMEMBERED = 200_000
 
 _CODE = {n: c for c, names in NAMES.items() for n in names}
 _UNITS = re.compile(r"[^\n]+")
 _SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
-_NUMBER = re.compile(r"\d[\d.,/]*")
+_NUMBER = re.compile(r"\d(?:[\d.,]*\d)?")
 _NAME = re.compile(r"(?<=[^\W\d_,;&'’] )[A-Z][\w&'’]*(?:[ -](?:[A-Z&][\w&'’]*))*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
@@ -124,12 +124,18 @@ class Network:
 
     def forward(self, codes, order, keep: bool = False):
         """Logits (n, t, labels); with ``keep`` also what the backward pass needs."""
-        p = self.p
-        states, saved = (self._run(codes) if keep else (self._read(codes), None))
+        p, h = self.p, self.width
+        if not keep:  # each direction to labels first: few numbers to put in the text's order
+            states = self._read(codes)
+            t, n = states.shape[1:3]
+            ahead, back = (states[k] @ p["W"][k * h : (k + 1) * h].astype(np.float32) for k in range(2))
+            logits = ahead.transpose(1, 0, 2) + back[order, np.arange(n)[:, None]]
+            logits += p["c"].astype(np.float32)
+            return logits
+        states, saved = self._run(codes)
         back = np.take_along_axis(states[1].transpose(1, 0, 2), order[:, :, None], axis=1)
         both = np.concatenate([states[0].transpose(1, 0, 2), back], axis=2)
-        logits = both @ p["W"] + p["c"]
-        return (logits, both, saved) if keep else logits
+        return both @ p["W"] + p["c"], both, saved
 
     def _run(self, codes):
         """States (2, t, n, width) and what the backward pass needs of every step."""
@@ -214,8 +220,11 @@ class Network:
             d_state = d * z + np.matmul(d_a, p["U"].transpose(0, 2, 1))
         g["b"] = d_x.sum((0, 2))[:, None, :]
         g["E"] = np.zeros_like(p["E"])
-        for side in range(2):
-            np.add.at(g["E"][side], codes[side].T.reshape(-1), d_x[:, side].reshape(-1, 3 * h))
+        for side in range(2):  # the sums of equal bytes
+            at_ = codes[side].T.reshape(-1)
+            by = np.argsort(at_, kind="stable")
+            first = np.flatnonzero(np.diff(at_[by], prepend=-1))
+            g["E"][side][at_[by][first]] = np.add.reduceat(d_x[:, side].reshape(-1, 3 * h)[by], first, axis=0)
         return loss, g
 
 
@@ -270,11 +279,23 @@ def agreed(examples: list[tuple[str, int]]) -> list[tuple[bytes, int]]:
 def trusted(net: Network, texts: list[bytes], label: int) -> list[bytes]:
     """Those that the network does not clearly (by ``CLEAR`` nats a position) read as another language than their label's."""
     out = []
-    for i in range(0, len(texts), 512):
-        part = texts[i : i + 512]
+    for part in batches(texts):
         pooled = pool(net, part)
         out += [t for t, v in zip(part, pooled) if v[label] > v.max() - CLEAR]
-    return out
+    return sorted(out)
+
+
+def batches(texts: list):
+    """``texts`` in batches of like length."""
+    texts = sorted(texts, key=lambda u: (len(u), u))
+    i = 0
+    while i < len(texts):
+        j, size = i, max(1, len(texts[i]))
+        while j < len(texts) and j - i < 512 and (j - i + 1) * len(texts[j]) < 60_000 and len(texts[j]) <= size * 5 // 4 + 16:
+            j += 1
+        j = max(j, i + 1)
+        yield texts[i:j]
+        i = j
 
 
 def log_probabilities(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -337,27 +358,21 @@ class Reader:
         """Read the units that are not known yet, in batches of like length."""
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        new = sorted((u for u in wanted if u not in self.memory), key=lambda u: (len(u), u))
-        i = 0
-        while i < len(new):
-            j, size = i, max(1, len(new[i]))
-            while j < len(new) and j - i < 512 and (j - i + 1) * len(new[j]) < 60_000 and len(new[j]) <= 2 * size + 32:
-                j += 1
-            j = max(j, i + 1)
-            part = new[i:j]
+        for part in batches([u for u in wanted if u not in self.memory]):
             for u, w in zip(part, word_scores(self.net, part)):
-                heading = len(w) <= HEADING and not u.rstrip().endswith((".", "!", "?"))
-                self.memory[u] = self.parts(w * 0.5 if heading else w)
-            i = j
+                self.memory[u] = self.parts(w if u.rstrip().endswith((".", "!", "?")) else w * (len(w) / (len(w) + NAMED)))
 
     @staticmethod
     def parts(words: np.ndarray) -> list[tuple[float, float, int, np.ndarray]]:
-        """(from, to, best language, scores) of the parts of a unit, as shares of its words: one, or several where a long unit changes its language."""
+        """(from, to, best language, scores) of the parts of a unit, as shares of its words: one, or several where it changes its language.
+
+        The best word is worth 0, so no cut pays its price where one language is less than that behind.
+        """
         n = len(words)
         if not n:
             return []
-        if n < LONG or len(set(words.argmax(1).tolist())) == 1:
-            total = words.sum(0)
+        total = words.sum(0)
+        if total.max() >= -2 * SWITCH:
             return [(0.0, 1.0, int(total.argmax()), total)]
         path = best_path(words, 2 * SWITCH)
         cuts = [0, *(i for i in range(1, n) if path[i] != path[i - 1]), n]
@@ -417,7 +432,7 @@ def training_units(docs: DataFrame, sample: int = SAMPLE, each: int = SAMPLE_EAC
                 got = [p for p in (plain(u) for _, _, u in units(t or "")) if len(_WORD.findall(p)) >= 4]
                 rng = np.random.default_rng(abs(d) if d is not None else 0)
                 for k in rng.permutation(len(got))[:sentences]:
-                    us.append(got[k][:1000])
+                    us.append(got[k])
                     cs.append(c)
             yield pa.RecordBatch.from_arrays([pa.array(us, pa.string()), pa.array(cs, pa.string())], ["unit", "code"])
 
@@ -463,10 +478,26 @@ def segment_documents(docs: DataFrame, net: Network) -> DataFrame:
     return docs.select("doc_id", "lang", "text").mapInArrow(run, schema)
 
 
+def trained(spark, examples: list[tuple[str, int]]) -> Network:
+    """The network fitted to these examples: read from the shared folder where an earlier query left it there, else fitted and left there."""
+    marks = (WIDTH, CROP, BATCH, STEPS, RATE, CLEAR, LANGS, examples)
+    path = f"{shared_folder(spark).rstrip('/')}/language-{hashlib.sha1(repr(marks).encode()).hexdigest()}"
+    net = Network()
+    try:
+        for name, data, shape in spark.read.parquet(path).collect():  # one row per array of weights
+            net.p[name] = np.frombuffer(data, dtype=np.float32).reshape(shape).copy()
+        return net
+    except AnalysisException:
+        net = train(examples)
+    kept = [(k, v.astype(np.float32).tobytes(), list(v.shape)) for k, v in net.p.items()]
+    spark.createDataFrame(kept, "name string, data binary, shape array<int>").coalesce(1).write.mode("ignore").parquet(path)
+    return net
+
+
 def p10_segments(spark, sf_dir: str) -> DataFrame:
     """Language and confidence of every segment of every document."""
     docs = table(spark, sf_dir, "documents")
-    return segment_documents(docs, train(training_units(docs)))
+    return segment_documents(docs, trained(spark, training_units(docs)))
 
 
 def p10_found(spark, sf_dir: str) -> DataFrame:
@@ -475,7 +506,9 @@ def p10_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p10_documents(spark, sf_dir: str) -> DataFrame:
-    """One row per document with words: its main language (by length), how many segments it has, and the mean confidence."""
+    """One row per document: its main language (by length), how many segments it has, and the mean confidence; null, 0 and null without words of some language."""
     s = p10_segments(spark, sf_dir).withColumn("width", F.col("end") - F.col("start"))
     by = s.groupBy("doc_id", "lang").agg(F.sum("width").alias("w"), F.sum(F.col("width") * F.col("confidence")).alias("c"), F.max("segments").alias("segments"), F.first("label").alias("label"))
-    return by.groupBy("doc_id").agg(F.max_by("lang", F.struct("w", "lang")).alias("lang"), F.max("segments").alias("segments"), F.first("label").alias("label"), F.round(F.sum("c") / F.greatest(F.sum("w"), F.lit(1)), 4).alias("confidence"))
+    main = by.groupBy("doc_id").agg(F.max_by("lang", F.struct("w", "lang")).alias("lang"), F.max("segments").alias("segments"), F.first("label").alias("label"), F.round(F.sum("c") / F.greatest(F.sum("w"), F.lit(1)), 4).alias("confidence"))
+    docs = table(spark, sf_dir, "documents").select("doc_id")
+    return docs.join(main, "doc_id", "left").select("doc_id", "lang", F.coalesce("segments", F.lit(0)).alias("segments"), "label", "confidence")
