@@ -30,9 +30,6 @@ from pyspark.sql import functions as F
 from parcelforge.functions.flexdate import instant_of
 from parcelforge.runtime import cut, table
 
-#: Numbers of characters at which previews are cut off.
-CUTS = (500, 4000)
-
 _PREFIX = re.compile(r"^(?:[ \t]?[>|])+[ \t]?")
 _SEPARATOR = re.compile(r"^\s*(?:_{5,}|-{2,}\s*(?:original message|forwarded message|ursprüngliche nachricht|message d'origine|weitergeleitete nachricht|message transféré)\s*-{2,}|begin forwarded message\s*:)\s*$", re.I)
 _RULE = re.compile(r"^\s*_{5,}\s*$")
@@ -62,6 +59,11 @@ _NOTICE = re.compile(
     r"\byou received this because\b|\bunsubscribe\b|\bto stop receiving\b|\breply with (?:remove|stop)\b|\bgeneral guide only\b|^\s*\[?external\]?\s*$|\bvirus(?:es)?\b.*\b(?:liab|scan|transmission)|\bscanned for viruses\b|\bright of reliance\b",
     re.I,
 )
+#: One of these stands in every notice.
+_NOTICE_HINTS = (
+    "disclaimer", "confidential", "privileged", "intended", "notify", "accept no", "unauthori", "subject to contract", "misrepresentation", "environment", "fraud", "bank details", "external",
+    "outside the organi", "new to you", "do not click", "registered", "regulated", "limited liability", "list of members", "open to inspection", "you received", "unsubscribe", "stop receiving", "reply with", "general guide", "virus", "reliance",
+)
 _TITLE = re.compile(r"\b(?:director|partner|associate|surveyor|analyst|manager|head of|agency|investment|valuation|advisory|capital markets|consultant|assistant|graduate|senior|executive|chartered|commercial|estates|property|group|llp|ltd|limited|plc|& co|& sons|partners|surveyors|advisors|real estate|markets|management|asset)\b", re.I)
 _GREETING = re.compile(r"^\s*(?:(?:hi|hello|dear|hey|good (?:morning|afternoon|evening|day)|morning|afternoon|evening)(?:[ ,]+[^\s.?:;]+){0,3}|all|team)\s*[,!]?\s*$", re.I)
 
@@ -85,6 +87,22 @@ def strip_prefix(line: str) -> str:
     return re.sub(r"^[ \t]?[>|][ \t]?", "", line, count=1)
 
 
+_known: dict[str, bool] = {}
+
+
+def is_notice(text: str) -> bool:
+    """Whether a line says what notices say; a worker remembers the lines that might."""
+    low = text.lower()
+    if not any(h in low for h in _NOTICE_HINTS):
+        return False
+    got = _known.get(text)
+    if got is None:
+        if len(_known) > 50_000:
+            _known.clear()
+        got = _known[text] = bool(_NOTICE.search(text))
+    return got
+
+
 def is_name(text: str) -> bool:
     """One to four capitalised words, nothing else."""
     words = text.strip().strip(",").split()
@@ -94,8 +112,7 @@ def is_name(text: str) -> bool:
 class Parser:
     """Reads (number, text) lines into a tree; ``sender`` is the header's ``Name <address>``."""
 
-    def __init__(self, sender: str | None, cut: bool = False):
-        self.cut = cut  # whether the text breaks off at its end
+    def __init__(self, sender: str | None):
         name = re.sub(r"<[^>]*>", "", sender or "").strip().strip('"').lower()
         self.names = {name, name.split(" ")[0]} - {""}
 
@@ -111,7 +128,8 @@ class Parser:
                     return k + 1
                 if i + k < len(lines) and depth(lines[i + k][1]):
                     break
-        if self.cut and i == len(lines) - 1 and (re.match(r"^\s*(?:on|le|am)\b.*\d{1,2}[ ./-].*\d", text, re.I) and not text.rstrip().endswith(".") or re.search(r"\bwrote on\b[^.]*$", text)):
+        if i == len(lines) - 1 and (  # the text may break off in it
+            re.match(r"^\s*(?:on|le|am)\b.*\d{1,2}[ ./-].*\d", text, re.I) and not text.rstrip().endswith(".") or re.search(r"\bwrote on\b[^.]*$", text)):
             return 1
         k = i
         separated = bool(_SEPARATOR.match(text))
@@ -145,7 +163,7 @@ class Parser:
     def signs(text: str) -> bool:
         """Whether a line can stand in a signature: a name, a role, a firm, a way to reach someone."""
         s = text.strip()
-        return bool(_CONTACT.search(s) or _DEVICE.match(s) or _DELIMITER.match(s) or _NOTICE.search(s) or is_name(s) or (len(s.split()) <= 8 and _TITLE.search(s) and not s.endswith((".", "?", "!"))) or s.count("|") >= 1)
+        return bool(_CONTACT.search(s) or _DEVICE.match(s) or _DELIMITER.match(s) or is_notice(s) or is_name(s) or (len(s.split()) <= 8 and _TITLE.search(s) and not s.endswith((".", "?", "!"))) or s.count("|") >= 1)
 
     # --- rules -----------------------------------------------------------------------------------------------------------------------
     def message(self, lines: list[tuple[int, str]]) -> Node:
@@ -211,7 +229,7 @@ class Parser:
         text = lines[i][1]
         if _DEVICE.match(text):
             return "device"
-        if _NOTICE.search(text) and not self.authored_look(text):
+        if is_notice(text) and not self.authored_look(text):
             return "notice"
         if _CLOSING.match(text):
             return "closing"
@@ -255,7 +273,7 @@ class Parser:
 
 def tree(body: str | None, sender: str | None) -> Node:
     lines = [(k, x.rstrip("\r")) for k, x in enumerate((body or "").split("\n"), 1)]
-    return Parser(sender, len(body or "") in CUTS).message(lines)
+    return Parser(sender).message(lines)
 
 
 def new_lines(body: str | None, sender: str | None) -> list[int]:
@@ -289,12 +307,17 @@ def authored(mails: DataFrame) -> DataFrame:
     start = F.xxhash64("thread_id", F.col("lines")[0]["line"], F.coalesce(F.try_element_at(F.col("lines"), F.lit(2))["line"], F.lit("")))
     known = parsed.where("thread_id is not null and at is not null").select(start.alias("key"), "at", "gmail_message_id", "lines")
     first = known.groupBy("key").agg(F.min_by(F.struct("at", F.col("gmail_message_id").alias("by"), F.col("lines.line").alias("said")), F.struct("at", "gmail_message_id")).alias("f"))
-    asked = parsed.where("thread_id is not null and at is not null and size(lines) > 1").select("gmail_message_id", "thread_id", "at", F.posexplode("lines").alias("pos", "x"), "lines").where("pos > 0")
-    key = F.xxhash64("thread_id", F.col("x.line"), F.coalesce(F.try_element_at(F.col("lines"), F.col("pos") + 2)["line"], F.lit("")))
-    asked = asked.select("gmail_message_id", "at", "pos", F.col("x.no").alias("no"), key.alias("key"), F.slice(F.col("lines.line"), F.col("pos") + 1, F.size("lines")).alias("rest"))
-    pairs = F.zip_with("rest", F.slice(F.col("f.said"), F.lit(1), F.size("rest")), lambda a, b: F.coalesce(b.startswith(a), F.lit(False)))
+    asked = parsed.where("thread_id is not null and at is not null and size(lines) > 1")
+    # line and following line of each place, without the text around them
+    after = F.zip_with("lines", F.slice(F.col("lines"), F.lit(2), F.size("lines")), lambda x, y: F.struct(x["no"].alias("no"), x["line"].alias("line"), F.coalesce(y["line"], F.lit("")).alias("then")))
+    asked = asked.select("gmail_message_id", "thread_id", "at", F.posexplode(after).alias("pos", "x")).where("pos > 0 and x.no is not null")
+    asked = asked.select("gmail_message_id", "at", "pos", F.col("x.no").alias("no"), F.xxhash64("thread_id", "x.line", "x.then").alias("key"))
+    met = asked.join(first, "key").where(F.col("f.at") < F.col("at")).select("gmail_message_id", "pos", "no", F.col("f.said").alias("said"))
+    rest = F.slice(F.col("lines.line"), F.col("pos") + 1, F.size("lines"))
+    met = met.join(parsed.select("gmail_message_id", "lines"), "gmail_message_id").select("gmail_message_id", "no", rest.alias("rest"), "said")
+    pairs = F.zip_with("rest", F.slice(F.col("said"), F.lit(1), F.size("rest")), lambda a, b: F.coalesce(b.startswith(a), F.lit(False)))
     # the rest of the message, to its end, is what the earlier one said from its start
-    again = asked.join(first, "key").where(F.col("f.at") < F.col("at")).where(F.forall(pairs, lambda x: x)).where("size(rest) > 1 or size(f.said) = 1")
+    again = met.where(F.forall(pairs, lambda x: x)).where("size(rest) > 1 or size(said) = 1")
     cuts = again.groupBy("gmail_message_id").agg(F.min("no").alias("from_no"))
     out = parsed.join(cuts, "gmail_message_id", "left")
     return out.select("gmail_message_id", F.filter("lines", lambda x: F.coalesce(x["no"] < F.col("from_no"), F.lit(True))).alias("lines"))
