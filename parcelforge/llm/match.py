@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -115,11 +116,35 @@ def code_likeness(a: str, b: str) -> float | None:
     return 0.8 if " " not in a or " " not in b else 0.4
 
 
+def letter_bits(name: str) -> int:
+    """The set of a name's letters, as bits; letters beyond the basic ones share bits."""
+    out = 0
+    for c in set(name):
+        out |= 1 << ord(c) % 64
+    return out
+
+
+_apart: dict[tuple[str, str], int] = {}
+
+
+def name_distance(a: str, b: str) -> int:
+    """``distance`` of two names; a worker remembers it, the same names meet in several orders."""
+    if a == b:
+        return 0
+    key = (a, b) if a < b else (b, a)
+    d = _apart.get(key)
+    if d is None:
+        if len(_apart) > 200_000:
+            _apart.clear()
+        d = _apart[key] = distance(a, b, EDITS)
+    return d
+
+
 def confidence(a: tuple, b: tuple) -> float:
     """Weighted likeness of two (name, types, phase, town, code); 0 where the names or phases differ."""
     if a[2] != b[2]:
         return 0.0
-    d = distance(a[0], b[0], EDITS)
+    d = name_distance(a[0], b[0])
     if d > EDITS or d > 0.25 * min(len(a[0]), len(b[0])):
         return 0.0
     marks = [("name", 1 - d / max(len(a[0]), len(b[0])))]
@@ -154,19 +179,28 @@ def window_pairs(records: DataFrame, key, window: int = WINDOW, block: int = BLO
     blocks = ranked.select("uid", "side", "name", "types", "phase", "town", "code", "rank", home.alias("home"), F.explode(both).alias("block"))
 
     def compare(group: pa.Table) -> pa.Table:
-        cols = {c: group.column(c).to_pylist() for c in ("rank", "uid", "side", "name", "types", "phase", "town", "code", "home", "block")}
-        rows = sorted(zip(*cols.values()))
-        fields = [r[3:8] for r in rows]
+        group = group.take(np.argsort(group.column("rank").to_numpy()))
+        cols = {c: group.column(c).to_pylist() for c in ("uid", "side", "name", "types", "phase", "town", "code")}
+        fields = list(zip(*(cols[c] for c in ("name", "types", "phase", "town", "code"))))
+        n = len(fields)
+        new = group.column("home").to_numpy() == group.column("block").to_numpy()  # the others are the end of the block before
+        sizes = np.array([len(x) for x in cols["name"]], dtype=np.int32)
+        phases = np.unique(np.array(cols["phase"], dtype=object).astype(str), return_inverse=True)[1] if n else sizes
+        letters = np.array([letter_bits(x) for x in cols["name"]], dtype=np.uint64)
         out = []
-        for i, x in enumerate(rows):
-            for j in range(i + 1, min(i + window, len(rows))):
-                y = rows[j]
-                if y[8] != y[9]:
-                    continue  # both belong to the block before
-                c = confidence(fields[i], fields[j])
+        for step in range(1, min(window, n)):
+            i, j = slice(0, n - step), slice(step, n)
+            least = np.minimum(sizes[i], sizes[j])
+            most = np.minimum(EDITS, least // 4)
+            # an edit changes the length by one and the set of letters by two at most
+            may = new[j] & (phases[i] == phases[j]) & (np.abs(sizes[i] - sizes[j]) <= most) & (np.bitwise_count(letters[i] ^ letters[j]) <= 2 * most)
+            for k in np.flatnonzero(may).tolist():
+                m = k + step
+                c = confidence(fields[k], fields[m])
                 if c >= ACROSS:
-                    p, q = (x, y) if (x[2], x[1]) <= (y[2], y[1]) else (y, x)
-                    out.append((p[1], q[1], p[2], q[2], c))
+                    x, y = (cols["side"][k], cols["uid"][k]), (cols["side"][m], cols["uid"][m])
+                    p, q = (x, y) if x <= y else (y, x)
+                    out.append((p[1], q[1], p[0], q[0], c))
         cols = list(zip(*out)) if out else [()] * 5
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.float64())
         return pa.table([pa.array(c, k) for c, k in zip(cols, kinds)], names=["a", "b", "side_a", "side_b", "conf"])
