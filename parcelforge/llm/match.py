@@ -10,7 +10,7 @@ a window, so no block depends on how often a key occurs.
 The assignment is exact: a pair at least as good as the best alternatives of both sides together
 is settled at once; what is left falls into small components, each solved by the Hungarian method.
 
-Records without name match nothing; a missing town or postcode neither supports nor contradicts;
+A record without name matches only by the same full postcode and town; one that lacks these too matches nothing; a missing town or postcode neither supports nor contradicts;
 different phases of an estate never match; ties go to the smaller identifiers.
 """
 
@@ -31,6 +31,8 @@ from parcelforge.runtime import cut, table
 WINDOW, BLOCK = 12, 2000
 #: Least confidence of a pair across the tables and of a pair within one.
 ACROSS, WITHIN = 0.80, 0.86
+#: Confidence of a pair of which one has no name, and town and full postcode agree.
+NAMELESS = 0.80
 #: Weights of the fields, and most edits between two names.
 WEIGHTS = {"name": 0.6, "town": 0.2, "postcode": 0.15, "type": 0.05}
 EDITS = 3
@@ -95,10 +97,11 @@ def read_properties(df: DataFrame, key: str, side: int, places: tuple) -> DataFr
             for k, n, t, p, a in zip(*(b.column(i).to_pylist() for i in range(5))):
                 r = reader.read(a)
                 name, types, phase = read_name(n, reader)
-                if name:
+                code = read_code(p, r.postcode)
+                if name or " " in code:
                     own = [x for x in (reader.place(s.strip(" .")) for s in re.split(r"\s[-–]\s|,", (n or "").lower())) if x and x[0] == "town"]
                     r.towns += [x[1] for x in own]
-                    out.append((k, name, types, phase, reader.town(r, t, p), read_code(p, r.postcode)))
+                    out.append((k, name, types, phase, reader.town(r, t, p), code))
             cols = list(zip(*out)) if out else [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), *(pa.array(c, pa.string()) for c in cols[1:])], ["uid", "name", "types", "phase", "town", "code"])
 
@@ -141,7 +144,9 @@ def name_distance(a: str, b: str) -> int:
 
 
 def confidence(a: tuple, b: tuple) -> float:
-    """Weighted likeness of two (name, types, phase, town, code); 0 where the names or phases differ."""
+    """Weighted likeness of two (name, types, phase, town, code); 0 where the names or phases differ, ``NAMELESS`` at most where a name is missing."""
+    if not a[0] or not b[0]:
+        return NAMELESS if a[3] and a[3] == b[3] and " " in a[4] and a[4] == b[4] else 0.0
     if a[2] != b[2]:
         return 0.0
     d = name_distance(a[0], b[0])
@@ -185,7 +190,7 @@ def window_pairs(records: DataFrame, key, window: int = WINDOW, block: int = BLO
         n = len(fields)
         new = group.column("home").to_numpy() == group.column("block").to_numpy()  # the others are the end of the block before
         sizes = np.array([len(x) for x in cols["name"]], dtype=np.int32)
-        phases = np.unique(np.array(cols["phase"], dtype=object).astype(str), return_inverse=True)[1] if n else sizes
+        phases, towns, codes = (np.unique(np.array(cols[c], dtype=object).astype(str), return_inverse=True)[1] if n else sizes for c in ("phase", "town", "code"))
         letters = np.array([letter_bits(x) for x in cols["name"]], dtype=np.uint64)
         out = []
         for step in range(1, min(window, n)):
@@ -193,7 +198,8 @@ def window_pairs(records: DataFrame, key, window: int = WINDOW, block: int = BLO
             least = np.minimum(sizes[i], sizes[j])
             most = np.minimum(EDITS, least // 4)
             # an edit changes the length by one and the set of letters by two at most
-            may = new[j] & (phases[i] == phases[j]) & (np.abs(sizes[i] - sizes[j]) <= most) & (np.bitwise_count(letters[i] ^ letters[j]) <= 2 * most)
+            same_place = (codes[i] == codes[j]) & (towns[i] == towns[j]) & ((sizes[i] == 0) | (sizes[j] == 0))
+            may = new[j] & (same_place | (phases[i] == phases[j]) & (np.abs(sizes[i] - sizes[j]) <= most) & (np.bitwise_count(letters[i] ^ letters[j]) <= 2 * most))
             for k in np.flatnonzero(may).tolist():
                 m = k + step
                 c = confidence(fields[k], fields[m])
@@ -225,40 +231,36 @@ def components(edges: DataFrame) -> DataFrame:
     raise RuntimeError("components did not settle")
 
 
-def hungarian(weights: list[list[float]]) -> list[int]:
-    """Column assigned to each row (or -1) so that the total of positive weights is greatest."""
-    n, m = len(weights), max(len(weights), len(weights[0]))
-    cost = [[-(r[j] if j < len(r) else 0.0) for j in range(m)] for r in weights]
-    u, v, match = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+def hungarian(weights) -> list[int]:
+    """Column assigned to each row (or -1) so that the total of positive weights is greatest; rows by columns, no more rows than columns."""
+    w = np.asarray(weights, dtype=float)
+    n, m = w.shape
+    u, v, row_of = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, dtype=int)
     for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        row_of[0], j0 = i, 0
+        least, way, open_ = np.full(m + 1, np.inf), np.zeros(m + 1, dtype=int), np.ones(m + 1, dtype=bool)
         while True:
-            used[j0] = True
-            i0, delta, j1 = match[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    c = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if c < least[j]:
-                        least[j], way[j] = c, j0
-                    if least[j] < delta:
-                        delta, j1 = least[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[match[j]] += delta
-                    v[j] -= delta
-                else:
-                    least[j] -= delta
+            open_[j0] = False
+            i0 = row_of[j0]
+            c = -w[i0 - 1] - u[i0] - v[1:]
+            nearer = open_[1:] & (c < least[1:])
+            least[1:][nearer], way[1:][nearer] = c[nearer], j0
+            j1 = int(np.where(open_, least, np.inf).argmin())
+            delta = least[j1]
+            closed = ~open_
+            u[row_of[closed]] += delta
+            v[closed] -= delta
+            least[open_] -= delta
             j0 = j1
-            if not match[j0]:
+            if not row_of[j0]:
                 break
         while j0:
-            match[j0] = match[way[j0]]
+            row_of[j0] = row_of[way[j0]]
             j0 = way[j0]
     out = [-1] * n
     for j in range(1, m + 1):
-        if match[j] and j <= len(weights[0]) and weights[match[j] - 1][j - 1] > 0:
-            out[match[j] - 1] = j - 1
+        if (i := row_of[j]) and w[i - 1, j - 1] > 0:
+            out[i - 1] = j - 1
     return out
 
 
@@ -282,11 +284,11 @@ def assign(edges: DataFrame) -> DataFrame:
         xs, ys = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
         ix, iy = {x: i for i, x in enumerate(xs)}, {y: i for i, y in enumerate(ys)}
         flip = len(xs) > len(ys)
-        w = [[0.0] * (len(xs) if flip else len(ys)) for _ in range(len(ys) if flip else len(xs))]
+        w = np.zeros((len(ys), len(xs)) if flip else (len(xs), len(ys)))
         for a, b, c in rows:
             i, j = (iy[b], ix[a]) if flip else (ix[a], iy[b])
-            w[i][j] = max(w[i][j], c)
-        out = [((xs[j], ys[i]) if flip else (xs[i], ys[j])) + (w[i][j],) for i, j in enumerate(hungarian(w)) if j >= 0]
+            w[i, j] = max(w[i, j], c)
+        out = [((xs[j], ys[i]) if flip else (xs[i], ys[j])) + (float(w[i, j]),) for i, j in enumerate(hungarian(w)) if j >= 0]
         cols = list(zip(*out)) if out else [()] * 3
         return pa.table([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.float64()))], names=["a", "b", "conf"])
 

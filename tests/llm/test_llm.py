@@ -90,6 +90,12 @@ def test_assignment_has_the_greatest_total(spark, seed):
     assert sum(x[2] for x in got) == pytest.approx(best)
 
 
+def test_records_without_name_match_by_postcode_and_town():
+    named, other = ("oakmill", "park", "", "Ashby", "qx1 2ab"), ("", "", "", "Ashby", "qx1 2ab")
+    assert match.confidence(named, other) == match.NAMELESS == match.confidence(other, other)
+    assert match.confidence(named, ("", "", "", "Ashby", "qx1")) == 0 == match.confidence(named, ("", "", "", "", "qx1 2ab"))
+
+
 def test_windows_cross_blocks(spark):
     data = [(i, i % 2, f"name{i:04d}", "", "", "Ashby", "") for i in range(90)]
     df = spark.createDataFrame(data, "uid bigint, side int, name string, types string, phase string, town string, code string")
