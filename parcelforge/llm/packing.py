@@ -4,7 +4,8 @@ A text longer than the capacity is cut into full containers of its own and one r
 else stays whole.  The items are spread over shards of about ``SHARD`` items by a hash, and each
 shard is packed by itself: a first assignment, then a local search that takes the emptiest bins one
 after the other and moves their documents, or exchanges them one for one or two for one, into other
-underfull bins, wherever that increases the sum of squared fills, until bins empty.  The number of
+underfull bins, wherever that increases the sum of squared fills.  It ends where no move and no
+exchange increases it any more; the sum is bounded, so it does end.  The number of
 shards follows the number of items, so that the space lost at shard borders (less than a container
 a shard) stays a constant, small share.
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,10 +28,6 @@ from parcelforge.runtime import cut, table
 
 #: Items that one task packs at a time.
 SHARD = 20_000
-#: Passes of the local search over the underfull bins of a shard.
-PASSES = 3
-#: Bins tried for an exchange with a document, nearest in free space first.
-PARTNERS = 24
 #: Most rows of the table of limits, which is read on the driver.
 MAX_LIMITS = 1000
 
@@ -42,8 +40,13 @@ class Bins:
         self.items: list[list[tuple[int, int]]] = []  # (size, item) in each bin
         self.free: list[int] = []
         self.order: list[tuple[int, int]] = []  # (free, bin) of bins with free space, sorted
+        # of every bin, to find partners at once: free space, and the smallest item that fills any (the capacity and more where there is none)
+        self.spaces, self.least = np.zeros(64, dtype=np.int64), np.zeros(64, dtype=np.int64)
 
     def open(self) -> int:
+        if len(self.free) == len(self.spaces):
+            self.spaces, self.least = (np.concatenate([x, np.zeros_like(x)]) for x in (self.spaces, self.least))
+        self.spaces[len(self.free)], self.least[len(self.free)] = self.capacity, self.capacity + 1
         self.items.append([])
         self.free.append(self.capacity)
         insort(self.order, (self.capacity, len(self.free) - 1))
@@ -56,15 +59,20 @@ class Bins:
         if self.free[b]:
             del self.order[bisect_left(self.order, (self.free[b], b))]
         self.free[b] -= by
+        self.spaces[b] = self.free[b]
         if self.free[b]:
             insort(self.order, (self.free[b], b))
 
     def put(self, b: int, item: tuple[int, int]) -> None:
         self.items[b].append(item)
+        if 0 < item[0] < self.least[b]:
+            self.least[b] = item[0]
         self.change(b, item[0])
 
     def take(self, b: int, item: tuple[int, int]) -> None:
         self.items[b].remove(item)
+        if item[0] == self.least[b]:
+            self.least[b] = min((x[0] for x in self.items[b] if x[0]), default=self.capacity + 1)
         self.change(b, -item[0])
 
     def tightest(self, size: int, but: int = -1) -> int | None:
@@ -76,6 +84,13 @@ class Bins:
             i += 1
         return None
 
+    def partners(self, b: int, size: int) -> list[int]:
+        """The other bins, no emptier than b, that lack space for ``size`` but hold something smaller; most free space first."""
+        n = len(self.free)
+        free = self.spaces[:n]
+        found = np.flatnonzero((self.least[:n] < size) & (free > 0) & (free < size) & (free <= self.free[b]))
+        return [c for c in found[np.lexsort((-found, -free[found]))].tolist() if c != b]
+
     def fill(self, b: int) -> int:
         return self.capacity - self.free[b]
 
@@ -91,14 +106,8 @@ def first_assignment(sizes: list[tuple[int, int]], capacity: int) -> Bins:
 
 def better_exchange(bins: Bins, b: int, x: tuple[int, int]) -> bool:
     """Exchange document x of bin b for one or two smaller ones of a fuller bin that it then fills better."""
-    i = bisect_left(bins.order, (x[0], -1))
-    tried = 0
-    while i > 0 and tried < PARTNERS:
-        i -= 1
-        free, c = bins.order[i]
-        if c == b or bins.fill(c) < bins.fill(b):
-            continue
-        tried += 1
+    for c in bins.partners(b, x[0]):
+        free = bins.free[c]
         least = x[0] - free  # what has to leave c, and leave it fuller than before
         here = sorted(y for y in bins.items[c] if 0 < y[0] < x[0])
         one = bisect_left(here, (least, -1))
@@ -128,9 +137,10 @@ def better_exchange(bins: Bins, b: int, x: tuple[int, int]) -> bool:
     return False
 
 
-def improve(bins: Bins, passes: int = PASSES) -> None:
-    """The local search; every step increases the sum of squared fills."""
-    for _ in range(passes):
+def improve(bins: Bins) -> None:
+    """The local search; every step increases the sum of squared fills, until none does."""
+    changed = True
+    while changed:
         changed = False
         for b in [b for _, b in sorted(bins.order, reverse=True)]:
             if not bins.items[b] or not bins.free[b]:
@@ -149,14 +159,12 @@ def improve(bins: Bins, passes: int = PASSES) -> None:
                     changed = True
                 elif better_exchange(bins, b, x):
                     changed = True
-        if not changed:
-            return
 
 
-def pack(sizes: list[tuple[int, int]], capacity: int, passes: int = PASSES) -> list[list[tuple[int, int]]]:
+def pack(sizes: list[tuple[int, int]], capacity: int) -> list[list[tuple[int, int]]]:
     """Bins of (size, item); no size may exceed the capacity."""
     bins = first_assignment(sizes, capacity)
-    improve(bins, passes)
+    improve(bins)
     return [b for b in bins.items if b]
 
 

@@ -208,6 +208,31 @@ def test_local_search_empties_bins():
     assert sum(b.fill(k) ** 2 for k in range(4)) > before and sum(bool(x) for x in b.items) == 2
 
 
+def test_local_search_ends_where_nothing_improves():
+    for seed in range(5):
+        r = random.Random(seed)
+        sizes = [(r.randint(1, 40), i) for i in range(120)]
+        b = packing.first_assignment(sizes, 50)
+        for k in range(0, len(b.items), 2):  # torn apart, so that there is something to do
+            for x in b.items[k][1:]:
+                b.take(k, x)
+                b.put(b.open(), x)
+        packing.improve(b)
+        assert all(b.free[k] == 50 - sum(x[0] for x in b.items[k]) == b.spaces[k] for k in range(len(b.items)))
+        for k, own in enumerate(b.items):
+            for x in own:
+                for c, there in enumerate(b.items):
+                    if c == k or not there or not own or b.fill(c) < b.fill(k):
+                        continue
+                    outs = [0, *(y[0] for y in there), *(p[0] + q[0] for p, q in itertools.combinations(there, 2))]
+                    assert not [y for y in outs if y < x[0] and x[0] - y <= b.free[c] and x[0]], (k, c)
+
+
+def test_many_like_items_are_packed_quickly():
+    bins = packing.pack([(60 + i % 3, i) for i in range(6000)], 100)
+    assert len(bins) == 6000
+
+
 @needs_vocabulary
 def test_p9(spark, data):
     out = packing.p9_packing(spark, data)
