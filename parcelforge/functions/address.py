@@ -281,8 +281,8 @@ class AddressReader:
             got = self.codes[text] = (f"{m[1]} {m[2]}".upper() if m else "", self.town_of.get(out[1], "") if out else "")
         return got
 
-    def town(self, reading: Reading, town: str | None, postcode: str | None) -> str:
-        """The town that address, town column and postcode column together speak for, or ''."""
+    def towns_of(self, reading: Reading, town: str | None, postcode: str | None) -> tuple[str, str, float]:
+        """(town, rival, lead): the towns that address, town column and postcode column together speak for most and next, or '', and by how many votes the first leads."""
         votes: dict[str, float] = {}
         for t in reading.towns:
             votes[t] = votes.get(t, 0) + 3
@@ -293,5 +293,11 @@ class AddressReader:
         if t := self.code_of_column(postcode)[1]:
             votes[t] = votes.get(t, 0) + 2.5
         if len(votes) < 2:
-            return next(iter(votes), "")
-        return max(votes, key=lambda t: (votes[t], t))
+            return next(iter(votes), ""), "", 0.0
+        best = max(votes, key=lambda t: (votes[t], t))
+        next_ = max((t for t in votes if t != best), key=lambda t: (votes[t], t))
+        return best, next_, votes[best] - votes[next_]
+
+    def town(self, reading: Reading, town: str | None, postcode: str | None) -> str:
+        """The town that address, town column and postcode column together speak for, or ''."""
+        return self.towns_of(reading, town, postcode)[0]

@@ -39,13 +39,14 @@ def reader_of(rows: tuple) -> AddressReader:
     return _readers[key]
 
 
-def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None, more=None) -> DataFrame:
+def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None, more=None, rivals: bool = False) -> DataFrame:
     """The columns ``keep`` of each row and the parts of its address.
 
     ``town`` is what address, town column and postcodes together speak for, ``pc`` the full
     postcode of the address or else of the column.  With ``deal``, ``tenant`` and ``unit_name``
     also ``deal_key``, ``tenant_key`` and ``unit_col``.  Null or blank inputs give ''.
     ``more`` = (columns, schema, function): further columns made in the same pass from the Arrow columns named.
+    With ``rivals`` also ``rival``, the town that is spoken for next, and ``lead``, by how many votes the first leads.
     """
     extra = [(deal, "deal_key", deal_key), (tenant, "tenant_key", occupier_key), (unit_name, "unit_col", unit_code)]
     extra = [x for x in extra if x[0]]
@@ -53,21 +54,27 @@ def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="addre
     sources = list(dict.fromkeys([*keep, address, town, postcode, *(x[0] for x in extra), *more_in]))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*keep).dtypes), READING, *(f"{n} string" for _, n, _ in extra), *([more_schema] if more_schema else [])])
     names = [x.split()[0] for x in READING.split(", ")]
+    rival_schema = ["rival string", "lead float"] if rivals else []
+    schema = ", ".join([schema, *rival_schema])
     more_names = [x.split()[0] for x in more_schema.split(", ") if x]
 
     def read(batches):
         reader = reader_of(places)
         for batch in batches:
             at = {c: batch.column(i) for i, c in enumerate(sources)}
-            out = []
+            out, others = [], []
             for a, t, p in zip(at[address].to_pylist(), at[town].to_pylist(), at[postcode].to_pylist()):
                 r = reader.read(a)
-                out.append((reader.town(r, t, p), r.number, r.unit, r.street, r.street_type, r.estate, r.postcode or reader.code_of_column(p)[0]))
+                place, *other = reader.towns_of(r, t, p)
+                others.append(other)
+                out.append((place, r.number, r.unit, r.street, r.street_type, r.estate, r.postcode or reader.code_of_column(p)[0]))
             cols = list(zip(*out)) if out else [()] * len(names)
             made = [pa.array(c, pa.string()) for c in cols]
             made += [mapped(at[c], f, n) for c, n, f in extra]
             made += more_of({c: at[c] for c in more_in}, reader) if more_of else []
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra), *more_names])
+            if rivals:
+                made += [pa.array([x[0] for x in others], pa.string()), pa.array([x[1] for x in others], pa.float32())]
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra), *more_names, *(x.split()[0] for x in rival_schema)])
 
     return df.select(*sources).mapInArrow(read, schema)
 
@@ -80,21 +87,35 @@ def _rank(street: str) -> Column:
     return F.xxhash64(street).bitwiseAND((1 << _BITS // 2) - 1)
 
 
+#: Counts below 2^_EXACT keep their own level; above, levels rise by a 65,536th of a doubling, so that no count needs more than 23 bits.
+_EXACT, _STEPS = 22, 65_536
+
+
+def level(n: Column) -> Column:
+    """A count of any size as a number of 23 bits that keeps the order."""
+    high = (1 << _EXACT) + F.floor((F.log2(n) - _EXACT) * _STEPS)
+    return F.when(n < (1 << _EXACT), n).otherwise(high).cast("bigint")
+
+
+def of_level(n: Column) -> Column:
+    """The count of a level, at most a 90,000th part too small."""
+    return F.when(n < (1 << _EXACT), n.cast("double")).otherwise(F.pow(F.lit(2.0), F.lit(float(_EXACT)) + (n - (1 << _EXACT)) / _STEPS))
+
+
 def _parents(spellings: DataFrame, within: list[str], ratio: float) -> DataFrame:
     """(within, street, parent): for each spelling the most frequent one at most two edits away that outnumbers it ``ratio`` times.
 
     Spellings meet on shared one-letter deletions, and each deletion keeps only its most frequent
     spelling, so no group is ever paired with itself.  The meeting runs on numbers: a deletion is a hash, a
-    spelling its hash's low bits under its count; texts are joined back to the few pairs found, and compared.
+    spelling its hash's low bits under its count's ``level``; texts are joined back to the few pairs found, and compared.
     """
     sid = F.shiftleft(_rank("street"), _BITS // 2).bitwiseOR(F.xxhash64(*within, "street").bitwiseAND((1 << _BITS // 2) - 1))
-    count = F.least(F.col("n"), F.lit((1 << 22) - 1))
     words = spellings.select(*within, "street", "n", sid.alias("sid"))
-    kept = F.expr("filter(array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1))))), x -> length(x) > 3)")
-    keys = words.select("sid", count.alias("n"), F.explode(F.transform(kept, lambda x: F.xxhash64(*within, x))).alias("key"))
+    kept = F.expr("array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))))")
+    keys = words.select("sid", level(F.col("n")).alias("n"), F.explode(F.transform(kept, lambda x: F.xxhash64(*within, x))).alias("key"))
     best = keys.groupBy("key").agg(F.max(F.shiftleft("n", _BITS).bitwiseOR(F.col("sid"))).alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
     found = keys.join(best, "key").select("sid", "n", F.col("best").bitwiseAND((1 << _BITS) - 1).alias("other"), F.shiftright("best", _BITS).alias("on"))
-    found = found.where((F.col("sid") != F.col("other")) & (F.col("on") >= F.col("n") * ratio)).distinct()
+    found = found.where((F.col("sid") != F.col("other")) & (of_level(F.col("on")) >= of_level(F.col("n")) * ratio)).distinct()
     mine, theirs = words.select("sid", *within, "street"), words.select(F.col("sid").alias("other"), *within, F.col("street").alias("parent"), F.col("n").alias("pn"))
     pairs = found.select("sid", "other").join(mine, "sid").join(theirs, ["other", *within])
     pairs = pairs.where(F.levenshtein("parent", "street") <= 2)

@@ -250,3 +250,21 @@ def test_pipeline(spark):
     assert rows(new, "gmail_message_id", "confidence") == [("a", 0.9), ("b", 1.0)]
     answers = spark.createDataFrame([("a", '{"deals": [{"asset_name": null, "town": "Ashby", "rent_pa": "£5"}]}')], "request_key string, response string")
     assert rows(pipeline.deals_of(new, extract.ReplayExtractor(answers)), "gmail_message_id", "asset_name", "town", "rent_pa") == [("a", "Oak Mill", "Ashby", 5.0)]
+
+
+def test_levels_keep_counts_of_any_size(spark):
+    from parcelforge.operators.places import level, of_level
+
+    ns = [1, 7, (1 << 22) - 1, 1 << 22, 5_000_000, 15_100_000, 10**12]
+    got = spark.createDataFrame([(n,) for n in ns], "n bigint").select("n", level(F.col("n")).alias("l")).withColumn("m", of_level(F.col("l"))).orderBy("n").collect()
+    assert [r["l"] for r in got] == sorted({r["l"] for r in got}) and max(r["l"] for r in got) < 1 << 23
+    assert all(abs(r["m"] - r["n"]) <= r["n"] / 90_000 for r in got)
+
+
+def test_short_street_spellings_are_clustered(spark):
+    from parcelforge.operators.places import street_gazetteer
+
+    rows_ = [("Ashby", "lane", "oak", "12")] * 3 + [("Ashby", "lane", "oka", "12")] + [("Ashby", "lane", "elm", "9")] * 2
+    df = spark.createDataFrame(rows_, "town string, stype string, street string, number string")
+    got = {r["street"]: r["canonical"] for r in street_gazetteer(df).collect()}
+    assert got == {"oak": "oak", "oka": "oak", "elm": "elm"}
