@@ -22,13 +22,31 @@ def test_p1(spark, data):
     assert got == [("deal-1", "inv-3"), ("deal-1", "inv-4"), ("deal-1", "inv-5"), ("inv-3", "inv-4"), ("inv-3", "inv-5"), ("inv-4", "inv-5"), ("occ-1", "occ-2"), ("occ-1", "occ-9"), ("occ-2", "occ-9"), ("occ-4", "occ-5")]
 
 
+def resolved(spark, records):
+    """street_id of (town, stype, street, number, pc, rival, lead) records."""
+    df = spark.createDataFrame([(f"r{i}", *x) for i, x in enumerate(records)], "rec string, town string, stype string, street string, number string, pc string, rival string, lead float")
+    return {r["rec"]: r["street_id"] for r in same_address.resolve(df).collect()}
+
+
 def test_beam_prefers_the_street_that_has_the_number_and_postcode(spark):
-    base = [("Ashby", "lane", "pellworth", "12", "QX1 2AB", "")] * 4 + [("Ashby", "lane", "pollworth", "30", "QX1 9ZZ", "")] * 4 + [("Ashby", "lane", "pllworth", "12", "QX1 2AB", "")]
-    df = spark.createDataFrame([(f"r{i}", *x) for i, x in enumerate(base)], "rec string, town string, stype string, street string, number string, pc string, unit string")
-    got = {r["rec"]: r["street_id"] for r in same_address.resolve(df).collect()}
+    base = [("Ashby", "lane", "pellworth", "12", "QX1 2AB")] * 4 + [("Ashby", "lane", "pollworth", "30", "QX1 9ZZ")] * 4 + [("Ashby", "lane", "pllworth", "12", "QX1 2AB")]
+    got = resolved(spark, [(*x, "", 0.0) for x in base])
     assert got["r8"] == got["r0"] != got["r4"]
 
 
+def test_beam_weighs_towns_and_types(spark):
+    known = [("Ashby", "lane", "pellworth", "12", "QX1 2AB", "", 0.0)] * 5 + [("Ashby", "road", "pellworth", "7", "QX1 2AC", "", 0.0)] * 5
+    odd = [
+        ("Corby", "lane", "pellworth", "12", "QX1 2AB", "Ashby", 0.5),  # number and postcode speak for the rival town
+        ("Corby", "lane", "pellworth", "99", "", "Ashby", 3.0),  # nothing does
+        ("Ashby", "road", "pellworth", "12", "QX1 2AB", "", 0.0),  # ... for the other street type
+        ("Ashby", "", "pellworth", "12", "", "", 0.0),  # no type read
+        ("", "lane", "pellworth", "12", "", "", 0.0),
+    ]
+    got = resolved(spark, known + odd)
+    assert got["r10"] == got["r0"] != got["r11"] and got["r12"] == got["r0"] != got["r5"] and got["r13"] == got["r0"] and got["r14"] is None
+
+
 # --- survivor ---------------------------------------------------------------------------------------------------------------------------------
 def test_consensus():
     assert survivor.closest([("Oak Mill Ltd", 25), ("Oaak Mill Ltd", 12), ("OAK MILL", 11)]) == "Oak Mill Ltd"
