@@ -108,11 +108,14 @@ class Speller:
         for w in sorted(self.words):
             for k in deletions(w):
                 self.keys.setdefault(k, []).append(w)
+        self.longest = max(map(len, self.words), default=0)
         self.memo = {}
 
     def nearest(self, word: str) -> str | None:
         if word in self.words:
             return word
+        if len(word) > self.longest + 1:  # no common deletion
+            return None
         if word not in self.memo:
             if len(self.memo) > 200_000:
                 self.memo.clear()
@@ -228,7 +231,8 @@ class AddressReader:
         if m := _UNIT.search(s):
             r.unit = m[1].lstrip("0") or "0"
             s = s[: m.start()] + "," + s[m.end() :]
-        s = _RANGE.sub(r"\1-\2", s)
+        if "-" in s or "/" in s or "to" in s:
+            s = _RANGE.sub(r"\1-\2", s)
         for seg in _SEG.split(s):
             seg = " ".join(seg.split()).strip(" .:")
             if not seg:

@@ -155,8 +155,8 @@ def cluster(items: list[tuple]) -> list[int]:
 MARKS = ["tenant_key", "starts", "ends", "rent_pa", "rent_psf"]
 
 
-def _cluster_partition(names: list[str], value: str | None):
-    """Adds ``letting_id`` (and with ``value`` what is common in each letting) to rows that come sorted by unit; a unit may go over the end of a batch."""
+def _cluster_partition(names: list[str], more):
+    """Adds ``letting_id`` (and what ``more`` makes of it) to rows that come sorted by unit; a unit may go over the end of a batch."""
     at = [names.index(c) for c in MARKS]
 
     def done(b):
@@ -175,21 +175,11 @@ def _cluster_partition(names: list[str], value: str | None):
             for c, sig in zip(groups, found[i:j].tolist()):
                 name[c] = min(name.get(c, sig), sig)
             found[i:j] = [name[c] for c in groups]
-        extra = [] if value is None else common(b, found)
-        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64()), *extra], [*names, "letting_id", *(["common", "holders"] if extra else [])])
-
-    def common(b, found):
-        """For each row the value that most rows of its letting hold (the smaller on ties), and how many hold one."""
-        values, counts = b.column(names.index(value)).to_pylist(), b.column(names.index("n")).to_pylist()
-        held: dict[int, dict[float, int]] = {}
-        for k, v, n in zip(found.tolist(), values, counts):
-            if v is not None and v > 0:
-                v = round(v, 2)
-                own = held.setdefault(k, {})
-                own[v] = own.get(v, 0) + n
-        best = {k: (min(own, key=lambda v: (-own[v], v)), sum(own.values())) for k, own in held.items()}
-        got = [best.get(k, (None, 0)) for k in found.tolist()]
-        return [pa.array([x[0] for x in got], pa.float64()), pa.array([x[1] for x in got], pa.int64())]
+        b = pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.int64())], [*names, "letting_id"])
+        if more:
+            made = more[1](b)
+            b = pa.RecordBatch.from_arrays([*b.columns, *made.values()], [*b.schema.names, *made])
+        return b
 
     def run(batches):
         rest = None
@@ -218,15 +208,14 @@ def signatures(comps: DataFrame, places: tuple, keep: list[str], more=None) -> D
     return rows.withColumn("sig", F.xxhash64("unit_key", "deal", *MARKS))
 
 
-def cluster_signatures(marks: DataFrame, value: str | None = None) -> DataFrame:
+def cluster_signatures(marks: DataFrame, more=None) -> DataFrame:
     """``marks`` (one row per signature, starting with unit_key and sig, with ``MARKS``) with ``letting_id``.
 
-    With ``value``, a numeric column, also ``common``, its most frequent number above zero (two places) in the
-    letting by the rows ``n`` of each signature, and ``holders``, the rows that hold one.
+    ``more`` = (schema, function): further columns that the function makes of Arrow batches of whole units with ``letting_id``.
     """
     names = marks.columns
-    schema = ", ".join([*(f"`{c}` {t}" for c, t in marks.dtypes), "letting_id bigint", *(["common double, holders bigint"] if value else [])])
-    return marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig").mapInArrow(_cluster_partition(names, value), schema)
+    schema = ", ".join([*(f"`{c}` {t}" for c, t in marks.dtypes), "letting_id bigint", *([more[0]] if more else [])])
+    return marks.repartition("unit_key").sortWithinPartitions("unit_key", "sig").mapInArrow(_cluster_partition(names, more), schema)
 
 
 def letting_rows(comps: DataFrame, places: tuple, keep: list[str]) -> DataFrame:

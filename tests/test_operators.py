@@ -93,13 +93,37 @@ def test_p5(spark, data):
     assert len(masks) == 9 and masks[1]["town_was_missing"] is False and masks[3]["rent_psf_was_missing"] is True
 
 
+PLACED = "cid bigint, n bigint, street_id bigint, deal string, town int, postcode bigint, town_g int, town_m bigint, postcode_g bigint, postcode_m bigint"
+
+
 def test_places_are_chained(spark):
-    """A town from the postcode of a row elsewhere, also where the postcode itself is filled only by an earlier equation."""
-    cols = "id bigint, street_id bigint, deal string, town int, postcode bigint"
-    data = spark.createDataFrame([(1, 10, "a", 1, 100), (2, 20, "b", None, 100), (3, 30, "c", None, 200), (4, 30, "d", None, None), (5, 40, "e", 2, 200), (6, None, None, None, None)], cols).withColumns({"town_filled": F.col("town"), "postcode_filled": F.col("postcode")})
-    whole = F.col("town").isNotNull() & F.col("postcode").isNotNull()
-    got = impute.chain_classifiers(data.where(~whole), data.where(whole), impute.PLACE_EQUATIONS)
-    assert rows(got, "id", "town_filled", "postcode_filled") == [(2, 1, 100), (3, 2, 200), (4, 2, 200), (6, None, None)]
+    """A town from the postcode of a row elsewhere, also where the postcode itself is filled only by an earlier equation; the unit's own value where it holds one."""
+    data = [(1, 10, "a", 1, 100), (2, 20, "b", None, 100), (3, 30, "c", None, 200), (4, 30, "d", None, None), (5, 40, "e", 2, 200), (6, None, None, None, None)]
+    rows_ = [(k, 1, s, d, t, p, None, None, None, None) for k, s, d, t, p in data] + [(7, 1, 50, "f", None, 100, 1, 3, 100, 3)]
+    got = impute.chain_classifiers(spark.createDataFrame(rows_, PLACED), "cid")
+    assert rows(got, "cid", "town_filled", "postcode_filled") == [(2, 1, 100), (3, 2, 200), (4, 2, 200), (6, None, None), (7, 1, 100)]
+
+
+def test_guesses_vote_by_how_often_they_are_right(spark):
+    """A unit that is often wrong is outvoted by a street that is always right; without the equations nothing is filled."""
+    rows_ = [(i, 1, 10, "a", 1, None, 2, 5, None, None) for i in range(40)] + [(100, 1, 10, "a", None, None, 2, 5, None, None)]
+    df = spark.createDataFrame(rows_, PLACED)
+    got = {r["cid"]: r["town_filled"] for r in impute.chain_classifiers(df, "cid").collect()}
+    assert got[100] == 1
+    assert impute.log_odds(99, 100) > impute.log_odds(60, 100) > impute.log_odds(None, None) > 0
+
+
+def test_group_values():
+    import numpy as np
+
+    k, v, n = np.array([1, 1, 1, 2, 2, 3]), np.array([5.0, 4.0, 4.0, 7.0, 6.0, np.nan]), np.array([2, 1, 1, 1, 1, 1])
+    got = [x.tolist() for x in impute.tally(k, v, n)]
+    assert got == [[1, 2], [4.0, 6.0], [2, 1], [4, 2], [4.0, 6.0], [5.0, 7.0]]
+    spread = impute.spread_out(np.array([3, 2]), impute.tally(k, v, n))
+    assert np.isnan(spread[0][0]) and spread[0][1] == 6.0 and spread[2].tolist() == [0, 2]
+    assert impute.spread_out(k, impute.tally(k[:0], v[:0], n[:0]))[2].tolist() == [0] * 6
+    scale = impute.implied_scales(np.array([100.0, 100.0, 100.0]), np.array([1076.4, 500.0, np.nan]), np.array([1076.4, 1076.4, np.nan]))
+    assert scale[0] == pytest.approx(10.764, rel=1e-3) and scale[1] == scale[2] == 1.0
 
 
 def test_regression(spark):
@@ -113,15 +137,33 @@ def test_every_missing_number_is_filled(spark):
     """Also where two or all of the three numbers lack; what is held stays as it is."""
     held = [(i, 1000.0 + 37 * i, 5.0 + i % 7) for i in range(40)]
     data = [(i, s * p, s, p) for i, s, p in held] + [(50, None, None, None), (51, 12000.0, None, None), (52, None, 2000.0, None), (53, None, None, 8.0), (54, 16000.0, None, 8.0)]
-    df = spark.createDataFrame(data, "id bigint, rent_pa_filled double, size_sqft_filled double, rent_psf_filled double")
-    got = {r["id"]: r for r in impute.chain_regressions(df, "id", impute.NUMBER_EQUATIONS).collect()}
-    assert all(r[c] is not None and r[c] > 0 for r in got.values() for c in df.columns[1:])
+    fields = ["rent_pa", "size_sqft", "rent_psf"]
+    df = spark.createDataFrame(data, "cid bigint, rent_pa double, size_sqft double, rent_psf double").withColumn("n", F.lit(1))
+    got = {r["cid"]: r for r in impute.chain_regressions(df, "cid").collect()}
+    assert len(got) == 45 and all(r[f"{c}_filled"] is not None and r[f"{c}_filled"] > 0 for r in got.values() for c in fields)
     assert got[54]["size_sqft_filled"] == pytest.approx(2000, rel=0.01)
-    assert all(got[i][c] == v for i, *values in data for c, v in zip(df.columns[1:], values) if v is not None)
-    none = impute.chain_regressions(df.withColumn("rent_pa_filled", F.lit(None).cast("double")), "id", impute.NUMBER_EQUATIONS).collect()
+    assert all(got[i][f"{c}_filled"] == v for i, *values in data for c, v in zip(fields, values) if v is not None)
+    none = impute.chain_regressions(df.withColumn("rent_pa", F.lit(None).cast("double")), "cid").collect()
     assert all(r["rent_pa_filled"] is None and r["size_sqft_filled"] > 0 and r["rent_psf_filled"] > 0 for r in none)
 
 
+def test_numbers_come_from_the_unit_by_the_equation(spark):
+    """Of the values that a unit holds the one nearest to the prediction is taken: the usual one, or the one that the row's own rents speak for; another fit, another value."""
+    r = random.Random(3)
+    data = []
+    for i in range(120):
+        g, f = 1000.0 + 61 * i, 5.0 + i % 7
+        # rows of torn units hold either value; their rents tell which
+        own = g if i % 3 else g * 1.5
+        data.append((i, own * f * r.uniform(0.99, 1.01), own, f, g, g, g * 1.5, 5))
+    data += [(200, 15000 * 8.0, None, 8.0, 10000.0, 10000.0, 15000.0, 5), (201, 10000 * 8.0, None, 8.0, 10000.0, 10000.0, 15000.0, 5), (202, None, None, None, 7000.0, 7000.0, 7000.0, 5)]
+    df = spark.createDataFrame(data, "cid bigint, rent_pa double, size_sqft double, rent_psf double, size_sqft_g double, size_sqft_lo double, size_sqft_hi double, size_sqft_m bigint").withColumn("n", F.lit(1))
+    got = {r["cid"]: r["size_sqft_filled"] for r in impute.chain_regressions(df, "cid").collect()}
+    assert got[200] == 15000 and got[201] == 10000 and got[202] == 7000
+    unfitted = {r["cid"]: r["size_sqft_filled"] for r in impute.chain_regressions(df, "cid", rounds=0).collect()}
+    assert unfitted[200] == 10000
+
+
 def test_clean_cascade(spark, data):
     out = {r["id"]: r for r in clean.clean_occupational(table(spark, data, "raw_occupational_comps"), table(spark, data, "place_dim"), "2026-06-30").collect()}
     assert len(out) == 9
