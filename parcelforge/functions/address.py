@@ -127,7 +127,7 @@ class Speller:
 
 @dataclass
 class Reading:
-    """Parts of one address; '' where absent."""
+    """Parts of one address; '' where absent; the estate as it is written."""
 
     unit: str = ""
     number: str = ""
@@ -206,7 +206,7 @@ class AddressReader:
         last = words[-1].strip(".")
         named = ESTATE_WORDS.get(last, last).split()[-1]
         if not out and (named in ESTATE_LAST or named.isdigit()):
-            return (("estate", estate_name(rest)),)
+            return (("estate", rest),)
         cut = len(words) if self.type_of(words[-1]) and len(words) > 1 else 0
         if not cut and len(words) > 2:  # a town or county may follow the street without a comma
             for k in range(len(words) - 1, 1, -1):
@@ -216,7 +216,7 @@ class AddressReader:
                     break
         if cut:
             return (*out, ("street", " ".join(words[: cut - 1]).replace("'", "")), ("type", self.type_of(words[cut - 1])))
-        return (*out, ("street" if out else "estate", " ".join(words) if out else estate_name(rest)))
+        return (*out, ("street" if out else "estate", " ".join(words) if out else rest))
 
     def read(self, address: str | None) -> Reading:
         r = Reading()

@@ -33,7 +33,7 @@ from parcelforge.functions.address import Reading, is_missing
 from parcelforge.functions.arrowmap import mapped
 from parcelforge.operators.areas import OTHERS, RATIO, SQFT, _words, floor_unit
 from parcelforge.operators.lettings import MARKS, cluster_signatures, signatures
-from parcelforge.operators.places import place_rows, reader_of
+from parcelforge.operators.places import level, of_level, place_rows, reader_of
 from parcelforge.runtime import cut, table
 
 #: Rounds of the chained equations.
@@ -108,11 +108,18 @@ def log_odds(right: float | None, of: float | None) -> float:
     return math.log(p / (1 - p))
 
 
+#: Bits of the number of a town or of a postcode (seven digits of base 36).
+_VALUE_BITS = 37
+
+
 def guesses(known: DataFrame, keys: list[str], field: str, name: str) -> DataFrame:
     """(keys, <name>, <name>_m): in each group the value that most rows (``n``) hold, the smaller on ties, and how many do."""
     counts = known.dropna(subset=[*keys, field]).groupBy(*keys, field).agg(F.sum("n").alias("n"))
-    top = counts.groupBy(*keys).agg(F.max(F.struct("n", (-F.col(field)).alias("v"))).alias("top"))
-    return top.select(*keys, (-F.col("top.v")).alias(name), F.col("top.n").alias(f"{name}_m"))
+    # count and value in one number
+    rank = F.shiftleft(level(F.col("n")), _VALUE_BITS).bitwiseOR(F.lit((1 << _VALUE_BITS) - 1) - F.col(field))
+    top = counts.groupBy(*keys).agg(F.max(rank).alias("top"))
+    value = F.lit((1 << _VALUE_BITS) - 1) - F.col("top").bitwiseAND((1 << _VALUE_BITS) - 1)
+    return top.select(*keys, value.alias(name), F.round(of_level(F.shiftright("top", _VALUE_BITS))).cast("bigint").alias(f"{name}_m"))
 
 
 def credits(df: DataFrame, field: str, inputs: list[str]) -> list[tuple[str, float]]:

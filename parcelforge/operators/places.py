@@ -10,14 +10,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.address import AddressReader, unit_code
+from parcelforge.functions.address import AddressReader, estate_name, unit_code
 from parcelforge.functions.arrowmap import mapped
 from parcelforge.functions.names import deal_key, occupier_key
 from parcelforge.runtime import cut
 
 #: Most rows of a place table that are handed to every worker; a larger one is refused.
 MAX_PLACES = 50_000
-READING = "town string, number string, unit string, street string, stype string, estate string, pc string"
+READING = "town string, number string, unit string, street string, stype string, pc string"
 
 _readers: dict[tuple, AddressReader] = {}
 
@@ -39,14 +39,14 @@ def reader_of(rows: tuple) -> AddressReader:
     return _readers[key]
 
 
-def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None, more=None, rivals: bool = False) -> DataFrame:
+def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="address", town="town", postcode="postcode", unit_name=None, deal=None, tenant=None, more=None, full: bool = False) -> DataFrame:
     """The columns ``keep`` of each row and the parts of its address.
 
     ``town`` is what address, town column and postcodes together speak for, ``pc`` the full
     postcode of the address or else of the column.  With ``deal``, ``tenant`` and ``unit_name``
     also ``deal_key``, ``tenant_key`` and ``unit_col``.  Null or blank inputs give ''.
     ``more`` = (columns, schema, function): further columns made in the same pass from the Arrow columns named.
-    With ``rivals`` also ``rival``, the town that is spoken for next, and ``lead``, by how many votes the first leads.
+    With ``full`` also ``estate`` and ``rival``, the town that is spoken for next, and ``lead``, by how many votes the first leads.
     """
     extra = [(deal, "deal_key", deal_key), (tenant, "tenant_key", occupier_key), (unit_name, "unit_col", unit_code)]
     extra = [x for x in extra if x[0]]
@@ -54,8 +54,8 @@ def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="addre
     sources = list(dict.fromkeys([*keep, address, town, postcode, *(x[0] for x in extra), *more_in]))
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.select(*keep).dtypes), READING, *(f"{n} string" for _, n, _ in extra), *([more_schema] if more_schema else [])])
     names = [x.split()[0] for x in READING.split(", ")]
-    rival_schema = ["rival string", "lead float"] if rivals else []
-    schema = ", ".join([schema, *rival_schema])
+    full_schema = ["estate string", "rival string", "lead float"] if full else []
+    schema = ", ".join([schema, *full_schema])
     more_names = [x.split()[0] for x in more_schema.split(", ") if x]
 
     def read(batches):
@@ -66,15 +66,15 @@ def read_addresses(df: DataFrame, places: tuple, keep: list[str], address="addre
             for a, t, p in zip(at[address].to_pylist(), at[town].to_pylist(), at[postcode].to_pylist()):
                 r = reader.read(a)
                 place, *other = reader.towns_of(r, t, p)
-                others.append(other)
-                out.append((place, r.number, r.unit, r.street, r.street_type, r.estate, r.postcode or reader.code_of_column(p)[0]))
+                others.append((estate_name(r.estate) if full else "", *other))
+                out.append((place, r.number, r.unit, r.street, r.street_type, r.postcode or reader.code_of_column(p)[0]))
             cols = list(zip(*out)) if out else [()] * len(names)
             made = [pa.array(c, pa.string()) for c in cols]
             made += [mapped(at[c], f, n) for c, n, f in extra]
             made += more_of({c: at[c] for c in more_in}, reader) if more_of else []
-            if rivals:
-                made += [pa.array([x[0] for x in others], pa.string()), pa.array([x[1] for x in others], pa.float32())]
-            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra), *more_names, *(x.split()[0] for x in rival_schema)])
+            if full:
+                made += [pa.array([x[k] for x in others], t) for k, t in enumerate((pa.string(), pa.string(), pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*(at[c] for c in keep), *made], [*keep, *names, *(n for _, n, _ in extra), *more_names, *(x.split()[0] for x in full_schema)])
 
     return df.select(*sources).mapInArrow(read, schema)
 
@@ -87,6 +87,13 @@ def _rank(street: str) -> Column:
     return F.xxhash64(street).bitwiseAND((1 << _BITS // 2) - 1)
 
 
+def with_deletion(df: DataFrame) -> DataFrame:
+    """Every row with ``less``: its ``street``, and the street without each of its letters in turn (twice the same where a letter is doubled)."""
+    at = df.select("*", F.explode(F.sequence(F.lit(0), F.length("street"))).alias("_at"))
+    less = F.when(F.col("_at") == 0, F.col("street")).otherwise(F.concat(F.col("street").substr(F.lit(1), F.col("_at") - 1), F.col("street").substr(F.col("_at") + 1, F.length("street"))))
+    return at.withColumn("less", less).drop("_at")
+
+
 #: Counts below 2^_EXACT keep their own level; above, levels rise by a 65,536th of a doubling, so that no count needs more than 23 bits.
 _EXACT, _STEPS = 22, 65_536
 
@@ -111,8 +118,7 @@ def _parents(spellings: DataFrame, within: list[str], ratio: float) -> DataFrame
     """
     sid = F.shiftleft(_rank("street"), _BITS // 2).bitwiseOR(F.xxhash64(*within, "street").bitwiseAND((1 << _BITS // 2) - 1))
     words = spellings.select(*within, "street", "n", sid.alias("sid"))
-    kept = F.expr("array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))))")
-    keys = words.select("sid", level(F.col("n")).alias("n"), F.explode(F.transform(kept, lambda x: F.xxhash64(*within, x))).alias("key"))
+    keys = with_deletion(words.select("sid", level(F.col("n")).alias("n"), *within, "street")).select("sid", "n", F.xxhash64(*within, "less").alias("key"))
     best = keys.groupBy("key").agg(F.max(F.shiftleft("n", _BITS).bitwiseOR(F.col("sid"))).alias("best"), F.count("*").alias("m")).where("m > 1").drop("m")
     found = keys.join(best, "key").select("sid", "n", F.col("best").bitwiseAND((1 << _BITS) - 1).alias("other"), F.shiftright("best", _BITS).alias("on"))
     found = found.where((F.col("sid") != F.col("other")) & (of_level(F.col("on")) >= of_level(F.col("n")) * ratio)).distinct()
