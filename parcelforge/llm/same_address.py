@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parcelforge.operators.places import place_rows, read_addresses, street_gazetteer
+from parcelforge.operators.places import place_rows, read_addresses, street_gazetteer, with_deletion
 from parcelforge.runtime import cut, table
 
 #: Hypotheses that are kept for an address at each step of the search.
@@ -32,8 +32,6 @@ LAG_COST, TYPE_COST, UNTYPED_COST = 1.0, 2.5, 0.5
 #: Most that a known building number and a known postcode of the street add to a hypothesis (n / (n + 1) of it for n other records), what each edit costs, and what each doubling of the street's records adds.
 NUMBER_GAIN, POSTCODE_GAIN, EDIT_COST, RARE_GAIN = 2.0, 2.0, 1.0, 0.1
 
-_KEYS = "array_distinct(concat(array(street), transform(sequence(1, length(street)), i -> concat(substring(street, 1, i - 1), substring(street, i + 1)))))"
-
 
 def prune(hypotheses: DataFrame, of: list[str], score: Column, beam: int) -> DataFrame:
     """The ``beam`` hypotheses of greatest ``score`` (larger on ties: the other columns, in order) of each ``of``; addresses with few go on as they are."""
@@ -45,10 +43,9 @@ def prune(hypotheses: DataFrame, of: list[str], score: Column, beam: int) -> Dat
 def street_hypotheses(wanted: DataFrame, gazetteer: DataFrame, beam: int = BEAM) -> DataFrame:
     """(town, stype, street, street_id, edits, n): the ``beam`` nearest streets of the gazetteer for each spelling ``wanted`` of a town and type."""
     roots = gazetteer.groupBy("town", "stype", "canonical", "street_id").agg(F.sum("n").alias("n")).withColumnRenamed("canonical", "street")
-    key = F.explode(F.expr(_KEYS)).alias("key")
-    left = wanted.select("town", "stype", "street", key)
-    right = roots.select("town", "stype", F.col("street").alias("root"), "street_id", "n", key)
-    near = left.join(right, ["town", "stype", "key"]).select("town", "stype", "street", "root", "street_id", "n").distinct()
+    left = with_deletion(wanted.select("town", "stype", "street"))
+    right = with_deletion(roots.select("town", "stype", "street", "street_id", "n")).withColumnRenamed("street", "root")
+    near = left.join(right, ["town", "stype", "less"]).select("town", "stype", "street", "root", "street_id", "n").distinct()
     near = near.withColumn("edits", F.levenshtein("street", "root")).where("edits <= 2").drop("root")
     # a spelling that the gazetteer corrects stands for its street, however far
     own = gazetteer.join(roots.select("street_id", F.col("n").alias("rn")), "street_id").select("town", "stype", "street", "street_id", F.col("rn").alias("n"), F.levenshtein("street", "canonical").alias("edits"))
@@ -127,7 +124,7 @@ def address_records(spark, sf_dir: str) -> DataFrame:
 
 def places_of(spark, sf_dir: str) -> DataFrame:
     """(rec, street_id, number, unit, town, stype, street): the resolved place of every address record."""
-    read = cut(read_addresses(address_records(spark, sf_dir), place_rows(table(spark, sf_dir, "place_dim")), ["rec"], rivals=True))
+    read = cut(read_addresses(address_records(spark, sf_dir), place_rows(table(spark, sf_dir, "place_dim")), ["rec"], full=True))
     return resolve(read).select("rec", "street_id", "number", "unit", "town", "stype", "street", place_key().alias("place"))
 
 
