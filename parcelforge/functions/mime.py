@@ -21,6 +21,13 @@ def _leaves(part: dict):
         yield from _leaves(p)
 
 
+def html_text(html: str) -> str:
+    """Plain text of simple HTML, as ``functions.text.html_text`` gives it."""
+    s = re.sub(r"<p[^>]*>", "\n\n", re.sub(r"<br\s*/?>", "\n", html, flags=re.I), flags=re.I)
+    s = re.sub(r"<[^>]+>", "", s).replace("&nbsp;", " ").replace("&amp;", "&").replace("&lt;", "<").replace("&gt;", ">")
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"&#\d+;", "", s)).strip()
+
+
 def bodies(payload: str | None) -> tuple[str, str, list[str]]:
     """(first plain text, all plain texts, attachment names) of a payload; HTML stands in where no plain text is."""
     try:
@@ -32,7 +39,7 @@ def bodies(payload: str | None) -> tuple[str, str, list[str]]:
     names = [p["filename"] for p in parts if p.get("filename")]
     if plain:
         return plain[0], "\n\n".join(plain), names
-    return (re.sub(r"<[^>]+>", " ", html[0]), "\n\n".join(html), names) if html else ("", "", names)
+    return (re.sub(r"<[^>]+>", " ", html[0]), html_text(html[0]), names) if html else ("", "", names)
 
 
 @F.arrow_udf(T.StructType([T.StructField("first", T.StringType()), T.StructField("full", T.StringType()), T.StructField("files", T.ArrayType(T.StringType()))]))

@@ -19,6 +19,9 @@ IMAGE = r"(?i)\.(jpg|jpeg|png|gif|bmp|webp|tiff|ico)$"
 JUNK_IMAGE = r"(?i)^(image\d*|photo\d*|pic\d*|logo|stamp|seal|banner|footer|header|signature|icon|spacer|pixel|tracking|~WRD\d*|Slide\d*)\."
 STUB_WORDS = ["comps", "comparables", "comp", "market evidence", "rent review", "dilapidations", "service charge", "schedule of condition"]
 DOCUMENTS = r"(?i)\.(pdf|xlsx|xls)$"
+ATTACHMENTS = r"(?i)\.(pdf|xlsx|xls|pptx|ppt)$"
+# What names of financial models hold.
+MODEL_WORDS = ["model", "appraisal", "cashflow", "cash flow", "cash_flow", "underwriting", "proforma", "pro forma", "pro-forma", "forecast", "budget", "valuation", "sensitivity", "irr analysis", "dcf"]
 #: Bytes below which an image is a logo.
 SMALL_IMAGE = 50 * 1024
 
@@ -68,6 +71,22 @@ def stub_name(name: Column | str) -> Column:
     return any_of([F.contains(F.lower(col(name)), F.lit(w)) for w in STUB_WORDS])
 
 
+def is_attachment(name: Column | str) -> Column:
+    """A mail's file that is kept as a brochure."""
+    return col(name).rlike(ATTACHMENTS)
+
+
+def financial_model(name: Column | str) -> Column:
+    """A file's name that shows a model or an appraisal rather than a brochure."""
+    return any_of([F.contains(F.lower(col(name)), F.lit(w)) for w in MODEL_WORDS])
+
+
+def route(deals: Column, introduction: Column, files: Column, name: Column) -> Column:
+    """What becomes of a thread: its ``deals``; without any ``not introduction``, a ``stub`` named by the subject, ``not a stub`` where that name shows other things, or an ``error``."""
+    nothing = ~F.coalesce(introduction, F.lit(False)) & ~F.coalesce(files, F.lit(False))
+    return F.when(F.coalesce(deals, F.lit(0)) > 0, "deals").when(nothing, "not introduction").when(~F.coalesce(files, F.lit(False)), "error").when(stub_name(name), "not a stub").otherwise("stub")
+
+
 def is_document(name: Column | str) -> Column:
     return col(name).rlike(DOCUMENTS)
 

@@ -18,7 +18,7 @@ GAP_DAYS = 90
 
 
 def archive_plan(deals: DataFrame, as_of: str) -> DataFrame:
-    """(deal_id, base, folder, subfolder): the property's folder, with the quarter behind it from its second visit on, and the dated subfolder.
+    """(deal_id, base, folder, subfolder): the property's folder, with the quarter behind it from its second visit on, and the dated subfolder, numbered where a folder has several of the name.
 
     ``deals``: deal_id, town, asset_name, agent, date.  Undated deals count as of ``as_of``.
     """
@@ -27,7 +27,8 @@ def archive_plan(deals: DataFrame, as_of: str) -> DataFrame:
     opened = rows.groupBy("base", "visit").agg(F.min("day").alias("opened"))
     rows = rows.join(opened, ["base", "visit"])
     later = F.concat("base", F.lit(" ("), quarter_suffix(F.col("opened")), F.lit(")"))
-    return rows.select("deal_id", "base", F.when(F.col("visit") == 1, F.col("base")).otherwise(later).alias("folder"), dated_folder(F.col("day"), "agent").alias("subfolder"))
+    rows = rows.select("deal_id", "base", F.when(F.col("visit") == 1, F.col("base")).otherwise(later).alias("folder"), dated_folder(F.col("day"), "agent").alias("_dated"))
+    return numbered(rows, "folder", "_dated", [F.col("deal_id")], suffixed=False).select("deal_id", "base", "folder", F.col("free_name").alias("subfolder"))
 
 
 def file_plan(files: DataFrame, plan: DataFrame) -> DataFrame:
@@ -38,18 +39,25 @@ def file_plan(files: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def write_archive(plan: DataFrame, bodies: DataFrame, root: str) -> None:
-    """Writes each message's body and metadata file below ``root``, which all executors must share; a message that is there already is left alone.
+    """Writes each message's body and metadata file below ``root``, which all executors must share; a message that is there already is left alone, another one in its place is never overwritten but gets a numbered folder.
 
     ``bodies``: deal_id, gmail_message_id, body, metadata (JSON text).
     """
 
     def write(rows):
         for r in rows:
-            at = Path(root) / r["folder"] / r["subfolder"]
-            at.mkdir(parents=True, exist_ok=True)
-            meta = at / "metadata.json"
-            if meta.exists() and json.loads(meta.read_text(encoding="utf-8")).get("gmail_message_id") == r["gmail_message_id"]:
+            n, there = 1, False
+            while True:
+                at = Path(root) / r["folder"] / (r["subfolder"] + (f" ({n})" if n > 1 else ""))
+                meta = at / "metadata.json"
+                if not meta.exists():
+                    break
+                if there := json.loads(meta.read_text(encoding="utf-8")).get("gmail_message_id") == r["gmail_message_id"]:
+                    break
+                n += 1
+            if there:
                 continue
+            at.mkdir(parents=True, exist_ok=True)
             (at / "body.txt").write_text(r["body"] or "", encoding="utf-8")
             meta.write_text(json.dumps({**json.loads(r["metadata"] or "{}"), "gmail_message_id": r["gmail_message_id"]}), encoding="utf-8")
 

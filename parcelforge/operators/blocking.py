@@ -1,13 +1,24 @@
-"""Candidate pairs for tolerance and likeness joins, without products."""
+"""Candidate pairs for tolerance and likeness joins, without products.
+
+Likeness joins meet on the rarest parts of texts only (prefix filtering): two sets that share at least m of
+their parts share one of the |set| - m + 1 rarest of each, whatever the order of rarity is.  What is frequent is
+therefore hardly ever a meeting point, and no pair is lost.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.numbers import close
+from parcelforge.functions.similarity import can_reach, ratio
+from parcelforge.functions.text import name_key, strip, telling_words
+from parcelforge.runtime import cut
+
+#: Below this likeness, texts may be alike without any two neighbouring letters in common; then they meet on this share of their rarest pairs of letters.
+SURE, SHARE = 0.67, 0.7
 
 
 def band(value: Column, tolerance: float) -> Column:
@@ -21,9 +32,10 @@ def rent_key(pa: str, psf: str, tolerance: float) -> Column:
     return F.when(F.col(pa).isNotNull(), F.struct(F.lit("pa").alias("kind"), band(F.col(pa), tolerance).alias("band"))).otherwise(F.struct(F.lit("psf").alias("kind"), band(F.col(psf), tolerance).alias("band")))
 
 
-def band_pairs(df: DataFrame, row_id: str, keep: list[str], pa: str, psf: str, tolerance: float, equal: list[str] = ()) -> DataFrame:
+def band_pairs(df: DataFrame, row_id: str, keep: list[str], pa: str, psf: str, tolerance: float, equal: list[str] = (), via: DataFrame | None = None) -> DataFrame:
     """Pairs ``id_a < id_b`` with rents that agree (and equal non-blank ``equal`` columns): an equi-join on bands, one side in three of them, then the exact test.
 
+    With ``via`` (x, y) the one ``equal`` column need not be equal, but (that of a, that of b) has to be one of its rows.
     Rows without any rent above zero are in no pair.
     """
     keyed = df.select(F.col(row_id).alias("id"), pa, psf, *keep, *equal, rent_key(pa, psf, tolerance).alias("k")).where("k.band is not null")
@@ -31,6 +43,106 @@ def band_pairs(df: DataFrame, row_id: str, keep: list[str], pa: str, psf: str, t
         keyed = keyed.where(F.col(c) != "")
     cols = list(dict.fromkeys(["id", pa, psf, *keep]))
     left = keyed.select(*(F.col(c).alias(f"{c}_a") for c in cols), *equal, F.col("k.kind").alias("kind"), F.explode(F.sequence(F.col("k.band") - 1, F.col("k.band") + 1)).alias("band"))
+    if via is not None:
+        left = left.join(via.select(F.col("x").alias(equal[0]), "y"), equal[0]).drop(equal[0]).withColumnRenamed("y", equal[0])
     right = keyed.select(*(F.col(c).alias(f"{c}_b") for c in cols), *equal, F.col("k.kind").alias("kind"), F.col("k.band").alias("band"))
     same = F.when(F.col("kind") == "pa", close(f"{pa}_a", f"{pa}_b", tolerance)).otherwise(close(f"{psf}_a", f"{psf}_b", tolerance))
     return left.join(right, ["kind", "band", *equal]).where((F.col("id_a") < F.col("id_b")) & same)
+
+
+def rarest(parts: DataFrame, of: DataFrame) -> DataFrame:
+    """``parts`` (id, part, size) with ``rank``, from 1 for the rarest in ``of`` (part)."""
+    often = of.groupBy("part").agg(F.count("*").alias("_often"))
+    order = Window.partitionBy("id").orderBy("_often", "part")
+    return parts.join(often, "part").withColumn("rank", F.row_number().over(order)).drop("_often")
+
+
+def _grams(texts: DataFrame) -> DataFrame:
+    """(id, part, size): the pairs of neighbouring letters of each text, a repeated one numbered."""
+    at = texts.where(F.length("text") > 1).select(F.col("text").alias("id"), F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at")).select("id", F.substring(F.col("id"), F.col("at"), F.lit(2)).alias("gram"), "at")
+    again = F.row_number().over(Window.partitionBy("id", "gram").orderBy("at"))
+    return at.select("id", F.xxhash64("gram", again).alias("part"), (F.length("id") - 1).alias("size"))
+
+
+def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = ()) -> DataFrame:
+    """(within, x, y, r): different texts of ``left`` and ``right`` (``text`` and the columns ``within``, which have to be equal; each once) of which ``ratio(x, y)`` is ``least`` or more.
+
+    A ratio of t leaves u <= (1 - t) T of the T letters unmatched and makes u + 1 runs at most, so T / 2 - 1.5 u - 1 pairs
+    of neighbouring letters are in common: all such texts are found.  Below ``SURE`` that says nothing;
+    then texts meet on the rarest ``SHARE`` of their pairs of letters, which is measured, not proved, to find nearly all.
+    """
+    grams = [_grams(d.select("text").distinct()) for d in (left, right)]
+    every = grams[0].select("part").unionByName(grams[1].select("part"))
+    if least > SURE:
+        shortest = 2 * (F.col("size") + 1) / (2 - least)  # fewest letters of both together
+        common = F.greatest(F.lit(1), F.ceil(shortest * (0.5 - 1.5 * (1 - least)) - 1 - 1e-9))
+        keep = F.col("rank") <= F.col("size") - common + 1
+    else:
+        keep = F.col("rank") <= F.ceil(F.col("size") * SHARE)
+    a, b = (rarest(g, every).where(keep).select(F.col("id").alias("text"), "part").join(d.select("text", *within), "text") for g, d in zip(grams, (left, right)))
+    met = a.withColumnRenamed("text", "x").join(b.withColumnRenamed("text", "y"), ["part", *within]).where("x <> y").select(*within, "x", "y").distinct()
+    return met.where(can_reach(F.col("x"), F.col("y"), least)).withColumn("r", ratio("x", "y")).where(F.col("r") >= least)
+
+
+def _overlaps(left: DataFrame, right: DataFrame, part: float) -> DataFrame:
+    """(id_a, id_b): names (id, name) that may share two telling words and ``part`` of those of the one that has fewer."""
+    words = [d.select("id", telling_words("name").alias("w")).where("size(w) > 1").select("id", F.size("w").alias("size"), F.explode("w").alias("part")) for d in (left, right)]
+    every = words[0].select("part").unionByName(words[1].select("part"))
+    ranked = [cut(rarest(w, every)) for w in words]
+    # the one with fewer words shares so many of them; the other shares two at least
+    fewer = [d.where(F.col("rank") <= F.col("size") - F.greatest(F.lit(2), F.ceil(F.col("size") * part - 1e-9)) + 1) for d in ranked]
+    more = [d.where(F.col("rank") < F.col("size")) for d in ranked]
+    side = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("size").alias(f"n_{s}"), "part")
+    return side(fewer[0], "a").join(side(more[1], "b"), "part").where("n_a <= n_b").unionByName(side(more[0], "a").join(side(fewer[1], "b"), "part").where("n_a >= n_b")).select("id_a", "id_b")
+
+
+def _borders(df: DataFrame, every: bool) -> DataFrame:
+    """(id, part, n): what stands around each space of a name key, two letters at each side; with ``every`` also with one letter where there are two."""
+    key = df.select("id", name_key("name").alias("k")).where(F.contains("k", F.lit(" ")))
+    words = F.filter(F.split("k", " "), lambda w: w != "")
+    at = key.select("id", F.length("k").alias("n"), words.alias("w")).select("id", "n", F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.size("w") - 1).alias("l"), F.slice("w", F.lit(2), F.size("w") - 1).alias("r"))).alias("x"))
+    sizes = [(i, j) for i in (1, 2) for j in (1, 2)] if every else [(2, 2)]
+    parts = F.array(*(F.concat(F.right("x.l", F.lit(i)), F.lit(" "), F.left("x.r", F.lit(j))) for i, j in sizes))
+    return at.select("id", "n", F.explode(F.array_distinct(parts)).alias("part"))
+
+
+def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(id_a, id_b): names of which one may stand in the other: a longer one has what stands around the rarest space of the shorter."""
+
+    def within(short: DataFrame, long: DataFrame) -> DataFrame:
+        there = cut(_borders(long, True))
+        often = there.groupBy("part").agg(F.count("*").alias("often"))
+        rare = _borders(short, False).join(often, "part").groupBy("id").agg(F.min(F.struct("often", "part")).getField("part").alias("part"), F.first("n").alias("n"))
+        return rare.select(F.col("id").alias("s"), "part", F.col("n").alias("ns")).join(there.select(F.col("id").alias("l"), "part", "n"), "part").where("ns <= n").select("s", "l")
+
+    return within(left, right).select(F.col("s").alias("id_a"), F.col("l").alias("id_b")).unionByName(within(right, left).select(F.col("l").alias("id_a"), F.col("s").alias("id_b")))
+
+
+def _alike_in_towns(left: DataFrame, right: DataFrame, text: Column, least: float) -> DataFrame:
+    """(id_a, id_b): records of agreeing ``town`` (equal, or one of them blank or several) with equal or alike ``text``."""
+    town = F.lower(F.coalesce(strip("town"), F.lit("")))
+    open_ = (F.col("t") == "") | F.col("t").startswith("multi")
+    sides = [cut(d.select("id", town.alias("t"), text.alias("text")).where("text <> ''")) for d in (left, right)]
+    out = None
+    # both in one town; a in any town and b without; a without and b in any but those without
+    for a, b, by in ((sides[0].where(~open_), sides[1].where(~open_), ["t"]), (sides[0], sides[1].where(open_), []), (sides[0].where(open_), sides[1].where(~open_), [])):
+        near = alike(a.select("text", *by).distinct(), b.select("text", *by).distinct(), least, by).select(*by, "x", "y")
+        x, y = a.select(*by, F.col("text").alias("x"), F.col("id").alias("id_a")), b.select(*by, F.col("text").alias("y"), F.col("id").alias("id_b"))
+        part = x.join(near, [*by, "x"]).join(y, [*by, "y"]).select("id_a", "id_b")
+        part = part.unionByName(x.join(y.withColumnRenamed("y", "x"), [*by, "x"]).select("id_a", "id_b"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def name_candidates(left: DataFrame, right: DataFrame, text: Column, least: float, part: float = 0.6, towns: bool = False) -> DataFrame:
+    """(id_a, id_b), each once: pairs of names (id, name, other columns of ``text``) that may be equal, contained, share telling words, or have alike ``text``; with ``towns`` the last only where their towns agree."""
+    side = lambda d, c, s: d.select(F.col("id").alias(f"id_{s}"), c.alias("k")).where("k <> ''")
+    same = side(left, name_key("name"), "a").join(side(right, name_key("name"), "b"), "k").select("id_a", "id_b")
+    if towns:
+        near = _alike_in_towns(left, right, text, least)
+    else:
+        texts = [d.select(text.alias("text")).where("text <> ''").distinct() for d in (left, right)]
+        near = alike(*texts, least).select("x", "y")
+        near = side(left, text, "a").withColumnRenamed("k", "x").join(near, "x").join(side(right, text, "b").withColumnRenamed("k", "y"), "y").select("id_a", "id_b")
+        near = near.unionByName(side(left, text, "a").join(side(right, text, "b"), "k").select("id_a", "id_b"))
+    return same.unionByName(near).unionByName(_overlaps(left, right, part)).unionByName(_contained(left, right)).where("id_a <> id_b").distinct()

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 
 from parcelforge.functions.dates import quarter_ordinal
 from parcelforge.functions.numbers import close
+from parcelforge.functions.postcodes import sheet_postcode, with_postcode
 from parcelforge.functions.predicates import about_investment, contained, sorted_telling, towns_agree, vacant, words_overlap
 from parcelforge.functions.similarity import can_reach, ratio
 from parcelforge.functions.text import blank, name_key, strip, telling_words, tenant_key, unit_key
-from parcelforge.operators.blocking import band, band_pairs, rent_key
+from parcelforge.operators.blocking import alike, band_pairs, name_candidates, rent_key
 from parcelforge.operators.greedy import first_wins
 from parcelforge.runtime import cut
 
@@ -20,6 +21,8 @@ RENT, PRICE, TENANT, ADDRESS, DEAL = 0.005, 0.05, 0.90, 0.85, 0.65
 VACANT = ("vacant", "vacant under offer")
 #: Fields that a kept letting may take from its duplicates.
 LETTING_FIELDS = ["tenant_name", "unit_name", "address", "town", "postcode", "size_sqft", "rent_pa", "rent_psf", "lease_start", "lease_expiry", "break_date", "rent_review_date", "lease_term_years", "comp_date", "notes"]
+#: Fields that an investment comparable may take from its duplicates.
+INVESTMENT_FIELDS = ["date", "quarter", "town", "style", "address", "units", "area_sqft", "rent_pa", "rent_psf", "awultc", "price", "yield_niy", "reversionary_yield", "capval_psf", "vendor", "purchaser", "comment", "source_deal", "source_file_path"]
 
 
 def flagged(comps: DataFrame) -> DataFrame:
@@ -30,19 +33,42 @@ def flagged(comps: DataFrame) -> DataFrame:
     })
 
 
+def copies(rows: DataFrame) -> Column:
+    """What rows agree in that the comparison can not tell apart."""
+    return F.xxhash64("tenant", "unit", F.coalesce("rent_pa", F.lit(-1.0)), F.coalesce("rent_psf", F.lit(-1.0)))
+
+
+def alike_tenants(rows: DataFrame, least: float = TENANT) -> DataFrame:
+    """(x, y): different tenant keys of which ``ratio(x, y)`` is ``least`` or more; each key is compared once, however many rows have it."""
+    keys = cut(rows.select(F.col("tenant").alias("text")).where("text <> ''").distinct())
+    return cut(alike(keys, keys, least).select("x", "y"))
+
+
 def letting_pairs(comps: DataFrame) -> DataFrame:
-    """(id_a, id_b, reason): rows with agreeing rents and the same tenant, the same unit, or tenants that are alike."""
+    """(id_a, id_b, reason): rows with agreeing rents and the same tenant, the same unit, or tenants that are alike.
+
+    Rows that agree in tenant, unit and rents stand in pairs as the first of them.
+    """
     rows = flagged(comps).where("not (is_vacant or is_investment or no_rent)")
-    by = lambda key, why: band_pairs(rows, "id", [], "rent_pa", "rent_psf", RENT, [key]).select("id_a", "id_b", F.lit(why).alias("reason"))
-    near = band_pairs(rows.where("tenant <> ''"), "id", ["tenant"], "rent_pa", "rent_psf", RENT).where("tenant_a <> tenant_b").where(can_reach(F.col("tenant_a"), F.col("tenant_b"), TENANT))
-    alike = near.withColumn("r", ratio("tenant_a", "tenant_b")).where(F.col("r") >= TENANT).select("id_a", "id_b", F.lit("alike+rent").alias("reason"))
-    return by("tenant", "tenant+rent").unionByName(by("unit", "unit+rent")).unionByName(alike)
+    rows = cut(rows.groupBy("tenant", "unit", "rent_pa", "rent_psf").agg(F.min("id").alias("id")))
+    by = lambda key, why, via=None: band_pairs(rows, "id", [], "rent_pa", "rent_psf", RENT, [key], via).select("id_a", "id_b", F.lit(why).alias("reason"))
+    return by("tenant", "tenant+rent").unionByName(by("unit", "unit+rent")).unionByName(by("tenant", "alike+rent", alike_tenants(rows)))
 
 
 def dedup_lettings(comps: DataFrame) -> DataFrame:
-    """(id, kept_id, is_vacant, is_investment, no_rent) of every row; flagged rows keep themselves."""
-    flags = flagged(comps).select("id", "is_vacant", "is_investment", "no_rent")
-    return flags.join(first_wins(comps.select("id"), letting_pairs(comps)), "id")
+    """(id, kept_id, is_vacant, is_investment, no_rent) of every row; flagged rows keep themselves.
+
+    Of rows that agree in tenant, unit and rents only the first is compared: what replaces it replaces them all,
+    and where it stays it replaces the others - if a tenant or unit and a rent above zero are there to match by.
+    """
+    rows = flagged(comps)
+    skip = F.col("is_vacant") | F.col("is_investment") | F.col("no_rent")
+    match_ = (F.col("tenant") != "") | (F.col("unit") != "")
+    rows = cut(rows.select("id", "is_vacant", "is_investment", "no_rent", F.when(~skip & match_ & rent_key("rent_pa", "rent_psf", RENT)["band"].isNotNull(), copies(rows)).alias("copy")))
+    firsts = rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("first"))
+    decided = first_wins(firsts.select(F.col("first").alias("id")), letting_pairs(comps)).withColumnsRenamed({"id": "first"})
+    kept = firsts.join(decided, "first").select("copy", "kept_id")
+    return rows.join(kept, "copy", "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"), "is_vacant", "is_investment", "no_rent")
 
 
 def dedup_summary(decided: DataFrame) -> DataFrame:
@@ -61,29 +87,73 @@ def addresses_alike(a: str, b: str) -> tuple[Column, Column, Column]:
     return both & ((x == y) | contained(a, b) | words_overlap(a, b)), both & can_reach(x, y, ADDRESS), ratio(x, y)
 
 
+def investment_rows(comps: DataFrame, key: str = "row_no") -> DataFrame:
+    """(id, name, price, q): investment comparables with an address (``name``), price above zero and quarter's ordinal; zero is no price."""
+    return comps.where(~blank("address")).select(F.col(key).alias("id"), F.col("address").alias("name"), F.nullif("price", F.lit(0.0)).alias("price"), quarter_ordinal("quarter").alias("q"))
+
+
+def prices_agree() -> Column:
+    """Both prices are close, or neither is known."""
+    return close("price_a", "price_b", PRICE) | (F.col("price_a").isNull() & F.col("price_b").isNull())
+
+
+def alike_addresses(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of ``investment_rows`` (columns of each with _a and _b) whose prices agree and whose addresses are alike; a's address is the one whose likeness is judged."""
+    met = name_candidates(left, right, name_key("name"), ADDRESS)
+    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
+    pairs = met.join(side(left, "a"), "id_a").join(side(right, "b"), "id_b").where(prices_agree())
+    sure, may, like = addresses_alike("name_a", "name_b")
+    judged = pairs.withColumns({"sure": sure, "may": may})
+    near = judged.where("not sure and may").withColumn("r", like).where(F.col("r") >= ADDRESS).drop("r")
+    return judged.where("sure").unionByName(near).drop("sure", "may")
+
+
 def investment_pairs(comps: DataFrame) -> DataFrame:
-    """(id_a, id_b): investment comparables with agreeing price, quarters at most one apart, and alike addresses.
+    """(id_a, id_b): investment comparables with agreeing price, quarters at most one apart, and alike addresses; candidates meet on addresses, so no price is a meeting point."""
+    rows = cut(investment_rows(comps))
+    pairs = alike_addresses(rows, rows).where("id_a < id_b")
+    return pairs.where(F.coalesce(F.abs(F.col("q_a") - F.col("q_b")) <= 1, F.lit(True))).select("id_a", "id_b")
+
 
-    Priced rows meet in price bands.  Rows without price meet on shared telling words or on equal
-    address keys; two of them that share neither are compared by no rule but likeness, which such addresses
-    reach only if they are written almost alike - so they also meet on the beginnings and ends of their keys.
+def insert_investments(existing: DataFrame, new: DataFrame, key: str = "row_no") -> DataFrame:
+    """(id, action, match_id): what happens to each new investment comparable in turn: ``inserted``, or ``merged`` into or ``duplicate`` of the first row, existing or inserted before, that it matches.
+
+    A row that matches fills the blank fields of the row it matches (``merged`` if it fills any).  A filled quarter is
+    compared from then on; prices need not be followed, since a row without price matches none with one.
+    Rows without address match nothing.  Decided as ``insert_batch`` decides, in rounds until nothing changes.
     """
-    rows = comps.where(~blank("address")).select(F.col("row_no").alias("id"), "address", F.nullif("price", F.lit(0.0)).alias("price"), quarter_ordinal("quarter").alias("q"))
-    priced = rows.where("price > 0").withColumn("band", band(F.col("price"), PRICE))
-    cols = ["id", "address", "price", "q"]
-    a = priced.select(*(F.col(c).alias(f"{c}_a") for c in cols), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"))
-    b = priced.select(*(F.col(c).alias(f"{c}_b") for c in cols), "band")
-    pairs = a.join(b, "band").where("id_a < id_b").where(close("price_a", "price_b", PRICE)).drop("band")
-    key = name_key("address")
-    marks = F.array_distinct(F.concat(telling_words("address"), F.array(F.concat(F.lit("^"), F.left(key, F.lit(6))), F.concat(F.lit("$"), F.right(key, F.lit(6))))))
-    free = rows.where("price is null").select(*cols, F.explode(marks).alias("mark"))
-    fa, fb = free.select(*(F.col(c).alias(f"{c}_a") for c in cols), "mark"), free.select(*(F.col(c).alias(f"{c}_b") for c in cols), "mark")
-    pairs = pairs.unionByName(fa.join(fb, "mark").where("id_a < id_b").drop("mark").distinct())
-    pairs = pairs.where(F.coalesce(F.abs(F.col("q_a") - F.col("q_b")) <= 1, F.lit(True)))
-    sure, may, like = addresses_alike("address_a", "address_b")
-    judged = pairs.withColumns({"sure": sure, "may": may})
-    alike = judged.where("not sure and may").withColumn("r", like).where(F.col("r") >= ADDRESS)
-    return judged.where("sure").select("id_a", "id_b").union(alike.select("id_a", "id_b"))
+    keyed = lambda d, fresh: d.withColumn("id", F.struct(F.lit(fresh).alias("fresh"), F.col(key).alias("id")))
+    fields = [f for f in INVESTMENT_FIELDS if f in existing.columns and f in new.columns]
+    both = keyed(existing, False).select("id", *dict.fromkeys([*fields, "address", "price", "quarter"])).unionByName(keyed(new, True).select("id", *dict.fromkeys([*fields, "address", "price", "quarter"])))
+    text = {f for f, t in both.dtypes if t == "string"}
+    blanks = F.array_compact(F.array(*(F.when(blank(f) if f in text else F.col(f).isNull(), F.lit(f)) for f in fields)))
+    rows = cut(both.select("id", blanks.alias("blanks"), "address", "price", "quarter"))
+    judged = cut(investment_rows(rows, "id"))
+    # the later row's address is the one whose likeness is judged
+    pairs = alike_addresses(judged.where("id.fresh"), judged).where("id_b < id_a").select(F.col("id_b").alias("a"), F.col("id_a").alias("b"), F.col("q_b").alias("q_a"), F.col("q_a").alias("q_b"))
+    no_quarter = rows.select(F.col("id").alias("a"), blank("quarter").alias("open"))
+    pairs = cut(pairs.join(no_quarter, "a"))
+    near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= 1, F.lit(True))
+    pairs = pairs.where(near("q_a", "q_b"))
+    gives = rows.select(F.col("id").alias("b"), F.col("blanks").alias("b_blanks"), ~blank("quarter").alias("gives_q"), quarter_ordinal("quarter").alias("new_q"))
+    takes = rows.select(F.col("id").alias("a"), F.col("blanks").alias("a_blanks"))
+    last = fills = None
+    while True:
+        active = pairs
+        if last is not None:
+            active = pairs.join(last.select(F.col("b").alias("a")), "a", "left_anti").join(fills, "a", "left")
+            active = active.where(~F.col("open") | F.col("from").isNull() | (F.col("from") >= F.col("b")) | near("held", "q_b"))
+        best = cut(active.groupBy("b").agg(F.min("a").alias("a")))
+        same = last is not None and best.join(last.withColumnRenamed("a", "was"), "b", "full").where(~F.col("a").eqNullSafe(F.col("was"))).limit(1).count() == 0
+        if same:
+            break
+        last = best
+        first = best.join(no_quarter.where("open"), "a").join(gives.where("gives_q"), "b").groupBy("a").agg(F.min(F.struct("b", "new_q")).alias("x"))
+        fills = cut(first.select("a", F.col("x.b").alias("from"), F.col("x.new_q").alias("held")))
+    given = best.join(gives, "b").join(takes, "a").select("a", "b", F.explode(F.array_except("a_blanks", "b_blanks")).alias("field"))
+    merged = given.groupBy("a", "field").agg(F.min("b").alias("b")).select("b").distinct().withColumn("fills", F.lit(True))
+    out = rows.where("id.fresh").select(F.col("id").alias("b")).join(best, "b", "left").join(merged, "b", "left")
+    return out.select("b.id", F.when(F.col("a").isNull(), "inserted").when(F.col("fills"), "merged").otherwise("duplicate").alias("action"), F.col("a.id").alias("match_id"))
 
 
 def deal_match(a: str, b: str) -> tuple[Column, Column, Column]:
@@ -103,15 +173,6 @@ def deal_match(a: str, b: str) -> tuple[Column, Column, Column]:
     return reason, (x != "") & (y != "") & towns & (p != "") & (q != ""), ratio(p, q)
 
 
-def _deal_blocks() -> Column:
-    """What two deals that may match share: a telling word, the beginning of one, the whole name, or the postcode."""
-    words_ = telling_words("name")
-    return F.array_distinct(F.concat(
-        F.transform(words_, lambda w: F.concat(F.lit("w:"), w)), F.transform(words_, lambda w: F.concat(F.lit("s:"), F.left(w, F.lit(4)))), F.array(F.concat(F.lit("n:"), name_key("name"))),
-        F.array_compact(F.array(F.when(~blank("postcode"), F.concat(F.lit("p:"), F.upper(strip("postcode")))))),
-    ))
-
-
 def _judge(pairs: DataFrame, a: str, b: str) -> DataFrame:
     reason, may, like = deal_match(a, b)
     judged = pairs.withColumns({"reason": reason, "may": may})
@@ -119,21 +180,77 @@ def _judge(pairs: DataFrame, a: str, b: str) -> DataFrame:
     return judged.where("reason is not null").select("id_a", "id_b", "reason").union(fuzzy)
 
 
-def _deal_side(deals: DataFrame, suffix: str) -> DataFrame:
-    return deals.select(*(F.col(c).alias(f"{c}{suffix}") for c in ("id", "name", "town", "postcode")), F.explode(_deal_blocks()).alias("block"))
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Candidate pairs of deals with name, town and postcode of both sides."""
+    met = name_candidates(left, right, sorted_telling("name"), DEAL, towns=True)
+    code = lambda d, s: d.where(~blank("name")).select(F.col("id").alias(f"id_{s}"), F.upper(strip("postcode")).alias("k")).where("k <> ''")
+    met = met.unionByName(code(left, "a").join(code(right, "b"), "k").select("id_a", "id_b")).distinct()
+    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "town", "postcode")))
+    return met.join(side(left, "a"), "id_a").join(side(right, "b"), "id_b")
+
+
+def with_copy(deals: DataFrame) -> DataFrame:
+    """Deals with ``copy``, what those of equal name, town and postcode have in common; null without name, as such deals match nothing."""
+    text = [F.coalesce(c, F.lit("")) for c in ("name", "town", "postcode")]
+    out = deals.select("id", *(t.alias(c) for t, c in zip(text, ("name", "town", "postcode"))))
+    return out.withColumn("copy", F.when(name_key("name") != "", F.sha2(F.concat_ws("\u0001", "name", "town", "postcode"), 256)))
+
+
+def first_copies(deals: DataFrame) -> DataFrame:
+    """Of deals with equal ``copy`` the first."""
+    return cut(deals.where("copy is not null").groupBy("copy").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("name", "town", "postcode"))))
 
 
 def lookup_deals(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out."""
-    pairs = _deal_side(new, "_a").join(_deal_side(known, "_b"), "block").drop("block").distinct()
-    found = _judge(pairs, "_a", "_b")
-    return found.groupBy(F.col("id_a").alias("new_id")).agg(F.min("id_b").alias("known_id"), F.min_by("reason", "id_b").alias("reason"))
+    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out.  Equal deals are compared once."""
+    new = with_copy(new)
+    a, b = first_copies(new), first_copies(with_copy(known))
+    found = _judge(_met(a, b), "_a", "_b")
+    best = found.groupBy("id_a").agg(F.min("id_b").alias("known_id"), F.min_by("reason", "id_b").alias("reason"))
+    best = best.join(a.select(F.col("id").alias("id_a"), "copy"), "id_a")
+    return new.select(F.col("id").alias("new_id"), "copy").join(best, "copy").select("new_id", "known_id", "reason")
+
+
+def deal_pairs(firsts: DataFrame) -> DataFrame:
+    """(id_a, id_b, reason), id_a < id_b: deals of one table, each different one once, that match; likeness is that of the later to the earlier."""
+    return _judge(_met(firsts, firsts).where("id_a < id_b"), "_b", "_a")
+
+
+def decide_deals(deals: DataFrame) -> DataFrame:
+    """(id, kept_id, reason) of every deal: itself, or the first kept deal before it that it matches, and by what.
 
+    Equal deals are compared as the first of them: what replaces it replaces them all, and where it stays the others are its copies.
+    """
+    rows = cut(with_copy(deals))
+    firsts = first_copies(rows)
+    pairs = cut(deal_pairs(firsts))
+    decided = first_wins(firsts.select("id"), pairs.select("id_a", "id_b")).withColumnRenamed("id", "first")
+    why = pairs.select(F.col("id_a").alias("kept_id"), F.col("id_b").alias("first"), "reason")
+    decided = decided.join(why, ["kept_id", "first"], "left").join(firsts.select(F.col("id").alias("first"), "copy"), "first")
+    out = rows.select("id", "copy").join(decided, "copy", "left").withColumn("kept_id", F.coalesce("kept_id", "id"))
+    return out.select("id", "kept_id", F.when(F.col("id") == F.col("kept_id"), None).when(F.col("kept_id") == F.col("first"), "exact match").otherwise(F.col("reason")).alias("reason"))
+
+
+def append_deals(sheet: DataFrame, new: DataFrame) -> DataFrame:
+    """The rows that ``new`` deals (deal_id, the fields of a deal, has_brochure, brochure_scraped, comment, also_introduced_by) add to a ``sheet`` (row, asset_name, town, address).
 
-def deal_pairs(deals: DataFrame) -> DataFrame:
-    """(id_a, id_b), id_a < id_b: deals of one table that match; likeness is that of the later to the earlier."""
-    pairs = _deal_side(deals, "_a").join(_deal_side(deals, "_b"), "block").where("id_a < id_b").drop("block").distinct()
-    return _judge(pairs, "_b", "_a").select("id_a", "id_b")
+    A deal that matches a row of the sheet, or a deal added before it, adds none; one without name is always added.
+    The sheet keeps postcodes behind the address; yields become fractions; dates that are none stay text.
+    """
+    known = sheet.select(F.col("row").alias("id"), F.col("asset_name").alias("name"), "town", sheet_postcode("address").alias("postcode"))
+    asked = new.select(F.col("deal_id").alias("id"), F.col("asset_name").alias("name"), "town", "postcode")
+    there = cut(lookup_deals(asked, known))
+    fresh = cut(asked.join(there.select(F.col("new_id").alias("id")), "id", "left_anti"))
+    added = decide_deals(fresh).where("id = kept_id").select(F.col("id").alias("deal_id"))
+    yes = lambda c: F.when(F.coalesce(F.col(c), F.lit(False)), "Yes").otherwise("No").alias(c)
+    share = lambda c: (F.col(c) / 100).alias(c)
+    same = ["agent", "asset_name", "country", "town"]
+    numbers = ["area_acres", "area_sqft", "rent_pa", "rent_psf", "asking_price"]
+    return new.join(added, "deal_id").select(
+        "deal_id", F.coalesce(F.date_format(F.try_to_date(strip("date"), "d/M/yyyy"), "yyyy-MM-dd"), "date").alias("date"), *same, with_postcode("address", "postcode").alias("address"), "classification",
+        *numbers, share("net_yield"), share("reversionary_yield"), "capval_psf", F.lit("New").alias("status"), F.lit("No").alias("considered"), yes("has_brochure").alias("brochure_stored"), yes("brochure_scraped"),
+        F.nullif("comment", F.lit("")).alias("comment"), F.nullif("also_introduced_by", F.lit("")).alias("also_introduced_by"),
+    )
 
 
 def _insert_pairs(rows: DataFrame) -> DataFrame:
@@ -142,12 +259,13 @@ def _insert_pairs(rows: DataFrame) -> DataFrame:
     keep = ["fresh", "tenant", "t_blank", "u_blank"]
     own = rows.withColumns({"tenant_k": F.when(free, F.col("tenant")).otherwise(""), "unit_k": F.col("unit")})
     # a blank field is taken from a duplicate, which matches by the other field: all that it may become are the values of the row's own matches
-    pair = lambda df, equal: band_pairs(df, "id", keep, "rent_pa", "rent_psf", RENT, equal).where("fresh_b").where(~F.col("tenant_b").isin(*VACANT))
+    pair = lambda df, equal, via=None: band_pairs(df, "id", keep, "rent_pa", "rent_psf", RENT, equal, via).where("fresh_b").where(~F.col("tenant_b").isin(*VACANT))
     none = F.lit(None).cast("string")
     shown = lambda df, phase, filled=none, key=none: df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(phase).alias("phase"), filled.alias("filled"), key.alias("key"))
-    near = pair(own.where("tenant_k <> ''"), []).where("tenant_a <> tenant_b").where(can_reach(F.col("tenant_b"), F.col("tenant_a"), TENANT))
-    alike = near.withColumn("r", ratio("tenant_b", "tenant_a")).where(F.col("r") >= TENANT)
-    static = cut(shown(pair(own, ["tenant_k"]), 1).unionByName(shown(pair(own, ["unit_k"]), 2)).unionByName(shown(alike, 3)))
+    # each tenant is compared once with each other, however many rows have it: (earlier, later) by the later one's likeness to the earlier
+    met = alike_tenants(own.select(F.col("tenant_k").alias("tenant")))
+    later = met.select(F.col("y").alias("x"), F.col("x").alias("y"))
+    static = cut(shown(pair(own, ["tenant_k"]), 1).unionByName(shown(pair(own, ["unit_k"]), 2)).unionByName(shown(pair(own, ["tenant_k"], later), 3)))
 
     givers = rows.select(F.col("id").alias("b"), F.col("tenant").alias("new_tenant"), F.col("unit").alias("new_unit"), F.col("t_blank").alias("no_tenant"), F.col("u_blank").alias("no_unit"))
     open_ = rows.where("t_blank or u_blank").select(F.col("id").alias("a"), "rent_pa", "rent_psf", "t_blank", "u_blank")
@@ -161,8 +279,7 @@ def _insert_pairs(rows: DataFrame) -> DataFrame:
     late = lambda df, phase, field: df.where("a < b").where(agree).select("a", "b", F.lit(phase).alias("phase"), F.lit(field).alias("filled"), "key")
     by_unit = late(units.join(takers.withColumn("key", F.col("unit_b")), ["k", "key"]), 2, "unit")
     by_tenant = late(tenants.join(takers.withColumn("key", F.col("tenant_b")), ["k", "key"]), 1, "tenant")
-    like = tenants.join(takers, "k").where("tenant_b <> '' and tenant_b <> key").where(can_reach(F.col("tenant_b"), F.col("key"), TENANT)).where("a < b").where(agree)
-    by_like = late(like.withColumn("r", ratio("tenant_b", "key")).where(F.col("r") >= TENANT), 3, "tenant")
+    by_like = late(tenants.join(later.select(F.col("x").alias("key"), F.col("y").alias("tenant_b")), "key").join(takers, ["k", "tenant_b"]), 3, "tenant")
     return static.unionByName(by_unit).unionByName(by_tenant).unionByName(by_like)
 
 

@@ -62,10 +62,10 @@ def first_by_file(files: DataFrame) -> DataFrame:
     return out.select("name", "size", "path", "deals", F.when(more > 0, F.concat("deal", F.lit(" (+"), more, F.lit(" more)"))).otherwise(F.col("deal")).alias("label"))
 
 
-def numbered(rows: DataFrame, folder: str, name: str, order: list[Column]) -> DataFrame:
-    """``rows`` with ``free_name``: equal names in a folder get `` (2)``, `` (3)`` before the suffix."""
+def numbered(rows: DataFrame, folder: str, name: str, order: list[Column], suffixed: bool = True) -> DataFrame:
+    """``rows`` with ``free_name``: equal names in a folder get `` (2)``, `` (3)`` before the suffix, or behind names that have none."""
     n = F.row_number().over(Window.partitionBy(folder, F.lower(name)).orderBy(*order))
-    suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1)
+    suffix = F.regexp_extract(name, r"(\.[^.]+)$", 1) if suffixed else F.lit("")
     stem = F.left(F.col(name), F.length(name) - F.length(suffix))
     return rows.withColumn("_n", n).withColumn("free_name", F.when(F.col("_n") == 1, F.col(name)).otherwise(F.concat(stem, F.lit(" ("), F.col("_n"), F.lit(")"), suffix))).drop("_n")
 
@@ -92,20 +92,33 @@ def merge_sides(mail: DataFrame, brochure: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Likeness of two folder names of one town.
+FOLDER = 0.7
+
+
 def folder_lookup(deals: DataFrame, folders: DataFrame) -> DataFrame:
-    """(deal_id, folder, how): the archive folder of each deal: equal name, else equal postcode, else the most alike name of its town (0.7 or more).
+    """(deal_id, folder, how): the archive folder of each deal: equal name, else equal postcode, else the most alike name of its town (``FOLDER`` or more), else the newest of its quarter folders.
 
-    ``deals``: deal_id, folder_name, town, postcode.  ``folders``: folder, town, postcode.
+    ``deals``: deal_id, folder_name, town, postcode.  ``folders``: folder, town, postcode and, if known, ``latest``, the day of its
+    newest subfolder.  Quarter marks are left out where names are compared.  Each name is compared once, however many deals have it.
     """
-    from parcelforge.functions.similarity import can_reach, ratio
+    from parcelforge.functions.text import without_quarter
+    from parcelforge.operators.blocking import alike
+    from parcelforge.runtime import cut
 
     key = lambda c: F.lower(F.trim(c))
-    f = folders.select("folder", key("folder").alias("fk"), key("town").alias("tk"), F.upper(F.trim("postcode")).alias("pk"))
-    d = deals.select("deal_id", key("folder_name").alias("dk"), key("town").alias("tk"), F.upper(F.trim("postcode")).alias("pk"))
+    if "latest" not in folders.columns:
+        folders = folders.withColumn("latest", F.lit(None).cast("date"))
+    f = cut(folders.select("folder", key("folder").alias("fk"), key(without_quarter("folder")).alias("nk"), without_quarter("folder").alias("base"), key("town").alias("tk"), F.upper(F.trim("postcode")).alias("pk"), "latest"))
+    d = cut(deals.select("deal_id", F.trim("folder_name").alias("name"), key("folder_name").alias("dk"), key("town").alias("tk"), F.upper(F.trim("postcode")).alias("pk")))
     exact = d.join(f.select("folder", F.col("fk").alias("dk")), "dk").groupBy("deal_id").agg(F.min("folder").alias("exact"))
     code = d.where("pk <> ''").join(f.select("folder", "pk"), "pk").groupBy("deal_id").agg(F.min("folder").alias("code"))
-    near = d.where("tk <> ''").join(f.select("folder", "fk", "tk"), "tk").where(can_reach(F.col("dk"), F.col("fk"), 0.7)).withColumn("r", ratio("dk", "fk")).where("r >= 0.7")
-    near = near.groupBy("deal_id").agg(F.max(F.struct("r", "folder")).getField("folder").alias("near"))
-    out = d.join(exact, "deal_id", "left").join(code, "deal_id", "left").join(near, "deal_id", "left")
-    how = F.when(F.col("exact").isNotNull(), "name").when(F.col("code").isNotNull(), "postcode").when(F.col("near").isNotNull(), "alike").otherwise("new")
-    return out.select("deal_id", F.coalesce("exact", "code", "near").alias("folder"), how.alias("how"))
+    texts = [x.where("tk <> ''").select("tk", F.col(c).alias("text")).where("text <> ''").distinct() for x, c in ((d, "dk"), (f, "nk"))]
+    near = alike(*texts, FOLDER, ["tk"])
+    same = texts[0].join(texts[1], ["tk", "text"]).select("tk", F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("r"))
+    near = near.unionByName(same).join(f.select("tk", F.col("nk").alias("y"), "folder"), ["tk", "y"]).groupBy("tk", "x").agg(F.max(F.struct("r", "folder")).getField("folder").alias("near"))
+    near = d.select("deal_id", "tk", F.col("dk").alias("x")).join(near, ["tk", "x"]).select("deal_id", "near")
+    quarter = f.where("base <> folder").groupBy("base").agg(F.max(F.struct("latest", "folder")).getField("folder").alias("quarter")).withColumnRenamed("base", "name")
+    out = d.join(exact, "deal_id", "left").join(code, "deal_id", "left").join(near, "deal_id", "left").join(quarter, "name", "left")
+    how = F.when(F.col("exact").isNotNull(), "name").when(F.col("code").isNotNull(), "postcode").when(F.col("near").isNotNull(), "alike").when(F.col("quarter").isNotNull(), "quarter").otherwise("new")
+    return out.select("deal_id", F.coalesce("exact", "code", "near", "quarter").alias("folder"), how.alias("how"))

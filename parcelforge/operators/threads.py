@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parcelforge.functions.dates import day_or
 from parcelforge.functions.text import blank, subject_name
-from parcelforge.operators.dedup import deal_pairs
-from parcelforge.operators.greedy import first_wins
+from parcelforge.operators.dedup import decide_deals
+from parcelforge.runtime import cut
 
 #: What attachments and mails weigh against a thousand letters of text.
 MAIL_ATTACHMENT, THREAD_ATTACHMENT, THREAD_MAIL = 3, 5, 3
@@ -32,13 +33,14 @@ def group_threads(mails: DataFrame) -> DataFrame:
     rows = mails.withColumn("thread_id", thread_key())
     order = F.struct("date", "gmail_message_id")
     cells = F.struct("date", "gmail_message_id", "sender_domain", F.coalesce("attachment_names", F.array().cast("array<string>")).alias("files"), F.coalesce("matched_keywords", F.array().cast("array<string>")).alias("words"))
+    chars = F.sum(F.coalesce(F.length("body_preview"), F.lit(0))) if "body_preview" in mails.columns else F.lit(0).cast("bigint")
     out = rows.groupBy("thread_id").agg(
         F.count("*").alias("email_count"), F.min_by("date", order).alias("earliest_date"), F.max_by("date", order).alias("latest_date"), F.max_by("subject", order).alias("latest_subject"),
-        F.bool_or("matched_sender").alias("matched_sender"), F.bool_or("matched_label").alias("matched_label"), F.array_sort(F.collect_list(cells)).alias("m"),
+        F.bool_or("matched_sender").alias("matched_sender"), F.bool_or("matched_label").alias("matched_label"), F.array_sort(F.collect_list(cells)).alias("m"), chars.alias("body_chars"),
     )
     return out.select(
         "thread_id", "email_count", "latest_date", "latest_subject", "earliest_date", F.array_distinct(F.filter(F.col("m.sender_domain"), lambda x: x.isNotNull())).alias("all_sender_domains"),
-        F.array_distinct(F.flatten("m.files")).alias("all_attachment_names"), "matched_sender", "matched_label", F.array_distinct(F.flatten("m.words")).alias("matched_keywords"),
+        F.array_distinct(F.flatten("m.files")).alias("all_attachment_names"), "matched_sender", "matched_label", F.array_distinct(F.flatten("m.words")).alias("matched_keywords"), "body_chars",
     )
 
 
@@ -59,19 +61,37 @@ def mail_labels(mails: DataFrame) -> DataFrame:
 
 
 def group_properties(threads: DataFrame) -> DataFrame:
-    """(thread_id, group_id, is_winner): threads (thread_id, pos, name, town, score) that a leader's name matches; each thread joins its first leader, the richest thread wins.
+    """(thread_id, group_id, is_winner, reason, also_introduced_by): threads (thread_id, pos, name, town, score, domains) that a leader's name matches.
 
-    Candidates for a match are those of ``deal_pairs``.
+    Threads come in the order of ``pos``, any ordered value; each joins its first leader, by ``reason`` (null for leaders); the richest thread wins, the first of equals.
+    Winners tell the domains of the group's other threads, in their order, that are not their own; for the others the list is null.
+    Matches are those of ``decide_deals``.
     """
     t = threads.select(F.col("pos").alias("id"), "name", "town", F.lit("").alias("postcode"))
-    pairs = deal_pairs(t)
-    groups = threads.join(first_wins(t.select("id"), pairs).withColumnsRenamed({"id": "pos", "kept_id": "group_id"}), "pos")
+    placed = cut(decide_deals(t).withColumnsRenamed({"id": "pos", "kept_id": "leader"}))
+    lead = threads.select(F.col("pos").alias("leader"), F.col("thread_id").alias("group_id"))
+    groups = threads.join(placed, "pos").join(lead, "leader")
     best = F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("score"), "pos"))
-    return groups.select("thread_id", "group_id", (best == 1).alias("is_winner"))
+    groups = cut(groups.withColumn("is_winner", best == 1))
+    # each domain of a group once, where it first comes among the threads that do not win
+    said = groups.where("not is_winner").select("group_id", "pos", F.posexplode("domains").alias("k", "domain"))
+    firsts = said.groupBy("group_id", "domain").agg(F.min(F.struct("pos", "k")).alias("at"))
+    own = groups.where("is_winner").select("group_id", F.explode("domains").alias("domain"))
+    others = firsts.join(own, ["group_id", "domain"], "left_anti").groupBy("group_id").agg(F.array_sort(F.collect_list(F.struct("at", "domain"))).alias("d"))
+    out = groups.join(others, "group_id", "left")
+    also = F.when(F.col("is_winner"), F.coalesce(F.col("d.domain"), F.array().cast("array<string>")))
+    return out.select("thread_id", "group_id", "is_winner", "reason", also.alias("also_introduced_by"))
 
 
 def thread_score() -> Column:
-    return F.size("all_attachment_names") * THREAD_ATTACHMENT + F.col("email_count") * THREAD_MAIL
+    """Of a row of ``group_threads``: its attachments, mails and thousands of letters."""
+    return F.size("all_attachment_names") * THREAD_ATTACHMENT + F.col("email_count") * THREAD_MAIL + F.col("body_chars") / 1000
+
+
+def newest_first() -> Column:
+    """Position of a thread among all, as an ordered value: by the day of its latest mail, newest first, then by id; threads without a readable day last."""
+    day = F.coalesce(F.unix_date(day_or("latest_date", F.lit(None).cast("date"))), F.lit(-1_000_000))
+    return F.struct((-day).alias("age"), "thread_id")
 
 
 def asset_names(mails: DataFrame) -> DataFrame:

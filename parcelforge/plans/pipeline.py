@@ -33,9 +33,9 @@ def deals_of(mails: DataFrame, extractor: extract.Extractor) -> DataFrame:
 
 
 def distinct_deals(deals: DataFrame) -> DataFrame:
-    """(deal_id, kept_id): deals of one run that match an earlier one by name, town and postcode go."""
+    """(deal_id, kept_id, reason): deals of one run that match an earlier one by name, town and postcode go."""
     d = deals.select(F.col("deal_id").alias("id"), *(F.coalesce(c, F.lit("")).alias(n) for c, n in (("asset_name", "name"), ("town", "town"), ("postcode", "postcode"))))
-    return greedy.first_wins(d.select("id"), dedup.deal_pairs(d)).withColumnRenamed("id", "deal_id")
+    return dedup.decide_deals(d).select(F.col("id").alias("deal_id"), "kept_id", "reason")
 
 
 def clean_tables(occupational: DataFrame, investment: DataFrame, places: DataFrame, as_of: str) -> dict[str, DataFrame]:

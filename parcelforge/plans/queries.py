@@ -223,7 +223,7 @@ def postcode_towns(spark, d):
     names as (select lower(candidate) as part, min(name) as part_town from place_dim where local_type in ({", ".join(S.q(x) for x in clean.SETTLEMENTS)}) group by 1)
     select id, arg_min(part_town, pos) as town from parts join names using (part) group by id""")
 def deal_name_towns(spark, d):
-    parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("_part", F.lower("p"))
+    parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("_part", F.lower("p")).where(clean.place_like(F.col("p")))
     return parts.join(clean.place_names(table(spark, d, "place_dim")), "_part").groupBy("id").agg(F.min_by("_part_town", "pos").alias("town"))
 
 
@@ -444,13 +444,14 @@ def inv_dedup(spark, d):
 def insert_actions(spark, d):
     """Comparables put into a table of tenancies: what is inserted and what duplicates which row."""
     comps = table(spark, d, OCC)
-    return dedup.insert_batch(comps.where("entry_type = 'tenancy'"), comps.where("entry_type = 'comparable'"))
+    kind = F.coalesce(F.nullif(text.strip("entry_type"), F.lit("")), F.lit("tenancy"))
+    return dedup.insert_batch(comps.where(kind != "comparable"), comps.where(kind == "comparable"))
 
 
 @query("property_groups")
 def property_groups(spark, d):
     t = threads.group_threads(threads.one_delivery(table(spark, d, MAILS)))
-    t = t.select("thread_id", F.xxhash64("thread_id").alias("pos"), text.subject_name("latest_subject").alias("name"), F.lit("").alias("town"), threads.thread_score().alias("score"))
+    t = t.select("thread_id", threads.newest_first().alias("pos"), text.subject_name("latest_subject").alias("name"), F.lit("").alias("town"), threads.thread_score().alias("score"), F.col("all_sender_domains").alias("domains"))
     return threads.group_properties(t)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parcelforge.functions.numbers import to_number
-from parcelforge.functions.predicates import DOCUMENTS
+from parcelforge.functions.predicates import DOCUMENTS, financial_model
 from parcelforge.functions.text import blank
 
 
@@ -22,12 +22,14 @@ def deal_of(relative: Column) -> Column:
     return F.when(F.size(parts) > 1, parts[0]).otherwise(F.regexp_replace(F.element_at(parts, -1), r"\.[^.]+$", ""))
 
 
-def archive_files(spark: SparkSession, root: str, depth: int | None = None) -> DataFrame:
-    """(path, name, size, deal, kind) of the documents below ``root``; with ``depth`` only those that many folders down."""
+def archive_files(spark: SparkSession, root: str, depth: int | None = None, models: bool = True, skip: list[str] = ()) -> DataFrame:
+    """(path, name, size, deal, kind) of the documents below ``root``; with ``depth`` only those that many folders down, without ``models`` no financial models, none of the names in ``skip``."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length")
     rel = F.regexp_replace(F.regexp_replace("path", r"^file:/+", "/"), "^" + root.rstrip("/") + "/", "")
     out = found.select("path", F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), deal_of(rel).alias("deal"), kind_of(F.col("path")).alias("kind"), F.size(F.split(rel, "/")).alias("_depth"))
-    out = out.where(F.col("name").rlike(DOCUMENTS))
+    out = out.where(F.col("name").rlike(DOCUMENTS) & ~F.col("name").isin(*skip))
+    if not models:
+        out = out.where(~financial_model("name"))
     return (out if depth is None else out.where(F.col("_depth") == depth + 1)).drop("_depth")
 
 

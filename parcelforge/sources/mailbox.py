@@ -6,7 +6,7 @@ import json
 from datetime import datetime, timezone
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, InputPartition, LessThan
 
@@ -68,7 +68,17 @@ def scan(spark: SparkSession, path: str, after: str | None = None, before: str |
     if before:
         df = df.where(F.col("day") < before)
     hit = F.coalesce(F.col("label") == label, F.lit(False)) if label else F.lit(False)
-    return df.groupBy("id").agg(F.first("thread_id").alias("thread_id"), F.first("received_ms").alias("received_ms"), F.first("payload").alias("payload"), F.bool_or(hit).alias("labelled"))
+    one = df.groupBy("id").agg(F.min(F.struct("received_ms", "thread_id", "payload")).alias("m"), F.bool_or(hit).alias("labelled"))
+    return one.select("id", "m.thread_id", "m.received_ms", "m.payload", "labelled")
+
+
+def capped(found: DataFrame, most: int) -> DataFrame:
+    """The scan's result where each of the two searches, for the label and for everything, gives ``most`` messages at most, the newest: labelled ones first, then by age, each once with its ``position``."""
+    newest = lambda d: d.orderBy(F.desc("received_ms"), "id").limit(most)
+    rows = newest(found.where("labelled")).withColumn("_source", F.lit(0)).unionByName(newest(found).withColumn("_source", F.lit(1)))
+    once = rows.groupBy("id").agg(F.min("_source").alias("_source")).join(rows, ["id", "_source"])
+    # at most twice ``most`` rows
+    return once.withColumn("position", F.row_number().over(Window.orderBy("_source", F.desc("received_ms"), "id"))).drop("_source")
 
 
 def query_text(after: str | None, before: str | None, label: str | None) -> str:
