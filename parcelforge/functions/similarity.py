@@ -26,7 +26,15 @@ def ratio(a: pa.Array, b: pa.Array) -> pa.Array:
     return pa.array(out, pa.float64())
 
 
+def _edits(a: Column, b: Column, least: float) -> Column:
+    return F.floor((1 - least) * (F.length(a) + F.length(b)) + 1e-9).cast("int")
+
+
+def lengths_reach(a: Column, b: Column, least: float) -> Column:
+    """Whether two texts are near enough in length for the ratio to be ``least`` or more."""
+    return F.abs(F.length(a) - F.length(b)) <= _edits(a, b, least)
+
+
 def can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the ratio can be ``least`` or more: a ratio r leaves at most (1 - r) T letters to insert or delete."""
-    most = F.floor((1 - least) * (F.length(a) + F.length(b)) + 1e-9).cast("int")
-    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.levenshtein(a, b) <= most)
+    return lengths_reach(a, b, least) & (F.levenshtein(a, b) <= _edits(a, b, least))

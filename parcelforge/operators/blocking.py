@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parcelforge.functions.numbers import close
-from parcelforge.functions.similarity import can_reach, ratio
+from parcelforge.functions.similarity import can_reach, lengths_reach, ratio
 from parcelforge.functions.text import name_key, strip, telling_words
 from parcelforge.runtime import cut
 
@@ -80,7 +80,11 @@ def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (
     else:
         keep = F.col("rank") <= F.ceil(F.col("size") * SHARE)
     a, b = (rarest(g, every).where(keep).select(F.col("id").alias("text"), "part").join(d.select("text", *within), "text") for g, d in zip(grams, (left, right)))
-    met = a.withColumnRenamed("text", "x").join(b.withColumnRenamed("text", "y"), ["part", *within]).where("x <> y").select(*within, "x", "y").distinct()
+    # few bytes make many pairs: the number of tasks must not follow the bytes
+    n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    met = a.withColumnRenamed("text", "x").repartition(n, "part", *within).join(b.withColumnRenamed("text", "y"), ["part", *within])
+    met = met.where((F.col("x") != F.col("y")) & lengths_reach(F.col("x"), F.col("y"), least)).select(*within, "x", "y").distinct()
+    met = cut(met.repartition(n, "x", "y"))  # written, or the test of letters would run before pairs are made distinct
     return met.where(can_reach(F.col("x"), F.col("y"), least)).withColumn("r", ratio("x", "y")).where(F.col("r") >= least)
 
 
@@ -134,15 +138,16 @@ def _alike_in_towns(left: DataFrame, right: DataFrame, text: Column, least: floa
     return out
 
 
-def name_candidates(left: DataFrame, right: DataFrame, text: Column, least: float, part: float = 0.6, towns: bool = False) -> DataFrame:
-    """(id_a, id_b), each once: pairs of names (id, name, other columns of ``text``) that may be equal, contained, share telling words, or have alike ``text``; with ``towns`` the last only where their towns agree."""
+def name_candidates(left: DataFrame, right: DataFrame, text: Column, least: float, part: float = 0.6, towns: bool = False, meet: tuple[Column, Column] | None = None) -> DataFrame:
+    """(id_a, id_b), each once: pairs of names (id, name, other columns of ``text``) that may be equal, contained, share telling words, or have alike ``text``; the last with ``towns`` only where their towns agree, with ``meet`` only where the left one's array holds the right one's value."""
     side = lambda d, c, s: d.select(F.col("id").alias(f"id_{s}"), c.alias("k")).where("k <> ''")
     same = side(left, name_key("name"), "a").join(side(right, name_key("name"), "b"), "k").select("id_a", "id_b")
     if towns:
         near = _alike_in_towns(left, right, text, least)
     else:
-        texts = [d.select(text.alias("text")).where("text <> ''").distinct() for d in (left, right)]
-        near = alike(*texts, least).select("x", "y")
+        at = (F.explode(meet[0]), meet[1]) if meet else (F.lit(0), F.lit(0))
+        texts = [cut(d.select(text.alias("text"), m.alias("at")).where("text <> ''").distinct()) for d, m in zip((left, right), at)]
+        near = alike(*texts, least, ["at"]).select("x", "y").distinct()
         near = side(left, text, "a").withColumnRenamed("k", "x").join(near, "x").join(side(right, text, "b").withColumnRenamed("k", "y"), "y").select("id_a", "id_b")
         near = near.unionByName(side(left, text, "a").join(side(right, text, "b"), "k").select("id_a", "id_b"))
     return same.unionByName(near).unionByName(_overlaps(left, right, part)).unionByName(_contained(left, right)).where("id_a <> id_b").distinct()

@@ -11,7 +11,7 @@ from parcelforge.functions.postcodes import sheet_postcode, with_postcode
 from parcelforge.functions.predicates import about_investment, contained, sorted_telling, towns_agree, vacant, words_overlap
 from parcelforge.functions.similarity import can_reach, ratio
 from parcelforge.functions.text import blank, name_key, strip, telling_words, tenant_key, unit_key
-from parcelforge.operators.blocking import alike, band_pairs, name_candidates, rent_key
+from parcelforge.operators.blocking import alike, band, band_pairs, name_candidates, rent_key
 from parcelforge.operators.greedy import first_wins
 from parcelforge.runtime import cut
 
@@ -39,9 +39,11 @@ def copies(rows: DataFrame) -> Column:
 
 
 def alike_tenants(rows: DataFrame, least: float = TENANT) -> DataFrame:
-    """(x, y): different tenant keys of which ``ratio(x, y)`` is ``least`` or more; each key is compared once, however many rows have it."""
-    keys = cut(rows.select(F.col("tenant").alias("text")).where("text <> ''").distinct())
-    return cut(alike(keys, keys, least).select("x", "y"))
+    """(x, y): different tenant keys, of rows with rents at most a band apart, of which ``ratio(x, y)`` is ``least`` or more; keys meet once in each band, however many rows have them."""
+    at = rows.where("tenant <> ''").select(F.col("tenant").alias("text"), rent_key("rent_pa", "rent_psf", RENT).alias("k")).where("k.band is not null")
+    at = cut(at.select("text", "k.kind", "k.band").distinct())
+    near = at.select("text", "kind", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")).distinct()
+    return cut(alike(near, at, least, ["kind", "band"]).select("x", "y").distinct())
 
 
 def letting_pairs(comps: DataFrame) -> DataFrame:
@@ -99,7 +101,9 @@ def prices_agree() -> Column:
 
 def alike_addresses(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs of ``investment_rows`` (columns of each with _a and _b) whose prices agree and whose addresses are alike; a's address is the one whose likeness is judged."""
-    met = name_candidates(left, right, name_key("name"), ADDRESS)
+    home = F.coalesce(band(F.col("price"), PRICE), F.lit(-1_000_000))  # all without price together
+    around = F.when(F.col("price") > 0, F.sequence(home - 1, home + 1)).otherwise(F.array(home))
+    met = name_candidates(left, right, name_key("name"), ADDRESS, meet=(around, home))
     side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in d.columns))
     pairs = met.join(side(left, "a"), "id_a").join(side(right, "b"), "id_b").where(prices_agree())
     sure, may, like = addresses_alike("name_a", "name_b")
@@ -263,7 +267,7 @@ def _insert_pairs(rows: DataFrame) -> DataFrame:
     none = F.lit(None).cast("string")
     shown = lambda df, phase, filled=none, key=none: df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(phase).alias("phase"), filled.alias("filled"), key.alias("key"))
     # each tenant is compared once with each other, however many rows have it: (earlier, later) by the later one's likeness to the earlier
-    met = alike_tenants(own.select(F.col("tenant_k").alias("tenant")))
+    met = alike_tenants(own.select(F.col("tenant_k").alias("tenant"), "rent_pa", "rent_psf"))
     later = met.select(F.col("y").alias("x"), F.col("x").alias("y"))
     static = cut(shown(pair(own, ["tenant_k"]), 1).unionByName(shown(pair(own, ["unit_k"]), 2)).unionByName(shown(pair(own, ["tenant_k"], later), 3)))
 
