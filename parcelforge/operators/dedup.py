@@ -135,11 +135,11 @@ def insert_investments(existing: DataFrame, new: DataFrame, key: str = "row_no")
     judged = cut(investment_rows(rows, "id"))
     # the later row's address is the one whose likeness is judged
     pairs = alike_addresses(judged.where("id.fresh"), judged).where("id_b < id_a").select(F.col("id_b").alias("a"), F.col("id_a").alias("b"), F.col("q_b").alias("q_a"), F.col("q_a").alias("q_b"))
-    no_quarter = rows.select(F.col("id").alias("a"), blank("quarter").alias("open"))
+    no_quarter = rows.select(F.col("id").alias("a"), (blank("quarter")).alias("open"))
     pairs = cut(pairs.join(no_quarter, "a"))
     near = lambda x, y: F.coalesce(F.abs(F.col(x) - F.col(y)) <= 1, F.lit(True))
     pairs = pairs.where(near("q_a", "q_b"))
-    gives = rows.select(F.col("id").alias("b"), F.col("blanks").alias("b_blanks"), ~blank("quarter").alias("gives_q"), quarter_ordinal("quarter").alias("new_q"))
+    gives = rows.select(F.col("id").alias("b"), F.col("blanks").alias("b_blanks"), (~blank("quarter")).alias("gives_q"), quarter_ordinal("quarter").alias("new_q"))
     takes = rows.select(F.col("id").alias("a"), F.col("blanks").alias("a_blanks"))
     last = fills = None
     while True:

@@ -67,9 +67,9 @@ def mail_times(mails: DataFrame) -> DataFrame:
     A reply (subject ``RE:``) follows every first message of its thread whose instant is stated, and a first
     message precedes every such reply.  Rows without message id are left out.
     """
-    one = mails.where("trim(gmail_message_id) <> ''").groupBy("gmail_message_id").agg(
-        F.min("date").alias("date"), F.min("sender_domain").alias("sender_domain"), F.min("subject").alias("subject"), F.min(F.nullif(F.trim("thread_id"), F.lit(""))).alias("thread_id")
-    )
+    cells = F.struct(F.col("date").isNull().alias("none"), "date", "sender_domain", "subject", F.nullif(F.trim("thread_id"), F.lit("")).alias("thread_id"))
+    # of several deliveries the one that sorts first, dated ones before others
+    one = mails.where("trim(gmail_message_id) <> ''").groupBy("gmail_message_id").agg(F.min(cells).alias("m")).select("gmail_message_id", "m.date", "m.sender_domain", "m.subject", "m.thread_id")
 
     def read(batches):
         for b in batches:

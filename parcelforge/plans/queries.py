@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from parcelforge import extract
 from parcelforge.functions import dates, jsonx, numbers, postcodes, predicates, text
-from parcelforge.operators import archive, areas, clean, dedup, greedy, impute, ledger, threads, timestamps
+from parcelforge.operators import archive, areas, clean, dedup, greedy, impute, ledger, reports, threads, timestamps
 from parcelforge.plans import pipeline
 from parcelforge.plans import sqltext as S
-from parcelforge.runtime import table
+from parcelforge.runtime import cut, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -31,8 +31,8 @@ def query(name: str, sql: str | None = None):
 
 
 OCC, INV, DEALS, MAILS = "raw_occupational_comps", "investment_comps", "deals", "email_summaries"
-stop = ", ".join(S.q(w) for w in text.STOP_WORDS)
-legal = "|".join(text.LEGAL_FORMS)
+stop = ", ".join(S.q(w) for w in S.STOP_WORDS)
+legal = "|".join(S.LEGAL_FORMS)
 
 
 # --- scalar functions ------------------------------------------------------------------------------------------------------------------
@@ -175,9 +175,9 @@ def mail_filter(spark, d):
     return table(spark, d, MAILS).select("gmail_message_id", listed.alias("from_listed"), F.array_join(words, ",").alias("keywords"), predicates.qualifies(label, tests).alias("any_filter"), predicates.qualifies(label, tests, need_all=True).alias("all_filters"))
 
 
-_vac = f"({S.has('tenant_name', predicates.VACANT)} or ({S.blank('tenant_name')} and {S.has('notes', predicates.VACANT)}))"
-_invf, _invl = S.has("notes", predicates.INVESTMENT), S.has("notes", predicates.INVESTMENT_LOOSE)
-_av = f"({S.has('comp_date', predicates.AVAILABLE)} or {S.has('notes', predicates.AVAILABLE)})"
+_vac = f"({S.has('tenant_name', S.VACANT)} or ({S.blank('tenant_name')} and {S.has('notes', S.VACANT)}))"
+_invf, _invl = S.has("notes", S.INVESTMENT), S.has("notes", S.INVESTMENT_LOOSE)
+_av = f"({S.has('comp_date', S.AVAILABLE)} or {S.has('notes', S.AVAILABLE)})"
 
 
 @query("letting_flags", f"select id, {_vac} as is_vacant, {_invf} as about_investment, {_invl} as about_investment_loose, {_av} as on_offer, rent_pa is null and rent_psf is null as no_rent from raw_occupational_comps")
@@ -185,14 +185,14 @@ def letting_flags(spark, d):
     return table(spark, d, OCC).select("id", predicates.vacant("tenant_name", "notes").alias("is_vacant"), predicates.about_investment("notes").alias("about_investment"), predicates.about_investment("notes", loose=True).alias("about_investment_loose"), predicates.available("comp_date", "notes").alias("on_offer"), (F.col("rent_pa").isNull() & F.col("rent_psf").isNull()).alias("no_rent"))
 
 
-@query("junk_files", f"""select gmail_message_id, f.u as attachment, {S.has('f.u', predicates.IMAGE)} and (length(f.u) * 4096 < {predicates.SMALL_IMAGE} or {S.has('f.u', predicates.JUNK_IMAGE)}) as junk, {S.has('f.u', predicates.DOCUMENTS)} as document
+@query("junk_files", f"""select gmail_message_id, f.u as attachment, {S.has('f.u', S.IMAGE)} and (length(f.u) * 4096 < {S.SMALL_IMAGE} or {S.has('f.u', S.JUNK_IMAGE)}) as junk, {S.has('f.u', S.DOCUMENTS)} as document
     from email_summaries, unnest(attachment_names) as f(u)""")
 def junk_files(spark, d):
     size = F.length("attachment") * 4096
     return table(spark, d, MAILS).select("gmail_message_id", F.explode("attachment_names").alias("attachment")).select("gmail_message_id", "attachment", predicates.junk_image("attachment", size, F.lit(False)).alias("junk"), predicates.is_document("attachment").alias("document"))
 
 
-@query("stub_names", "select gmail_message_id, " + " or ".join(f"contains(lower(coalesce(subject, '')), {S.q(w)})" for w in predicates.STUB_WORDS) + " as disqualified from email_summaries")
+@query("stub_names", "select gmail_message_id, " + " or ".join(f"contains(lower(coalesce(subject, '')), {S.q(w)})" for w in S.STUB_WORDS) + " as disqualified from email_summaries")
 def stub_names(spark, d):
     return table(spark, d, MAILS).select("gmail_message_id", predicates.stub_name(F.coalesce("subject", F.lit(""))).alias("disqualified"))
 
@@ -219,8 +219,8 @@ def postcode_towns(spark, d):
     return o.join(clean.outcode_towns(table(spark, d, "place_dim")), "_outcode", "left").select("id", F.col("_place_town").alias("place_town"))
 
 
-@query("deal_name_towns", f"""with parts as (select id, i as pos, lower({S.strip("string_split(source_deal, ',')[i]")}) as part from raw_occupational_comps, range(1, 20) r(i) where i <= len(string_split(source_deal, ','))),
-    names as (select lower(candidate) as part, min(name) as part_town from place_dim where local_type in ({", ".join(S.q(x) for x in clean.SETTLEMENTS)}) group by 1)
+@query("deal_name_towns", f"""with parts as (select id, i as pos, lower({S.strip("string_split(source_deal, ',')[i]")}) as part from raw_occupational_comps, range(1, 20) r(i) where i <= len(string_split(source_deal, ',')) and {S.place_like(S.strip("string_split(source_deal, ',')[i]"))}),
+    names as (select lower(candidate) as part, min(name) as part_town from place_dim where local_type in ({", ".join(S.q(x) for x in S.SETTLEMENTS)}) group by 1)
     select id, arg_min(part_town, pos) as town from parts join names using (part) group by id""")
 def deal_name_towns(spark, d):
     parts = table(spark, d, OCC).select("id", F.posexplode(F.transform(F.split("source_deal", ","), text.strip)).alias("pos", "p")).withColumn("_part", F.lower("p")).where(clean.place_like(F.col("p")))
@@ -230,7 +230,7 @@ def deal_name_towns(spark, d):
 _links = """with k as (select id, rent_pa, rent_psf, {key} as k from raw_occupational_comps where not ({flags}))
     select a.id, count(*) as links, min(b.id) as first_id from k a join k b on a.k = b.k and a.k <> '' and a.id <> b.id and ({pa} or (a.rent_pa is null and b.rent_pa is null and {psf})) group by a.id"""
 _flags = f"{_vac} or {_invf} or (rent_pa is null and rent_psf is null)"
-_rent = {"pa": S.close("a.rent_pa", "b.rent_pa", dedup.RENT), "psf": S.close("a.rent_psf", "b.rent_psf", dedup.RENT), "flags": _flags}
+_rent = {"pa": S.close("a.rent_pa", "b.rent_pa", S.RENT), "psf": S.close("a.rent_psf", "b.rent_psf", S.RENT), "flags": _flags}
 
 
 def _link_counts(spark, d, key):
@@ -405,20 +405,20 @@ def merged_deals(spark, d):
 _z = lambda c: f"nullif({c}, 0)"
 
 
-@query("inv_clean", f"""with a as (select row_no, case when {S.blank('quarter')} then {S.quarter_text('date', True)} else quarter end as quarter, {_z('area_sqft')} as a0, {_z('rent_pa')} as p0, {_z('rent_psf')} as f0, {_z('price')} as price, {_z('capval_psf')} as c0 from investment_comps where address <> ''),
-    b as (select *, coalesce(p0, round(f0 * a0, 2)) as p1 from a), c as (select *, coalesce(f0, round(p1 / a0, 2)) as f1 from b), e as (select *, coalesce(a0, round(p1 / f1, 0)) as a1 from c)
+@query("inv_clean", f"""with a as (select row_no, case when {S.blank('quarter')} then {S.quarter_text('date', True)} else quarter end as quarter, {_z('area_sqft')} as a0, {_z('rent_pa')} as p0, {_z('rent_psf')} as f0, {_z('price')} as price, {_z('yield_niy')} as y, {_z('capval_psf')} as c0 from investment_comps where address <> ''),
+    r as (select *, coalesce(p0, nullif(round(price * 1.068 * y, 2), 0)) as p2 from a), b as (select *, coalesce(p2, nullif(round(f0 * a0, 2), 0)) as p1 from r), c as (select *, coalesce(f0, nullif(round(p1 / a0, 2), 0)) as f1 from b), e as (select *, coalesce(a0, round(p1 / f1, 0)) as a1 from c)
     select row_no, quarter, p1 as rent_pa, f1 as rent_psf, a1 as area_sqft, coalesce(c0, round(price / a1, 2)) as capval_psf from e""")
 def inv_clean(spark, d):
     return clean.clean_investment(table(spark, d, INV)).select("row_no", "quarter", "rent_pa", "rent_psf", "area_sqft", "capval_psf")
 
 
-@query("occ_clean")
+@query("occ_clean", S.cleaned_occupational("2026-06-30") + S.LETTINGS_ONLY)
 def occ_clean(spark, d):
     """The cleaned lettings: every rule, then the three filters."""
     return clean.lettings_only(clean.clean_occupational(table(spark, d, OCC), table(spark, d, "place_dim"), AS_OF))
 
 
-@query("occ_clean_counts")
+@query("occ_clean_counts", S.cleaned_occupational("2026-06-30") + S.FILTER_COUNTS)
 def occ_clean_counts(spark, d):
     return clean.filter_counts(clean.clean_occupational(table(spark, d, OCC), table(spark, d, "place_dim"), AS_OF))
 
@@ -461,7 +461,12 @@ def distinct_deals(spark, d):
     return pipeline.distinct_deals(table(spark, d, DEALS))
 
 
-@query("archive_plan")
+@query("archive_plan", f"""with d as (select deal_id, {S.sub('left(' + _safe(_folder) + ', 100)', f'[{S.WS}]+$')} as base, coalesce(try_strptime(nullif({S.get(_sd, _iso, 1)}, ''), '%Y-%m-%d'), try_strptime(nullif({S.get(_sd, _dm, 1)}, ''), '%d/%m/%Y'), timestamp '2026-06-30') as day, agent from deals),
+    v as (select *, sum(fresh) over (partition by base order by day, deal_id) as visit from (select *, case when date_diff('day', lag(day) over w, day) <= 90 then 0 else 1 end as fresh from d window w as (partition by base order by day, deal_id))),
+    o as (select *, min(day) over (partition by base, visit) as opened from v),
+    n as (select deal_id, base, case when visit = 1 then base else base || ' (' || year(opened) || ' Q' || quarter(opened) || ')' end as folder, {S.sub('left(' + _safe("strftime(day, '%Y-%m-%d') || ' - ' || (case when " + S.blank('agent') + " then 'Unknown' else " + S.strip('agent') + " end)") + ', 100)', f'[{S.WS}]+$')} as dated from o),
+    r as (select *, row_number() over (partition by folder, lower(dated) order by deal_id) as k from n)
+    select deal_id, base, folder, dated || case when k > 1 then ' (' || k || ')' else '' end as subfolder from r""")
 def archive_plan(spark, d):
     return archive.archive_plan(table(spark, d, DEALS), AS_OF)
 
@@ -489,6 +494,135 @@ def replayed_records(spark, d):
     return extract.records(replies, "event_id", "unit_name STRING, rent_pa DOUBLE")
 
 
+# --- more of the flow --------------------------------------------------------------------------------------------------------------------------
+_model = lambda x: " or ".join(f"contains(lower({x}), {S.q(w)})" for w in S.MODEL_WORDS)
+
+
+@query("brochure_files", f"select gmail_message_id, f.u as attachment, {S.has('f.u', S.DOCUMENTS)} and not ({_model('f.u')}) as brochure, {_model('f.u')} as model, {S.has('f.u', S.DOCUMENTS[:-3] + '|pptx|ppt)$')} as kept from email_summaries, unnest(attachment_names) as f(u)")
+def brochure_files(spark, d):
+    """Attachments: which are brochures to parse, which are financial models, which are kept at all."""
+    files = table(spark, d, MAILS).select("gmail_message_id", F.explode("attachment_names").alias("attachment"))
+    return files.select("gmail_message_id", "attachment", (predicates.is_document("attachment") & ~predicates.financial_model("attachment")).alias("brochure"), predicates.financial_model("attachment").alias("model"), predicates.is_attachment("attachment").alias("kept"))
+
+
+_stub = " or ".join(f"contains(lower(coalesce(asset_name, '')), {S.q(w)})" for w in S.STUB_WORDS)
+_subject = ORACLE["subject_names"].removeprefix("select gmail_message_id, ").removesuffix(" as asset_name from email_summaries")
+
+
+@query("mail_routes", f"""with m as (select gmail_message_id, bool_or(matched_label) as intro, bool_or(has_attachments) as files, min({_subject}) as asset_name from email_summaries group by 1), n as (select gmail_message_id, count(*) as deals from deals group by 1)
+    select m.gmail_message_id, case when coalesce(n.deals, 0) > 0 then 'deals' when not coalesce(intro, false) and not coalesce(files, false) then 'not introduction' when not coalesce(files, false) then 'error' when {_stub} then 'not a stub' else 'stub' end as route from m left join n using (gmail_message_id)""")
+def mail_routes(spark, d):
+    """What becomes of each message, by its deals, label and files."""
+    m = table(spark, d, MAILS).groupBy("gmail_message_id").agg(F.bool_or("matched_label").alias("intro"), F.bool_or("has_attachments").alias("files"), F.min(text.subject_name("subject")).alias("name"))
+    n = table(spark, d, DEALS).groupBy("gmail_message_id").agg(F.count("*").alias("deals"))
+    return m.join(n, "gmail_message_id", "left").select("gmail_message_id", predicates.route(F.col("deals"), F.col("intro"), F.col("files"), F.col("name")).alias("route"))
+
+
+@query("scan_rows", """select gmail_message_id, """ + f"coalesce(strftime(coalesce(try_strptime(nullif({S.get('date', _dm, 1)}, ''), '%d/%m/%Y'), try_strptime(nullif({S.get('date', _iso, 1)}, ''), '%Y-%m-%d')), '%d/%m/%Y'), left(date, 10)) as day," + """
+    case when length(sender) > 35 then left(sender, 33) || '..' else sender end as sender, case when length(subject) > 50 then left(subject, 48) || '..' else subject end as subject, case when len(attachment_names) > 0 then left(array_to_string(attachment_names, ', '), 18) else '-' end as files,
+    coalesce(nullif(concat_ws(' + ', case when matched_label then 'label' end, case when matched_sender then 'sender' end, case when len(matched_keywords) > 0 then 'kw:' || array_to_string(matched_keywords[1:3], ',') end), ''), 'query') as reason from email_summaries""")
+def scan_rows(spark, d):
+    return reports.scan_table(table(spark, d, MAILS))
+
+
+@query("unseen_files", "select file_path, brochure_deal_id from brochure_deals b where not exists (select 1 from raw_occupational_comps o where o.source_file_path = b.file_path and length(o.source_file_path) = length(b.file_path))")
+def unseen_files(spark, d):
+    """Files that no earlier run has read in this size (here the length of the path stands for it)."""
+    new = table(spark, d, "brochure_deals").select("file_path", F.length("file_path").alias("size"), "brochure_deal_id")
+    return ledger.unseen(new, table(spark, d, OCC).select(F.col("source_file_path").alias("file_path"), F.length("source_file_path").alias("size")), ["file_path", "size"]).select("file_path", "brochure_deal_id")
+
+
+@query("thread_report", """with r as (select coalesce(nullif(trim(thread_id), ''), gmail_message_id) as thread_id, case when matched_label then 'processed' when has_attachments then 'error' else 'skipped' end as status, matched_label as intro, len(attachment_names) as files, subject from email_summaries)
+    select count(*) as threads_processed, count(*) filter (where status = 'processed') as successfully_processed, count(*) filter (where intro) as introductions, count(*) filter (where not coalesce(intro, false)) as not_introductions, cast(sum(files) as bigint) as pipeline_rows_added,
+    cast(sum(files) as bigint) as archived, cast(0 as bigint) as brochures_parsed, cast(0 as bigint) as investment_comps_added, cast(0 as bigint) as occupational_comps_added, count(*) filter (where status = 'error') as errors, greatest(count(*) filter (where status = 'error') - 10, 0) as more_errors from r""")
+def thread_report(spark, d):
+    """The counters of a run in which labelled mails were processed and other mails with files failed."""
+    m = table(spark, d, MAILS)
+    status = F.when(F.col("matched_label"), "processed").when(F.col("has_attachments"), "error").otherwise("skipped")
+    files, none = F.size("attachment_names"), F.lit(0)
+    rows = m.select(threads.thread_key().alias("thread_id"), status.alias("status"), F.col("matched_label").alias("is_introduction"), files.alias("pipeline_rows_added"), files.alias("archived"), none.alias("brochures_parsed"), none.alias("investment_comps"), none.alias("occupational_comps"), F.col("subject").alias("error_message"))
+    return reports.run_report(rows).drop("error_details")
+
+
+@query("kept_rows", "select row_no from investment_comps where row_no < (select coalesce(min(row_no), 1e18) from investment_comps where coalesce(address, '') <> '' and coalesce(date, '') = '')")
+def kept_rows(spark, d):
+    """Rows of the sheet that an earlier run did not write."""
+    inv = table(spark, d, INV).select(F.col("row_no").alias("row"), "address", "date")
+    return reports.without_pipeline_rows(inv).select(F.col("row").alias("row_no"))
+
+
+@query("folder_renames", f"""with b as (select lower(asset_name) as k, min({S.sub('left(' + _safe(_folder) + ', 100)', f'[{S.WS}]+$')}) as ideal from brochure_deals where asset_name is not null group by 1),
+    f as (select distinct {S.strip('d.asset_name')} as folder, b.ideal from deals d join b on lower(d.asset_name) = b.k)
+    select min(folder) as folder, ideal from f where ideal <> '' and ideal <> folder and (length(ideal) > length(folder) or (contains(ideal, ',') and not contains(folder, ','))) and ideal not in (select folder from f) group by ideal""")
+def folder_renames(spark, d):
+    """Folders named by a mail's deal for which its brochure has a better name."""
+    b = table(spark, d, "brochure_deals").where("asset_name is not null").groupBy(F.lower("asset_name").alias("k")).agg(F.min(text.folder_name("town", "asset_name", "agent", "date")).alias("ideal"))
+    f = table(spark, d, DEALS).select(F.lower("asset_name").alias("k"), text.strip("asset_name").alias("folder")).join(b, "k").select("folder", "ideal").distinct()
+    return reports.renames(f)
+
+
+_addr = "coalesce(" + S.strip("address") + ", '')"
+_town = "coalesce(" + S.strip("town") + ", '')"
+
+
+@query("open_locations", f"""{S.cleaned_occupational('2026-06-30')} select {_addr} as address, {_town} as town, count(*) as rows from z where {S.blank('postcode')} and ({_addr} <> '' or {_town} <> '') group by 1, 2""")
+def open_locations(spark, d):
+    """The different locations that still lack a postcode after cleaning."""
+    cleaned = clean.clean_occupational(table(spark, d, OCC), table(spark, d, "place_dim"), AS_OF)
+    return clean.open_locations(cleaned)[0].select("address", "town", "rows")
+
+
+@query("inferred_postcodes", f"""{S.cleaned_occupational('2026-06-30')}, asked as (select id, town, changes, {_addr} as a, {_town} as t, {S.blank('postcode')} and ({_addr} <> '' or {_town} <> '') and contains({_addr}, 'a') as asked from z),
+    least as (select min(outcode) as oc from place_dim), known as (select min(name) as place from place_dim, least where upper(outcode) = upper(oc))
+    select id, upper(oc) || ' 9ZZ' as postcode, case when {S.blank('town')} then place else town end as town from asked, least, known where asked.asked""")
+def inferred_postcodes(spark, d):
+    """Rows whose postcode an external model supplied, here a recorded one that knows the first outcode for addresses with an ``a`` and nothing else."""
+    places = table(spark, d, "place_dim")
+    cleaned = cut(clean.clean_occupational(table(spark, d, OCC), places, AS_OF))
+    requests, rows = clean.open_locations(cleaned)
+    first = F.broadcast(places.agg(F.upper(F.min("outcode")).alias("oc")))  # one row
+    replies = requests.join(first).select("request_key", F.when(F.contains("address", F.lit("a")), F.concat("oc", F.lit(" 9zz"))).otherwise("no idea").alias("response"))
+    out = clean.infer_postcodes(cleaned, places, extract.ReplayExtractor(replies))
+    return out.join(rows.select("id"), "id").where(~text.blank("postcode")).select("id", "postcode", "town")
+
+
+_yes = lambda c: f"case when {c} then 'Yes' else 'No' end"
+_a, _p = "coalesce(address, '')", "coalesce(postcode, '')"
+_wp = S.sub(f"case when {_p} <> '' and not contains({_a}, {_p}) then {_a} || ', ' || {_p} else {_a} end", r"^[, ]+|[, ]+$")
+
+
+@query("sheet_rows", f"""select deal_id, coalesce(strftime(try_strptime(nullif({S.get(_sd, _dm, 1)}, ''), '%d/%m/%Y'), '%Y-%m-%d'), date) as date, {_wp} as address, net_yield / 100 as net_yield, reversionary_yield / 100 as reversionary_yield, 'New' as status, 'No' as considered,
+    {_yes('confidence > 0.5')} as brochure_stored, 'No' as brochure_scraped, nullif(raw_source, '') as comment from deals where {S.name_key("coalesce(asset_name, '')")} = '' or deal_id in (select min(deal_id) from deals)""")
+def sheet_rows(spark, d):
+    """Rows that deals without name, and the first deal, add to an empty sheet: nothing is there for them to match."""
+    deals = table(spark, d, DEALS)
+    first = F.broadcast(deals.agg(F.min("deal_id").alias("_first")))  # one row
+    new = deals.join(first).where((text.name_key(F.coalesce("asset_name", F.lit(""))) == "") | (F.col("deal_id") == F.col("_first")))
+    new = new.withColumns({"has_brochure": F.col("confidence") > 0.5, "brochure_scraped": F.lit(False), "comment": F.col("raw_source"), "also_introduced_by": F.lit("")})
+    sheet = spark.createDataFrame([], "row bigint, asset_name string, town string, address string")
+    return dedup.append_deals(sheet, new).select("deal_id", "date", "address", "net_yield", "reversionary_yield", "status", "considered", "brochure_stored", "brochure_scraped", "comment")
+
+
+@query("appended_deals")
+def appended_deals(spark, d):
+    """Rows that the deals of mails add to a sheet of the brochures' deals."""
+    sheet = table(spark, d, "brochure_deals").select(F.col("brochure_deal_id").alias("row"), "asset_name", "town", postcodes.with_postcode("address", "postcode").alias("address"))
+    new = table(spark, d, DEALS).withColumns({"has_brochure": F.lit(False), "brochure_scraped": F.lit(False), "comment": F.lit(""), "also_introduced_by": F.lit("")})
+    return dedup.append_deals(sheet, new)
+
+
+@query("inv_inserted")
+def inv_inserted(spark, d):
+    """Investment comparables of odd rows put into a sheet of the even ones: inserted, merged or duplicate, and of which row."""
+    inv = table(spark, d, INV)
+    return dedup.insert_investments(inv.where("row_no % 2 = 0"), inv.where("row_no % 2 = 1"))
+
+
+@query("insert_counts")
+def insert_counts(spark, d):
+    return reports.action_counts(QUERIES["insert_actions"](spark, d))
+
+
 QUERIES |= {
     "p4_found": timestamps.p4_found,
     "p5_found": impute.p5_found,

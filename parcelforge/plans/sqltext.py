@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
+# Fixed values, written out once more so that the SQL does not repeat a mistake of the engine.
+VACANT = r"(?i)\bvacant\b"
+INVESTMENT = r"(?i)investment\s+comp|\bNIY\b|\byield\b|\bcap\s*val"
+INVESTMENT_LOOSE = r"(?i)\b(?:NIY|yield|cap(?:ital)?\s*val(?:ue)?)"
+AVAILABLE = r"(?i)\bavailable(?:\s+now)?\b"
+IMAGE = r"(?i)\.(jpg|jpeg|png|gif|bmp|webp|tiff|ico)$"
+JUNK_IMAGE = r"(?i)^(image\d*|photo\d*|pic\d*|logo|stamp|seal|banner|footer|header|signature|icon|spacer|pixel|tracking|~WRD\d*|Slide\d*)\."
+DOCUMENTS = r"(?i)\.(pdf|xlsx|xls)$"
+STUB_WORDS = ["comps", "comparables", "comp", "market evidence", "rent review", "dilapidations", "service charge", "schedule of condition"]
+MODEL_WORDS = ["model", "appraisal", "cashflow", "cash flow", "cash_flow", "underwriting", "proforma", "pro forma", "pro-forma", "forecast", "budget", "valuation", "sensitivity", "irr analysis", "dcf"]
+SETTLEMENTS = ["City", "Town", "Suburban Area", "Village", "Hamlet", "Other Settlement", "Section of Named Road"]
+LEGAL_FORMS = ["ltd", "limited", "plc", "inc", "llp", "llc"]
+STOP_WORDS = (
+    "the a an and of at in on for site park estate industrial trading business investment fund intro introduction portfolio centre center works unit units road street lane way drive close ltd limited plc son sons "
+    "rd st ave ct pl sq north south east west"
+).split()
+SMALL_IMAGE, RENT = 51_200, 0.005
+
 WS = r"\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
@@ -102,3 +120,49 @@ def acres(x: str) -> str:
     n = get(x, r"(?i)(\d+(?:[.,]\d+)?)\s*(?:-?\s*)?(?:acres?|ac)\b", 1)
     v = f"try_cast(replace({n}, ',', '.') as double)"
     return f"(case when {v} > 0 then round({v} * 43560, 0) end)"
+
+
+def place_like(x: str) -> str:
+    return f"(length({x}) >= 3 and {has(x, r'^\p{L}')} and not {has(x, '[0-9]')} and not {has(x, POSTCODE)})"
+
+
+DATES = ["lease_start", "lease_expiry", "break_date", "rent_review_date", "comp_date"]
+
+
+def cleaned_occupational(as_of: str) -> str:
+    """The rules of the occupational cleaner one after the other, as common table expressions; ``z`` has all rows."""
+    parts = "string_split(source_deal, ',')"
+    read = ", ".join(f"{iso_date(c)} as i_{c}" for c in DATES)
+    changed = " + ".join(f"(case when i_{c} <> {c} then 1 else 0 end)" for c in DATES)
+    kept = ", ".join(f"case when {strip(c)} <> '' then coalesce(i_{c}, {c}) end as {c}" for c in DATES)
+    none = f"({blank('address')} and {blank('town')} and {blank('postcode')} and deal <> '')"
+    lone = f"({blank('town')} and {blank('postcode')} and t is not null)"
+    fill = lambda c, v: f"coalesce({c}, {v}) as {c}, changes + (case when {c} is null and {v} is not null then 1 else 0 end) as changes"
+    pa = "(case when size_sqft <> 0 and rent_psf <> 0 then round(rent_psf * size_sqft, 2) end)"
+    psf = "(case when rent_pa <> 0 and size_sqft <> 0 then round(rent_pa / size_sqft, 2) + 0.0 end)"
+    size = "(case when rent_pa <> 0 and rent_psf <> 0 then round(rent_pa / rent_psf, 0) + 0.0 end)"
+    later = f"(case when lease_term_years > 5 and {blank('rent_review_date')} and start + interval 60 month <= date '{as_of}' then start + interval 60 month else start end)"
+    dated = "((comp_date is null or comp_date = '') and start is not null)"
+    return f"""with a as (select *, {read} from raw_occupational_comps),
+    b as (select * exclude ({', '.join(f'i_{c}' for c in DATES)}) replace ({kept}), {changed} as changes, coalesce({strip('source_deal')}, '') as deal from a),
+    p as (select id, i as pos, {strip(parts + '[i]')} as part from raw_occupational_comps, range(1, 20) r(i) where i <= len({parts}) and len({parts}) > 1),
+    n as (select lower(candidate) as part, min(name) as t from place_dim where local_type in ({', '.join(q(x) for x in SETTLEMENTS)}) group by 1),
+    f as (select id, min(pos) as pos, arg_min(t, pos) as t from (select p.id, p.pos, n.t from p join n on lower(p.part) = n.part where {place_like('p.part')}) group by 1),
+    rest as (select p.id, string_agg(p.part, ', ' order by p.pos) filter (where p.pos <> f.pos) as rest from p join f using (id) group by 1),
+    c0 as (select b.*, f.pos, f.t, coalesce(rest.rest, '') as rest from b left join f using (id) left join rest using (id)),
+    c as (select * exclude (pos, t, rest, deal) replace (changes + (case when {none} then (case when pos is not null then 2 else 1 end) when {lone} then 1 else 0 end) as changes,
+        case when {none} then (case when pos is not null then rest else deal end) else address end as address, case when {lone} then t else town end as town) from c0),
+    d as (select *, case when {blank('postcode')} and not {blank('address')} then nullif({get('address', POSTCODE)}, '') end as found from c),
+    e as (select * exclude (found) replace (changes + (case when found is not null then 1 else 0 end) as changes, case when found is not null then {cut_postcode('address')} else address end as address,
+        case when found is not null then {tidy_postcode('found')} when not {blank('postcode')} then {tidy_postcode('postcode')} else postcode end as postcode) from d),
+    g as (select e.*, k.place_town from e left join (select upper(outcode) as outcode, min(name) as place_town from place_dim group by 1) k on k.outcode = regexp_extract(e.postcode, '^([A-Z]{{1,2}}[0-9][A-Z0-9]?) [0-9][A-Z]{{2}}$', 1)),
+    h as (select * exclude (place_town) replace (changes + (case when {blank('town')} and place_town is not null then 1 else 0 end) as changes, case when {blank('town')} and place_town is not null then place_town else town end as town) from g),
+    i as (select * replace ({fill('size_sqft', acres('notes'))}) from h), j as (select * replace ({fill('rent_pa', pa)}) from i), l as (select * replace ({fill('rent_psf', psf)}) from j), m as (select * replace ({fill('size_sqft', size)}) from l),
+    s as (select *, try_cast(nullif(regexp_extract(lease_start, '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})', 1), '') as date) as start from m),
+    u as (select * exclude (start) replace (changes + (case when {dated} then 1 else 0 end) as changes, case when {dated} then strftime({later}, '%Y-%m-%d') else comp_date end as comp_date) from s),
+    z as (select *, {total_address('address', 'town', 'postcode')} as total_address, {has('notes', INVESTMENT_LOOSE)} as inv, ({has('comp_date', AVAILABLE)} or {has('notes', AVAILABLE)}) as av from u)"""
+
+
+LETTINGS_ONLY = " select * exclude (inv, av) from z where size_sqft is not null and not inv and not av"
+FILTER_COUNTS = """ select count(*) as rows_scanned, cast(sum(changes) as bigint) as cells_filled, count(*) filter (where size_sqft is null) as no_size, count(*) filter (where size_sqft is not null and inv) as investment,
+    count(*) filter (where size_sqft is not null and not inv and av) as available, count(*) filter (where size_sqft is not null and not inv and not av) as rows_left from z"""

@@ -17,9 +17,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: ``spark.checkpoint.dir`` of the session, or one of our own where it is unset (tests, local runs)."""
+    """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
+
+    Where it is unset a local session (tests) uses a temporary folder of its own; on a cluster, where no machine's own folder would do, this is refused.
+    """
     conf = spark.sparkContext.getConf()
-    return spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), f"parcelforge-{os.getuid()}")
+    set_ = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
+    if set_:
+        return set_
+    master = conf.get("spark.master", "")
+    if master.startswith("local") and not master.startswith("local-cluster"):
+        return os.path.join(tempfile.gettempdir(), f"parcelforge-{os.getuid()}")
+    raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
 
 
 def settle(df: DataFrame) -> DataFrame:
@@ -37,8 +46,9 @@ def _remove_written() -> None:
             jvm = spark.sparkContext._jvm
             at = jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-        except Exception:  # noqa: BLE001 - the session may be gone; the folder is the cluster's to clean
-            return
+        except Exception:  # noqa: BLE001, S112 - the session may be gone; the folder is the cluster's to clean
+            continue
+    _written.clear()
 
 
 def cut(df: DataFrame) -> DataFrame:
