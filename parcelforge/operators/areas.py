@@ -1,7 +1,7 @@
 """Floor and site areas in whatever unit they were recorded, found out and converted.
 
-A number's unit is decided by the first that speaks: the ratio of yearly rent to rent per square
-foot; a quantity in the words beside it that has the same number or the same size; a unit that the
+A number's unit is decided by the first that speaks: the quotient of yearly rent and rent per square
+foot, whose dimension is an area's; a quantity in the words beside it that has the same number or the same size; a unit that the
 words state; the sizes that other records of the same unit agree on.  A field without number
 (null, zero, negative) takes the quantity that the words give for the thing itself; areas of an
 estate, a yard or parking, and prices per area, are not the thing's own.
@@ -17,11 +17,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parcelforge.functions.units import AREA, Quantity, quantities, unit
+from parcelforge.functions.units import AREA, Quantity, Unit, quantities, unit
 from parcelforge.operators.places import place_rows, read_addresses
 from parcelforge.runtime import cut, table
 
 FOOT2 = unit("sqft").scale
+#: Money a year over money a year and square foot: money and time cancel out, an area is left.
+YEARLY = Unit("a year", (0, 0, -1, 0), 1 / 31_557_600)
+IMPLIED = YEARLY.times(YEARLY.times(unit("sqft"), -1), -1)
+assert IMPLIED.dim == AREA
 #: Square feet of each unit code.
 SQFT = {"sqft": 1.0, "ksqft": 1000.0, "sqm": 1 / FOOT2, "sqyd": 9.0, "acre": unit("acre").scale / FOOT2, "ha": unit("ha").scale / FOOT2}
 #: Relative difference up to which two areas, and a ratio and a unit, count as equal.
@@ -57,18 +61,19 @@ def same(a: float, b: float, most: float = SAME) -> bool:
     return abs(a - b) <= most * max(abs(a), abs(b))
 
 
-def floor_unit(size: float | None, rent_pa: float | None, rent_psf: float | None, words) -> tuple[str | None, float | None]:
-    """(unit code, own number) of a floor area meant in square feet; (None, None) where nothing speaks."""
+def floor_unit(size: float | None, rent_pa: float | None, rent_psf: float | None, words) -> tuple[str | None, float | None, str | None]:
+    """(unit code, own number, what says so: ``rents`` or ``words``) of a floor area meant in square feet; nulls where nothing speaks."""
+    none = (None, None, None)
     if size is None or not size > 0 or math.isinf(size):
-        return next(((c, v) for v, c in words if v), (None, None))
-    if rent_pa and rent_psf and rent_pa > 0 and rent_psf > 0 and (code := nearest_code(rent_pa / rent_psf / size)):
-        return code, size
+        return next(((c, v, "words") for v, c in words if v), none)
+    if rent_pa and rent_psf and rent_pa > 0 and rent_psf > 0 and (code := nearest_code(IMPLIED.to(rent_pa / rent_psf, unit("sqft")) / size)):
+        return code, size, "rents"
     for v, c in words:
         if v and same(v, size):
-            return c, size
+            return c, size, "words"
         if v and same(v * SQFT[c], size, 0.02):
-            return "sqft", size
-    return next(((c, size) for v, c in words if v is None), (None, None))
+            return "sqft", size, "words"
+    return next(((c, size, "words") for v, c in words if v is None), none)
 
 
 def site_unit(acres: float | None, words) -> str | None:
@@ -98,10 +103,10 @@ def _words(text: str | None, others: re.Pattern) -> list:
 
 
 def floor_units(comps: DataFrame, places: tuple) -> DataFrame:
-    """(id, size_sqft, code, number, sqft, said) of each row of an occupational table.
+    """(id, size_sqft, code, number, sqft, evidence) of each row of an occupational table.
 
     ``code`` is the unit found and ``number`` the area in it; ``sqft`` the area in square feet;
-    ``said`` is false where the unit was only inferred from the size's being unremarkable.
+    ``evidence`` is what the unit comes from: ``rents``, ``words``, ``mates`` (other records of the unit), null where nothing speaks.
     """
     cols = ["id", "size_sqft", "rent_pa", "rent_psf", "notes"]
 
@@ -111,14 +116,14 @@ def floor_units(comps: DataFrame, places: tuple) -> DataFrame:
             keep = [i for i, c in enumerate(b.schema.names) if c in ("id", "size_sqft", "deal_key", "unit", "unit_col", "town", "number")]
             names = [("building" if b.schema.names[i] == "number" else b.schema.names[i]) for i in keep]
             yield pa.RecordBatch.from_arrays(
-                [*(b.column(i) for i in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], [*names, "code", "area"]
+                [*(b.column(i) for i in keep), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), pa.array([x[2] for x in got], pa.string())], [*names, "code", "area", "evidence"]
             )
 
     read = read_addresses(comps, places, cols, unit_name="unit_name", deal="source_deal")
-    read = read.mapInArrow(decide, "id bigint, size_sqft double, town string, building string, unit string, deal_key string, unit_col string, code string, area double")
+    read = read.mapInArrow(decide, "id bigint, size_sqft double, town string, building string, unit string, deal_key string, unit_col string, code string, area double, evidence string")
     key = F.xxhash64("deal_key", F.when(F.col("unit") != "", F.col("unit")).otherwise(F.col("unit_col")), "town", "building")
     scale = F.create_map(*(x for c, s in SQFT.items() for x in (F.lit(c), F.lit(s))))
-    read = cut(read.select("id", "size_sqft", "code", "area", key.alias("key")))
+    read = cut(read.select("id", "size_sqft", "code", "area", "evidence", key.alias("key")))
     open_ = F.col("code").isNull() & (F.col("size_sqft") > 0)
     mates = read.where("code is not null").select("key", (F.col("area") * scale[F.col("code")]).alias("sqft"))
     mates = mates.join(read.where(open_).select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min("sqft").alias("least"), F.max("sqft").alias("most"))
@@ -126,9 +131,9 @@ def floor_units(comps: DataFrame, places: tuple) -> DataFrame:
     ratio = (F.col("least") + F.col("most")) / 2 / F.col("size_sqft")
     agreed = F.col("most") <= F.col("least") * 1.03
     guess = F.coalesce(*(F.when(agreed & (F.abs(F.log(ratio / s)) < RATIO), F.lit(c)) for c, s in SQFT.items()))
-    late = late.select("id", "size_sqft", F.coalesce(guess, F.lit("sqft")).alias("code"), F.col("size_sqft").alias("area"), guess.isNotNull().alias("said"))
-    out = read.where(~F.coalesce(open_, F.lit(False))).select("id", "size_sqft", "code", "area", F.lit(True).alias("said")).unionByName(late)
-    return out.select("id", "size_sqft", "code", F.col("area").alias("number"), (F.col("area") * scale[F.col("code")]).alias("sqft"), "said")
+    late = late.select("id", "size_sqft", F.coalesce(guess, F.lit("sqft")).alias("code"), F.col("size_sqft").alias("area"), F.when(guess.isNotNull(), "mates").alias("evidence"))
+    out = read.where(~F.coalesce(open_, F.lit(False))).select("id", "size_sqft", "code", "area", "evidence").unionByName(late)
+    return out.select("id", "size_sqft", "code", F.col("area").alias("number"), (F.col("area") * scale[F.col("code")]).alias("sqft"), "evidence")
 
 
 def site_units(deals: DataFrame) -> DataFrame:
@@ -156,7 +161,7 @@ def p7_found(spark, sf_dir: str) -> DataFrame:
 
 
 def p7_floor_areas(spark, sf_dir: str) -> DataFrame:
-    """Every occupational row's floor area in square feet, with the unit that it was recorded in."""
+    """Every occupational row's floor area in square feet, with the unit that it was recorded in and what says so."""
     places = place_rows(table(spark, sf_dir, "place_dim"))
     out = floor_units(table(spark, sf_dir, "raw_occupational_comps"), places)
-    return out.select("id", "size_sqft", F.col("code").alias("unit_code"), F.round("sqft", 1).alias("sqft"), "said")
+    return out.select("id", "size_sqft", F.col("code").alias("unit_code"), F.round("sqft", 1).alias("sqft"), "evidence")
