@@ -223,3 +223,22 @@ def test_planted_zones_are_found(spark):
     got = {x["gmail_message_id"]: x["iso"] for x in timestamps.mail_times(df).collect()}
     right = sum(got[k] == v for k, v in want.items()) / len(want)
     assert right >= 0.98, right
+
+
+def test_commands(spark, data, tmp_path, capsys):
+    from parcelforge.__main__ import main
+
+    spark.createDataFrame([("m1", "processed", True, True), ("m2", "error", None, None)], "gmail_message_id string, status string, is_introduction boolean, pipeline_row_added boolean").write.parquet(str(tmp_path / "ledger"))
+    main(["stats", str(tmp_path / "ledger")])
+    main(["dedup", data])
+    assert "rows_scanned" in capsys.readouterr().out
+    main(["dedup", data, "--out", str(tmp_path / "kept")])
+    kept = {r["id"] for r in spark.read.parquet(str(tmp_path / "kept")).collect()}
+    assert 1 in kept and 2 not in kept
+    for name in ("Brochure.pdf", "Cash Flow.xlsx", "notes.txt"):
+        p = tmp_path / "archive" / "Ashby, Oak Mill" / "2024-01-01 - x" / name
+        p.parent.mkdir(parents=True, exist_ok=True)
+        p.write_bytes(b"x")
+    main(["files", str(tmp_path / "archive")])
+    out = capsys.readouterr().out
+    assert "Brochure.pdf" in out and "Cash" not in out
