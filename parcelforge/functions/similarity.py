@@ -1,9 +1,10 @@
-"""Sequence likeness (Ratcliff-Obershelp) as an Arrow function, and a native bound that decides most pairs without it."""
+"""Sequence likeness (Ratcliff-Obershelp) as an Arrow function, and bounds that decide most pairs without it."""
 
 from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,3 +39,113 @@ def lengths_reach(a: Column, b: Column, least: float) -> Column:
 def can_reach(a: Column, b: Column, least: float) -> Column:
     """Whether the ratio can be ``least`` or more: a ratio r leaves at most (1 - r) T letters to insert or delete."""
     return lengths_reach(a, b, least) & (F.levenshtein(a, b) <= _edits(a, b, least))
+
+
+class _Texts:
+    """Texts as arrays: lengths, letters, and bits of the letters (a repeated one numbered) and of the pairs of neighbouring letters."""
+
+    def __init__(self, texts: list[str]):
+        self.texts = texts
+        self.size = np.fromiter(map(len, texts), np.int64, len(texts))
+        self.codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.start = np.cumsum(self.size) - self.size
+        row = np.repeat(np.arange(len(texts)), self.size)
+        order = np.lexsort((self.codes, row))
+        first = np.ones(len(order), bool)
+        first[1:] = (np.diff(row[order]) != 0) | (self.codes[order][1:] != self.codes[order][:-1])
+        at = np.arange(len(order))
+        again = np.empty(len(order), np.uint64)
+        again[order] = at - np.maximum.accumulate(np.where(first, at, 0))
+        self.letters = self._bits(self.codes * np.uint64(37) + again * np.uint64(1_000_003))
+        pair = self.codes * np.uint64(1_000_003) + np.append(self.codes[1:], np.uint64(0))
+        pair[self.start + self.size - 1] = np.uint64(1 << 40)  # the last letter begins no pair: all texts have this bit
+        half = (pair * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(63)).astype(bool)
+        self.pairs = [self._bits(pair, half), self._bits(pair, ~half)]
+
+    def _bits(self, features: np.ndarray, only: np.ndarray | None = None) -> np.ndarray:
+        bit = np.uint64(1) << (features * np.uint64(0xD6E8FEB86659FD93) >> np.uint64(58))
+        return np.bitwise_or.reduceat(bit if only is None else np.where(only, bit, np.uint64(0)), self.start)
+
+
+class _Common:
+    """Lengths of the longest common subsequences of texts of x, of 64 letters at most, and of y: no less than what the matching blocks hold."""
+
+    def __init__(self, x: _Texts, y: _Texts):
+        known, letter = np.unique(x.codes, return_inverse=True)
+        self.x, self.y, self.none = x, y, len(known)
+        row = np.repeat(np.arange(len(x.texts)), x.size)
+        shift = np.arange(len(x.codes)) - x.start[row]
+        ok = shift < 64
+        self.where = np.zeros((len(x.texts), len(known) + 1), np.uint64)
+        np.bitwise_or.at(self.where, (row[ok], letter[ok]), np.uint64(1) << shift[ok].astype(np.uint64))
+        found = np.minimum(np.searchsorted(known, y.codes), len(known) - 1)
+        self.other = np.where(known[found] == y.codes, found, len(known))  # letters that x never has meet no bit
+
+    def __call__(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        out = np.empty(len(i), np.int64)
+        for k in range(0, len(i), 1 << 14):
+            a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
+            v, start, many = np.full(len(a), ~np.uint64(0)), self.y.start[b], self.y.size[b]
+            for t in range(int(many.max())):
+                c = np.where(many > t, self.other[np.minimum(start + t, len(self.other) - 1)], self.none)
+                u = v & self.where[a, c]
+                v = (v + u) | (v - u)
+            size = self.x.size[a].astype(np.uint64)
+            out[k : k + (1 << 14)] = np.bitwise_count(~v & np.where(size >= 64, ~np.uint64(0), (np.uint64(1) << (size & np.uint64(63))) - np.uint64(1)))
+        return out
+
+
+def may_be_alike(xs: list[str], ys: list[str], least: float, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of all texts, none empty, whose ``ratio(xs[i], ys[j])`` or ``ratio(ys[j], xs[i])`` can be ``least`` or more.
+
+    A ratio r leaves u <= (1 - r) T letters without match.  Each changes one bit of the letters and three of the pairs
+    of letters at most; what differs in more, or has a common subsequence too short, is never compared.
+    """
+    if not xs or not ys:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    x, y = _Texts(xs), _Texts(ys)
+    common = None
+    by, rows = np.argsort(y.size, kind="stable"), np.argsort(x.size, kind="stable")
+    sizes, letters, lengths = y.size[by], y.letters[by], x.size[rows]
+    reach = lambda n, m: np.floor((1 - least) * (n + m) + 1e-9).astype(np.int64)
+    got, k = [], 0
+    while k < len(rows):
+        n = lengths[k]
+        end = np.searchsorted(lengths, n + n // 8, "right")  # texts of nearly one length together, by the longest one's bound
+        near = np.flatnonzero((sizes - lengths[end - 1] <= reach(lengths[end - 1], sizes)) & (n - sizes <= reach(n, sizes)))
+        if not len(near):
+            k = end
+            continue
+        lo, hi = near[0], near[-1] + 1
+        end = min(end, k + max(1, block // (hi - lo)))
+        most = np.minimum(reach(lengths[end - 1], sizes[lo:hi]), 64).astype(np.uint8)
+        a, b = np.divmod(np.flatnonzero(np.bitwise_count(x.letters[rows[k:end], None] ^ letters[None, lo:hi]) <= most), hi - lo)
+        i, j = rows[k + a], by[lo + b]
+        u = reach(x.size[i], y.size[j])
+        ok = (np.abs(x.size[i] - y.size[j]) <= u) & (sum(np.bitwise_count(p[i] ^ q[j]).astype(np.int64) for p, q in zip(x.pairs, y.pairs)) <= 3 * u)
+        i, j, u = i[ok], j[ok], u[ok]
+        k, n = end, lengths[end - 1]
+        if n <= 64 and len(i):
+            common = common or _Common(x, y)
+            ok = x.size[i] + y.size[j] - 2 * common(i, j) <= u
+            i, j = i[ok], j[ok]
+        got.append((i, j))
+    return tuple(np.concatenate(g) for g in zip(*got)) if got else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def alike_texts(xs: list[str], ys: list[str], least: float, where: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[int], list[int], list[float]]:
+    """(i, j, r) of all different texts, none empty, whose ``ratio(xs[i], ys[j])`` is ``least`` or more; looked for in ``where`` (i, j) if given."""
+    i, j = where or may_be_alike(xs, ys, least)
+    order = np.lexsort((i, j))
+    out, matcher, last = ([], [], []), SequenceMatcher(None, "", ""), None
+    for a, b in zip(i[order].tolist(), j[order].tolist()):
+        if xs[a] == ys[b]:
+            continue
+        if b != last:
+            matcher.set_seq2(ys[b])
+            last = b
+        matcher.set_seq1(xs[a])
+        if (r := matcher.ratio()) >= least:
+            for o, v in zip(out, (a, b, r)):
+                o.append(v)
+    return out

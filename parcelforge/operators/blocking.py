@@ -1,24 +1,29 @@
-"""Candidate pairs for tolerance and likeness joins, without products.
+"""Candidate pairs for tolerance and likeness joins.
 
-Likeness joins meet on the rarest parts of texts only (prefix filtering): two sets that share at least m of
-their parts share one of the |set| - m + 1 rarest of each, whatever the order of rarity is.  What is frequent is
-therefore hardly ever a meeting point, and no pair is lost.
+Likeness joins compare all texts of a group by bounds on arrays, without writing pairs.  Joins on shared words meet on
+the rarest words only (prefix filtering): two sets that share at least m of their parts share one of the |set| - m + 1
+rarest of each, whatever the order of rarity is.  What is frequent is therefore hardly ever a meeting point, and no pair is lost.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelforge.functions.numbers import close
-from parcelforge.functions.similarity import can_reach, lengths_reach, ratio
+from parcelforge.functions.similarity import alike_texts, may_be_alike
 from parcelforge.functions.text import name_key, strip, telling_words
 from parcelforge.runtime import cut
 
-#: Below this likeness, texts may be alike without any two neighbouring letters in common; then they meet on this share of their rarest pairs of letters.
-SURE, SHARE = 0.67, 0.7
+#: Texts of either side that one task compares at once.
+PIECES = (4096, 32768)
 
 
 def band(value: Column, tolerance: float) -> Column:
@@ -32,20 +37,19 @@ def rent_key(pa: str, psf: str, tolerance: float) -> Column:
     return F.when(F.col(pa).isNotNull(), F.struct(F.lit("pa").alias("kind"), band(F.col(pa), tolerance).alias("band"))).otherwise(F.struct(F.lit("psf").alias("kind"), band(F.col(psf), tolerance).alias("band")))
 
 
-def band_pairs(df: DataFrame, row_id: str, keep: list[str], pa: str, psf: str, tolerance: float, equal: list[str] = (), via: DataFrame | None = None) -> DataFrame:
+def band_pairs(df: DataFrame, row_id: str, keep: list[str], pa: str, psf: str, tolerance: float, equal: list[str] = (), via: DataFrame | None = None, other: DataFrame | None = None) -> DataFrame:
     """Pairs ``id_a < id_b`` with rents that agree (and equal non-blank ``equal`` columns): an equi-join on bands, one side in three of them, then the exact test.
 
     With ``via`` (x, y) the one ``equal`` column need not be equal, but (that of a, that of b) has to be one of its rows.
-    Rows without any rent above zero are in no pair.
+    With ``other`` a is one of ``df`` and b one of ``other``.  Rows without any rent above zero are in no pair.
     """
-    keyed = df.select(F.col(row_id).alias("id"), pa, psf, *keep, *equal, rent_key(pa, psf, tolerance).alias("k")).where("k.band is not null")
-    for c in equal:
-        keyed = keyed.where(F.col(c) != "")
+    held = lambda d: d.select(F.col(row_id).alias("id"), pa, psf, *keep, *equal, rent_key(pa, psf, tolerance).alias("k")).where("k.band is not null").where(reduce(lambda x, y: x & y, [F.col(c) != "" for c in equal], F.lit(True)))
+    keyed = held(df)
     cols = list(dict.fromkeys(["id", pa, psf, *keep]))
     left = keyed.select(*(F.col(c).alias(f"{c}_a") for c in cols), *equal, F.col("k.kind").alias("kind"), F.explode(F.sequence(F.col("k.band") - 1, F.col("k.band") + 1)).alias("band"))
     if via is not None:
         left = left.join(via.select(F.col("x").alias(equal[0]), "y"), equal[0]).drop(equal[0]).withColumnRenamed("y", equal[0])
-    right = keyed.select(*(F.col(c).alias(f"{c}_b") for c in cols), *equal, F.col("k.kind").alias("kind"), F.col("k.band").alias("band"))
+    right = (keyed if other is None else held(other)).select(*(F.col(c).alias(f"{c}_b") for c in cols), *equal, F.col("k.kind").alias("kind"), F.col("k.band").alias("band"))
     same = F.when(F.col("kind") == "pa", close(f"{pa}_a", f"{pa}_b", tolerance)).otherwise(close(f"{psf}_a", f"{psf}_b", tolerance))
     return left.join(right, ["kind", "band", *equal]).where((F.col("id_a") < F.col("id_b")) & same)
 
@@ -57,35 +61,41 @@ def rarest(parts: DataFrame, of: DataFrame) -> DataFrame:
     return parts.join(often, "part").withColumn("rank", F.row_number().over(order)).drop("_often")
 
 
-def _grams(texts: DataFrame) -> DataFrame:
-    """(id, part, size): the pairs of neighbouring letters of each text, a repeated one numbered."""
-    at = texts.where(F.length("text") > 1).select(F.col("text").alias("id"), F.explode(F.sequence(F.lit(1), F.length("text") - 1)).alias("at")).select("id", F.substring(F.col("id"), F.col("at"), F.lit(2)).alias("gram"), "at")
-    again = F.row_number().over(Window.partitionBy("id", "gram").orderBy("at"))
-    return at.select("id", F.xxhash64("gram", again).alias("part"), (F.length("id") - 1).alias("size"))
+def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (), both: bool = False) -> DataFrame:
+    """(within, x, y, r): different texts of ``left`` and ``right`` (``text`` and the columns ``within``, which have to be equal; each once) of which ``ratio(x, y)`` is ``least`` or more; with ``both`` also (y, x) of the other likeness.
 
-
-def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = ()) -> DataFrame:
-    """(within, x, y, r): different texts of ``left`` and ``right`` (``text`` and the columns ``within``, which have to be equal; each once) of which ``ratio(x, y)`` is ``least`` or more.
-
-    A ratio of t leaves u <= (1 - t) T of the T letters unmatched and makes u + 1 runs at most, so T / 2 - 1.5 u - 1 pairs
-    of neighbouring letters are in common: all such texts are found.  Below ``SURE`` that says nothing;
-    then texts meet on the rarest ``SHARE`` of their pairs of letters, which is measured, not proved, to find nearly all.
+    All with all of each group, by bounds on arrays (``alike_texts``): no pair is written that is not alike, and none is lost.
+    Groups are dealt to tasks in pieces of at most about ``PIECES`` texts of each side.
     """
-    grams = [_grams(d.select("text").distinct()) for d in (left, right)]
-    every = grams[0].select("part").unionByName(grams[1].select("part"))
-    if least > SURE:
-        shortest = 2 * (F.col("size") + 1) / (2 - least)  # fewest letters of both together
-        common = F.greatest(F.lit(1), F.ceil(shortest * (0.5 - 1.5 * (1 - least)) - 1 - 1e-9))
-        keep = F.col("rank") <= F.col("size") - common + 1
-    else:
-        keep = F.col("rank") <= F.ceil(F.col("size") * SHARE)
-    a, b = (rarest(g, every).where(keep).select(F.col("id").alias("text"), "part").join(d.select("text", *within), "text") for g, d in zip(grams, (left, right)))
-    # few bytes make many pairs: the number of tasks must not follow the bytes
+    by = list(within) or ["_all"]
+    sides = [d.where(F.length("text") > 0).select(*within, *([] if within else [F.lit(0).alias("_all")]), "text") for d in (left, right)]
+    many = [d.groupBy(by).agg(F.ceil(F.count("*") / p).cast("int").alias(c)) for d, p, c in zip(sides, PIECES, ("_i", "_j"))]
+    pieces = many[0].join(many[1], by)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = lambda n: F.pmod(F.xxhash64("text"), n).cast("int")
+    a, b = (d.join(pieces, by) for d in sides)
+    a = a.select(*by, one("_i").alias("i"), each("_j").alias("j"), F.lit(True).alias("x"), "text")
+    b = b.select(*by, each("_i").alias("i"), one("_j").alias("j"), F.lit(False).alias("x"), "text")
     n = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    met = a.withColumnRenamed("text", "x").repartition(n, "part", *within).join(b.withColumnRenamed("text", "y"), ["part", *within])
-    met = met.where((F.col("x") != F.col("y")) & lengths_reach(F.col("x"), F.col("y"), least)).select(*within, "x", "y").distinct()
-    met = cut(met.repartition(n, "x", "y"))  # written, or the test of letters would run before pairs are made distinct
-    return met.where(can_reach(F.col("x"), F.col("y"), least)).withColumn("r", ratio("x", "y")).where(F.col("r") >= least)
+    # few bytes make many pairs: the number of tasks must not follow the bytes
+    dealt = a.unionByName(b).repartition(n, *by, "i", "j")
+    fields = [f for f in sides[0].schema.fields if f.name in within]
+    schema = T.StructType([*fields, T.StructField("x", T.StringType()), T.StructField("y", T.StringType()), T.StructField("r", T.DoubleType())])
+    types = to_arrow_schema(schema)
+
+    def compare(group: pa.Table) -> pa.Table:
+        side = group.column("x")
+        xs, ys = (group.column("text").filter(s).to_pylist() for s in (side, pc.invert(side)))
+        met = may_be_alike(xs, ys, least)
+        i, j, r = alike_texts(xs, ys, least, met)
+        found = [[xs[k] for k in i], [ys[k] for k in j], r]
+        if both:
+            j, i, r = alike_texts(ys, xs, least, met[::-1])
+            found = [f + g for f, g in zip(found, ([ys[k] for k in j], [xs[k] for k in i], r))]
+        own = [pa.repeat(group.column(c)[0], len(found[2])) for c in within]
+        return pa.Table.from_arrays([*own, *(pa.array(f, t) for f, t in zip(found, (pa.string(), pa.string(), pa.float64())))], names=types.names)
+
+    return dealt.groupBy(*by, "i", "j").applyInArrow(compare, schema)
 
 
 def _overlaps(left: DataFrame, right: DataFrame, part: float) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from parcelforge.runtime import cut
 
 #: Relative difference of two rents and of two prices, and likeness of tenants, addresses and deal names.
 RENT, PRICE, TENANT, ADDRESS, DEAL = 0.005, 0.05, 0.90, 0.85, 0.65
+#: Lettings that are compared with each other before their first ones take out later rows.
+STRETCH = 200_000
 #: Tenant keys of rows without tenant.
 VACANT = ("vacant", "vacant under offer")
 #: Fields that a kept letting may take from its duplicates.
@@ -42,8 +46,20 @@ def alike_tenants(rows: DataFrame, least: float = TENANT) -> DataFrame:
     """(x, y): different tenant keys, of rows with rents at most a band apart, of which ``ratio(x, y)`` is ``least`` or more; keys meet once in each band, however many rows have them."""
     at = rows.where("tenant <> ''").select(F.col("tenant").alias("text"), rent_key("rent_pa", "rent_psf", RENT).alias("k")).where("k.band is not null")
     at = cut(at.select("text", "k.kind", "k.band").distinct())
-    near = at.select("text", "kind", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band")).distinct()
-    return cut(alike(near, at, least, ["kind", "band"]).select("x", "y").distinct())
+    near = at.select("text", "kind", F.explode(F.array(F.col("band") - 1, F.col("band"))).alias("band")).distinct()  # of neighbouring bands one only is looked up in the other
+    return cut(alike(at, near, least, ["kind", "band"], both=True).select("x", "y").distinct())
+
+
+def _compared(comps: DataFrame) -> DataFrame:
+    """The first (id) of each tenant, unit and rents that are compared."""
+    rows = flagged(comps).where("not (is_vacant or is_investment or no_rent)")
+    return cut(rows.groupBy("tenant", "unit", "rent_pa", "rent_psf").agg(F.min("id").alias("id")))
+
+
+def _agreeing(rows: DataFrame, later: DataFrame, met: DataFrame) -> DataFrame:
+    """(id_a, id_b, reason), id_a < id_b: those of ``rows`` and of ``later`` that agree; ``met`` are the tenants that are alike."""
+    by = lambda key, why, via=None: band_pairs(rows, "id", [], "rent_pa", "rent_psf", RENT, [key], via, later).select("id_a", "id_b", F.lit(why).alias("reason"))
+    return by("tenant", "tenant+rent").unionByName(by("unit", "unit+rent")).unionByName(by("tenant", "alike+rent", met))
 
 
 def letting_pairs(comps: DataFrame) -> DataFrame:
@@ -51,10 +67,34 @@ def letting_pairs(comps: DataFrame) -> DataFrame:
 
     Rows that agree in tenant, unit and rents stand in pairs as the first of them.
     """
-    rows = flagged(comps).where("not (is_vacant or is_investment or no_rent)")
-    rows = cut(rows.groupBy("tenant", "unit", "rent_pa", "rent_psf").agg(F.min("id").alias("id")))
-    by = lambda key, why, via=None: band_pairs(rows, "id", [], "rent_pa", "rent_psf", RENT, [key], via).select("id_a", "id_b", F.lit(why).alias("reason"))
-    return by("tenant", "tenant+rent").unionByName(by("unit", "unit+rent")).unionByName(by("tenant", "alike+rent", alike_tenants(rows)))
+    rows = _compared(comps)
+    return _agreeing(rows, rows, alike_tenants(rows))
+
+
+def first_lettings(rows: DataFrame, first: int | None = None) -> DataFrame:
+    """(id, kept_id) of all ``rows`` (id, tenant, unit, rents): itself, or the first kept row that it agrees with.
+
+    Pairs grow with the square of the rows, for there are few units; what a kept row replaces does not.  So rows are
+    decided in stretches of ids, the first of about ``first`` rows (``STRETCH``), each next one as long as all before it: what the kept rows of a stretch
+    replace goes before the later ones are compared with each other, which leaves these few pairs.
+    """
+    met, first = alike_tenants(rows), first or STRETCH
+    many, ends = rows.count(), []
+    while first < many:
+        ends.append(first / many)
+        first *= 2
+    ends = [int(e) for e in rows.approxQuantile("id", ends, 0.001)] if ends else []
+    out = []
+    for end in [*ends, None]:
+        part = rows if end is None else cut(rows.where(F.col("id") <= end))
+        decided = cut(first_wins(part.select("id"), _agreeing(part, part, met).select("id_a", "id_b")))
+        out.append(decided)
+        if end is not None:
+            stays, rest = part.join(decided.where("id = kept_id").select("id"), "id", "left_semi"), rows.where(F.col("id") > end)
+            gone = cut(_agreeing(stays, rest, met).groupBy(F.col("id_b").alias("id")).agg(F.min("id_a").alias("kept_id")))
+            out.append(gone)
+            rows = cut(rest.join(gone, "id", "left_anti"))
+    return reduce(DataFrame.unionByName, out)
 
 
 def dedup_lettings(comps: DataFrame) -> DataFrame:
@@ -68,7 +108,7 @@ def dedup_lettings(comps: DataFrame) -> DataFrame:
     match_ = (F.col("tenant") != "") | (F.col("unit") != "")
     rows = cut(rows.select("id", "is_vacant", "is_investment", "no_rent", F.when(~skip & match_ & rent_key("rent_pa", "rent_psf", RENT)["band"].isNotNull(), copies(rows)).alias("copy")))
     firsts = rows.where("copy is not null").groupBy("copy").agg(F.min("id").alias("first"))
-    decided = first_wins(firsts.select(F.col("first").alias("id")), letting_pairs(comps)).withColumnsRenamed({"id": "first"})
+    decided = first_lettings(_compared(comps)).withColumnsRenamed({"id": "first"})
     kept = firsts.join(decided, "first").select("copy", "kept_id")
     return rows.join(kept, "copy", "left").select("id", F.coalesce("kept_id", "id").alias("kept_id"), "is_vacant", "is_investment", "no_rent")
 

@@ -220,6 +220,39 @@ def test_alike_names_are_nearly_all_found(spark):
     assert got <= want and len(got) >= 0.95 * len(want) and ("kingsway", "kinsway") in got
 
 
+@pytest.mark.parametrize("pieces", [(4096, 32768), (7, 11)])
+def test_alike_names_are_all_found(spark, monkeypatch, pieces):
+    """All pairs, however few pairs of letters they share and however a group is dealt to tasks; ``both`` judges each pair both ways."""
+    monkeypatch.setattr(blocking, "PIECES", pieces)
+    r = random.Random(8)
+    words = sorted({misspelt(r, n, r.randint(0, 3)) for n in NAMES if len(n) > 3 for _ in range(30)} | {"a", "ab", "kinsway", "ingsway", "é" * 70, "é" * 66} - {""})
+    df = spark.createDataFrame([(w,) for w in words], "text string")
+    assert {(x[0], x[1]) for x in rows(blocking.alike(df, df, dedup.DEAL), "x", "y")} == alike_plain(words, words, dedup.DEAL)
+    half = [df.where("text < 'm'"), df.where("text >= 'm'")]
+    few, many = ([w for w in words if (w < "m") == low] for low in (True, False))
+    got = {(x[0], x[1]) for x in rows(blocking.alike(*half, dedup.DEAL, both=True), "x", "y")}
+    assert got == alike_plain(few, many, dedup.DEAL) | alike_plain(many, few, dedup.DEAL)
+
+
+def test_lettings_are_decided_alike_in_any_stretches(spark):
+    """Few units make pairs that grow with the square of the rows; decided in stretches the answer is that of all pairs at once."""
+    r = random.Random(12)
+    data = [(i, r.choice(["", "", "acme foods", "acme food", "brill ltd x", "corvan tiles"]), r.choice(["1", "2", ""]), round(100 * 1.002 ** r.randint(0, 60), 2), None) for i in range(300)]
+    df = spark.createDataFrame(data, "id bigint, tenant string, unit string, rent_pa double, rent_psf double")
+    pairs = {(a, b) for a, b in rows(dedup._agreeing(df, df, dedup.alike_tenants(df)), "id_a", "id_b")}
+    want = first_wins_plain(300, pairs)
+    for stretch in (20, 1000):
+        assert dict(rows(dedup.first_lettings(df, stretch), "id", "kept_id")) == want
+
+
+def test_existing_rows_give_each_new_one_a_single_pair(spark):
+    """An existing row is never taken out, so only the first that matches can count; pairs do not grow with the existing rows."""
+    cols = "id bigint, fresh boolean, rent_pa double, rent_psf double, tenant string, unit string, t_blank boolean, u_blank boolean"
+    data = [(i, i >= 40, 100.0, None, f"tenant {chr(97 + i % 20)} {i}", "7", False, False) for i in range(50)]
+    got = rows(dedup._insert_pairs(spark.createDataFrame(data, cols).withColumn("id", F.struct("fresh", "id"))), "a", "b")
+    assert len(got) == 10 and {a["id"] for a, _ in got} == {0}
+
+
 def deal_match_plain(new, old):
     """The five tiers, one after the other."""
     import re
