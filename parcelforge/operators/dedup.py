@@ -303,13 +303,18 @@ def _insert_pairs(rows: DataFrame) -> DataFrame:
     keep = ["fresh", "tenant", "t_blank", "u_blank"]
     own = rows.withColumns({"tenant_k": F.when(free, F.col("tenant")).otherwise(""), "unit_k": F.col("unit")})
     # a blank field is taken from a duplicate, which matches by the other field: all that it may become are the values of the row's own matches
-    pair = lambda df, equal, via=None: band_pairs(df, "id", keep, "rent_pa", "rent_psf", RENT, equal, via).where("fresh_b").where(~F.col("tenant_b").isin(*VACANT))
+    old, new = own.where("not fresh"), own.where("fresh").where(free)
+    pair = lambda df, equal, via=None: band_pairs(df, "id", keep, "rent_pa", "rent_psf", RENT, equal, via, new)
     none = F.lit(None).cast("string")
-    shown = lambda df, phase, filled=none, key=none: df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), F.lit(phase).alias("phase"), filled.alias("filled"), key.alias("key"))
+    shown = lambda df, phase, filled=none, key=none: df.select(F.col("id_a").alias("a"), F.col("id_b").alias("b"), (phase if isinstance(phase, Column) else F.lit(phase)).alias("phase"), filled.alias("filled"), key.alias("key"))
     # each tenant is compared once with each other, however many rows have it: (earlier, later) by the later one's likeness to the earlier
     met = alike_tenants(own.select(F.col("tenant_k").alias("tenant"), "rent_pa", "rent_psf"))
     later = met.select(F.col("y").alias("x"), F.col("x").alias("y"))
-    static = cut(shown(pair(own, ["tenant_k"]), 1).unionByName(shown(pair(own, ["unit_k"]), 2)).unionByName(shown(pair(own, ["tenant_k"], later), 3)))
+    every = lambda df: shown(pair(df, ["tenant_k"]), 1).unionByName(shown(pair(df, ["unit_k"]), 2)).unionByName(shown(pair(df, ["tenant_k"], later), 3))
+    # existing rows never go: of those that match a new row only the first may ever be its match, and of new ones only what comes before that
+    least = cut(every(old).groupBy("b").agg(F.min(F.struct("phase", "a")).alias("least")))
+    before = lambda df: df.join(least, "b", "left").where(F.col("least").isNull() | (F.struct("phase", "a") < F.col("least"))).drop("least")
+    static = cut(before(every(new)).unionByName(shown(least.select("b", "least.*").withColumnsRenamed({"a": "id_a", "b": "id_b"}), F.col("phase"))))
 
     givers = rows.select(F.col("id").alias("b"), F.col("tenant").alias("new_tenant"), F.col("unit").alias("new_unit"), F.col("t_blank").alias("no_tenant"), F.col("u_blank").alias("no_unit"))
     open_ = rows.where("t_blank or u_blank").select(F.col("id").alias("a"), "rent_pa", "rent_psf", "t_blank", "u_blank")
@@ -324,7 +329,7 @@ def _insert_pairs(rows: DataFrame) -> DataFrame:
     by_unit = late(units.join(takers.withColumn("key", F.col("unit_b")), ["k", "key"]), 2, "unit")
     by_tenant = late(tenants.join(takers.withColumn("key", F.col("tenant_b")), ["k", "key"]), 1, "tenant")
     by_like = late(tenants.join(later.select(F.col("x").alias("key"), F.col("y").alias("tenant_b")), "key").join(takers, ["k", "tenant_b"]), 3, "tenant")
-    return static.unionByName(by_unit).unionByName(by_tenant).unionByName(by_like)
+    return static.unionByName(before(by_unit.unionByName(by_tenant).unionByName(by_like)))
 
 
 def insert_batch(existing: DataFrame, new: DataFrame) -> DataFrame:
