@@ -95,14 +95,14 @@ class _Common:
         return out
 
 
-def may_be_alike(xs: list[str], ys: list[str], least: float, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray]:
-    """(i, j) of all texts, none empty, whose ``ratio(xs[i], ys[j])`` or ``ratio(ys[j], xs[i])`` can be ``least`` or more.
+def may_be_alike(xs: list[str], ys: list[str], least: float, block: int = 1 << 17) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, most) of all texts, none empty, whose ``ratio(xs[i], ys[j])`` or ``ratio(ys[j], xs[i])`` can be ``least`` or more, and the most that it can be.
 
     A ratio r leaves u <= (1 - r) T letters without match.  Each changes one bit of the letters and three of the pairs
     of letters at most; what differs in more, or has a common subsequence too short, is never compared.
     """
     if not xs or not ys:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
     x, y = _Texts(xs), _Texts(ys)
     common = None
     by, rows = np.argsort(y.size, kind="stable"), np.argsort(x.size, kind="stable")
@@ -127,15 +127,18 @@ def may_be_alike(xs: list[str], ys: list[str], least: float, block: int = 1 << 1
         k, n = end, lengths[end - 1]
         if n <= 64 and len(i):
             common = common or _Common(x, y)
-            ok = x.size[i] + y.size[j] - 2 * common(i, j) <= u
-            i, j = i[ok], j[ok]
-        got.append((i, j))
-    return tuple(np.concatenate(g) for g in zip(*got)) if got else (np.empty(0, np.int64), np.empty(0, np.int64))
+            shared, both = common(i, j), x.size[i] + y.size[j]
+            ok = both - 2 * shared <= u
+            i, j, top = i[ok], j[ok], (2 * shared / both)[ok]
+        else:
+            top = np.ones(len(i))
+        got.append((i, j, top))
+    return tuple(np.concatenate(g) for g in zip(*got)) if got else (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
 
 
 def alike_texts(xs: list[str], ys: list[str], least: float, where: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[list[int], list[int], list[float]]:
     """(i, j, r) of all different texts, none empty, whose ``ratio(xs[i], ys[j])`` is ``least`` or more; looked for in ``where`` (i, j) if given."""
-    i, j = where or may_be_alike(xs, ys, least)
+    i, j = where or may_be_alike(xs, ys, least)[:2]
     order = np.lexsort((i, j))
     out, matcher, last = ([], [], []), SequenceMatcher(None, "", ""), None
     for a, b in zip(i[order].tolist(), j[order].tolist()):
@@ -149,3 +152,27 @@ def alike_texts(xs: list[str], ys: list[str], least: float, where: tuple[np.ndar
             for o, v in zip(out, (a, b, r)):
                 o.append(v)
     return out
+
+
+def most_alike_texts(xs: list[str], ys: list[str], least: float) -> tuple[list[int], list[int], list[float]]:
+    """(i, j, r) of ``alike_texts`` with the greatest r of each i, all of equals: what can be most alike is compared first, what can not reach the best is left out."""
+    i, j, most = may_be_alike(xs, ys, least)
+    order = np.lexsort((-most, i))
+    out: tuple[list[int], list[int], list[float]] = ([], [], [])
+    last, best, here = None, least, []
+
+    def put():
+        for b, r in here:
+            if r == best:
+                for o, v in zip(out, (last, b, r)):
+                    o.append(v)
+
+    for a, b, top in zip(i[order].tolist(), j[order].tolist(), most[order].tolist()):
+        if a != last:
+            put()
+            last, best, here = a, least, []
+        if top >= best - 1e-9 and xs[a] != ys[b] and (r := SequenceMatcher(None, xs[a], ys[b]).ratio()) >= best:
+            best = r
+            here.append((b, r))
+    put()
+    return out

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelforge.functions.numbers import close
-from parcelforge.functions.similarity import alike_texts, may_be_alike
+from parcelforge.functions.similarity import alike_texts, may_be_alike, most_alike_texts
 from parcelforge.functions.text import name_key, strip, telling_words
 from parcelforge.runtime import cut
 
@@ -61,8 +61,9 @@ def rarest(parts: DataFrame, of: DataFrame) -> DataFrame:
     return parts.join(often, "part").withColumn("rank", F.row_number().over(order)).drop("_often")
 
 
-def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (), both: bool = False) -> DataFrame:
+def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (), both: bool = False, best: bool = False) -> DataFrame:
     """(within, x, y, r): different texts of ``left`` and ``right`` (``text`` and the columns ``within``, which have to be equal; each once) of which ``ratio(x, y)`` is ``least`` or more; with ``both`` also (y, x) of the other likeness.
+    With ``best`` only the most alike of each x are sure to be among them, all of equals.
 
     All with all of each group, by bounds on arrays (``alike_texts``): no pair is written that is not alike, and none is lost.
     Groups are dealt to tasks in pieces of at most about ``PIECES`` texts of each side.
@@ -86,8 +87,8 @@ def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (
     def compare(group: pa.Table) -> pa.Table:
         side = group.column("x")
         xs, ys = (group.column("text").filter(s).to_pylist() for s in (side, pc.invert(side)))
-        met = may_be_alike(xs, ys, least)
-        i, j, r = alike_texts(xs, ys, least, met)
+        met = None if best else may_be_alike(xs, ys, least)[:2]
+        i, j, r = most_alike_texts(xs, ys, least) if best else alike_texts(xs, ys, least, met)
         found = [[xs[k] for k in i], [ys[k] for k in j], r]
         if both:
             j, i, r = alike_texts(ys, xs, least, met[::-1])

@@ -114,7 +114,7 @@ def folder_lookup(deals: DataFrame, folders: DataFrame) -> DataFrame:
     exact = d.join(f.select("folder", F.col("fk").alias("dk")), "dk").groupBy("deal_id").agg(F.min("folder").alias("exact"))
     code = d.where("pk <> ''").join(f.select("folder", "pk"), "pk").groupBy("deal_id").agg(F.min("folder").alias("code"))
     texts = [x.where("tk <> ''").select("tk", F.col(c).alias("text")).where("text <> ''").distinct() for x, c in ((d, "dk"), (f, "nk"))]
-    near = alike(*texts, FOLDER, ["tk"])
+    near = alike(*texts, FOLDER, ["tk"], best=True)
     same = texts[0].join(texts[1], ["tk", "text"]).select("tk", F.col("text").alias("x"), F.col("text").alias("y"), F.lit(1.0).alias("r"))
     near = near.unionByName(same).join(f.select("tk", F.col("nk").alias("y"), "folder"), ["tk", "y"]).groupBy("tk", "x").agg(F.max(F.struct("r", "folder")).getField("folder").alias("near"))
     near = d.select("deal_id", "tk", F.col("dk").alias("x")).join(near, ["tk", "x"]).select("deal_id", "near")

@@ -234,6 +234,19 @@ def test_alike_names_are_all_found(spark, monkeypatch, pieces):
     assert got == alike_plain(few, many, dedup.DEAL) | alike_plain(many, few, dedup.DEAL)
 
 
+def test_most_alike_texts_are_the_best_of_all():
+    """Fewer are compared, yet each text has all of its best; a name that is the best by far is the only one compared."""
+    from parcelforge.functions import similarity
+
+    r = random.Random(3)
+    words = sorted({misspelt(r, n, r.randint(0, 4)) for n in NAMES if len(n) > 3 for _ in range(15)} | {"é" * 70, "é" * 66 + "a"} - {""})
+    best = {}
+    for i, j, v in zip(*similarity.alike_texts(words, words, 0.7)):
+        best.setdefault(i, {}).setdefault(v, set()).add(j)
+    want = {(i, j, max(by)) for i, by in best.items() for j in by[max(by)]}
+    assert set(zip(*similarity.most_alike_texts(words, words, 0.7))) == want
+
+
 def test_lettings_are_decided_alike_in_any_stretches(spark):
     """Few units make pairs that grow with the square of the rows; decided in stretches the answer is that of all pairs at once."""
     r = random.Random(12)
