@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelforge.functions.dates import quarter_ordinal
+from parcelforge.functions.deals import REASONS, Deals, first_matches, kept_first
 from parcelforge.functions.numbers import close
 from parcelforge.functions.postcodes import sheet_postcode, with_postcode
-from parcelforge.functions.predicates import about_investment, contained, sorted_telling, towns_agree, vacant, words_overlap
+from parcelforge.functions.predicates import about_investment, contained, sorted_telling, vacant, words_overlap
 from parcelforge.functions.similarity import can_reach, ratio
 from parcelforge.functions.text import blank, name_key, strip, telling_words, tenant_key, unit_key
 from parcelforge.operators.blocking import alike, band, band_pairs, name_candidates, rent_key
@@ -21,6 +25,8 @@ from parcelforge.runtime import cut
 RENT, PRICE, TENANT, ADDRESS, DEAL = 0.005, 0.05, 0.90, 0.85, 0.65
 #: Lettings that are compared with each other before their first ones take out later rows.
 STRETCH = 200_000
+#: Deals of the first stretch, and known deals that all new ones are compared with first; deals of the longest stretch; new and known deals of one task.
+FIRST, LONGEST, NEW, HELD = 2048, 8192, 8192, 32768
 #: Tenant keys of rows without tenant.
 VACANT = ("vacant", "vacant under offer")
 #: Fields that a kept letting may take from its duplicates.
@@ -200,39 +206,6 @@ def insert_investments(existing: DataFrame, new: DataFrame, key: str = "row_no")
     return out.select("b.id", F.when(F.col("a").isNull(), "inserted").when(F.col("fills"), "merged").otherwise("duplicate").alias("action"), F.col("a.id").alias("match_id"))
 
 
-def deal_match(a: str, b: str) -> tuple[Column, Column, Column]:
-    """(reason by the native tiers or null, whether likeness may still decide, likeness) for columns ``name/town/postcode`` + suffix."""
-    na, nb, ta, tb, pa, pb = (f"{c}{s}" for c in ("name", "town", "postcode") for s in (a, b))
-    x, y = name_key(na), name_key(nb)
-    code = lambda c: F.upper(F.coalesce(strip(c), F.lit("")))
-    towns = towns_agree(ta, tb)
-    reason = (
-        F.when((x == "") | (y == ""), None)
-        .when((x == y) & towns, "exact match")
-        .when((code(pa) != "") & (code(pa) == code(pb)), "postcode match")
-        .when(contained(na, nb), "contained")
-        .when(words_overlap(na, nb), "word overlap")
-    )
-    p, q = sorted_telling(na), sorted_telling(nb)
-    return reason, (x != "") & (y != "") & towns & (p != "") & (q != ""), ratio(p, q)
-
-
-def _judge(pairs: DataFrame, a: str, b: str) -> DataFrame:
-    reason, may, like = deal_match(a, b)
-    judged = pairs.withColumns({"reason": reason, "may": may})
-    fuzzy = judged.where("reason is null and may").withColumn("r", like).where(F.col("r") >= DEAL).select("id_a", "id_b", F.lit("alike").alias("reason"))
-    return judged.where("reason is not null").select("id_a", "id_b", "reason").union(fuzzy)
-
-
-def _met(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Candidate pairs of deals with name, town and postcode of both sides."""
-    met = name_candidates(left, right, sorted_telling("name"), DEAL, towns=True)
-    code = lambda d, s: d.where(~blank("name")).select(F.col("id").alias(f"id_{s}"), F.upper(strip("postcode")).alias("k")).where("k <> ''")
-    met = met.unionByName(code(left, "a").join(code(right, "b"), "k").select("id_a", "id_b")).distinct()
-    side = lambda d, s: d.select(*(F.col(c).alias(f"{c}_{s}") for c in ("id", "name", "town", "postcode")))
-    return met.join(side(left, "a"), "id_a").join(side(right, "b"), "id_b")
-
-
 def with_copy(deals: DataFrame) -> DataFrame:
     """Deals with ``copy``, what those of equal name, town and postcode have in common; null without name, as such deals match nothing."""
     text = [F.coalesce(c, F.lit("")) for c in ("name", "town", "postcode")]
@@ -245,32 +218,97 @@ def first_copies(deals: DataFrame) -> DataFrame:
     return cut(deals.where("copy is not null").groupBy("copy").agg(F.min("id").alias("id"), *(F.first(c).alias(c) for c in ("name", "town", "postcode"))))
 
 
+def _features(deals: DataFrame) -> DataFrame:
+    """What ``functions.deals`` compares of deals with a name: id, key, words, text, town, code."""
+    return deals.select("id", name_key("name").alias("key"), telling_words("name").alias("words"), sorted_telling("name").alias("text"), F.lower(strip("town")).alias("town"), F.upper(strip("postcode")).alias("code"))
+
+
+def _in_tasks(sides: DataFrame, pieces: int, find) -> DataFrame:
+    """(id, known_id, reason) of what ``find(deals, new rows, known rows)`` tells of each piece (i, j) of ``sides`` (features, known, i, j); known deals in the order of ids."""
+    schema = T.StructType([T.StructField("id", sides.schema["id"].dataType), T.StructField("known_id", sides.schema["id"].dataType), T.StructField("reason", T.StringType())])
+    types = to_arrow_schema(schema)
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        deals = Deals(*(group.column(c).to_pylist() for c in ("key", "words", "text", "town", "code")))
+        known = group.column("known").to_pylist()
+        ids = group.column("id").combine_chunks()
+        if not isinstance(ids, pa.Array):
+            ids = pa.concat_arrays(ids.chunks)
+        plain = ids.to_pylist()
+        order = sorted(range(len(known)), key=lambda k: tuple(plain[k].values()) if isinstance(plain[k], dict) else plain[k])
+        found = find(deals, [k for k in order if not known[k]], [k for k in order if known[k]])
+        at, to, why = zip(*found) if found else ((), (), ())
+        take = lambda rows: ids.take(pa.array(rows, pa.int64()))
+        return pa.Table.from_arrays([take(at), take(to), pa.array([REASONS[w] if w >= 0 else None for w in why], pa.string())], names=types.names).cast(types)
+
+    n = int(sides.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # few bytes take long: the number of tasks must not follow the bytes
+    return sides.repartition(max(n, pieces), "i", "j").groupBy("i", "j").applyInArrow(run, schema)
+
+
+def _first_known(new: DataFrame, known: DataFrame, many: int, many_known: int) -> DataFrame:
+    """(id, known_id, reason): the first of ``known`` (``_features``) that each of ``new`` matches; dealt to tasks in pieces, ``many`` and ``many_known`` are their rows."""
+    i, j = max(min(many // 256, 24), -(-many // NEW), 1), max(-(-many_known // HELD), 1)
+    at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    sides = new.withColumns({"known": F.lit(False), "i": at(i)}).withColumn("j", each(j)).unionByName(known.withColumns({"known": F.lit(True), "j": at(j)}).withColumn("i", each(i)))
+    found = _in_tasks(sides, i * j, lambda deals, rows, there: first_matches(deals, rows, there, DEAL))
+    return found if j == 1 else found.groupBy("id").agg(F.min(F.struct("known_id", "reason")).alias("m")).select("id", "m.known_id", "m.reason")
+
+
+def _kept_first(rows: DataFrame) -> DataFrame:
+    """(id, known_id, reason) of one stretch of ``rows`` (``_features``), decided in one task in the order of ids: itself, or the first kept before it that it matches."""
+    sides = rows.withColumns({"known": F.lit(False), "i": F.lit(0), "j": F.lit(0)})
+    return _in_tasks(sides, 1, lambda deals, order, _: kept_first(deals, order, DEAL))
+
+
 def lookup_deals(new: DataFrame, known: DataFrame) -> DataFrame:
-    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out.  Equal deals are compared once."""
-    new = with_copy(new)
+    """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out.  Equal deals are compared once.
+
+    No pairs are written.  All are compared with the first ``FIRST`` known deals, where most find theirs, and only the others with the rest.
+    """
+    new = cut(with_copy(new))
     a, b = first_copies(new), first_copies(with_copy(known))
-    found = _judge(_met(a, b), "_a", "_b")
-    best = found.groupBy("id_a").agg(F.min("id_b").alias("known_id"), F.min_by("reason", "id_b").alias("reason"))
-    best = best.join(a.select(F.col("id").alias("id_a"), "copy"), "id_a")
+    left, right = cut(_features(a)), cut(_features(b))
+    many, held = left.count(), right.count()
+    if held > FIRST:
+        head = cut(right.orderBy("id").limit(FIRST))
+        soon = cut(_first_known(left, head, many, FIRST))
+        left, right = cut(left.join(soon.select("id"), "id", "left_anti")), right.join(head.select("id"), "id", "left_anti")
+        best = soon.unionByName(_first_known(left, right, left.count(), held - FIRST))
+    else:
+        best = _first_known(left, right, many, held)
+    best = best.join(a.select("id", "copy"), "id").drop("id")
     return new.select(F.col("id").alias("new_id"), "copy").join(best, "copy").select("new_id", "known_id", "reason")
 
 
-def deal_pairs(firsts: DataFrame) -> DataFrame:
-    """(id_a, id_b, reason), id_a < id_b: deals of one table, each different one once, that match; likeness is that of the later to the earlier."""
-    return _judge(_met(firsts, firsts).where("id_a < id_b"), "_b", "_a")
-
-
 def decide_deals(deals: DataFrame) -> DataFrame:
     """(id, kept_id, reason) of every deal: itself, or the first kept deal before it that it matches, and by what.
 
     Equal deals are compared as the first of them: what replaces it replaces them all, and where it stays the others are its copies.
+
+    Pairs grow with the square of the deals, what stays does not.  So deals are decided in stretches of ids, each in one task; the first has ``FIRST`` deals, each next one
+    twice as many up to ``LONGEST``.  What a stretch keeps takes out later deals, in all tasks, before the next stretch begins; no pairs are written.
     """
     rows = cut(with_copy(deals))
     firsts = first_copies(rows)
-    pairs = cut(deal_pairs(firsts))
-    decided = first_wins(firsts.select("id"), pairs.select("id_a", "id_b")).withColumnRenamed("id", "first")
-    why = pairs.select(F.col("id_a").alias("kept_id"), F.col("id_b").alias("first"), "reason")
-    decided = decided.join(why, ["kept_id", "first"], "left").join(firsts.select(F.col("id").alias("first"), "copy"), "first")
+    rest, out, size = cut(_features(firsts)), None, FIRST
+    many = rest.count()
+    while True:
+        part = cut(rest.orderBy("id").limit(size)) if many > size else rest
+        found = cut(_kept_first(part))
+        out = found if out is None else out.unionByName(found)
+        if many <= size:
+            break
+        stays = part.join(found.where("id = known_id").select("id"), "id", "left_semi")
+        rest = rest.join(part.select("id"), "id", "left_anti")
+        gone = cut(_first_known(rest, stays, many - size, size))
+        out = out.unionByName(gone)
+        rest = cut(rest.join(gone.select("id"), "id", "left_anti"))
+        many, size = rest.count(), min(2 * size, LONGEST)
+    decided = out.select(F.col("id").alias("first"), F.col("known_id").alias("kept_id"), "reason")
+    decided = decided.join(firsts.select(F.col("id").alias("first"), "copy"), "first")
     out = rows.select("id", "copy").join(decided, "copy", "left").withColumn("kept_id", F.coalesce("kept_id", "id"))
     return out.select("id", "kept_id", F.when(F.col("id") == F.col("kept_id"), None).when(F.col("kept_id") == F.col("first"), "exact match").otherwise(F.col("reason")).alias("reason"))
 
