@@ -249,7 +249,8 @@ def _in_tasks(sides: DataFrame, pieces: int, find) -> DataFrame:
 
 def _first_known(new: DataFrame, known: DataFrame, many: int, many_known: int) -> DataFrame:
     """(id, known_id, reason): the first of ``known`` (``_features``) that each of ``new`` matches; dealt to tasks in pieces, ``many`` and ``many_known`` are their rows."""
-    i, j = max(min(many // 256, 24), -(-many // NEW), 1), max(-(-many_known // HELD), 1)
+    j = max(-(-many_known // HELD), 1)
+    i = max(min(many // 256, -(-24 // j)), -(-many // NEW), 1)
     at = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     sides = new.withColumns({"known": F.lit(False), "i": at(i)}).withColumn("j", each(j)).unionByName(known.withColumns({"known": F.lit(True), "j": at(j)}).withColumn("i", each(i)))
@@ -266,19 +267,22 @@ def _kept_first(rows: DataFrame) -> DataFrame:
 def lookup_deals(new: DataFrame, known: DataFrame) -> DataFrame:
     """(new_id, known_id, reason): the first known deal that each new one matches.  Both have id, name, town, postcode; new deals without match are left out.  Equal deals are compared once.
 
-    No pairs are written.  All are compared with the first ``FIRST`` known deals, where most find theirs, and only the others with the rest.
+    No pairs are written.  All are compared with the first ``FIRST`` known deals, where most find theirs, only the others with the next ones, four times as many, and so on up to ``HELD``; then with all that are left.
     """
     new = cut(with_copy(new))
     a, b = first_copies(new), first_copies(with_copy(known))
     left, right = cut(_features(a)), cut(_features(b))
-    many, held = left.count(), right.count()
-    if held > FIRST:
-        head = cut(right.orderBy("id").limit(FIRST))
-        soon = cut(_first_known(left, head, many, FIRST))
-        left, right = cut(left.join(soon.select("id"), "id", "left_anti")), right.join(head.select("id"), "id", "left_anti")
-        best = soon.unionByName(_first_known(left, right, left.count(), held - FIRST))
-    else:
-        best = _first_known(left, right, many, held)
+    many, held, size, best = left.count(), right.count(), FIRST, None
+    while True:
+        last = held <= size or size > HELD
+        head = right if last else cut(right.orderBy("id").limit(size))
+        found = _first_known(left, head, many, held if last else size)
+        found = found if last else cut(found)
+        best = found if best is None else best.unionByName(found)
+        if last:
+            break
+        left, right = cut(left.join(found.select("id"), "id", "left_anti")), cut(right.join(head.select("id"), "id", "left_anti"))
+        many, held, size = left.count(), held - size, size * 4
     best = best.join(a.select("id", "copy"), "id").drop("id")
     return new.select(F.col("id").alias("new_id"), "copy").join(best, "copy").select("new_id", "known_id", "reason")
 
