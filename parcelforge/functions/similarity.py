@@ -67,17 +67,22 @@ class _Texts:
         return np.bitwise_or.reduceat(bit if only is None else np.where(only, bit, np.uint64(0)), self.start)
 
 
+#: Words of 64 letters that common subsequences are counted in; longer texts are not bounded by them.
+WORDS = 4
+
+
 class _Common:
-    """Lengths of the longest common subsequences of texts of x, of 64 letters at most, and of y: no less than what the matching blocks hold."""
+    """Lengths of the longest common subsequences of texts of x, of 64 * ``WORDS`` letters at most, and of y: no less than what the matching blocks hold."""
 
     def __init__(self, x: _Texts, y: _Texts):
         known, letter = np.unique(x.codes, return_inverse=True)
         self.x, self.y, self.none = x, y, len(known)
         row = np.repeat(np.arange(len(x.texts)), x.size)
         shift = np.arange(len(x.codes)) - x.start[row]
-        ok = shift < 64
-        self.where = np.zeros((len(x.texts), len(known) + 1), np.uint64)
-        np.bitwise_or.at(self.where, (row[ok], letter[ok]), np.uint64(1) << shift[ok].astype(np.uint64))
+        words = int(min(WORDS, -(-x.size.max() // 64)))
+        ok = shift < 64 * words
+        self.where = np.zeros((words, len(x.texts), len(known) + 1), np.uint64)
+        np.bitwise_or.at(self.where, (shift[ok] // 64, row[ok], letter[ok]), np.uint64(1) << (shift[ok] % 64).astype(np.uint64))
         found = np.minimum(np.searchsorted(known, y.codes), len(known) - 1)
         self.other = np.where(known[found] == y.codes, found, len(known))  # letters that x never has meet no bit
 
@@ -85,13 +90,27 @@ class _Common:
         out = np.empty(len(i), np.int64)
         for k in range(0, len(i), 1 << 14):
             a, b = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-            v, start, many = np.full(len(a), ~np.uint64(0)), self.y.start[b], self.y.size[b]
+            start, many, size = self.y.start[b], self.y.size[b], self.x.size[a]
+            where = self.where[: -(-int(size.max()) // 64)]
+            v = [np.full(len(a), ~np.uint64(0)) for _ in where]
             for t in range(int(many.max())):
                 c = np.where(many > t, self.other[np.minimum(start + t, len(self.other) - 1)], self.none)
-                u = v & self.where[a, c]
-                v = (v + u) | (v - u)
-            size = self.x.size[a].astype(np.uint64)
-            out[k : k + (1 << 14)] = np.bitwise_count(~v & np.where(size >= 64, ~np.uint64(0), (np.uint64(1) << (size & np.uint64(63))) - np.uint64(1)))
+                carry = None
+                for w, at in enumerate(where):
+                    u = v[w] & at[a, c]
+                    total = v[w] + u
+                    if len(where) > 1:
+                        over = total < u
+                        if carry is not None:
+                            total = total + carry
+                            over |= total < carry
+                        carry = over.astype(np.uint64)
+                    v[w] = total | (v[w] - u)
+            shared = 0
+            for w, bits in enumerate(v):
+                here = np.clip(size - 64 * w, 0, 64).astype(np.uint64)
+                shared = shared + np.bitwise_count(~bits & np.where(here >= 64, ~np.uint64(0), (np.uint64(1) << (here & np.uint64(63))) - np.uint64(1))).astype(np.int64)
+            out[k : k + (1 << 14)] = shared
         return out
 
 
@@ -125,7 +144,7 @@ def may_be_alike(xs: list[str], ys: list[str], least: float, block: int = 1 << 1
         ok = (np.abs(x.size[i] - y.size[j]) <= u) & (sum(np.bitwise_count(p[i] ^ q[j]).astype(np.int64) for p, q in zip(x.pairs, y.pairs)) <= 3 * u)
         i, j, u = i[ok], j[ok], u[ok]
         k, n = end, lengths[end - 1]
-        if n <= 64 and len(i):
+        if n <= 64 * WORDS and len(i):
             common = common or _Common(x, y)
             shared, both = common(i, j), x.size[i] + y.size[j]
             ok = both - 2 * shared <= u

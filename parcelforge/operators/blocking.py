@@ -19,7 +19,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from parcelforge.functions.numbers import close
 from parcelforge.functions.similarity import alike_texts, may_be_alike, most_alike_texts
-from parcelforge.functions.text import name_key, strip, telling_words
+from parcelforge.functions.text import name_key, telling_words
 from parcelforge.runtime import cut
 
 #: Texts of either side that one task compares at once.
@@ -99,16 +99,27 @@ def alike(left: DataFrame, right: DataFrame, least: float, within: list[str] = (
     return dealt.groupBy(*by, "i", "j").applyInArrow(compare, schema)
 
 
-def _overlaps(left: DataFrame, right: DataFrame, part: float) -> DataFrame:
-    """(id_a, id_b): names (id, name) that may share two telling words and ``part`` of those of the one that has fewer."""
-    words = [d.select("id", telling_words("name").alias("w")).where("size(w) > 1").select("id", F.size("w").alias("size"), F.explode("w").alias("part")) for d in (left, right)]
+def _meet(left: DataFrame, right: DataFrame, by: str, at: tuple[Column, Column] | None) -> DataFrame:
+    """Join of the two sides on ``by`` and, with ``at``, where the left one's array holds the right one's value (columns ``_at`` of both)."""
+    if at is None:
+        return left.join(right, by)
+    return left.withColumn("_at", F.explode("_at")).join(right, [by, "_at"]).drop("_at")
+
+
+def _at(meet: tuple[Column, Column] | None, k: int) -> list[Column]:
+    return [meet[k].alias("_at")] if meet else []
+
+
+def _overlaps(left: DataFrame, right: DataFrame, part: float, meet: tuple[Column, Column] | None = None) -> DataFrame:
+    """(id_a, id_b): names (id, name) that may share two telling words and ``part`` of those of the one that has fewer; with ``meet`` only where it holds."""
+    words = [d.select("id", telling_words("name").alias("w"), *_at(meet, k)).where("size(w) > 1").select("id", F.size("w").alias("size"), F.explode("w").alias("part"), *(["_at"] if meet else [])) for k, d in enumerate((left, right))]
     every = words[0].select("part").unionByName(words[1].select("part"))
     ranked = [cut(rarest(w, every)) for w in words]
     # the one with fewer words shares so many of them; the other shares two at least
     fewer = [d.where(F.col("rank") <= F.col("size") - F.greatest(F.lit(2), F.ceil(F.col("size") * part - 1e-9)) + 1) for d in ranked]
     more = [d.where(F.col("rank") < F.col("size")) for d in ranked]
-    side = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("size").alias(f"n_{s}"), "part")
-    return side(fewer[0], "a").join(side(more[1], "b"), "part").where("n_a <= n_b").unionByName(side(more[0], "a").join(side(fewer[1], "b"), "part").where("n_a >= n_b")).select("id_a", "id_b")
+    side = lambda d, s: d.select(F.col("id").alias(f"id_{s}"), F.col("size").alias(f"n_{s}"), "part", *(["_at"] if meet else []))
+    return _meet(side(fewer[0], "a"), side(more[1], "b"), "part", meet).where("n_a <= n_b").unionByName(_meet(side(more[0], "a"), side(fewer[1], "b"), "part", meet).where("n_a >= n_b")).select("id_a", "id_b")
 
 
 def _borders(df: DataFrame, every: bool) -> DataFrame:
@@ -121,44 +132,29 @@ def _borders(df: DataFrame, every: bool) -> DataFrame:
     return at.select("id", "n", F.explode(F.array_distinct(parts)).alias("part"))
 
 
-def _contained(left: DataFrame, right: DataFrame) -> DataFrame:
-    """(id_a, id_b): names of which one may stand in the other: a longer one has what stands around the rarest space of the shorter."""
+def _contained(left: DataFrame, right: DataFrame, meet: tuple[Column, Column] | None = None) -> DataFrame:
+    """(id_a, id_b): names of which one may stand in the other: a longer one has what stands around the rarest space of the shorter; with ``meet`` only where it holds."""
+    sides = [cut(d.select("id", "name", *_at(meet, k))) for k, d in enumerate((left, right))] if meet else [left, right]
 
-    def within(short: DataFrame, long: DataFrame) -> DataFrame:
-        there = cut(_borders(long, True))
+    def within(short: int, long: int) -> DataFrame:
+        there = cut(_borders(sides[long], True))
         often = there.groupBy("part").agg(F.count("*").alias("often"))
-        rare = _borders(short, False).join(often, "part").groupBy("id").agg(F.min(F.struct("often", "part")).getField("part").alias("part"), F.first("n").alias("n"))
-        return rare.select(F.col("id").alias("s"), "part", F.col("n").alias("ns")).join(there.select(F.col("id").alias("l"), "part", "n"), "part").where("ns <= n").select("s", "l")
-
-    return within(left, right).select(F.col("s").alias("id_a"), F.col("l").alias("id_b")).unionByName(within(right, left).select(F.col("l").alias("id_a"), F.col("s").alias("id_b")))
-
-
-def _alike_in_towns(left: DataFrame, right: DataFrame, text: Column, least: float) -> DataFrame:
-    """(id_a, id_b): records of agreeing ``town`` (equal, or one of them blank or several) with equal or alike ``text``."""
-    town = F.lower(F.coalesce(strip("town"), F.lit("")))
-    open_ = (F.col("t") == "") | F.col("t").startswith("multi")
-    sides = [cut(d.select("id", town.alias("t"), text.alias("text")).where("text <> ''")) for d in (left, right)]
-    out = None
-    # both in one town; a in any town and b without; a without and b in any but those without
-    for a, b, by in ((sides[0].where(~open_), sides[1].where(~open_), ["t"]), (sides[0], sides[1].where(open_), []), (sides[0].where(open_), sides[1].where(~open_), [])):
-        near = alike(a.select("text", *by).distinct(), b.select("text", *by).distinct(), least, by).select(*by, "x", "y")
-        x, y = a.select(*by, F.col("text").alias("x"), F.col("id").alias("id_a")), b.select(*by, F.col("text").alias("y"), F.col("id").alias("id_b"))
-        part = x.join(near, [*by, "x"]).join(y, [*by, "y"]).select("id_a", "id_b")
-        part = part.unionByName(x.join(y.withColumnRenamed("y", "x"), [*by, "x"]).select("id_a", "id_b"))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def name_candidates(left: DataFrame, right: DataFrame, text: Column, least: float, part: float = 0.6, towns: bool = False, meet: tuple[Column, Column] | None = None) -> DataFrame:
-    """(id_a, id_b), each once: pairs of names (id, name, other columns of ``text``) that may be equal, contained, share telling words, or have alike ``text``; the last with ``towns`` only where their towns agree, with ``meet`` only where the left one's array holds the right one's value."""
-    side = lambda d, c, s: d.select(F.col("id").alias(f"id_{s}"), c.alias("k")).where("k <> ''")
-    same = side(left, name_key("name"), "a").join(side(right, name_key("name"), "b"), "k").select("id_a", "id_b")
-    if towns:
-        near = _alike_in_towns(left, right, text, least)
-    else:
-        at = (F.explode(meet[0]), meet[1]) if meet else (F.lit(0), F.lit(0))
-        texts = [cut(d.select(text.alias("text"), m.alias("at")).where("text <> ''").distinct()) for d, m in zip((left, right), at)]
-        near = alike(*texts, least, ["at"]).select("x", "y").distinct()
-        near = side(left, text, "a").withColumnRenamed("k", "x").join(near, "x").join(side(right, text, "b").withColumnRenamed("k", "y"), "y").select("id_a", "id_b")
-        near = near.unionByName(side(left, text, "a").join(side(right, text, "b"), "k").select("id_a", "id_b"))
-    return same.unionByName(near).unionByName(_overlaps(left, right, part)).unionByName(_contained(left, right)).where("id_a <> id_b").distinct()
+        rare = _borders(sides[short], False).join(often, "part").groupBy("id").agg(F.min(F.struct("often", "part")).getField("part").alias("part"), F.first("n").alias("n"))
+        ends = {short: rare.select(F.col("id").alias("s"), "part", F.col("n").alias("ns")), long: there.select(F.col("id").alias("l"), "part", "n")}
+        if meet:
+            ends = {k: d.join(sides[k].select(F.col("id").alias("s" if k == short else "l"), "_at"), "s" if k == short else "l") for k, d in ends.items()}
+        return _meet(ends[0], ends[1], "part", meet).where("ns <= n").select("s", "l")
+
+    return within(0, 1).select(F.col("s").alias("id_a"), F.col("l").alias("id_b")).unionByName(within(1, 0).select(F.col("l").alias("id_a"), F.col("s").alias("id_b")))
+
+
+def name_candidates(left: DataFrame, right: DataFrame, text: Column, least: float, part: float = 0.6, meet: tuple[Column, Column] | None = None) -> DataFrame:
+    """(id_a, id_b), each once: pairs of names (id, name, other columns of ``text``) that may be equal, contained, share telling words, or have alike ``text``; with ``meet`` only where the left one's array holds the right one's value."""
+    side = lambda d, c, k: d.select(F.col("id").alias(f"id_{'ab'[k]}"), c.alias("k"), *_at(meet, k)).where("k <> ''")
+    same = _meet(side(left, name_key("name"), 0), side(right, name_key("name"), 1), "k", meet).select("id_a", "id_b")
+    at = (F.explode(meet[0]), meet[1]) if meet else (F.lit(0), F.lit(0))
+    texts = [cut(d.select(text.alias("text"), m.alias("at")).where("text <> ''").distinct()) for d, m in zip((left, right), at)]
+    near = cut(alike(*texts, least, ["at"]).select("x", "y").distinct())
+    near = _meet(side(left, text, 0).join(near.withColumnRenamed("x", "k"), "k").drop("k"), side(right, text, 1).withColumnRenamed("k", "y"), "y", meet).select("id_a", "id_b")
+    near = near.unionByName(_meet(side(left, text, 0), side(right, text, 1), "k", meet).select("id_a", "id_b"))
+    return same.unionByName(near).unionByName(_overlaps(left, right, part, meet)).unionByName(_contained(left, right, meet)).where("id_a <> id_b").distinct()
