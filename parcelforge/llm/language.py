@@ -24,6 +24,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -53,12 +54,14 @@ SWITCH, PER_WORD = 8.0, 2.5
 NAMED = 3
 #: Different units that a worker remembers.
 REMEMBERED = 200_000
+#: Bytes that are read at once, and bytes of the documents whose new units are gathered for that.
+CELLS, GATHERED = 2_000_000, 8_000_000
 
 _CODE = {n: c for c, names in NAMES.items() for n in names}
 _UNITS = re.compile(r"[^\n]+")
-_SENTENCE_END = re.compile(r"(?<=[.!?])\s+(?=\S)")
+_SENTENCE_END = re.compile(r"[.!?]\s+(?=\S)")
 _NUMBER = re.compile(r"\d(?:[\d.,]*\d)?")
-_NAME = re.compile(r"(?<=[^\W\d_,;&'’] )[A-Z][\w&'’]*(?:[ -](?:[A-Z&][\w&'’]*))*")
+_NAME = re.compile(r"[A-Z](?<=[^\W\d_,;&'’] [A-Z])[\w&'’]*(?:[ -](?:[A-Z&][\w&'’]*))*")
 _WORD = re.compile(r"[^\W\d_]{2,}")
 
 
@@ -86,7 +89,8 @@ def units(text: str) -> list[tuple[int, int, str]]:
         at, s = line.start(), line.group()
         i = 0
         for m in _SENTENCE_END.finditer(s):
-            out.append((at + i, at + m.start(), s[i : m.start()]))
+            end = m.start() + 1
+            out.append((at + i, at + end, s[i:end]))
             i = m.end()
         if s[i:].strip():
             out.append((at + i, at + len(s), s[i:]))
@@ -122,16 +126,9 @@ class Network:
         order = np.clip(lengths[:, None] - 1 - np.arange(t)[None, :], 0, None)
         return codes, lengths, order
 
-    def forward(self, codes, order, keep: bool = False):
-        """Logits (n, t, labels); with ``keep`` also what the backward pass needs."""
-        p, h = self.p, self.width
-        if not keep:  # each direction to labels first: few numbers to put in the text's order
-            states = self._read(codes)
-            t, n = states.shape[1:3]
-            ahead, back = (states[k] @ p["W"][k * h : (k + 1) * h].astype(np.float32) for k in range(2))
-            logits = ahead.transpose(1, 0, 2) + back[order, np.arange(n)[:, None]]
-            logits += p["c"].astype(np.float32)
-            return logits
+    def forward(self, codes, order):
+        """Logits (n, t, labels), and what the backward pass needs."""
+        p = self.p
         states, saved = self._run(codes)
         back = np.take_along_axis(states[1].transpose(1, 0, 2), order[:, :, None], axis=1)
         both = np.concatenate([states[0].transpose(1, 0, 2), back], axis=2)
@@ -157,39 +154,57 @@ class Network:
             state = states[:, k] = new
         return states, saved
 
-    def _read(self, codes):
-        """States (2, t, n, width) only, without temporary arrays; the logistic function by way of tanh."""
-        h, p = self.width, self.p
-        n, t = codes.shape[1:]
-        states = np.empty((2, t, n, h), dtype=np.float32)
-        x, a, g, m = (np.empty((n, w * h), dtype=np.float32) for w in (3, 3, 2, 1))
-        for side in range(2):
-            rows, u, order = (p["E"][side] + p["b"][side]).astype(np.float32), p["U"][side].astype(np.float32), np.ascontiguousarray(codes[side].T)
-            state = np.zeros((n, h), dtype=np.float32)
-            for k in range(t):
-                np.take(rows, order[k], axis=0, out=x, mode="clip")
-                np.matmul(state, u, out=a)
-                np.add(x[:, : 2 * h], a[:, : 2 * h], out=g)
-                g *= 0.5
-                np.tanh(g, out=g)
-                g += 1
-                g *= 0.5
-                np.multiply(g[:, h:], a[:, 2 * h :], out=m)
-                m += x[:, 2 * h :]
-                np.tanh(m, out=m)
-                new = states[side, k]
-                np.subtract(state, m, out=new)
-                new *= g[:, :h]
-                new += m
-                state = new
-        return states
+    def read(self, texts: list[bytes]) -> np.ndarray:
+        """Logits (positions, labels) of texts, one behind the other; what several begin with, or end with, is read once."""
+        lengths = np.array([len(x) for x in texts])
+        ends = np.cumsum(lengths)
+        last, parents, sizes, at = beginnings(texts)
+        logits = self._votes(0, last, parents, sizes)[at]
+        last, parents, sizes, at = beginnings([x[::-1] for x in texts])
+        turned = np.repeat(2 * ends - lengths - 1, lengths) - np.arange(ends[-1])
+        logits += self._votes(1, last, parents, sizes)[at[turned]]
+        logits += self.p["c"].astype(np.float32)
+        return logits
+
+    def _votes(self, side: int, last, parents, sizes) -> np.ndarray:
+        """What the state after each beginning adds to the labels; the logistic function by way of tanh, halves kept in the weights, no temporary arrays."""
+        p, h = self.p, self.width
+        rows = (p["E"][side] + p["b"][side]).astype(np.float32).reshape(-1, 3, h).transpose(1, 0, 2).copy()
+        rows[:2] *= 0.5
+        u = p["U"][side].astype(np.float32).reshape(h, 3, h).transpose(1, 0, 2) * np.float32(0.5)
+        w = p["W"][side * h : (side + 1) * h].astype(np.float32)
+        votes = np.empty((len(last), w.shape[1]), dtype=np.float32)
+        most = int(sizes.max(initial=0))
+        space = np.empty((8, most * h), dtype=np.float32)
+        state, at = np.zeros((1, h), dtype=np.float32), 0
+        for k, n in enumerate(sizes.tolist()):
+            x, a = (space[i : i + 3, : n * h].reshape(3, n, h) for i in (0, 3))
+            before = space[6, : n * h].reshape(n, h)
+            np.take(state, parents[at : at + n] if k else np.zeros(n, dtype=np.intp), axis=0, out=before, mode="clip")
+            for i in range(3):
+                np.take(rows[i], last[at : at + n], axis=0, out=x[i], mode="clip")
+                np.matmul(before, u[i], out=a[i])
+            g, m = x[:2], x[2]
+            g += a[:2]
+            np.tanh(g, out=g)
+            g += 1
+            a[2] *= g[1]
+            m += a[2]
+            np.tanh(m, out=m)
+            before -= m
+            before *= g[0]
+            before *= 0.5
+            state = np.add(m, before, out=space[7, : n * h].reshape(n, h))
+            np.matmul(state, w, out=votes[at : at + n])
+            at += n
+        return votes
 
     def gradients(self, texts: list[bytes], labels: np.ndarray):
         """(loss, gradients) of the mean cross-entropy over all positions, by backpropagation through time."""
         h, p = self.width, self.p
         codes, lengths, order = self.batch(texts)
         n, t = codes.shape[1:]
-        logits, both, saved = self.forward(codes, order, keep=True)
+        logits, both, saved = self.forward(codes, order)
         logits -= logits.max(axis=2, keepdims=True)
         prob = np.exp(logits)
         prob /= prob.sum(axis=2, keepdims=True)
@@ -285,51 +300,71 @@ def trusted(net: Network, texts: list[bytes], label: int) -> list[bytes]:
     return sorted(out)
 
 
+def beginnings(texts: list[bytes]):
+    """The different beginnings of texts, shorter ones first: (their last bytes, the places of the beginnings one byte shorter among those of that length,
+    how many there are of each length), and the beginning that each position of each text ends, text behind text.
+    """
+    by = sorted(range(len(texts)), key=texts.__getitem__)
+    lengths = np.array([len(texts[i]) for i in by])
+    inside = np.arange(lengths.max()) < lengths[:, None]
+    codes = np.full(inside.shape, 256, dtype=np.int16)
+    codes[inside] = np.frombuffer(b"".join([texts[i] for i in by]), dtype=np.uint8)
+    new = inside.copy()  # sorted, so texts that begin alike follow each other: where a text has left the one before it
+    new[1:] &= np.logical_or.accumulate(codes[1:] != codes[:-1], axis=1)
+    rank = np.cumsum(new, axis=0, dtype=np.int32) - 1
+    sizes = new.sum(axis=0)
+    length, text = np.nonzero(new.T)
+    last, parents = codes[text, length].astype(np.intp), rank[text, length - 1].astype(np.intp)
+    found = (rank + (np.cumsum(sizes) - sizes))[inside]
+    begin = np.zeros(len(texts), dtype=np.int64)
+    begin[by] = lengths
+    begin = np.cumsum(begin) - begin
+    at = np.empty(len(found), dtype=np.int64)
+    at[np.repeat(begin[by] - (np.cumsum(lengths) - lengths), lengths) + np.arange(len(found))] = found
+    return last, parents, sizes, at
+
+
 def batches(texts: list):
-    """``texts`` in batches of like length."""
+    """``texts`` in batches of like length, of at most ``CELLS`` bytes if all were as long as the longest."""
     texts = sorted(texts, key=lambda u: (len(u), u))
     i = 0
     while i < len(texts):
-        j, size = i, max(1, len(texts[i]))
-        while j < len(texts) and j - i < 512 and (j - i + 1) * len(texts[j]) < 60_000 and len(texts[j]) <= size * 5 // 4 + 16:
+        j = i + 1
+        while j < len(texts) and (j - i + 1) * len(texts[j]) <= CELLS:
             j += 1
-        j = max(j, i + 1)
         yield texts[i:j]
         i = j
 
 
 def log_probabilities(net: Network, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    codes, lengths, order = net.batch(texts)
-    logits = net.forward(codes, order)
-    logits -= logits.max(axis=2, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=2, keepdims=True)), lengths
+    """(positions, labels) of texts, one behind the other, and the texts' lengths."""
+    logits = net.read(texts)
+    logits -= logits.max(axis=1, keepdims=True)
+    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True)), np.array([len(t) for t in texts])
 
 
 def pool(net: Network, texts: list[bytes]) -> np.ndarray:
     """Mean log-probability of each language over the positions of each text."""
     lp, lengths = log_probabilities(net, texts)
-    inside = np.arange(lp.shape[1])[None, :] < lengths[:, None]
-    return (lp * inside[:, :, None]).sum(1) / np.maximum(lengths, 1)[:, None]
+    sums = np.concatenate([np.zeros((1, lp.shape[1])), np.cumsum(lp, axis=0, dtype=np.float64)])
+    ends = np.cumsum(lengths)
+    return (sums[ends] - sums[ends - lengths]) / np.maximum(lengths, 1)[:, None]
 
 
 def word_scores(net: Network, texts: list[str]) -> list[np.ndarray]:
     """For each text (words, languages): the positions' log-probabilities pooled over each word of two letters or more, neutral words left out, at most ``PER_WORD`` below the best."""
-    out = []
-    lp, _ = log_probabilities(net, [t.encode() for t in texts])
-    n, _, k = lp.shape
-    sums = np.concatenate([np.zeros((n, 1, k), dtype=np.float64), np.cumsum(lp, axis=1, dtype=np.float64)], axis=1)
-    for i, t in enumerate(texts):
-        spans = [m.span() for m in _WORD.finditer(t)]
-        if not spans:
-            out.append(np.zeros((0, k)))
-            continue
-        at = np.array(spans)
-        if not t.isascii():  # from letters to bytes
-            widths = np.array([1 if c < "\x80" else 2 if c < "\u0800" else 3 if c < "\U00010000" else 4 for c in t])
-            at = np.concatenate([[0], np.cumsum(widths)])[at]
-        rows = (sums[i, at[:, 1]] - sums[i, at[:, 0]]) / (at[:, 1] - at[:, 0])[:, None]
-        out.append(np.maximum(rows - rows.max(axis=1, keepdims=True), -PER_WORD))
-    return out
+    lp, lengths = log_probabilities(net, [t.encode() for t in texts])
+    sums = np.concatenate([np.zeros((1, lp.shape[1])), np.cumsum(lp, axis=0, dtype=np.float64)])
+    whole = "\n".join(texts)
+    at = np.array([m.span() for m in _WORD.finditer(whole)], dtype=np.int64).reshape(-1, 2)
+    if not whole.isascii():  # from letters to bytes
+        codes = np.frombuffer(whole.encode(), dtype=np.uint8)
+        at = np.append(np.flatnonzero((codes & 0xC0) != 0x80), len(codes))[at]
+    number = np.searchsorted(np.cumsum(lengths + 1), at[:, 0], side="right")  # of the word's text, and of the line feeds before it
+    at = at - number[:, None]
+    rows = (sums[at[:, 1]] - sums[at[:, 0]]) / (at[:, 1] - at[:, 0])[:, None]
+    rows = np.maximum(rows - rows.max(axis=1, keepdims=True), -PER_WORD)
+    return np.split(rows, np.cumsum(np.bincount(number, minlength=len(texts)))[:-1])
 
 
 def best_path(scores: np.ndarray, switch: float = SWITCH) -> list[int]:
@@ -450,8 +485,11 @@ def segment_documents(docs: DataFrame, net: Network) -> DataFrame:
     def run(batches):
         reader, form = reader_of(weights)
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                b = whole.slice(at, 1000)
+            # as many documents at once as have GATHERED bytes, one at least
+            part = np.cumsum(pc.fill_null(pc.binary_length(whole.column(2)), 0).to_numpy(zero_copy_only=False)) // GATHERED
+            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), whole.num_rows]
+            for start, stop in zip(cuts, cuts[1:]):
+                b = whole.slice(start, stop - start)
                 found, wanted = [], set()
                 if len(form) > REMEMBERED:
                     form.clear()

@@ -281,6 +281,32 @@ def test_gradients():
             assert g[k][i] == pytest.approx((a - b) / 2e-4, abs=3e-3)
 
 
+def test_what_texts_share_is_read_once(monkeypatch):
+    """Texts that begin or end alike are not read anew; the outcome is that of reading each by itself."""
+    net = language.Network(8)
+    r = random.Random(4)
+    texts = ["", "é", *("the unit is let at " + "".join(r.choice("ab é") for _ in range(r.randint(0, 5))) + " pounds a year to the present tenant." for _ in range(60))]
+    coded = [t.encode() for t in texts]
+    seen, real = [], net._votes
+    monkeypatch.setattr(net, "_votes", lambda side, last, *x: seen.append(len(last)) or real(side, last, *x))
+    got = net.read(coded)
+    assert len(got) == sum(map(len, coded)) and seen == [len({t[:k] for t in coded for k in range(1, len(t) + 1)}), len({t[k:] for t in coded for k in range(len(t))})]
+    assert max(seen) < len(got) / 1.4
+    codes, lengths, order = net.batch(coded)
+    alone = net.forward(codes, order)[0]
+    assert np.allclose(got, np.concatenate([alone[i, :n] for i, n in enumerate(lengths)]), atol=1e-4)
+    scores = language.word_scores(net, texts)
+    assert [len(x) for x in scores] == [len(language._WORD.findall(t)) for t in texts]
+    one = [language.word_scores(net, [t])[0] for t in texts]
+    assert all(np.allclose(a, b, atol=1e-4) for a, b in zip(scores, one))
+
+
+def test_batches_hold_every_text():
+    texts = sorted({"x" * n + str(n % 7) for n in range(300)})
+    parts = list(language.batches(texts))
+    assert sorted(t for p in parts for t in p) == texts and list(language.batches([])) == []
+
+
 def test_best_path():
     r = np.random.default_rng(1)
     for _ in range(20):
