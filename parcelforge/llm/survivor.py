@@ -5,7 +5,10 @@ the profile of those before it, by dynamic programming), and each column of the
 on with the weights of the values; the survivor takes the existing value that is closest to the
 consensus.  Weights are whole numbers, so no group is too large for them.  With ``recency`` weights
 each value weighs more than all values updated before it together, as problem 2 asks for rents and
-starts; with ``support`` weights a value counts as often as it was recorded, and recency only breaks ties.
+starts: where one value was updated last the vote is settled by that, and where several were updated
+at that same instant they vote as often as they were recorded, older values decide between equal
+votes, and one of those updated last survives.  With ``support`` weights a value counts as often as it
+was recorded, and recency only breaks ties.
 
 Unusable values (null, blank, placeholders, rents not above zero, dates that denote no day) take no
 part; a field without usable value gives no row.  Ties go to the value updated last, then to the
@@ -92,28 +95,41 @@ def edits(a: list[str], b: list[str]) -> int:
     return row[-1]
 
 
-def closest(values: list[tuple[str, int]]) -> str | None:
-    """The existing value closest to the consensus of (value, weight); None of none."""
+def closest(values: list[tuple[str, int]], least: int = 0) -> str | None:
+    """The existing value of weight ``least`` or more that is closest to the consensus of all (value, weight); None of none."""
     ranked = sorted(values, key=lambda v: -v[1])
     if len(ranked) < 2:
         return ranked[0][0] if ranked else None
     won = consensus(ranked)
-    return min(ranked, key=lambda v: edits(tokens(v[0]), won))[0]
+    return min((v for v in ranked if v[1] >= least), key=lambda v: edits(tokens(v[0]), won))[0]
 
 
-def weights(values: list[tuple[str, int]], recency: bool) -> list[tuple[str, int]]:
-    """(value, weight) of (value, count), newest first: each worth more than all after it together, or its count, then that."""
+def weights(values: list[tuple[str, int]], instants: list | None) -> list[tuple[str, int]]:
+    """(value, weight) of (value, count), newest first: by instant, each record worth more than all older values together; without instants its count, and between equal counts the newer."""
     n = len(values)
-    return [(v, (1 << n - 1 - k) + (0 if recency else c << n)) for k, (v, c) in enumerate(values)]
+    if instants is None:
+        return [(v, (1 << n - 1 - k) + (c << n)) for k, (v, c) in enumerate(values)]
+    out, total, each = [], 0, 1
+    for k in reversed(range(n)):
+        v, c = values[k]
+        if k + 1 < n and instants[k] != instants[k + 1]:
+            each = total + 1
+        out.append((v, c * each))
+        total += c * each
+    return out[::-1]
 
 
 def choose(entries: list[tuple], recency: bool) -> tuple | None:
     """The newest entry of the winning value, of (updated_at, id, value, count)."""
     newest = sorted(entries, key=lambda e: (e[0] is not None, e[0] or 0, e[1]), reverse=True)
     counts: dict[str, int] = {}
+    last: dict[str, object] = {}
     for e in newest:
         counts[e[2]] = counts.get(e[2], 0) + e[3]
-    best = closest(weights(list(counts.items()), recency))
+        last.setdefault(e[2], e[0])
+    weighed = weights(list(counts.items()), list(last.values()) if recency else None)
+    # no value may survive that weighs less than those updated last
+    best = closest(weighed, min((w for v, w in weighed if last[v] == newest[0][0]), default=0) if recency else 0)
     return next((e for e in newest if e[2] == best), None)
 
 

@@ -73,6 +73,35 @@ def test_the_survivor_is_what_the_alignment_votes_for(monkeypatch):
     assert survivor.choose(entries, recency=True)[1] == 2 and len(seen) == 2
 
 
+def test_values_updated_at_the_same_instant_are_voted_on(monkeypatch):
+    """Where several values were updated last the alignment decides which of them survives; without it another one would."""
+    own = [(5, 9, "2020-02-15", 1), (5, 8, "2020-01-15", 1), (1, 1, "2019-01-20", 4)]
+    assert survivor.choose([(5, 9, "2020-02-15", 1), (5, 8, "2020-01-15", 3), (1, 1, "2019-01-15", 1)], recency=True)[1] == 8
+    assert survivor.choose(own, recency=True)[1] == 8  # the older value speaks for the month
+    assert survivor.choose([(6, 9, "2020-02-15", 1), *own[1:]], recency=True)[1] == 9
+    # an older value is what all vote for together, and still does not survive
+    assert survivor.choose([(5, 9, "2020-02-15", 1), (5, 8, "2021-01-15", 1), (1, 1, "2020-01-15", 9)], recency=True)[1] == 9
+    assert survivor.choose([(None, 9, "b", 1), (None, 8, "a", 2)], recency=True)[1] == 8
+    monkeypatch.setattr(survivor, "consensus", lambda values: survivor.tokens(values[0][0]))
+    assert survivor.choose(own, recency=True)[1] == 9
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 4), st.text("ab1 ", max_size=5), st.integers(1, 3)), min_size=1, max_size=30))
+def test_what_survives_was_updated_last(parts):
+    entries = [(at, i, v, n) for i, (at, v, n) in enumerate(parts)]
+    assert survivor.choose(entries, recency=True)[0] == max(e[0] for e in entries)
+
+
+def test_p2_rows_updated_at_the_same_instant(spark, data, tmp_path):
+    for name in ("place_dim", "raw_occupational_comps"):
+        df = spark.read.parquet(f"{data}/{name}.parquet")
+        if "updated_at" in df.columns:
+            df = df.withColumn("updated_at", F.lit("2024-02-01T00:00:00"))
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    assert rows(survivor.p2_found(spark, str(tmp_path))) == [(1, "lease_start", 2), (1, "rent_pa", 2)]
+
+
 def test_p2(spark, data):
     got = rows(survivor.p2_found(spark, data))
     assert got == [(1, "lease_start", 3), (1, "rent_pa", 3)]
